@@ -77,6 +77,7 @@ class ForestModel:
     seed: int
     contamination: float
     threshold: float | None = None
+    n_train: int = 0
     nodes: pd.DataFrame = field(default_factory=pd.DataFrame)
 
     # -- flat arrays for scoring -------------------------------------------
@@ -99,7 +100,8 @@ class ForestModel:
 
     def params(self) -> dict:
         return {k: getattr(self, k) for k in
-                ("features", "means", "stds", "psi", "n_trees", "seed", "contamination", "threshold")}
+                ("features", "means", "stds", "psi", "n_trees", "seed", "contamination", "threshold",
+                 "n_train")}
 
 
 # --- scaler -------------------------------------------------------------------
@@ -277,7 +279,7 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
     sample = sample_for_trees(zdf, k, n, psi, n_trees, seed)
     node_pdf = (sample.groupBy("tree_id").applyInPandas(_grower(k, psi, seed), NODE_SCHEMA)
                 .toPandas())
-    model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, node_pdf)
+    model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
     scored = _raw_scores(model, df.select(*features))
     model.threshold = float(scored.agg(
         F.percentile_approx("anomaly_score", float(contamination), QUANTILE_ACCURACY)).first()[0])

@@ -143,6 +143,16 @@ def q_agg_flows(spark, sf):
     return hashable(agg_flows(packets_from_lineitem(spark, sf)))
 
 
+def q_src_packets(spark, sf):
+    """Packets view written as pcap bytes per partition, decoded, rolled up.
+    A capture carries the transport only, so application names map to TCP."""
+    from flowlens.sources.packets import decode_binary, packets_to_captures
+    pk = packets_from_lineitem(spark, sf).withColumn(
+        "protocol", F.when(F.col("protocol").isin("UDP", "ICMP"), F.col("protocol")).otherwise(F.lit("TCP")))
+    caps = packets_to_captures(pk)
+    return hashable(agg_flows(decode_binary(caps)))
+
+
 def q_src_packet_list(spark, sf):
     return hashable(convert_packet_list(packet_list_from_lineitem(spark, sf)))
 
@@ -304,6 +314,7 @@ QUERIES: dict[str, Query] = {
     "proto_label": q_proto_label,
     "time_windows": q_time_windows,
     "agg_flows": q_agg_flows,
+    "src_packets": q_src_packets,
     "src_packet_list": q_src_packet_list,
     "extract_ports": q_extract_ports,
     "agg_converted_summary": q_agg_converted_summary,
@@ -378,6 +389,13 @@ ORACLE: dict[str, str] = {
         round(CASE WHEN max(timestamp) = min(timestamp) THEN 1.0
               ELSE epoch(max(timestamp)) - epoch(min(timestamp)) END, 6) AS duration
         FROM packets GROUP BY src_ip, dst_ip, src_port, dst_port, protocol""",
+    "src_packets": f"""WITH {O.PACKETS_CTE}, wire AS (SELECT timestamp, src_ip, dst_ip, src_port, dst_port,
+        CASE WHEN protocol IN ('UDP', 'ICMP') THEN protocol ELSE 'TCP' END AS protocol, bytes, packets FROM packets)
+        SELECT epoch(min(timestamp))::BIGINT AS timestamp, src_ip, dst_ip,
+        src_port, dst_port, protocol, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets,
+        round(CASE WHEN max(timestamp) = min(timestamp) THEN 1.0
+              ELSE epoch(max(timestamp)) - epoch(min(timestamp)) END, 6) AS duration
+        FROM wire GROUP BY src_ip, dst_ip, src_port, dst_port, protocol""",
     "src_packet_list": f"""WITH {O.PACKET_LIST_CTE} SELECT round(timestamp, 6) AS timestamp, src_ip, dst_ip,
         protocol, bytes, src_port, dst_port, packets, round(duration, 6) AS duration FROM converted""",
     "extract_ports": f"""WITH {O.PACKET_LIST_CTE} SELECT "Info", src_port, dst_port FROM converted""",
