@@ -140,11 +140,18 @@ def _unit(h):
     return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(_U53)
 
 
-def sample_for_trees(zdf: DataFrame, k: int, n: int, psi: int, n_trees: int, seed: int) -> DataFrame:
-    """Rows (``tree_id, u, _z*``) drawn for each tree, about ``1.5 psi`` each."""
+def sample_for_trees(df: DataFrame, features: list, means: list, stds: list, n: int, psi: int,
+                     n_trees: int, seed: int) -> DataFrame:
+    """Rows (``tree_id, u, _z*``) drawn for each tree, about ``1.5 psi`` each.
+
+    The row key hashes the raw feature values (exact), not the scaled ones,
+    whose last bits depend on the summation order of the scaler.
+    """
+    k = len(features)
     zcols = [f"_z{i}" for i in range(k)]
-    key = F.xxhash64(*[F.col(c) for c in zcols])
-    base = zdf.select(*zcols).withColumn("_key", key)
+    raw = df.select(*_filled(features))
+    keyed = raw.withColumn("_key", F.xxhash64(*[F.col(f) for f in features]))
+    base = scale_apply(keyed, features, means, stds).select(*zcols, "_key")
     if n <= psi:
         trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
         return (base.withColumn("tree_id", F.explode(trees))
@@ -275,8 +282,7 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
         raise ValueError("Cannot train on an empty input")
     psi = min(max_samples, n)
     k = len(features)
-    zdf = scale_apply(df.select(*features), features, means, stds)
-    sample = sample_for_trees(zdf, k, n, psi, n_trees, seed)
+    sample = sample_for_trees(df, features, means, stds, n, psi, n_trees, seed)
     node_pdf = (sample.groupBy("tree_id").applyInPandas(_grower(k, psi, seed), NODE_SCHEMA)
                 .toPandas())
     model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
