@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,23 @@ SCORE_PLACES = 9
 NO_TIME_WINDOW = 0  # epoch second used as the single window without timestamps
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and return a frame reading it back.
+
+    Used for the grouped tables that several whole-input scalars read: the
+    aggregation over the input then runs once instead of once per consumer
+    (column pruning makes the consumers' plans differ, so exchange reuse
+    cannot merge them), and the lineage is cut, so a lost executor costs a
+    re-read rather than a re-aggregation.
+    """
+    from flowlens.session import checkpoint_dir
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"flowlens-{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_scalars(df: DataFrame, *aggs: Column) -> DataFrame:
     """Attach whole-input aggregates (max, mean, std, quantile) to every row.
 

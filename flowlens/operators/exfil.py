@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.arith import BYTES_PER_MB, flag, rate
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.timefns import dt_hour, dt_weekday
-from flowlens.operators.common import above_sigma, add_time_window, moments, with_scalars
+from flowlens.operators.common import above_sigma, add_time_window, materialize, moments, with_scalars
 from flowlens.operators.features import has_timestamp, night_flag, weekend_flag
 from flowlens.schema import EXFIL_COLUMNS, EXFIL_WINDOW_S, SUSPICIOUS_PROTOCOLS
 
@@ -80,7 +80,11 @@ def score_exfil(groups: DataFrame) -> DataFrame:
     return g.select(*EXFIL_COLUMNS)
 
 
-def detect_exfil(df: DataFrame) -> DataFrame:
+def detect_exfil(df: DataFrame, materialize_groups: bool = True) -> DataFrame:
     """All outbound (source, window) groups with scores; flag ``is_exfiltration``.
-    No outbound traffic gives an empty frame with the same schema."""
-    return score_exfil(agg_exfil(df))
+    No outbound traffic gives an empty frame with the same schema.
+    ``materialize_groups``: as in :func:`flowlens.operators.lateral.detect_lateral`."""
+    groups = agg_exfil(df)
+    if materialize_groups and not df.isStreaming:
+        groups = materialize(groups, "exfil-groups")
+    return score_exfil(groups)

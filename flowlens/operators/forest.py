@@ -80,23 +80,41 @@ class ForestModel:
     n_train: int = 0
     nodes: pd.DataFrame = field(default_factory=pd.DataFrame)
 
-    # -- flat arrays for scoring -------------------------------------------
+    # -- complete-tree arrays for scoring ------------------------------------
     def arrays(self):
-        nd = self.nodes.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
-        counts = nd.groupby("tree_id").size().reindex(range(self.n_trees), fill_value=0).to_numpy()
-        offsets = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        off = offsets[nd["tree_id"].to_numpy()]
-        feat = nd["feature"].to_numpy().astype(np.int64)
-        leaf = feat < 0
-        left = np.where(leaf, -1, nd["left"].to_numpy() + off).astype(np.int64)
-        right = np.where(leaf, -1, nd["right"].to_numpy() + off).astype(np.int64)
-        leaf_value = np.where(leaf, nd["depth"].to_numpy() + c_factor(nd["size"].to_numpy()), 0.0)
-        return {
-            "feature": feat, "threshold": nd["threshold"].to_numpy().astype(float),
-            "left": left, "right": right, "leaf_value": leaf_value,
-            "roots": offsets, "max_depth": int(nd["depth"].max()) if len(nd) else 0,
-            "norm": float(c_factor([self.psi])[0]) or 1.0,
-        }
+        """Each tree as a complete binary tree of depth D: internal node ``c``
+        has children ``2c+1`` / ``2c+2``; a leaf reached early is padded with
+        never-taken splits (threshold +inf) down to depth D, its value copied
+        to every padded leaf. Scoring is then D branch-free steps per tree."""
+        nd = self.nodes
+        depth = int(nd["depth"].max()) if len(nd) else 0
+        n_int, n_leaf = 2 ** depth - 1, 2 ** depth
+        feat = np.zeros((self.n_trees, max(n_int, 1)), dtype=np.int64)
+        thr = np.full((self.n_trees, max(n_int, 1)), np.inf)
+        leaf = np.zeros((self.n_trees, n_leaf))
+        cols = {c: nd[c].to_numpy() for c in ("tree_id", "node_id", "feature", "threshold",
+                                              "left", "right", "depth", "size")}
+        value = cols["depth"] + c_factor(cols["size"])
+        by_tree: dict = {}
+        for i in range(len(nd)):
+            by_tree.setdefault(int(cols["tree_id"][i]), {})[int(cols["node_id"][i])] = i
+        for t, rows in by_tree.items():
+            stack = [(0, 0)]                       # (node id, complete index)
+            while stack:
+                node, c = stack.pop()
+                i = rows[node]
+                if cols["feature"][i] < 0:
+                    lo, span = c, 1
+                    while lo < n_int:
+                        lo, span = 2 * lo + 1, span * 2
+                    leaf[t, lo - n_int: lo - n_int + span] = value[i]
+                else:
+                    feat[t, c] = cols["feature"][i]
+                    thr[t, c] = cols["threshold"][i]
+                    stack.append((int(cols["left"][i]), 2 * c + 1))
+                    stack.append((int(cols["right"][i]), 2 * c + 2))
+        return {"feature": feat, "threshold": thr, "leaf_value": leaf, "depth": depth,
+                "norm": float(c_factor([self.psi])[0]) or 1.0}
 
     def params(self) -> dict:
         return {k: getattr(self, k) for k in
@@ -229,21 +247,20 @@ def _grower(k: int, psi: int, seed: int):
 # --- scoring ---------------------------------------------------------------------
 
 def path_lengths(x: np.ndarray, arr: dict) -> np.ndarray:
-    """Mean path length of each row of ``x`` over all trees."""
+    """Mean path length of each row of ``x`` (rows x features) over all trees."""
     m = x.shape[0]
-    roots = arr["roots"]
-    node = np.broadcast_to(roots, (m, len(roots))).copy()
-    rows = np.arange(m)[:, None]
-    feat, thr, left, right = arr["feature"], arr["threshold"], arr["left"], arr["right"]
-    for _ in range(arr["max_depth"] + 1):
-        f = feat[node]
-        internal = f >= 0
-        if not internal.any():
-            break
-        fv = x[rows, np.where(internal, f, 0)]
-        nxt = np.where(fv <= thr[node], left[node], right[node])
-        node = np.where(internal, nxt, node)
-    return arr["leaf_value"][node].mean(axis=1)
+    flat = np.ascontiguousarray(x.T).ravel()       # feature-major: value of f at f*m + row
+    rows = np.arange(m)
+    feat, thr, leaf, depth = arr["feature"], arr["threshold"], arr["leaf_value"], arr["depth"]
+    n_int = 2 ** depth - 1
+    acc = np.zeros(m)
+    for t in range(leaf.shape[0]):
+        ft, tt = feat[t], thr[t]
+        node = np.zeros(m, dtype=np.int64)
+        for _ in range(depth):
+            node = 2 * node + 1 + (flat[ft[node] * m + rows] > tt[node])
+        acc += leaf[t][node - n_int]
+    return acc / leaf.shape[0]
 
 
 def _score_udf(bc):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.arith import BYTES_PER_MB
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.protocol import is_ics_port
-from flowlens.operators.common import SCORE_PLACES, add_time_window, with_scalars
+from flowlens.operators.common import SCORE_PLACES, add_time_window, materialize, with_scalars
 from flowlens.operators.features import has_timestamp
 from flowlens.schema import (FINDINGS_COLUMNS, FINDINGS_SCHEMA, ICS_VOLUME_WINDOW_S,
                              SEVERITY_SCORES)
@@ -218,9 +218,14 @@ def ics_unusual_ports(df: DataFrame) -> DataFrame:
 
 # --- the seven rules -------------------------------------------------------
 
-def ics_rules(df: DataFrame, assets: DataFrame | None = None) -> list[DataFrame]:
-    """The seven rule frames (0 or 1 row each), in rule order."""
+def ics_rules(df: DataFrame, assets: DataFrame | None = None,
+              materialize_sources: bool = True) -> list[DataFrame]:
+    """The seven rule frames (0 or 1 row each), in rule order. The
+    per-source table feeds five rules; it is written once unless
+    ``materialize_sources`` is False."""
     per_src = ics_per_source(df, assets)
+    if materialize_sources and not df.isStreaming:
+        per_src = materialize(per_src, "ics-sources")
     tot = _source_totals(per_src)
     gate = F.col("n_ics") > 0
     unusual = tot.where(gate)
@@ -255,13 +260,14 @@ def union_findings(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def detect_ics(df: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+def detect_ics(df: DataFrame, assets: DataFrame | None = None,
+               materialize_sources: bool = True) -> DataFrame:
     """FINDINGS rows (rule order in ``rule_no``). No ``is_ics_protocol``
     column or no ICS rows gives an empty frame with the FINDINGS schema."""
     spark = df.sparkSession
     if "is_ics_protocol" not in df.columns:
         return empty_findings(spark)
-    return union_findings(ics_rules(df, assets)).select(*FINDINGS_COLUMNS)
+    return union_findings(ics_rules(df, assets, materialize_sources)).select(*FINDINGS_COLUMNS)
 
 
 def agg_severity_counts(findings: DataFrame) -> DataFrame:

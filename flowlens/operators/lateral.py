@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.arith import flag
-from flowlens.operators.common import above_sigma, add_time_window, moments, with_scalars
+from flowlens.operators.common import above_sigma, add_time_window, materialize, moments, with_scalars
 from flowlens.schema import LATERAL_COLUMNS, LATERAL_WINDOW_S
 
 PORT_SCAN_MIN_PORTS = 10     # strictly more than
@@ -58,6 +58,14 @@ def score_lateral(groups: DataFrame) -> DataFrame:
     return g.select(*LATERAL_COLUMNS)
 
 
-def detect_lateral(df: DataFrame) -> DataFrame:
-    """All (source, window) groups with scores; flag ``is_lateral_movement``."""
-    return score_lateral(agg_lateral(df))
+def detect_lateral(df: DataFrame, materialize_groups: bool = True) -> DataFrame:
+    """All (source, window) groups with scores; flag ``is_lateral_movement``.
+
+    The groups feed three consumers (maxima, moments, rows); with
+    ``materialize_groups`` they are written once (an eager job) so the input
+    is aggregated once. Pass False for a fully lazy plan.
+    """
+    groups = agg_lateral(df)
+    if materialize_groups and not df.isStreaming:
+        groups = materialize(groups, "lateral-groups")
+    return score_lateral(groups)

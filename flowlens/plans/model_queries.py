@@ -41,6 +41,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_iforest_train(spark, sf):
+    _MODELS.pop(sf, None)   # always a fresh fit
     return spark.createDataFrame(_model(spark, sf).nodes, NODE_SCHEMA)
 
 

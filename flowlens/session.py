@@ -18,6 +18,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -40,7 +41,7 @@ def get_spark(master: str | None = None, app_name: str = "flowlens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in SESSION_CONF.items():
-        if k != "spark.ui.enabled":
+        if not k.startswith("spark.ui."):
             spark.conf.set(k, v)
     return spark
 

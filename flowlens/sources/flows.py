@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.schema import FLOW_RAW_SCHEMA
+from flowlens.sources.parallelism import spread_small_input
 
 _BY_EXTENSION = {
     ".parquet": "parquet",
@@ -72,11 +73,11 @@ def read_flows(spark: SparkSession, path: str, fmt: str | None = None, **options
     """
     fmt = (fmt or detect_format(path)).lower()
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return spread_small_input(spark.read.parquet(path))
     if fmt == "csv":
-        return read_csv_flows(spark, path, **options)
+        return spread_small_input(read_csv_flows(spark, path, **options))
     if fmt == "json":
-        return read_json_flows(spark, path, **options)
+        return spread_small_input(read_json_flows(spark, path, **options))
     if fmt == "pcap":
         from flowlens.sources.packets import read_capture_flows
         return read_capture_flows(spark, path, **options)

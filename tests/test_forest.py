@@ -102,8 +102,16 @@ def test_model_identical_under_partitioning(spark, feats, model):
                        model.nodes.sort_values(["tree_id", "node_id"])["threshold"].to_numpy())
 
 
-def test_path_lengths_single_leaf():
-    arr = {"feature": np.array([-1]), "threshold": np.array([0.0]), "left": np.array([-1]),
-           "right": np.array([-1]), "leaf_value": np.array([3.0]), "roots": np.array([0]),
-           "max_depth": 0}
-    assert path_lengths(np.zeros((4, 2)), arr).tolist() == [3.0] * 4
+def test_path_lengths_small_trees():
+    import pandas as pd
+    from flowlens.operators.forest import ForestModel
+    # tree 0: single leaf of 4 rows at depth 0; tree 1: split on feature 1 at 0.5
+    nodes = pd.DataFrame([(0, 0, -1, 0.0, -1, -1, 0, 4),
+                          (1, 0, 1, 0.5, 1, 2, 0, 4), (1, 1, -1, 0.0, -1, -1, 1, 1),
+                          (1, 2, -1, 0.0, -1, -1, 1, 3)],
+                         columns=["tree_id", "node_id", "feature", "threshold", "left", "right", "depth", "size"])
+    m = ForestModel(["a", "b"], [0, 0], [1, 1], 4, 2, 1, 0.1, 0.0, 4, nodes)
+    x = np.array([[0.0, 0.0], [0.0, 1.0]])
+    got = path_lengths(x, m.arrays())
+    c4, c3 = c_factor([4])[0], c_factor([3])[0]
+    assert np.allclose(got, [(c4 + 1.0) / 2, (c4 + 1.0 + c3) / 2])
