@@ -3,17 +3,18 @@
 Training
   1. One aggregate gives the row count and the per-feature mean and
      population standard deviation (the scaler).
-  2. Rows are keyed by ``xxhash64`` of their feature values, so sampling is
-     reproducible whatever the partitioning. Tree ``t`` keeps a row with
-     probability ``p = min(1, 1.5 * psi / n)``, independently per tree. To
-     avoid touching ``n_trees`` hashes per row, a single hash first decides
-     whether the row is in *any* tree (probability ``1 - (1-p)^T``); only those
-     rare rows draw their first tree from the truncated geometric law and the
-     later trees by their own hashes -- the same joint law as ``T``
-     independent draws. Expected draws per tree ``1.5 * psi`` (sd ~ 20 for
-     psi = 256), so falling short of ``psi`` is a > 6 sigma event.
-  3. ``groupBy(tree_id).applyInPandas`` grows each tree on at most ``psi``
-     rows (the lowest hashes), so every group is bounded.
+  2. Each tree keeps every row with probability ``p = min(1, 1.5 psi / n)``,
+     independently. This runs on distinct feature vectors with their
+     multiplicity ``m`` (one ``groupBy``; a vector repeated in a third of the
+     rows is one row after partial aggregation): the copies a tree takes
+     from a vector are Binomial(m, p). One hash per vector decides whether
+     it reaches any tree, so the ``T``-way expansion touches only the ~1.5 psi
+     T drawn pairs. Keys are ``xxhash64`` of the raw values, so the sample
+     does not depend on the partitioning. Expected draws per tree 1.5 psi
+     (sd ~ 20 for psi = 256): falling short of psi is a > 6 sigma event.
+  3. ``groupBy(tree_id).applyInPandas`` draws the copy counts, keeps the psi
+     copies of lowest random rank and grows the tree; each group holds about
+     1.5 psi distinct vectors whatever the duplication, so it is bounded.
   4. The node table (at most ``T * (2 psi - 1)`` rows) is collected once and
      broadcast; the score threshold is the ``contamination`` quantile of the
      training scores (approximate quantile sketch: mergeable, bounded memory).
@@ -160,39 +161,37 @@ def _unit(h):
 
 def sample_for_trees(df: DataFrame, features: list, means: list, stds: list, n: int, psi: int,
                      n_trees: int, seed: int) -> DataFrame:
-    """Rows (``tree_id, u, _z*``) drawn for each tree, about ``1.5 psi`` each.
-
-    The row key hashes the raw feature values (exact), not the scaled ones,
-    whose last bits depend on the summation order of the scaler.
+    """(vector, tree) pairs that draw at least one copy: ``tree_id, _key, _m, _z*``.
+
+    Sampling is per row, Bernoulli(p) for each tree, but done on distinct
+    feature vectors: ``groupBy(features).count()`` gives each vector its
+    multiplicity ``m`` (partial aggregation absorbs a hot duplicate), and
+    the copies a tree draws from a vector are Binomial(m, p). A vector takes
+    part in some tree with probability ``1 - (1-p)^(m T)`` (one hash); the
+    first such tree follows the truncated geometric law, later trees their
+    own hashes. Copy counts and their ranks are drawn in :func:`_grower`.
+    Everything is keyed by the raw values, so the result does not depend on
+    the partitioning.
     """
-    k = len(features)
-    zcols = [f"_z{i}" for i in range(k)]
     raw = df.select(*_filled(features))
-    keyed = raw.withColumn("_key", F.xxhash64(*[F.col(f) for f in features]))
-    base = scale_apply(keyed, features, means, stds).select(*zcols, "_key")
-    if n <= psi:
-        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-        return (base.withColumn("tree_id", F.explode(trees))
-                    .withColumn("u", _unit(F.xxhash64("_key", "tree_id", F.lit(seed))))
-                    .drop("_key"))
+    vec = (raw.groupBy(*features).agg(F.count(F.lit(1)).alias("_m"))
+              .withColumn("_key", F.xxhash64(*[F.col(f) for f in features])))
     p = min(1.0, OVERSAMPLE * psi / n)
-    q = 1.0 - (1.0 - p) ** n_trees
+    log_miss = F.col("_m").cast("double") * F.lit(math.log1p(-p) if p < 1.0 else float("-inf"))
+    hit_any = -F.expm1(log_miss * F.lit(float(n_trees)))          # 1 - z^T, z = (1-p)^m
+    hit_one = -F.expm1(log_miss)                                   # 1 - z
     u_any = _unit(F.xxhash64("_key", F.lit(seed), F.lit(-1)))
-    sampled = base.where(u_any < F.lit(q))
-    # first tree K given "at least one": P(K=k) = (1-p)^k p / q
     u_first = _unit(F.xxhash64("_key", F.lit(seed), F.lit(-2)))
-    if p >= 1.0:
-        first = F.lit(0)
-    else:
-        first = F.least(F.floor(F.log1p(-u_first * F.lit(q)) / F.lit(math.log1p(-p))),
-                        F.lit(n_trees - 1)).cast("int")
-    sampled = sampled.withColumn("_first", first)
+    first = F.coalesce(F.least(F.floor(F.log1p(-u_first * hit_any) / log_miss),
+                               F.lit(n_trees - 1)), F.lit(0)).cast("int")
+    cand = vec.where(u_any < hit_any).withColumn("_first", first).withColumn("_hit", hit_one)
     tree_u = lambda t: _unit(F.xxhash64("_key", t, F.lit(seed)))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                      lambda t: (t == F.col("_first")) | ((t > F.col("_first")) & (tree_u(t) < F.lit(p))))
-    return (sampled.withColumn("tree_id", F.explode(chosen))
-                   .withColumn("u", tree_u(F.col("tree_id")))
-                   .drop("_key", "_first"))
+                      lambda t: (t == F.col("_first"))
+                      | ((t > F.col("_first")) & (tree_u(t) < F.col("_hit"))))
+    pairs = cand.withColumn("tree_id", F.explode(chosen))
+    z = scale_apply(pairs, features, means, stds)
+    return z.select("tree_id", "_key", "_m", *[f"_z{i}" for i in range(len(features))])
 
 
 # --- tree growth (runs inside applyInPandas) -------------------------------
@@ -228,16 +227,35 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator, height_limit: int):
     return nodes
 
 
-def _grower(k: int, psi: int, seed: int):
+def draw_copies(m: np.ndarray, p: float, rng: np.random.Generator) -> np.ndarray:
+    """Copies drawn from vectors of multiplicity ``m`` given at least one:
+    the first success index J (truncated geometric), then Binomial on the
+    remaining trials."""
+    m = m.astype(np.int64)
+    if p >= 1.0:
+        return m
+    u = rng.random(len(m))
+    hit = -np.expm1(m * math.log1p(-p))
+    j = np.floor(np.log1p(-u * hit) / math.log1p(-p)).astype(np.int64)
+    j = np.clip(j, 0, m - 1)
+    return 1 + rng.binomial(m - 1 - j, p)
+
+
+def _grower(k: int, psi: int, n: int, seed: int):
     height_limit = int(math.ceil(math.log2(max(psi, 2))))
+    p = min(1.0, OVERSAMPLE * psi / n)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])
-        pdf = pdf.sort_values("u", kind="mergesort").head(psi)
-        x = pdf[[f"_z{i}" for i in range(k)]].to_numpy(dtype=float)
+        pdf = pdf.sort_values("_key", kind="mergesort")
         rng = np.random.default_rng([seed, tree_id])
-        rows = _grow_tree(x, rng, height_limit)
-        out = pd.DataFrame(rows, columns=["node_id", "feature", "threshold", "left", "right", "depth", "size"])
+        copies = draw_copies(pdf["_m"].to_numpy(), p, rng)
+        rows = np.repeat(np.arange(len(pdf)), copies)
+        rank = rng.random(len(rows))
+        keep = rows[np.argsort(rank, kind="stable")[:psi]]
+        x = pdf[[f"_z{i}" for i in range(k)]].to_numpy(dtype=float)[np.sort(keep)]
+        nodes = _grow_tree(x, rng, height_limit)
+        out = pd.DataFrame(nodes, columns=["node_id", "feature", "threshold", "left", "right", "depth", "size"])
         out.insert(0, "tree_id", tree_id)
         return out.astype({"tree_id": "int32", "node_id": "int32", "feature": "int32", "left": "int32",
                            "right": "int32", "depth": "int32", "size": "int32", "threshold": "float64"})
@@ -300,7 +318,7 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
     psi = min(max_samples, n)
     k = len(features)
     sample = sample_for_trees(df, features, means, stds, n, psi, n_trees, seed)
-    node_pdf = (sample.groupBy("tree_id").applyInPandas(_grower(k, psi, seed), NODE_SCHEMA)
+    node_pdf = (sample.groupBy("tree_id").applyInPandas(_grower(k, psi, n, seed), NODE_SCHEMA)
                 .toPandas())
     model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
     scored = _raw_scores(model, df.select(*features))

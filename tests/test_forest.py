@@ -87,14 +87,33 @@ def test_sampling_independent_of_partitioning(spark, feats):
     n, means, stds = scale_fit(feats, cols)
     a = sample_for_trees(feats, cols, means, stds, n, 256, 100, 42)
     b = sample_for_trees(feats.repartition(13), cols, means, stds, n, 256, 100, 42)
-    key = ["tree_id", "u"]
+    key = ["tree_id", "_key", "_m"]
     ra = sorted(tuple(r) for r in a.select(*key).collect())
     rb = sorted(tuple(r) for r in b.select(*key).collect())
     assert ra == rb
-    per_tree = a.groupBy("tree_id").count().agg(F.min("count"), F.max("count")).first()
+    per_tree = a.groupBy("tree_id").agg(F.sum("_m").alias("c")).agg(F.min("c"), F.max("c")).first()
     assert per_tree[0] >= 256 and per_tree[1] < 600
 
 
+def test_hot_duplicate_is_bounded_and_sampled(spark):
+    """A vector holding half of all rows: every tree group stays small and
+    the vector is in (nearly) every tree with about psi/2 copies."""
+    from pyspark.sql import functions as F
+    n = 200_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("a"),
+        F.when(F.col("id") % 2 == 0, F.lit(1.0)).otherwise((F.col("id") % 97).cast("double")).alias("b"))
+    n_, means, stds = scale_fit(df, ["a", "b"])
+    pairs = sample_for_trees(df, ["a", "b"], means, stds, n_, 256, 100, 42)
+    per_tree = pairs.groupBy("tree_id").count().agg(F.max("count")).first()[0]
+    assert per_tree < 600
+    hot = pairs.where(F.col("_m") == n // 2).select("tree_id").distinct().count()
+    assert hot >= 99
+    model = iforest_train(df, ["a", "b"])
+    hot_score = iforest_score(model, df.where(F.col("a") == 5.0).limit(1)).first().anomaly_score
+    assert hot_score > model.threshold
+
+
 def test_model_identical_under_partitioning(spark, feats, model):
     cols = select_features(feats)
     m2 = iforest_train(feats.repartition(5), cols)
