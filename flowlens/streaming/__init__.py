@@ -1,0 +1,3 @@
+"""Structured Streaming entry points (micro-batch detection)."""
+
+from flowlens.streaming.micro_batch import detect_stream, read_flow_stream  # noqa: F401
