@@ -58,7 +58,9 @@ def sequential_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def synthesize_timestamp(df: DataFrame, col: str = "timestamp") -> DataFrame:
-    """Opt-in: replace ``col`` by 2024-01-01 plus one minute per row, in row order."""
+    """Opt-in: replace ``col`` by 2024-01-01 plus one minute per row, in the
+    order of the input partitions (read with ``read_flows(..., spread=False)``
+    to keep the file order)."""
     idx = sequential_index(df, "_seq")
     return (idx.withColumn(col, F.to_timestamp(F.lit(SYNTHETIC_START))
                            + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_seq").cast("int")))

@@ -74,6 +74,37 @@ def q_preprocess(spark, sf):
     return hashable(preprocess(raw))
 
 
+def _round_trip(spark, sf, fmt):
+    """The fixture written as text files under the shared checkpoint folder
+    (timestamps as epoch-second text) and read back with the flow reader."""
+    import os
+    import uuid
+    from flowlens.session import checkpoint_dir
+    from flowlens.sources.flows import read_flows
+    path = os.path.join(checkpoint_dir(spark), f"flowlens-src-{fmt}-{uuid.uuid4().hex[:12]}.{fmt}")
+    out = _flows(spark, sf).withColumn("timestamp", F.unix_seconds("timestamp").cast("string"))
+    (out.write.option("header", True).csv(path) if fmt == "csv" else out.write.json(path))
+    return read_flows(spark, path)
+
+
+def q_src_csv(spark, sf):
+    return hashable(preprocess(_round_trip(spark, sf, "csv")))
+
+
+def q_src_json(spark, sf):
+    return hashable(preprocess(_round_trip(spark, sf, "json")))
+
+
+def q_scale_fit(spark, sf):
+    from flowlens.schema import TRAINING_FEATURES
+    f = _features(spark, sf)
+    aggs = []
+    for c in TRAINING_FEATURES:
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"std_{c}")]
+    return hashable(f.agg(*aggs))
+
+
 def q_norm_timestamp(spark, sf):
     raw = _flows(spark, sf).select(
         "src_ip", "dst_ip", "src_port",
@@ -305,6 +336,9 @@ QUERIES: dict[str, Query] = {
     "extract_features": q_extract_features,
     "preprocess": q_preprocess,
     "norm_timestamp": q_norm_timestamp,
+    "src_csv": q_src_csv,
+    "src_json": q_src_json,
+    "scale_fit": q_scale_fit,
     "fill_missing": q_fill_missing,
     "join_fanout": q_join_fanout,
     "select_features": q_select_features,
@@ -357,6 +391,13 @@ def _feat_out_cols() -> str:
 ORACLE: dict[str, str] = {
     "extract_features": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
     "preprocess": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
+    "src_csv": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
+    "src_json": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
+    "scale_fit": f"WITH {O.FEATURES_CTE} SELECT " + ", ".join(
+        f"round(avg(CAST({c} AS DOUBLE)), 6) AS mean_{c}, round(stddev_pop(CAST({c} AS DOUBLE)), 6) AS std_{c}"
+        for c in ["bytes", "packets", "duration", "bytes_per_packet", "packets_per_second", "bytes_per_second",
+                  "is_ics_protocol", "is_high_port", "is_tcp", "is_udp", "unique_destinations", "hour",
+                  "is_night", "is_weekend"]) + " FROM features",
     "norm_timestamp": f"""WITH {O.FLOWS_CTE} SELECT src_ip, dst_ip, src_port,
         CASE WHEN src_port % 3 = 2 THEN NULL ELSE epoch(timestamp)::BIGINT END AS timestamp FROM flows""",
     "fill_missing": f"""WITH {O.FLOWS_CTE} SELECT epoch(timestamp)::BIGINT AS timestamp, src_ip, dst_ip,

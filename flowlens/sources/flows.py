@@ -65,19 +65,24 @@ def _looks_like_array(path: str) -> bool:
     return False
 
 
-def read_flows(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
+def read_flows(spark: SparkSession, path: str, fmt: str | None = None, spread: bool = True,
+               **options) -> DataFrame:
     """Load a flow table; the reader is chosen by extension unless ``fmt`` is given.
 
     Unknown formats raise ``ValueError``. Capture files (``pcap``) are decoded
     and rolled up into flows by :func:`flowlens.sources.packets.read_capture_flows`.
+    ``spread`` lets a small input use every core (see
+    :mod:`flowlens.sources.parallelism`); pass False to keep the file order
+    (needed by ``synthesize_timestamp``).
     """
     fmt = (fmt or detect_format(path)).lower()
+    keep = (lambda d: spread_small_input(d)) if spread else (lambda d: d)
     if fmt == "parquet":
-        return spread_small_input(spark.read.parquet(path))
+        return keep(spark.read.parquet(path))
     if fmt == "csv":
-        return spread_small_input(read_csv_flows(spark, path, **options))
+        return keep(read_csv_flows(spark, path, **options))
     if fmt == "json":
-        return spread_small_input(read_json_flows(spark, path, **options))
+        return keep(read_json_flows(spark, path, **options))
     if fmt == "pcap":
         from flowlens.sources.packets import read_capture_flows
         return read_capture_flows(spark, path, **options)
