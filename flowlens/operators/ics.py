@@ -1,14 +1,15 @@
 """Industrial-protocol findings: seven rules, one FINDINGS table.
 
-Plan shape: the rules that count flows and distinct sources (night, weekend,
-external, unauthorized, high diversity) share one per-source pre-aggregate
-over the ICS-port rows (the ``dst_port IN (...)`` filter reaches the scan),
-followed by a one-row global aggregate. Partial aggregation on ``src_ip``
-makes a hot source cost one row per map task. The 30-minute volume, the
-per-port usage and the external-address list are three more small
-aggregates. Every list put in a findings row is bounded (at most the seven
-ICS ports, or the first ten addresses); the unbounded list of high-diversity
-sources is its own table, :func:`ics_high_diversity_devices`.
+Plan shape: the ICS-port rows (the ``dst_port IN (...)`` filter reaches the
+scan) are pre-aggregated once per (source, destination, port, ICS flag,
+30-minute window) -- :func:`ics_base`, written once -- and every rule is a
+small aggregate of that table: a per-source table for the counting rules and
+the diversity rule, a per-window table for spikes, a per-port table for
+usage, a per-destination top-k for the external addresses. Whole-input
+scalars are one-row aggregates joined by broadcast. Every list put in a
+findings row is bounded (at most the seven ICS ports, or the first ten
+addresses); the unbounded list of high-diversity sources is its own table,
+:func:`ics_high_diversity_devices`.
 """
 
 from __future__ import annotations
@@ -102,50 +103,91 @@ def _candidates(df: DataFrame) -> DataFrame:
     return df.where(flt_ics() | is_ics_port("dst_port"))
 
 
-def ics_per_source(df: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """One row per source over ICS candidate rows: rule counts, distinct
-    destinations / ports, bytes, unauthorized ports."""
-    c = _candidates(df)
-    has_night = "is_night" in df.columns
-    has_weekend = "is_weekend" in df.columns
+def ics_base(df: DataFrame, width_s: int = ICS_VOLUME_WINDOW_S) -> DataFrame:
+    """Compact pre-aggregate of the ICS candidate rows, one row per
+    (src_ip, dst_ip, dst_port, ICS flag, 30-minute window): flow, night and
+    weekend counts, byte and packet sums, first time seen.
+
+    Every rule is an aggregate of this table (distinct counts over it equal
+    those over the flows), so the flows are scanned once. Repeated polling
+    between the same endpoints collapses here, and partial aggregation
+    absorbs a hot source before the shuffle.
+    """
+    c = add_time_window(_candidates(df), width_s)
+    t = has_timestamp(df)
+    night = (F.count_if(F.col("is_night") == 1) if "is_night" in df.columns else F.lit(0).cast("long"))
+    weekend = (F.count_if(F.col("is_weekend") == 1) if "is_weekend" in df.columns else F.lit(0).cast("long"))
+    return (c.groupBy("src_ip", "dst_ip", F.col("dst_port").cast("long").alias("dst_port"),
+                      F.col("is_ics_protocol").cast("int").alias("_ics"), "time_window")
+             .agg(F.count(F.lit(1)).alias("_n"),
+                  night.alias("_n_night"),
+                  weekend.alias("_n_weekend"),
+                  F.sum("bytes").cast("long").alias("_bytes"),
+                  F.sum("packets").cast("long").alias("_packets"),
+                  (F.min("timestamp") if t else F.lit(None).cast("timestamp")).alias("_first")))
+
+
+def _is_ics() -> Column:
+    return F.col("_ics") == 1
+
+
+def _per_source(base: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """One row per source: rule counts, distinct ICS destinations / ports,
+    ICS bytes, unauthorized ports."""
     if assets is not None:
         known = assets.select(F.col("ip").alias("src_ip")).distinct().withColumn("_asset", F.lit(True))
-        c = c.join(known, "src_ip", "left")
+        base = base.join(known, "src_ip", "left")
         unauth = is_ics_port("dst_port") & F.col("_asset").isNull()
     else:
-        unauth = flt_unauthorized()
-    ics = flt_ics()
-    return (c.groupBy("src_ip").agg(
-        F.count_if(ics).alias("n_ics"),
-        F.count_if(ics & (F.col("is_night") == 1) if has_night else F.lit(False)).alias("n_night"),
-        F.count_if(ics & (F.col("is_weekend") == 1) if has_weekend else F.lit(False)).alias("n_weekend"),
-        F.count_if(ics & ~is_private_ip("dst_ip")).alias("n_external"),
-        F.count_if(unauth).alias("n_unauth"),
-        F.array_sort(F.collect_set(F.when(unauth, F.col("dst_port").cast("long")))).alias("unauth_ports"),
+        unauth = (F.col("_ics") == 0) & is_ics_port("dst_port")
+    ics = _is_ics()
+    n = F.col("_n")
+
+    def total(cond, col=n):
+        return F.coalesce(F.sum(F.when(cond, col)), F.lit(0)).cast("long")
+
+    return base.groupBy("src_ip").agg(
+        total(ics).alias("n_ics"),
+        total(ics, F.col("_n_night")).alias("n_night"),
+        total(ics, F.col("_n_weekend")).alias("n_weekend"),
+        total(ics & ~is_private_ip("dst_ip")).alias("n_external"),
+        total(unauth).alias("n_unauth"),
+        F.array_sort(F.collect_set(F.when(unauth, F.col("dst_port")))).alias("unauth_ports"),
         F.countDistinct(F.when(ics, F.col("dst_ip"))).alias("unique_dsts"),
         F.countDistinct(F.when(ics, F.col("dst_port"))).alias("unique_ports"),
-        F.sum(F.when(ics, F.col("bytes"))).cast("long").alias("total_bytes"),
-    ))
+        F.sum(F.when(ics, F.col("_bytes"))).cast("long").alias("total_bytes"),
+    )
+
+
+def ics_per_source(df: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    return _per_source(ics_base(df), assets)
+
+
+def _diversity(per_src: DataFrame) -> DataFrame:
+    return (per_src.where((F.col("n_ics") > 0) & F.col("src_ip").isNotNull())
+            .select("src_ip", "unique_dsts", "unique_ports", "total_bytes"))
 
 
 def agg_ics_diversity(df: DataFrame) -> DataFrame:
     """Per ICS source: distinct destinations, distinct ports, total bytes."""
-    return (ics_per_source(df).where((F.col("n_ics") > 0) & F.col("src_ip").isNotNull())
-            .select("src_ip", "unique_dsts", "unique_ports", "total_bytes"))
+    return _diversity(ics_per_source(df))
 
 
-def ics_high_diversity_devices(df: DataFrame) -> DataFrame:
-    """ICS sources whose distinct destinations exceed mean + 2 sigma (full list)."""
-    d = with_scalars(agg_ics_diversity(df), F.avg("unique_dsts").alias("_m"),
+def _high_diversity(per_src: DataFrame) -> DataFrame:
+    d = with_scalars(_diversity(per_src), F.avg("unique_dsts").alias("_m"),
                      F.stddev_samp("unique_dsts").alias("_s"))
     thr = F.round(F.col("_m") + DIVERSITY_SIGMA * F.col("_s"), SCORE_PLACES)
     return d.where(F.coalesce(F.col("unique_dsts") > thr, F.lit(False))).drop("_m", "_s")
 
 
+def ics_high_diversity_devices(df: DataFrame) -> DataFrame:
+    """ICS sources whose distinct destinations exceed mean + 2 sigma (full list)."""
+    return _high_diversity(ics_per_source(df))
+
+
 def _source_totals(per_src: DataFrame) -> DataFrame:
     """Collapse the per-source table to the rule counts (one row)."""
     known = F.col("src_ip").isNotNull()
-    is_ics_src = (F.col("n_ics") > 0) & known
     return per_src.agg(
         F.sum("n_ics").alias("n_ics"),
         F.sum("n_night").alias("n_night"),
@@ -157,78 +199,87 @@ def _source_totals(per_src: DataFrame) -> DataFrame:
         F.sum("n_unauth").alias("n_unauth"),
         F.count_if((F.col("n_unauth") > 0) & known).alias("d_unauth"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("unauth_ports")))).alias("unauth_ports"),
-        F.avg(F.when(is_ics_src, F.col("unique_dsts"))).alias("div_mean"),
-        F.stddev_samp(F.when(is_ics_src, F.col("unique_dsts"))).alias("div_std"),
     )
 
 
-def _high_diversity_count(per_src: DataFrame) -> DataFrame:
-    is_ics_src = (F.col("n_ics") > 0) & F.col("src_ip").isNotNull()
-    d = with_scalars(per_src.where(is_ics_src).select("unique_dsts"),
-                     F.avg("unique_dsts").alias("_m"), F.stddev_samp("unique_dsts").alias("_s"))
-    thr = F.round(F.col("_m") + DIVERSITY_SIGMA * F.col("_s"), SCORE_PLACES)
-    return d.agg(F.count_if(F.coalesce(F.col("unique_dsts") > thr, F.lit(False))).alias("n"))
+def _external_first_seen(base: DataFrame, k: int) -> DataFrame:
+    return (base.where(_is_ics() & ~is_private_ip("dst_ip"))
+                .groupBy("dst_ip").agg(F.min("_first").alias("first_seen"))
+                .orderBy(F.col("first_seen").asc_nulls_last(), F.col("dst_ip").asc_nulls_last())
+                .limit(k))
 
 
 def external_ips_first_seen(df: DataFrame, k: int = EXTERNAL_IPS_SHOWN) -> DataFrame:
     """First ``k`` distinct external destinations of ICS flows by first
     appearance in time (ties by address); a bounded top-k."""
-    ext = df.where(flt_external_ics())
-    first = (F.min("timestamp") if has_timestamp(df) else F.lit(None).cast("timestamp"))
-    return (ext.groupBy("dst_ip").agg(first.alias("first_seen"))
-               .orderBy(F.col("first_seen").asc_nulls_last(), F.col("dst_ip").asc_nulls_last())
-               .limit(k))
+    return _external_first_seen(ics_base(df), k)
+
+
+def _volume(base: DataFrame) -> DataFrame:
+    return (base.where(_is_ics() & F.col("time_window").isNotNull())
+                .groupBy("time_window")
+                .agg(F.sum("_bytes").cast("long").alias("total_bytes"),
+                     F.sum("_packets").cast("long").alias("total_packets"),
+                     F.countDistinct("src_ip").alias("unique_devices")))
 
 
 def agg_ics_volume(df: DataFrame, width_s: int = ICS_VOLUME_WINDOW_S) -> DataFrame:
     """Per 30-minute window on ICS flows: bytes, packets, distinct sources."""
-    w = add_time_window(df.where(flt_ics()), width_s)
-    return (w.where(F.col("time_window").isNotNull())
-             .groupBy("time_window")
-             .agg(F.sum("bytes").cast("long").alias("total_bytes"),
-                  F.sum("packets").cast("long").alias("total_packets"),
-                  F.countDistinct("src_ip").alias("unique_devices")))
+    return _volume(ics_base(df, width_s))
 
 
-def ics_volume_spikes(df: DataFrame) -> DataFrame:
-    """Windows whose ICS bytes exceed mean + 3 sigma."""
-    v = with_scalars(agg_ics_volume(df), F.avg("total_bytes").alias("_m"),
+def _spikes(base: DataFrame) -> DataFrame:
+    v = with_scalars(_volume(base), F.avg("total_bytes").alias("_m"),
                      F.stddev_samp("total_bytes").alias("_s"))
     thr = F.round(F.col("_m") + SPIKE_SIGMA * F.col("_s"), SCORE_PLACES)
     return v.where(F.coalesce(F.col("total_bytes") > thr, F.lit(False))).drop("_m", "_s")
 
 
+def ics_volume_spikes(df: DataFrame) -> DataFrame:
+    """Windows whose ICS bytes exceed mean + 3 sigma."""
+    return _spikes(ics_base(df))
+
+
+def _ports(base: DataFrame) -> DataFrame:
+    return (base.where(_is_ics()).groupBy(F.col("dst_port").alias("port"))
+                .agg(F.countDistinct("src_ip").alias("unique_sources"),
+                     F.sum("_bytes").cast("long").alias("total_bytes"),
+                     F.sum("_packets").cast("long").alias("total_packets")))
+
+
 def agg_ics_port(df: DataFrame) -> DataFrame:
     """Per ICS destination port: distinct sources, bytes, packets (<= 7 rows)."""
-    return (df.where(flt_ics()).groupBy(F.col("dst_port").cast("long").alias("port"))
-              .agg(F.countDistinct("src_ip").alias("unique_sources"),
-                   F.sum("bytes").cast("long").alias("total_bytes"),
-                   F.sum("packets").cast("long").alias("total_packets")))
+    return _ports(ics_base(df))
 
 
-def ics_unusual_ports(df: DataFrame) -> DataFrame:
-    """Ports whose distinct sources or bytes exceed the 0.9 quantile
-    (linear interpolation) over ports."""
-    p = with_scalars(agg_ics_port(df),
+def _unusual_ports(base: DataFrame) -> DataFrame:
+    p = with_scalars(_ports(base),
                      F.percentile("unique_sources", USAGE_QUANTILE).alias("_qs"),
                      F.percentile("total_bytes", USAGE_QUANTILE).alias("_qb"))
     cond = (F.col("unique_sources") > F.col("_qs")) | (F.col("total_bytes") > F.col("_qb"))
     return p.where(F.coalesce(cond, F.lit(False))).drop("_qs", "_qb")
 
 
+def ics_unusual_ports(df: DataFrame) -> DataFrame:
+    """Ports whose distinct sources or bytes exceed the 0.9 quantile
+    (linear interpolation) over ports (exact: at most seven ports)."""
+    return _unusual_ports(ics_base(df))
+
+
 # --- the seven rules -------------------------------------------------------
 
 def ics_rules(df: DataFrame, assets: DataFrame | None = None,
-              materialize_sources: bool = True) -> list[DataFrame]:
-    """The seven rule frames (0 or 1 row each), in rule order. The
-    per-source table feeds five rules; it is written once unless
-    ``materialize_sources`` is False."""
-    per_src = ics_per_source(df, assets)
-    if materialize_sources and not df.isStreaming:
-        per_src = materialize(per_src, "ics-sources")
+              materialize_base: bool = True) -> list[DataFrame]:
+    """The seven rule frames (0 or 1 row each), in rule order, all derived
+    from :func:`ics_base`. The base and the per-source table (read by four
+    rules) are written once unless ``materialize_base`` is False."""
+    base = ics_base(df)
+    per_src = _per_source(base, assets)
+    if materialize_base and not df.isStreaming:
+        base = materialize(base, "ics-base")
+        per_src = materialize(_per_source(base, assets), "ics-sources")
     tot = _source_totals(per_src)
-    gate = F.col("n_ics") > 0
-    unusual = tot.where(gate)
+    unusual = tot.where(F.col("n_ics") > 0)
     out = []
     if "is_night" in df.columns:
         out.append(_finding(unusual, "unusual_time", F.col("n_night"),
@@ -236,22 +287,22 @@ def ics_rules(df: DataFrame, assets: DataFrame | None = None,
     if "is_weekend" in df.columns:
         out.append(_finding(unusual, "weekend_activity", F.col("n_weekend"),
                             affected_devices=F.col("d_weekend")))
-    out.append(_finding(_high_diversity_count(per_src), "high_diversity", F.col("n")))
-    ips = (external_ips_first_seen(df)
+    hd = _high_diversity(per_src).agg(F.count(F.lit(1)).alias("n"))
+    out.append(_finding(hd, "high_diversity", F.col("n")))
+    ips = (_external_first_seen(base, EXTERNAL_IPS_SHOWN)
            .agg(F.transform(F.array_sort(F.collect_list(F.struct(
                F.coalesce(F.unix_micros("first_seen"), F.lit(2**62)).alias("t"), F.col("dst_ip").alias("ip")))),
                lambda s: s["ip"]).alias("ips")))
     out.append(_finding(unusual.crossJoin(ips), "external_communication", F.col("n_external"),
                         affected_devices=F.col("d_external"), external_ips=F.col("ips")))
     if has_timestamp(df):
-        spikes = ics_volume_spikes(df).agg(F.count(F.lit(1)).alias("n"),
-                                           F.max("total_bytes").alias("mx"))
+        spikes = _spikes(base).agg(F.count(F.lit(1)).alias("n"), F.max("total_bytes").alias("mx"))
         out.append(_finding(spikes, "traffic_spike", F.col("n"),
                             max_volume_mb=F.col("mx") / F.lit(float(BYTES_PER_MB))))
     out.append(_finding(unusual, "unauthorized_access", F.col("n_unauth"),
                         affected_devices=F.col("d_unauth"), accessed_ports=F.col("unauth_ports")))
-    ports = ics_unusual_ports(df).agg(F.count(F.lit(1)).alias("n"),
-                                      F.array_sort(F.collect_list("port")).alias("ports"))
+    ports = _unusual_ports(base).agg(F.count(F.lit(1)).alias("n"),
+                                     F.array_sort(F.collect_list("port")).alias("ports"))
     out.append(_finding(ports, "unusual_protocol_usage", F.col("n"), protocols=F.col("ports")))
     return out
 
@@ -261,13 +312,13 @@ def union_findings(frames: list[DataFrame]) -> DataFrame:
 
 
 def detect_ics(df: DataFrame, assets: DataFrame | None = None,
-               materialize_sources: bool = True) -> DataFrame:
+               materialize_base: bool = True) -> DataFrame:
     """FINDINGS rows (rule order in ``rule_no``). No ``is_ics_protocol``
     column or no ICS rows gives an empty frame with the FINDINGS schema."""
     spark = df.sparkSession
     if "is_ics_protocol" not in df.columns:
         return empty_findings(spark)
-    return union_findings(ics_rules(df, assets, materialize_sources)).select(*FINDINGS_COLUMNS)
+    return union_findings(ics_rules(df, assets, materialize_base)).select(*FINDINGS_COLUMNS)
 
 
 def agg_severity_counts(findings: DataFrame) -> DataFrame:
