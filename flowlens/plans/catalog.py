@@ -259,6 +259,22 @@ def q_flt_external_ics(spark, sf):
     return hashable(_features(spark, sf).where(ics.flt_external_ics()))
 
 
+def q_flt_night_ics(spark, sf):
+    return hashable(_features(spark, sf).where(ics.flt_ics() & (F.col("is_night") == 1)))
+
+
+def q_flt_weekend_ics(spark, sf):
+    return hashable(_features(spark, sf).where(ics.flt_ics() & (F.col("is_weekend") == 1)))
+
+
+def _rule(rule_type):
+    def q(spark, sf):
+        found = ics.detect_ics(_features(spark, sf))
+        return hashable(found.where(F.col("type") == rule_type))
+    q.__name__ = f"q_rule_{rule_type}"
+    return q
+
+
 def q_agg_ics_diversity(spark, sf):
     return ics.agg_ics_diversity(_features(spark, sf))
 
@@ -365,6 +381,12 @@ QUERIES: dict[str, Query] = {
     "topk_destinations": q_topk_destinations,
     "flt_ics": q_flt_ics,
     "flt_external_ics": q_flt_external_ics,
+    "flt_night_ics": q_flt_night_ics,
+    "flt_weekend_ics": q_flt_weekend_ics,
+    "ics_unusual_time": _rule("unusual_time"),
+    "ics_weekend": _rule("weekend_activity"),
+    "ics_external": _rule("external_communication"),
+    "ics_unauthorized": _rule("unauthorized_access"),
     "agg_ics_diversity": q_agg_ics_diversity,
     "ics_high_diversity": q_ics_high_diversity,
     "ics_external_ips": q_ics_external_ips,
@@ -470,6 +492,14 @@ ORACLE: dict[str, str] = {
     "flt_ics": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features WHERE is_ics_protocol = 1",
     "flt_external_ics": f"""WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features
         WHERE is_ics_protocol = 1 AND NOT {O.private('dst_ip')}""",
+    "flt_night_ics": f"""WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features
+        WHERE is_ics_protocol = 1 AND is_night = 1""",
+    "flt_weekend_ics": f"""WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features
+        WHERE is_ics_protocol = 1 AND is_weekend = 1""",
+    "ics_unusual_time": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'unusual_time'",
+    "ics_weekend": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'weekend_activity'",
+    "ics_external": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'external_communication'",
+    "ics_unauthorized": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'unauthorized_access'",
     "agg_ics_diversity": f"WITH {O.ICS_CTE} SELECT src_ip, unique_dsts, unique_ports, total_bytes FROM ics_div",
     "ics_high_diversity": f"WITH {O.ICS_CTE} SELECT src_ip, unique_dsts, unique_ports, total_bytes FROM ics_hd",
     "ics_external_ips": f"WITH {O.ICS_CTE} SELECT dst_ip, epoch(first_seen)::BIGINT AS first_seen FROM ics_ext10",
