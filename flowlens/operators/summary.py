@@ -96,16 +96,29 @@ def threat_counts(flows: DataFrame, lateral: DataFrame, exfil: DataFrame, findin
     return _one_row(traffic, lat, exf, fnd)
 
 
+def score_counts() -> list:
+    """Model counts of a scored table: flagged flows and the three score bands."""
+    s = F.col("anomaly_score")
+    return [F.coalesce(F.sum("is_anomaly"), F.lit(0)).cast("long").alias("total_anomalies"),
+            F.count_if(s < RISK_HIGH_BELOW).cast("long").alias("risk_high"),
+            F.count_if((s >= RISK_HIGH_BELOW) & (s < RISK_MEDIUM_BELOW)).cast("long").alias("risk_medium"),
+            F.count_if(s >= RISK_MEDIUM_BELOW).cast("long").alias("risk_low")]
+
+
 def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
-                   findings: DataFrame) -> DataFrame:
+                   findings: DataFrame, model_counts: dict | None = None) -> DataFrame:
     """The JSON summary as one nested row: totals, anomaly rate and its band,
-    threat counts, risk bands of the score, severity counts, bytes at risk."""
-    s = F.col("anomaly_score")
-    model = scored.agg(
-        _flag_sum(scored, "is_anomaly", "total_anomalies"),
-        F.count_if(s < RISK_HIGH_BELOW).cast("long").alias("risk_high"),
-        F.count_if((s >= RISK_HIGH_BELOW) & (s < RISK_MEDIUM_BELOW)).cast("long").alias("risk_medium"),
-        F.count_if(s >= RISK_MEDIUM_BELOW).cast("long").alias("risk_low"))
+    threat counts, risk bands of the score, severity counts, bytes at risk.
+
+    ``scored`` may be the unscored feature table when ``model_counts`` (the
+    values of :func:`score_counts`, e.g. observed while the anomalies were
+    written) is given; then the forest is not run again."""
+    if model_counts is None:
+        model = scored.agg(*score_counts())
+    else:
+        names = ["total_anomalies", "risk_high", "risk_medium", "risk_low"]
+        model = scored.sparkSession.createDataFrame(
+            [tuple(int(model_counts.get(k) or 0) for k in names)], ", ".join(f"{k} long" for k in names))
     risk = exfil_flows_at_risk(scored, exfil).agg(
         F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_at_risk"))
     base = _one_row(threat_counts(scored, lateral, exfil, findings), model, risk)

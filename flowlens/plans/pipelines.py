@@ -1,10 +1,9 @@
 """End-to-end jobs: train, detect, and capture analysis.
 
-The scored feature table is written once to the shared checkpoint folder
-(``spark.checkpoint.dir``) and every later consumer -- anomaly sink, three
-detectors, summary -- reads it back with its own column pruning and filter
-pushdown. That cuts the lineage (a lost executor re-reads files instead of
-re-running the forest UDF) and avoids scoring the input more than once.
+Scoring runs once, inside the job that writes the flagged flows; the counts
+the summary needs from the scores are observed by that job. Detector
+outputs are small and written once to the shared checkpoint folder
+(``spark.checkpoint.dir``) before the sinks and the summary read them.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from flowlens.operators.exfil import detect_exfil
 from flowlens.operators.features import preprocess, select_features
@@ -21,7 +20,7 @@ from flowlens.operators.forest import (iforest_score, iforest_train, model_load,
 from flowlens.operators.ics import detect_ics
 from flowlens.operators.lateral import detect_lateral
 from flowlens.operators.stats import stats
-from flowlens.operators.summary import attack_summary, recommendations
+from flowlens.operators.summary import attack_summary, recommendations, score_counts
 from flowlens.plans import sinks
 from flowlens.schema import DEFAULT_CONTAMINATION
 from flowlens.session import checkpoint_dir
@@ -55,17 +54,28 @@ def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
 def analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool = True,
             assets: DataFrame | None = None, fmt: str = "csv") -> dict:
     """Score, write anomalies; with ``detailed`` run the three detectors and
-    write their tables, the summary JSON and the recommendations."""
-    scored = materialize(spark, iforest_score(model, features), "scored")
+    write their tables, the summary JSON and the recommendations.
+
+    The forest runs once, in the job that writes the flagged rows; the
+    score-band counts of all rows are gathered by the same job
+    (``DataFrame.observe``), so the full scored table is never stored. The
+    detectors do not need scores and read the input with their own column
+    pruning; their (small) outputs are written once and shared by the sinks
+    and the summary.
+    """
+    obs = Observation("flowlens-score-counts")
+    scored = iforest_score(model, features).observe(obs, *score_counts())
     out = {"anomalies": sinks.sink_anomalies(scored, os.path.join(out_dir, "anomalies_detected"), fmt)}
+    counts = obs.get
+    out["score_counts"] = counts
     if detailed:
-        lateral = materialize(spark, detect_lateral(scored), "lateral")
-        exfil = materialize(spark, detect_exfil(scored), "exfil")
-        findings = materialize(spark, detect_ics(scored, assets), "findings")
+        lateral = materialize(spark, detect_lateral(features), "lateral")
+        exfil = materialize(spark, detect_exfil(features), "exfil")
+        findings = materialize(spark, detect_ics(features, assets), "findings")
         out["lateral"] = sinks.sink_lateral(lateral, os.path.join(out_dir, "lateral_movement"), fmt)
         out["exfil"] = sinks.sink_exfil(exfil, os.path.join(out_dir, "data_exfiltration"), fmt)
         out["ics"] = sinks.sink_ics(findings, os.path.join(out_dir, "ics_anomalies"), fmt)
-        summary = materialize(spark, attack_summary(scored, lateral, exfil, findings), "summary")
+        summary = materialize(spark, attack_summary(features, lateral, exfil, findings, counts), "summary")
         out["summary"] = sinks.sink_json_summary(summary, os.path.join(out_dir, "attack_summary"))
         out["recommendations"] = sinks.write_table(recommendations(summary),
                                                    os.path.join(out_dir, "recommendations"), fmt)
