@@ -42,7 +42,7 @@ FROM lineitem) x"""
 # Packets view: one packet per line item, four source ports per order.
 PACKETS_SQL = (FLOWS_SQL
                .replace("1024 + (l_orderkey * 7 + l_linenumber) % 64000 AS src_port",
-                        "40000 + l_linenumber % 4 AS src_port")
+                        "CAST(40000 + l_linenumber % 4 AS BIGINT) AS src_port")
                .replace("CAST(floor(l_quantity) AS BIGINT) AS packets", "CAST(1 AS BIGINT) AS packets")
                .replace("CAST(l_linenumber AS DOUBLE) * 0.5 AS duration", "CAST(0.0 AS DOUBLE) AS duration"))
 
