@@ -198,7 +198,9 @@ def _source_totals(per_src: DataFrame) -> DataFrame:
         F.count_if((F.col("n_external") > 0) & known).alias("d_external"),
         F.sum("n_unauth").alias("n_unauth"),
         F.count_if((F.col("n_unauth") > 0) & known).alias("d_unauth"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("unauth_ports")))).alias("unauth_ports"),
+        # each source's list is a sorted subset of the seven ICS ports, so the
+        # set of distinct lists is bounded (at most 2^7) whatever the sources
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("unauth_ports")))).alias("unauth_ports"),
     )
 
 
