@@ -99,3 +99,13 @@ def packet_pipeline(spark: SparkSession, capture_dir: str, model_path: str, out_
     features = preprocess(flows)
     model = train_or_load(spark, model_path, features)
     return analyze(spark, features, model, out_dir, detailed)
+
+
+def convert_pipeline(spark: SparkSession, input_path: str, output_path: str) -> dict:
+    """Packet-list CSV export to the flow schema, written as CSV, with the
+    converter's summary (distinct sources / destinations / protocols, bytes)."""
+    from flowlens.sources.packet_list import convert_packet_list, converted_summary, read_packet_list
+    converted = convert_packet_list(read_packet_list(spark, input_path))
+    sinks.sink_converted(converted, output_path)
+    written = spark.read.option("header", True).option("inferSchema", True).csv(output_path)
+    return {"output": output_path, "summary": converted_summary(written).first().asDict()}

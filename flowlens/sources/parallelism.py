@@ -3,14 +3,17 @@
 A Parquet row group is the unit of a scan split, so a small file written as
 one row group is read by a single task and everything up to the first
 shuffle (expressions, partial aggregation) runs on one core. When the
-optimizer's size estimate of the input is small, a round-robin repartition
-costs little and lets the rest of the stage use every core. Large inputs
-have many splits already and are left alone (no extra shuffle at scale).
+optimizer's size estimate of the input is small, a hash repartition on the
+row values costs little and lets the rest of the stage use every core.
+Large inputs have many splits already and are left alone (no extra shuffle
+at scale).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
@@ -32,4 +35,8 @@ def spread_small_input(df: DataFrame, limit_bytes: int = SMALL_INPUT_BYTES) -> D
     size = estimated_bytes(df)
     if size is None or size > limit_bytes or cores <= 1:
         return df
-    return df.repartition(cores)
+    # Hash partitioning on the row's values: deterministic under task retries
+    # without the sort that round-robin needs for the same guarantee.
+    keys = [F.col(f"`{f.name}`") for f in df.schema.fields
+            if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)

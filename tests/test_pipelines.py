@@ -108,3 +108,16 @@ def test_invariance_under_partitions(spark):
         got = sorted(tuple(r) for r in detect_lateral(f.repartition(n).orderBy(F.rand(7))).collect())
         assert got == ref
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_cli_train_detect_convert(spark, csv_flows, tmp_out):
+    from flowlens.__main__ import main
+    model = os.path.join(tmp_out, "cli", "model")
+    main(["train", "--data", csv_flows, "--output", model, "--contamination", "0.1"])
+    res = main(["detect", "--data", csv_flows, "--model", model, "--output", os.path.join(tmp_out, "cli", "run"),
+                "--detailed"])
+    assert 500 <= res["score_counts"]["total_anomalies"] <= 700
+    pl = os.path.join(tmp_out, "pl.csv")
+    packet_list_from_lineitem(spark, SF_SMALL).coalesce(1).write.option("header", True).csv(pl)
+    conv = main(["convert", "--input", pl, "--output", os.path.join(tmp_out, "conv")])
+    assert conv["summary"]["unique_sources"] == 10
