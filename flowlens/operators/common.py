@@ -60,3 +60,12 @@ def above_sigma(score: str, k: float, mean_col: str = "_mean", std_col: str = "_
 
 def moments(score: str) -> list[Column]:
     return [F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std")]
+
+
+def weighted_sum(weights) -> Column:
+    """Sum of column x weight, added left to right in the listed order."""
+    expr = None
+    for col, w in weights:
+        term = F.col(col) * w
+        expr = term if expr is None else expr + term
+    return expr

@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from flowlens.functions.arith import BYTES_PER_MB, flag, rate
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.timefns import dt_hour, dt_weekday
-from flowlens.operators.common import above_sigma, add_time_window, materialize, moments, with_scalars
+from flowlens.operators.common import (above_sigma, add_time_window, materialize, moments, weighted_sum,
+                                      with_scalars)
 from flowlens.operators.features import has_timestamp, night_flag, weekend_flag
 from flowlens.schema import EXFIL_COLUMNS, EXFIL_WINDOW_S, SUSPICIOUS_PROTOCOLS
 
-LARGE_TRANSFER_MB = 10       # strictly more than
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference's). Limits are strict (more than).
+LARGE_TRANSFER_MB = 10
 MULTI_DESTINATIONS = 3
 HIGH_BANDWIDTH_BPS = 1_000_000
+# exfil_score = sum of column x weight, in this order
+SCORE_WEIGHTS = [("mb_transferred", 3.0), ("unique_external_dsts", 2.0), ("is_large_transfer", 4.0),
+                 ("is_multiple_destinations", 3.0), ("is_high_bandwidth", 2.0), ("is_unusual_time", 2.0),
+                 ("is_suspicious_protocol", 1.5)]
 SIGMA = 2.0
+# ---------------------------------------------------------------------------
 
 
 def flt_outbound() -> Column:
@@ -65,11 +73,7 @@ def score_exfil(groups: DataFrame) -> DataFrame:
         "is_unusual_time": flag((F.col("is_night") == 1) | (F.col("is_weekend") == 1)),
         "is_suspicious_protocol": flag(F.col("suspicious_protocol_count") > 0),
     })
-    g = g.withColumn("exfil_score",
-                     F.col("mb_transferred") * 3.0 + F.col("unique_external_dsts") * 2.0
-                     + F.col("is_large_transfer") * 4.0 + F.col("is_multiple_destinations") * 3.0
-                     + F.col("is_high_bandwidth") * 2.0 + F.col("is_unusual_time") * 2.0
-                     + F.col("is_suspicious_protocol") * 1.5)
+    g = g.withColumn("exfil_score", weighted_sum(SCORE_WEIGHTS))
     g = with_scalars(g, *moments("exfil_score"))
     is_ex = above_sigma("exfil_score", SIGMA)
     g = g.withColumns({

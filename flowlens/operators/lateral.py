@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.arith import flag
-from flowlens.operators.common import above_sigma, add_time_window, materialize, moments, with_scalars
+from flowlens.operators.common import (above_sigma, add_time_window, materialize, moments, weighted_sum,
+                                      with_scalars)
 from flowlens.schema import LATERAL_COLUMNS, LATERAL_WINDOW_S
 
-PORT_SCAN_MIN_PORTS = 10     # strictly more than
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference's). Limits are strict (more than).
+PORT_SCAN_MIN_PORTS = 10
 PORT_SCAN_MIN_PACKETS = 50
 HOST_SCAN_MIN_HOSTS = 5
 HOST_SCAN_MIN_PACKETS = 20
+# lateral_score = sum of column x weight, in this order
+SCORE_WEIGHTS = [("dst_diversity_score", 4.0), ("port_scan_score", 3.0),
+                 ("is_port_scan", 2.0), ("is_host_scan", 2.0)]
 SIGMA = 2.0
+# ---------------------------------------------------------------------------
+
 
 
 def agg_lateral(df: DataFrame, width_s: int = LATERAL_WINDOW_S) -> DataFrame:
@@ -46,9 +54,7 @@ def score_lateral(groups: DataFrame) -> DataFrame:
         "is_host_scan": flag((F.col("unique_dsts") > HOST_SCAN_MIN_HOSTS)
                              & (F.col("packets") > HOST_SCAN_MIN_PACKETS)),
     })
-    g = g.withColumn("lateral_score",
-                     F.col("dst_diversity_score") * 4.0 + F.col("port_scan_score") * 3.0
-                     + F.col("is_port_scan") * 2.0 + F.col("is_host_scan") * 2.0)
+    g = g.withColumn("lateral_score", weighted_sum(SCORE_WEIGHTS))
     g = with_scalars(g.drop("_max_ud", "_max_up"), *moments("lateral_score"))
     is_lat = above_sigma("lateral_score", SIGMA)
     g = g.withColumns({
