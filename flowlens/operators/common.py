@@ -17,6 +17,9 @@ SCORE_PLACES = 9
 NO_TIME_WINDOW = 0  # epoch second used as the single window without timestamps
 
 
+_CREATED: list = []   # paths written by materialize() in this process, oldest first
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder
     (``spark.checkpoint.dir``) and return a frame reading it back.
@@ -31,9 +34,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"flowlens-{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    _CREATED.append(path)
     return spark.read.parquet(path)
 
 
+def created_tables() -> list:
+    """Intermediate tables written so far (for :func:`drop_tables`)."""
+    return list(_CREATED)
+
+
+def drop_tables(spark, paths) -> int:
+    """Delete intermediate tables this process wrote with :func:`materialize`
+    (only those: any other path is ignored), through the Hadoop file system
+    so it works on any shared store. Returns the number deleted."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for p in paths:
+        if p not in _CREATED:
+            continue
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        if hp.getFileSystem(conf).delete(hp, True):
+            n += 1
+        _CREATED.remove(p)
+    return n
+
+
 def with_scalars(df: DataFrame, *aggs: Column) -> DataFrame:
     """Attach whole-input aggregates (max, mean, std, quantile) to every row.
 

@@ -9,10 +9,10 @@ outputs are small and written once to the shared checkpoint folder
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
+from flowlens.operators.common import created_tables, drop_tables
 from flowlens.operators.exfil import detect_exfil
 from flowlens.operators.features import preprocess, select_features
 from flowlens.operators.forest import (iforest_score, iforest_train, model_load, model_save,
@@ -23,17 +23,31 @@ from flowlens.operators.stats import stats
 from flowlens.operators.summary import attack_summary, recommendations, score_counts
 from flowlens.plans import sinks
 from flowlens.schema import DEFAULT_CONTAMINATION
-from flowlens.session import checkpoint_dir
 from flowlens.sources.flows import read_flows
 from flowlens.sources.packets import read_capture_flows
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back."""
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, f"flowlens-{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    from flowlens.operators.common import materialize as _materialize
+    return _materialize(df, name)
+
+
+class _Scratch:
+    """Deletes the intermediate tables a pipeline run wrote, once its outputs
+    are complete (also on failure)."""
+
+    def __init__(self, spark: SparkSession, keep: bool = False):
+        self.spark, self.keep = spark, keep
+
+    def __enter__(self):
+        self.before = set(created_tables())
+        return self
+
+    def __exit__(self, *exc):
+        if not self.keep:
+            drop_tables(self.spark, [p for p in created_tables() if p not in self.before])
+        return False
 
 
 def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
@@ -52,7 +66,16 @@ def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
 
 
 def analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool = True,
-            assets: DataFrame | None = None, fmt: str = "csv") -> dict:
+            assets: DataFrame | None = None, fmt: str = "csv", keep_intermediate: bool = False) -> dict:
+    """Score and detect (see :func:`_analyze`); intermediate tables written
+    under the checkpoint folder are deleted afterwards unless
+    ``keep_intermediate``."""
+    with _Scratch(spark, keep_intermediate):
+        return _analyze(spark, features, model, out_dir, detailed, assets, fmt)
+
+
+def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool,
+             assets: DataFrame | None, fmt: str) -> dict:
     """Score, write anomalies; with ``detailed`` run the three detectors and
     write their tables, the summary JSON and the recommendations.
 
@@ -95,10 +118,11 @@ def packet_pipeline(spark: SparkSession, capture_dir: str, model_path: str, out_
                     detailed: bool = True) -> dict:
     """Captures to flows, then as :func:`detect_pipeline`; trains (automatic
     features) and saves a model first when none exists at ``model_path``."""
-    flows = materialize(spark, read_capture_flows(spark, capture_dir), "capture-flows")
-    features = preprocess(flows)
-    model = train_or_load(spark, model_path, features)
-    return analyze(spark, features, model, out_dir, detailed)
+    with _Scratch(spark):
+        flows = materialize(spark, read_capture_flows(spark, capture_dir), "capture-flows")
+        features = preprocess(flows)
+        model = train_or_load(spark, model_path, features)
+        return analyze(spark, features, model, out_dir, detailed)
 
 
 def convert_pipeline(spark: SparkSession, input_path: str, output_path: str) -> dict:

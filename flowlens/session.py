@@ -62,3 +62,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def cluster_conf(input_bytes: int, total_cores: int, split_bytes: int = 256 * 1024 * 1024,
+                 shuffle_ratio: float = 0.1) -> dict:
+    """Suggested sizing for ``input_bytes`` of flows on ``total_cores`` cores.
+
+    Scan splits of ``split_bytes``; shuffle partitions sized for the
+    post-partial-aggregation shuffle (``shuffle_ratio`` of the input, about
+    200 MB each, at least two per core), which AQE coalesces when smaller;
+    skew splitting above 256 MB and 5x the median partition.
+    """
+    shuffle_bytes = max(1, int(input_bytes * shuffle_ratio))
+    partitions = max(2 * total_cores, shuffle_bytes // (200 * 1024 * 1024))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(int(partitions)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }

@@ -74,6 +74,10 @@ def test_train_then_detect_twice(spark, csv_flows, tmp_out):
     recs = spark.read.option("header", True).csv(r["recommendations"]).count()
     assert recs >= 9
     assert len(glob.glob(os.path.join(r["anomalies"], "*.csv"))) >= 1
+    # the run's intermediate tables are gone, the outputs stay
+    from flowlens.operators.common import created_tables
+    assert not [p for p in created_tables() if "lateral" in p or "ics-base" in p]
+    assert os.path.isdir(r["lateral"])
 
 
 def test_packet_pipeline(spark, tmp_out):
