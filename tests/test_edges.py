@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.ports import extract_ports
-from flowlens.operators.common import SCORE_PLACES  # noqa: F401
 from flowlens.operators.exfil import detect_exfil
 from flowlens.operators.features import (extract_features, fill_missing, preprocess, select_features,
                                          select_numeric)
