@@ -306,12 +306,18 @@ def _raw_scores(model: ForestModel, df: DataFrame) -> DataFrame:
 
 def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DEFAULT_TREES,
                   contamination: float = DEFAULT_CONTAMINATION, seed: int = DEFAULT_SEED,
-                  max_samples: int = DEFAULT_MAX_SAMPLES) -> ForestModel:
+                  max_samples: int = DEFAULT_MAX_SAMPLES, materialize_input: bool = True) -> ForestModel:
     """Fit scaler and forest; ``features=None`` selects numeric columns."""
     from flowlens.operators.features import select_numeric
     features = list(features) if features is not None else select_numeric(df)
     if not features:
         raise ValueError("No numeric feature columns to train on")
+    # Three passes read the training matrix (scaler, sampling, threshold):
+    # write it once instead of re-deriving the features (fan-out join) thrice.
+    df = df.select(*_filled(features))
+    if materialize_input and not df.isStreaming:
+        from flowlens.operators.common import materialize
+        df = materialize(df, "train-matrix")
     n, means, stds = scale_fit(df, features)
     if n == 0:
         raise ValueError("Cannot train on an empty input")
@@ -321,7 +327,7 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
     node_pdf = (sample.groupBy("tree_id").applyInPandas(_grower(k, psi, n, seed), NODE_SCHEMA)
                 .toPandas())
     model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
-    scored = _raw_scores(model, df.select(*features))
+    scored = _raw_scores(model, df)
     model.threshold = float(scored.agg(
         F.percentile_approx("anomaly_score", float(contamination), QUANTILE_ACCURACY)).first()[0])
     return model
