@@ -17,10 +17,11 @@ from flowlens.operators.exfil import detect_exfil
 from flowlens.operators.features import preprocess, select_features
 from flowlens.operators.forest import (iforest_score, iforest_train, model_load, model_save,
                                        train_or_load)
-from flowlens.operators.ics import detect_ics
+from flowlens.operators.ics import detect_ics, flt_critical
 from flowlens.operators.lateral import detect_lateral
 from flowlens.operators.stats import stats
 from flowlens.operators.summary import attack_summary, recommendations, score_counts
+from flowlens.operators.topk import topk_anomalies, topk_exfil, topk_lateral
 from flowlens.plans import sinks
 from flowlens.schema import DEFAULT_CONTAMINATION
 from flowlens.sources.flows import read_flows
@@ -67,16 +68,17 @@ def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
 
 
 def analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool = True,
-            assets: DataFrame | None = None, fmt: str = "csv", keep_intermediate: bool = False) -> dict:
+            assets: DataFrame | None = None, fmt: str = "csv", keep_intermediate: bool = False,
+            anomalies_name: str = "anomalies_detected") -> dict:
     """Score and detect (see :func:`_analyze`); intermediate tables written
     under the checkpoint folder are deleted afterwards unless
     ``keep_intermediate``."""
     with _Scratch(spark, keep_intermediate):
-        return _analyze(spark, features, model, out_dir, detailed, assets, fmt)
+        return _analyze(spark, features, model, out_dir, detailed, assets, fmt, anomalies_name)
 
 
 def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool,
-             assets: DataFrame | None, fmt: str) -> dict:
+             assets: DataFrame | None, fmt: str, anomalies_name: str) -> dict:
     """Score, write anomalies; with ``detailed`` run the three detectors and
     write their tables, the summary JSON and the recommendations.
 
@@ -89,9 +91,14 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
     """
     obs = Observation("flowlens-score-counts")
     scored = iforest_score(model, features).observe(obs, *score_counts())
-    out = {"anomalies": sinks.sink_anomalies(scored, os.path.join(out_dir, "anomalies_detected"), fmt)}
+    anomalies_path = os.path.join(out_dir, anomalies_name)
+    out = {"anomalies": sinks.sink_anomalies(scored, anomalies_path, fmt)}
     counts = obs.get
     out["score_counts"] = counts
+    # the top 10 come from the written flagged rows (a few percent), not a re-score
+    flagged = sinks.read_table(spark, anomalies_path, fmt, scored.schema)
+    top = topk_anomalies(flagged)
+    out["top_anomalies"] = sinks.write_table(top, os.path.join(out_dir, "top_anomalies"), fmt)
     if detailed:
         lateral = materialize(spark, detect_lateral(features), "lateral")
         exfil = materialize(spark, detect_exfil(features), "exfil")
@@ -99,6 +106,10 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
         out["lateral"] = sinks.sink_lateral(lateral, os.path.join(out_dir, "lateral_movement"), fmt)
         out["exfil"] = sinks.sink_exfil(exfil, os.path.join(out_dir, "data_exfiltration"), fmt)
         out["ics"] = sinks.sink_ics(findings, os.path.join(out_dir, "ics_anomalies"), fmt)
+        out["top_lateral"] = sinks.write_table(topk_lateral(lateral), os.path.join(out_dir, "top_lateral"), fmt)
+        out["top_exfil"] = sinks.write_table(topk_exfil(exfil), os.path.join(out_dir, "top_exfil"), fmt)
+        out["critical_findings"] = sinks.write_table(flt_critical(findings),
+                                                     os.path.join(out_dir, "critical_findings"), fmt)
         summary = materialize(spark, attack_summary(features, lateral, exfil, findings, counts), "summary")
         out["summary"] = sinks.sink_json_summary(summary, os.path.join(out_dir, "attack_summary"))
         out["recommendations"] = sinks.write_table(recommendations(summary),
@@ -123,7 +134,7 @@ def packet_pipeline(spark: SparkSession, capture_dir: str, model_path: str, out_
         flows = materialize(spark, read_capture_flows(spark, capture_dir), "capture-flows")
         features = preprocess(flows)
         model = train_or_load(spark, model_path, features)
-        return analyze(spark, features, model, out_dir, detailed)
+        return analyze(spark, features, model, out_dir, detailed, anomalies_name="general_anomalies")
 
 
 def convert_pipeline(spark: SparkSession, input_path: str, output_path: str) -> dict:

@@ -32,6 +32,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
+def read_table(spark, path: str, fmt: str, schema) -> DataFrame:
+    """Read a table written by :func:`write_table` back with its schema."""
+    if fmt == "csv":
+        return spark.read.schema(schema).option("header", True).csv(path)
+    if fmt == "json":
+        return spark.read.schema(schema).json(path)
+    return spark.read.parquet(path)
+
+
 def sink_anomalies(scored: DataFrame, path: str, fmt: str = "csv") -> str:
     return write_table(scored.where(F.col("is_anomaly") == 1), path, fmt)
 

@@ -76,6 +76,10 @@ def test_train_then_detect_twice(spark, csv_flows, tmp_out):
     recs = spark.read.option("header", True).csv(r["recommendations"]).count()
     assert recs >= 9
     assert len(glob.glob(os.path.join(r["anomalies"], "*.csv"))) >= 1
+    top = spark.read.option("header", True).option("inferSchema", True).csv(r["top_anomalies"]).collect()
+    assert len(top) == 10 and top[0].anomaly_score <= top[-1].anomaly_score
+    assert spark.read.option("header", True).csv(r["top_lateral"]).count() == 5
+    assert spark.read.option("header", True).csv(r["critical_findings"]).count() == 1
     # the run's intermediate tables are gone, the outputs stay
     assert not [p for p in created_tables() if p not in before]
     assert os.path.isdir(r["lateral"])
@@ -89,6 +93,7 @@ def test_packet_pipeline(spark, tmp_out):
                   "wb") as fh:
             fh.write(row.content)
     r = packet_pipeline(spark, caps, os.path.join(tmp_out, "m2"), os.path.join(tmp_out, "out2"))
+    assert r["anomalies"].endswith("general_anomalies")
     summary = spark.read.json(r["summary"]).first()
     assert summary.total_flows > 4000
     assert os.path.isdir(os.path.join(tmp_out, "m2", "nodes"))
