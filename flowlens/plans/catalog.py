@@ -517,8 +517,8 @@ ORACLE: dict[str, str] = {
     "head_findings": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings ORDER BY rule_no LIMIT 10",
     "agg_severity_counts": f"WITH {O.ICS_CTE} SELECT severity, count(*) AS n FROM findings GROUP BY severity",
     "agg_value_counts": f"""WITH {O.FLOWS_CTE} SELECT protocol, count(*) AS count FROM flows GROUP BY protocol""",
-    "join_assets": f"""WITH {O.ICS_CTE}, assets AS (SELECT DISTINCT {O.ASSET_IP} AS ip FROM supplier
-        WHERE s_nationkey % 2 = 0 AND s_suppkey % 10 <> 9),
+    "join_assets": f"""WITH {O.ICS_CTE}, assets AS (SELECT DISTINCT ip FROM (SELECT {O.ASSET_IP} AS ip
+        FROM supplier WHERE s_acctbal >= 0) a WHERE {O.private('ip')}),
         u AS (SELECT f.* FROM features f LEFT JOIN assets a ON f.src_ip = a.ip
               WHERE f.dst_port IN ({O.ICS_PORT_LIST}) AND a.ip IS NULL)
         SELECT 6 AS rule_no, 'unauthorized_access' AS type, 'critical' AS severity, count(*) AS count,

@@ -141,9 +141,11 @@ def packet_list_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assets_from_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known-asset inventory (``ip``): internal addresses of suppliers whose
-    nation key is even -- the other half of the sources count as unknown."""
+    """Known-asset inventory (``ip``): the internal address of every supplier
+    in good standing (``s_acctbal >= 0``); the others count as unknown."""
+    from flowlens.functions.ip import is_private_ip
     sup = F.col("s_suppkey")
     return (read_table(spark, sf_dir, "supplier")
-            .where((F.col("s_nationkey") % 2 == 0) & (sup % 10 != 9))
-            .select(_src_ip(sup).alias("ip")))
+            .where(F.col("s_acctbal") >= 0)
+            .select(_src_ip(sup).alias("ip"))
+            .where(is_private_ip("ip")))
