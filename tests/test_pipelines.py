@@ -111,13 +111,24 @@ def test_packet_list_missing_columns(spark):
 
 
 def test_invariance_under_partitions(spark):
+    """Same results under a row shuffle and 1 / 4 / 200 partitions."""
+    from flowlens.operators.exfil import detect_exfil
+    from flowlens.operators.features import extract_features
+    from flowlens.operators.ics import detect_ics
+
+    def run(df):
+        feats = extract_features(df)
+        return [sorted(tuple(r) for r in d.collect())
+                for d in (detect_lateral(df), detect_exfil(df), detect_ics(feats))]
+
     f = flows_from_lineitem(spark, SF_SMALL)
-    ref = sorted(tuple(r) for r in detect_lateral(f).collect())
-    for n in (1, 4, 200):
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        got = sorted(tuple(r) for r in detect_lateral(f.repartition(n).orderBy(F.rand(7))).collect())
-        assert got == ref
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    ref = run(f)
+    try:
+        for n in (1, 4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert run(f.repartition(n).orderBy(F.rand(7))) == ref
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_cli_train_detect_convert(spark, csv_flows, tmp_out):
