@@ -95,3 +95,10 @@ def weighted_sum(weights) -> Column:
         term = F.col(col) * w
         expr = term if expr is None else expr + term
     return expr
+
+
+def distinct_count(col: str, exact: bool = True, rsd: float = 0.01) -> Column:
+    """Distinct non-null values of ``col``: exact by default; with
+    ``exact=False`` a HyperLogLog++ estimate (relative sd ``rsd``), which
+    needs no row expansion, for very large inputs."""
+    return F.countDistinct(col) if exact else F.approx_count_distinct(col, rsd)

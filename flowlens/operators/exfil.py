@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from flowlens.functions.arith import BYTES_PER_MB, flag, rate
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.timefns import dt_hour, dt_weekday
-from flowlens.operators.common import (above_sigma, add_time_window, materialize, moments, weighted_sum,
-                                      with_scalars)
+from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, materialize, moments,
+                                      weighted_sum, with_scalars)
 from flowlens.operators.features import has_timestamp, night_flag, weekend_flag
 from flowlens.schema import EXFIL_COLUMNS, EXFIL_WINDOW_S, SUSPICIOUS_PROTOCOLS
 
@@ -36,7 +36,7 @@ def flt_suspicious_protocol() -> Column:
     return F.coalesce(F.col("protocol").isin(SUSPICIOUS_PROTOCOLS), F.lit(False))
 
 
-def agg_exfil(df: DataFrame, width_s: int = EXFIL_WINDOW_S) -> DataFrame:
+def agg_exfil(df: DataFrame, width_s: int = EXFIL_WINDOW_S, exact: bool = True) -> DataFrame:
     """One fused group-by on outbound flows: volume, fan-out, duration,
     night / weekend presence and suspicious-protocol count per
     (src_ip, window). Replaces three group-bys and two merges."""
@@ -53,8 +53,8 @@ def agg_exfil(df: DataFrame, width_s: int = EXFIL_WINDOW_S) -> DataFrame:
                .groupBy("src_ip", "time_window")
                .agg(F.sum("bytes").cast("long").alias("bytes_out"),
                     F.sum("packets").cast("long").alias("packets_out"),
-                    F.countDistinct("dst_ip").alias("unique_external_dsts"),
-                    F.countDistinct("dst_port").alias("unique_ports"),
+                    distinct_count("dst_ip", exact).alias("unique_external_dsts"),
+                    distinct_count("dst_port", exact).alias("unique_ports"),
                     F.sum("duration").alias("total_duration"),
                     *timing,
                     F.count_if(flt_suspicious_protocol()).cast("long").alias("suspicious_protocol_count")))
@@ -84,11 +84,11 @@ def score_exfil(groups: DataFrame) -> DataFrame:
     return g.select(*EXFIL_COLUMNS)
 
 
-def detect_exfil(df: DataFrame, materialize_groups: bool = True) -> DataFrame:
+def detect_exfil(df: DataFrame, materialize_groups: bool = True, exact: bool = True) -> DataFrame:
     """All outbound (source, window) groups with scores; flag ``is_exfiltration``.
     No outbound traffic gives an empty frame with the same schema.
     ``materialize_groups``: as in :func:`flowlens.operators.lateral.detect_lateral`."""
-    groups = agg_exfil(df)
+    groups = agg_exfil(df, exact=exact)
     if materialize_groups and not df.isStreaming:
         groups = materialize(groups, "exfil-groups")
     return score_exfil(groups)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.arith import flag
-from flowlens.operators.common import (above_sigma, add_time_window, materialize, moments, weighted_sum,
-                                      with_scalars)
+from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, materialize, moments,
+                                      weighted_sum, with_scalars)
 from flowlens.schema import LATERAL_COLUMNS, LATERAL_WINDOW_S
 
 # ---------------------------------------------------------------------------
@@ -24,7 +24,7 @@ SIGMA = 2.0
 
 
 
-def agg_lateral(df: DataFrame, width_s: int = LATERAL_WINDOW_S) -> DataFrame:
+def agg_lateral(df: DataFrame, width_s: int = LATERAL_WINDOW_S, exact: bool = True) -> DataFrame:
     """Per (src_ip, window): distinct destinations and ports, packet and byte
     sums, mean duration. NULL keys are dropped, as a group-by would."""
     w = add_time_window(df.select("timestamp", "src_ip", "dst_ip", "dst_port",
@@ -34,8 +34,8 @@ def agg_lateral(df: DataFrame, width_s: int = LATERAL_WINDOW_S) -> DataFrame:
                         width_s)
     return (w.where(F.col("src_ip").isNotNull() & F.col("time_window").isNotNull())
              .groupBy("src_ip", "time_window")
-             .agg(F.countDistinct("dst_ip").alias("unique_dsts"),
-                  F.countDistinct("dst_port").alias("unique_ports"),
+             .agg(distinct_count("dst_ip", exact).alias("unique_dsts"),
+                  distinct_count("dst_port", exact).alias("unique_ports"),
                   F.sum("packets").cast("long").alias("packets"),
                   F.sum("bytes").cast("long").alias("bytes"),
                   F.avg("duration").alias("avg_duration")))
@@ -64,7 +64,7 @@ def score_lateral(groups: DataFrame) -> DataFrame:
     return g.select(*LATERAL_COLUMNS)
 
 
-def detect_lateral(df: DataFrame, materialize_groups: bool = True) -> DataFrame:
+def detect_lateral(df: DataFrame, materialize_groups: bool = True, exact: bool = True) -> DataFrame:
     """All (source, window) groups with scores; flag ``is_lateral_movement``.
 
     The groups feed three consumers (maxima, moments, rows); with

@@ -199,3 +199,13 @@ def test_sequential_index_and_synthetic_time(spark):
     syn = synthesize_timestamp(spark.range(0, 3, numPartitions=2).withColumn("timestamp", F.lit(None)))
     got = sorted(r.timestamp for r in syn.collect())
     assert got[0] == dt.datetime(2024, 1, 1) and got[2] == dt.datetime(2024, 1, 1, 0, 2)
+
+
+def test_approx_distinct_opt_in(spark):
+    from conftest import SF_SMALL
+    from flowlens.sources.fixtures import flows_from_lineitem
+    f = flows_from_lineitem(spark, SF_SMALL)
+    exact = {(r.src_ip, r.time_window): r.unique_dsts for r in detect_lateral(f).collect()}
+    approx = {(r.src_ip, r.time_window): r.unique_dsts for r in detect_lateral(f, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    assert sum(abs(exact[k] - approx[k]) for k in exact) <= 0.02 * sum(exact.values())
