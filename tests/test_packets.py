@@ -98,3 +98,7 @@ def test_binary_file_source_and_rollup(spark, tmp_out):
     assert read_packets(spark, tmp_out).count() == 3
     got = {r.src_ip: (r.bytes, r.packets, r.duration) for r in read_capture_flows(spark, tmp_out).collect()}
     assert got == {"10.0.0.1": (100, 2, 2.5), "10.0.0.9": (99, 1, 1.0)}
+    # a single capture file by path, through the format dispatch
+    from flowlens.sources.flows import read_flows
+    one = read_flows(spark, os.path.join(tmp_out, "a.pcap")).collect()
+    assert [(r.src_ip, r.packets) for r in one] == [("10.0.0.1", 2)]
