@@ -371,12 +371,18 @@ def model_load(spark: SparkSession, path: str) -> ForestModel:
     return ForestModel(nodes=nodes, **params)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp))
+
+
 def train_or_load(spark: SparkSession, path: str, df: DataFrame, **train_kw) -> ForestModel:
     """Use the saved model at ``path`` if there is one, else train on ``df``
-    with automatic features and save it."""
-    try:
+    with automatic features and save it. A model that exists but cannot be
+    read raises instead of being silently replaced."""
+    if _exists(spark, f"{path}/params"):
         return model_load(spark, path)
-    except Exception:  # no model saved yet
-        model = iforest_train(df, **train_kw)
-        model_save(model, spark, path)
-        return model
+    model = iforest_train(df, **train_kw)
+    model_save(model, spark, path)
+    return model
