@@ -344,8 +344,9 @@ def q_agg_moments(spark, sf):
 
 
 def q_threat_counts(spark, sf):
+    from flowlens.plans.concurrent import run_detectors
     f = _features(spark, sf)
-    return threat_counts(f, lat.detect_lateral(f), ex.detect_exfil(f), ics.detect_ics(f))
+    return threat_counts(f, *run_detectors(f))
 
 
 QUERIES: dict[str, Query] = {

@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import exfil as ex
-from flowlens.operators import ics
-from flowlens.operators import lateral as lat
 from flowlens.operators.features import extract_features, select_features
 from flowlens.operators.forest import (NODE_SCHEMA, ForestModel, iforest_score, iforest_train,
                                        risk_band, score_summary)
@@ -67,9 +64,10 @@ def q_score_summary(spark, sf):
 
 
 def _summary(spark, sf):
+    from flowlens.plans.concurrent import run_detectors
     s = _scored(spark, sf)
     f = _features(spark, sf)
-    return attack_summary(s, lat.detect_lateral(f), ex.detect_exfil(f), ics.detect_ics(f))
+    return attack_summary(s, *run_detectors(f))
 
 
 def q_attack_summary(spark, sf):

@@ -23,6 +23,7 @@ from flowlens.operators.stats import stats
 from flowlens.operators.summary import attack_summary, recommendations, score_counts
 from flowlens.operators.topk import topk_anomalies, topk_exfil, topk_lateral
 from flowlens.plans import sinks
+from flowlens.plans.concurrent import run_concurrently
 from flowlens.schema import DEFAULT_CONTAMINATION
 from flowlens.sources.flows import read_flows
 from flowlens.sources.packets import read_capture_flows
@@ -92,24 +93,37 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
     obs = Observation("flowlens-score-counts")
     scored = iforest_score(model, features).observe(obs, *score_counts())
     anomalies_path = os.path.join(out_dir, anomalies_name)
-    out = {"anomalies": sinks.sink_anomalies(scored, anomalies_path, fmt)}
+
+    def write_anomalies():
+        return sinks.sink_anomalies(scored, anomalies_path, fmt)
+
+    if detailed:
+        # scoring write and the three detectors are independent jobs
+        written, lateral, exfil, findings = run_concurrently(
+            write_anomalies,
+            lambda: materialize(spark, detect_lateral(features), "lateral"),
+            lambda: materialize(spark, detect_exfil(features), "exfil"),
+            lambda: materialize(spark, detect_ics(features, assets), "findings"))
+    else:
+        written = write_anomalies()
+    out = {"anomalies": written}
     counts = obs.get
     out["score_counts"] = counts
     # the top 10 come from the written flagged rows (a few percent), not a re-score
     flagged = sinks.read_table(spark, anomalies_path, fmt, scored.schema)
-    top = topk_anomalies(flagged)
-    out["top_anomalies"] = sinks.write_table(top, os.path.join(out_dir, "top_anomalies"), fmt)
+    out["top_anomalies"] = sinks.write_table(topk_anomalies(flagged), os.path.join(out_dir, "top_anomalies"), fmt)
     if detailed:
-        lateral = materialize(spark, detect_lateral(features), "lateral")
-        exfil = materialize(spark, detect_exfil(features), "exfil")
-        findings = materialize(spark, detect_ics(features, assets), "findings")
-        out["lateral"] = sinks.sink_lateral(lateral, os.path.join(out_dir, "lateral_movement"), fmt)
-        out["exfil"] = sinks.sink_exfil(exfil, os.path.join(out_dir, "data_exfiltration"), fmt)
-        out["ics"] = sinks.sink_ics(findings, os.path.join(out_dir, "ics_anomalies"), fmt)
-        out["top_lateral"] = sinks.write_table(topk_lateral(lateral), os.path.join(out_dir, "top_lateral"), fmt)
-        out["top_exfil"] = sinks.write_table(topk_exfil(exfil), os.path.join(out_dir, "top_exfil"), fmt)
-        out["critical_findings"] = sinks.write_table(flt_critical(findings),
-                                                     os.path.join(out_dir, "critical_findings"), fmt)
+        tables = {
+            "lateral": lambda: sinks.sink_lateral(lateral, os.path.join(out_dir, "lateral_movement"), fmt),
+            "exfil": lambda: sinks.sink_exfil(exfil, os.path.join(out_dir, "data_exfiltration"), fmt),
+            "ics": lambda: sinks.sink_ics(findings, os.path.join(out_dir, "ics_anomalies"), fmt),
+            "top_lateral": lambda: sinks.write_table(topk_lateral(lateral), os.path.join(out_dir, "top_lateral"),
+                                                     fmt),
+            "top_exfil": lambda: sinks.write_table(topk_exfil(exfil), os.path.join(out_dir, "top_exfil"), fmt),
+            "critical_findings": lambda: sinks.write_table(flt_critical(findings),
+                                                           os.path.join(out_dir, "critical_findings"), fmt),
+        }
+        out.update(zip(tables, run_concurrently(*tables.values())))
         summary = materialize(spark, attack_summary(features, lateral, exfil, findings, counts), "summary")
         out["summary"] = sinks.sink_json_summary(summary, os.path.join(out_dir, "attack_summary"))
         out["recommendations"] = sinks.write_table(recommendations(summary),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC wall clock for windows, ANSI on (the
 # operators use try_* functions where pandas would yield inf/NaN), AQE for
 # runtime coalescing, skew splitting and broadcast conversion.
+_CKPT_LOCK = threading.Lock()
+
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -54,14 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     registered, so executors never write to a machine-local path on a cluster.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    with _CKPT_LOCK:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        path = sc.getConf().get("spark.checkpoint.dir", None)
+        if not path:
+            path = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        sc.setCheckpointDir(path)
+        return sc.getCheckpointDir() or path
 
 
 def cluster_conf(input_bytes: int, total_cores: int, split_bytes: int = 256 * 1024 * 1024,
