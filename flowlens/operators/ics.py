@@ -273,13 +273,14 @@ def ics_unusual_ports(df: DataFrame) -> DataFrame:
 def ics_rules(df: DataFrame, assets: DataFrame | None = None,
               materialize_base: bool = True) -> list[DataFrame]:
     """The seven rule frames (0 or 1 row each), in rule order, all derived
-    from :func:`ics_base`. The base and the per-source table (read by four
-    rules) are written once unless ``materialize_base`` is False."""
+    from :func:`ics_base`, which is written once unless ``materialize_base``
+    is False."""
     base = ics_base(df)
-    per_src = _per_source(base, assets)
     if materialize_base and not df.isStreaming:
         base = materialize(base, "ics-base")
-        per_src = materialize(_per_source(base, assets), "ics-sources")
+    # read twice (totals, diversity); cheaper from the compact base than a
+    # second written table
+    per_src = _per_source(base, assets)
     tot = _source_totals(per_src)
     unusual = tot.where(F.col("n_ics") > 0)
     out = []
