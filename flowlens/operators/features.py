@@ -131,18 +131,16 @@ def extract_features(df: DataFrame) -> DataFrame:
     """All 14 derived columns, in the reference's order."""
     df = default_protocol(df)
     t = has_timestamp(df)
-    hour = dt_hour("timestamp") if t else None
-    dow = dt_weekday("timestamp") if t else None
     out = df.withColumns({
         "is_ics_protocol": feat_is_ics(),
         "ics_protocol": feat_ics_protocol(),
         "bytes_per_packet": feat_bytes_per_packet(),
         "packets_per_second": feat_packets_per_second(),
         "bytes_per_second": feat_bytes_per_second(),
-        "hour": hour if t else F.lit(NO_TIME_HOUR),
-        "day_of_week": dow if t else F.lit(NO_TIME_DAY_OF_WEEK),
-        "is_night": night_flag(hour) if t else F.lit(0),
-        "is_weekend": weekend_flag(dow) if t else F.lit(0),
+        "hour": feat_hour(t),
+        "day_of_week": feat_day_of_week(t),
+        "is_night": feat_is_night(t),
+        "is_weekend": feat_is_weekend(t),
         "is_high_port": feat_is_high_port(),
         "is_well_known": feat_is_well_known(),
         "is_tcp": feat_is_tcp(),

@@ -407,10 +407,6 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _feat_out_cols() -> str:
-    return O.FEATURE_OUT
-
-
 ORACLE: dict[str, str] = {
     "extract_features": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
     "preprocess": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",

@@ -209,3 +209,22 @@ def test_approx_distinct_opt_in(spark):
     approx = {(r.src_ip, r.time_window): r.unique_dsts for r in detect_lateral(f, exact=False).collect()}
     assert exact.keys() == approx.keys()
     assert sum(abs(exact[k] - approx[k]) for k in exact) <= 0.02 * sum(exact.values())
+
+
+def test_literal_unauthorized_rule_fires_with_supplied_flag(spark):
+    """D5: the literal rule needs a caller-supplied is_ics_protocol = 0 on an ICS port."""
+    from flowlens.operators.ics import flt_unauthorized
+    rows = [row(src="10.0.0.1", dport=502), row(src="10.0.0.2", dport=502), row(src="10.0.0.3", dport=102)]
+    f = preprocess(flows(spark, rows)).withColumn(
+        "is_ics_protocol", F.when(F.col("src_ip") == "10.0.0.2", F.lit(0)).otherwise(F.col("is_ics_protocol")))
+    assert f.where(flt_unauthorized()).count() == 1
+    found = {r.type: r for r in detect_ics(f).collect()}
+    u = found["unauthorized_access"]
+    assert (u["count"], u.affected_devices, u.accessed_ports, u.risk_score) == (1, 1, [502], 4)
+
+
+def test_cluster_conf_sizes():
+    from flowlens.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 52428
+    assert int(cluster_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
