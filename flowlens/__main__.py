@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
-from flowlens.schema import DEFAULT_CONTAMINATION
+if __package__ in (None, ""):  # run as a file (spark-submit flowlens/__main__.py)
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from flowlens.schema import DEFAULT_CONTAMINATION  # noqa: E402
 
 
 def build_parser() -> argparse.ArgumentParser:
