@@ -228,3 +228,29 @@ def test_cluster_conf_sizes():
     c = cluster_conf(100 * 1024 ** 4, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 52428
     assert int(cluster_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_packet_list_aliases_and_defaults(spark):
+    from flowlens.sources.packet_list import convert_packet_list
+    lower = spark.createDataFrame([("1.5", "10.0.0.1", "10.0.0.2", "UDP", "60", "5353 → 53")],
+                                  "time string, src string, dst string, protocol string, length string, info string")
+    r = convert_packet_list(lower).first()
+    assert (r.timestamp, r.src_ip, r.dst_ip, r.protocol, r.bytes, r.src_port, r.dst_port) == \
+        ("1.5", "10.0.0.1", "10.0.0.2", "UDP", 60, 5353, 53)   # time copied as is (parsed by preprocess)
+    bare = spark.createDataFrame([("2", "10.0.0.1", "10.0.0.2")], "Time string, Source string, Destination string")
+    r = convert_packet_list(bare).first()
+    assert (r.protocol, r.bytes, r.src_port, r.dst_port, r.packets, r.duration) == ("TCP", 1000, 0, 0, 1, 0.1)
+
+
+def test_summary_json_keys(spark):
+    from flowlens.operators.summary import attack_summary, recommendations
+    from flowlens.schema import EXFIL_COLUMNS
+    f = preprocess(flows(spark, [row(), row(src="10.0.0.9", dport=502)]))
+    scored = f.withColumn("anomaly_score", F.lit(-0.6)).withColumn("is_anomaly", F.lit(1))
+    s = attack_summary(scored, detect_lateral(f), detect_exfil(f), detect_ics(f)).first()
+    assert (s.total_flows, s.total_anomalies, s.anomaly_rate, s.rate_band, s.small_input) == (2, 2, 100.0, "high", True)
+    assert s.risk_levels.high == 2 and s.threats.lateral_movement == 0
+    recs = [r.text for r in recommendations(attack_summary(scored, detect_lateral(f), detect_exfil(f),
+                                                           detect_ics(f))).collect()]
+    assert recs[-1].startswith("4. Review 2 high-risk")
+    assert len(EXFIL_COLUMNS) == 21
