@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.schema import FLOW_RAW_SCHEMA
 from flowlens.sources.parallelism import spread_small_input
@@ -29,17 +31,33 @@ def detect_format(path: str) -> str:
                      "or pass fmt=")
 
 
-def read_csv_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA) -> DataFrame:
-    """Header CSV with a declared schema (timestamp kept as text, parsed later).
-
-    Columns are matched by header name, so extra or reordered columns are fine
-    when ``schema`` is None (then every column is read as string and cast by
-    the preprocessing step).
-    """
+def cast_flow_columns(df: DataFrame) -> DataFrame:
+    """Cast the known flow columns of a text table by name (extra columns pass
+    through as text; the timestamp stays text for ``normalize_timestamp``).
+    Integers parse exactly, or from decimal text such as ``"12.0"``;
+    unparseable values become NULL."""
+    types = {f.name: f.dataType for f in FLOW_RAW_SCHEMA.fields}
+    cols = []
+    for c in df.columns:
+        t = types.get(c)
+        col = F.col(f"`{c}`")
+        if t is None or isinstance(t, T.StringType):
+            cols.append(col)
+        elif isinstance(t, T.LongType):
+            cols.append(F.coalesce(col.try_cast("long"), col.try_cast("double").try_cast("long")).alias(c))
+        else:
+            cols.append(col.try_cast(t).alias(c))
+    return df.select(*cols)
+
+
+def read_csv_flows(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Header CSV. Columns are matched by header name, in any order, and
+    extra columns are kept (:func:`cast_flow_columns`); pass ``schema`` to
+    read positionally with a declared schema instead."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
-    return reader.csv(path)
+        return reader.schema(schema).csv(path)
+    return cast_flow_columns(reader.csv(path))
 
 
 def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA,

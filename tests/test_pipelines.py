@@ -142,3 +142,20 @@ def test_cli_train_detect_convert(spark, csv_flows, tmp_out):
     packet_list_from_lineitem(spark, SF_SMALL).coalesce(1).write.option("header", True).csv(pl)
     conv = main(["convert", "--input", pl, "--output", os.path.join(tmp_out, "conv")])
     assert conv["summary"]["unique_sources"] == 10
+
+
+def test_csv_columns_by_name(spark, tmp_out):
+    p = os.path.join(tmp_out, "reordered.csv")
+    with open(p, "w") as fh:
+        fh.write("dst_ip,label,bytes,src_ip,timestamp,protocol,dst_port,packets,duration,src_port\n")
+        fh.write("8.8.8.8,x,12.0,10.0.0.1,1704103200,TCP,443,3,1.5,5555\n")
+        fh.write("8.8.4.4,y,bad,10.0.0.2,1704103260,UDP,53,1,0.5,5556\n")
+    df = read_flows(spark, p)
+    rows = {r.src_ip: r for r in df.collect()}
+    a = rows["10.0.0.1"]
+    assert (a.dst_ip, a.bytes, a.dst_port, a.packets, a.duration, a.src_port, a.label) == \
+        ("8.8.8.8", 12, 443, 3, 1.5, 5555, "x")
+    assert rows["10.0.0.2"].bytes is None
+    from flowlens.operators.features import preprocess
+    f = preprocess(df)
+    assert f.where("src_ip = '10.0.0.2'").first().bytes == 0
