@@ -62,7 +62,11 @@ def read_csv_flows(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA,
                     multiline: bool | None = None) -> DataFrame:
-    """JSON records: one object per line, or (``multiline``) one array document."""
+    """JSON records: one object per line, or (``multiline``) one array document.
+
+    Fields are matched by name against the declared flow schema (no
+    inference pass over the data); fields outside it are dropped unless
+    ``schema`` lists them, or ``schema=None`` asks Spark to infer one."""
     if multiline is None:
         multiline = _looks_like_array(path)
     reader = spark.read.option("multiLine", multiline)
