@@ -58,3 +58,16 @@ def test_only_one_row_aggregates_are_broadcast(spark, stored):
     for m in re.finditer(r"ResolvedHint \(strategy=broadcast\)\n\s*\+- Aggregate \[([^\]]*)\]", p):
         assert m.group(1).strip() == ""
     assert "strategy=broadcast" in p
+
+
+def exchanges(df) -> list:
+    return [ln for ln in plan(df).splitlines() if "Exchange hashpartitioning" in ln]
+
+
+def test_shuffle_counts_match_the_readme(stored):
+    from flowlens.operators.flows_rollup import agg_flows
+    lat = exchanges(agg_lateral(stored))
+    assert len(lat) == 2 and "gid" in lat[1]            # (src, window, value, gid) then (src, window)
+    assert len(exchanges(agg_exfil(stored))) == 2
+    assert len(exchanges(ics_base(extract_features(stored)))) == 1
+    assert len(exchanges(agg_flows(stored))) == 1
