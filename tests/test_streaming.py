@@ -34,3 +34,18 @@ def test_stream_batches_match_batch_detection(spark, tmp_out):
         s = spark.read.json(os.path.join(out, b, "attack_summary")).first()
         total += s.total_flows
     assert total == 6000
+
+
+def test_csv_stream_reads_declared_schema(spark, tmp_out):
+    land = os.path.join(tmp_out, "csv-landing")
+    os.makedirs(land)
+    with open(os.path.join(land, "a.csv"), "w") as fh:
+        fh.write("timestamp,src_ip,dst_ip,src_port,dst_port,protocol,bytes,packets,duration\n")
+        fh.write("1704103200,10.0.0.1,8.8.8.8,1234,443,TCP,100,2,1.0\n")
+    stream = read_flow_stream(spark, land, "csv")
+    assert stream.isStreaming and stream.schema["bytes"].dataType.simpleString() == "bigint"
+    q = (stream.writeStream.format("memory").queryName("csv_stream_t")
+         .option("checkpointLocation", os.path.join(tmp_out, "csv-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    rows = spark.sql("SELECT * FROM csv_stream_t").collect()
+    assert len(rows) == 1 and rows[0].bytes == 100 and rows[0].timestamp == "1704103200"
