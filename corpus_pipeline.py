@@ -1,4 +1,9 @@
-"""Corpus preparation: the training-data operators chained over ``documents``."""
+"""Corpus preparation: five training-data operators chained over ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. All but the last return the columns of ``documents``. ``doc_id``
+identifies a document; rows with a NULL doc_id share one fate.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +11,62 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowlens.llm.bestfit_packing import pack_documents
 from flowlens.llm.minmax_dedup import near_duplicates
+from flowlens.llm.paragraph_dedup import repeated_paragraphs, without_paragraphs
+from flowlens.llm.string_tiling import contaminated_pairs
+from flowlens.llm.subword_classifier import THRESHOLD, score_column, train
 from flowlens.session import checkpoint_dir
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below its threshold go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(score_column(spark, model, F.col("text")) >= THRESHOLD)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays (five-word shingles, 0.8)."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rows = near_duplicates(docs.select("doc_id", "text"))
+    return _without(docs, rows.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
+
+
+def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-equal paragraphs of 50 words the first one stays; the others are
+    cut from their texts (n_chars follows)."""
+    repeats = repeated_paragraphs(docs.select("doc_id", "text"))
+    out = without_paragraphs(docs, repeats.where("not kept").select("doc_id", "paragraph"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
+        if "n_chars" in docs.columns else out
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item's words in tiles go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, contaminated_pairs(docs.select("doc_id", "text"), benchmark))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences of 2048 tokens."""
+    return pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [
+    ("quality classifier", keep_good_quality),
     ("minhash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_paragraphs),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None      # trained scores, tiling and packing are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
