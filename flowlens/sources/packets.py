@@ -3,8 +3,13 @@
 ``spark.read.format("binaryFile")`` lists the capture files; one file is one
 row and is decoded inside ``mapInPandas``, so the work spreads over tasks by
 file (roll large captures into many files: a single file is not splittable
-and a binary row is limited to 2 GB). Only record boundaries are walked in
-Python; all header fields are then read with NumPy gathers.
+and a binary row is limited to 2 GB; a larger file raises). Only record
+boundaries are walked in Python; all header fields are then read with NumPy
+gathers, ``CHUNK_PACKETS`` packets at a time.
+
+Files may be gzip-compressed. A file that is no capture raises by default; a
+file that ends or breaks in the middle gives the packets before the fault.
+:func:`capture_status` reports every file: packets, bytes used, error.
 
 Kept: IPv4 packets (Ethernet with up to two VLAN tags, raw IP, Linux cooked
 v1/v2, BSD loopback). Ports are 0 when absent (ICMP, non-first fragments,
@@ -14,7 +19,9 @@ truncated headers). Protocol label: TCP, UDP, ICMP, else ``IP_<n>``.
 
 from __future__ import annotations
 
+import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,41 +42,64 @@ LINK_NULL, LINK_ETHERNET, LINK_RAW, LINK_SLL, LINK_IPV4, LINK_SLL2 = 0, 1, 101,
 ETHERTYPE_IPV4, ETHERTYPE_VLAN, ETHERTYPE_QINQ = 0x0800, 0x8100, 0x88A8
 PROTO_ICMP, PROTO_TCP, PROTO_UDP = 1, 6, 17
 
+CHUNK_PACKETS = 100_000
+MAX_FILE_BYTES = (1 << 31) - 1      # of a binary row
+STATUS_SCHEMA = "path string, packets long, bytes_used long, bytes_total long, error string"
+
 PACKET_COLUMNS = [f.name for f in PACKET_SCHEMA.fields]
 
 
 # --- record walking (returns per-record arrays) ---------------------------
 
-def _walk_pcap(buf: bytes):
+class _Records:
+    """Record boundaries of a capture as they are found: packets keep what was
+    read before a fault; ``used`` bytes were understood, ``error`` says why
+    the walk ended early (None at the end of the file)."""
+
+    def __init__(self):
+        self.starts, self.caps, self.origs, self.ts, self.links, self.has_ts = [], [], [], [], [], []
+        self.used, self.error = 0, None
+
+    def add(self, start, cap, orig, ts, link, has_ts=True):
+        for column, value in zip((self.starts, self.caps, self.origs, self.ts, self.links, self.has_ts),
+                                 (start, cap, orig, ts, link, has_ts)):
+            column.append(value)
+
+    def arrays(self, lo: int, hi: int):
+        ints = [np.array(c[lo:hi], dtype=np.int64) for c in
+                (self.starts, self.caps, self.origs, self.ts, self.links)]
+        return *ints, np.array(self.has_ts[lo:hi], dtype=bool)
+
+
+def _walk_pcap(buf: bytes, out: _Records) -> None:
     magic = struct.unpack_from("<I", buf, 0)[0]
     endian, to_ns = PCAP_MAGIC[magic]
     link = struct.unpack_from(endian + "I", buf, 20)[0] & 0x0FFFFFFF
     hdr = struct.Struct(endian + "IIII")
     off, n = 24, len(buf)
-    starts, caps, origs, ts = [], [], [], []
-    while off + 16 <= n:
+    out.used = off
+    while off < n:
+        if off + 16 > n:
+            out.error = f"record header cut off at byte {off}"
+            return
         sec, frac, incl, orig = hdr.unpack_from(buf, off)
-        off += 16
-        if off + incl > n:
-            break
-        starts.append(off)
-        caps.append(incl)
-        origs.append(orig)
-        ts.append(sec * 1_000_000_000 + frac * to_ns)
-        off += incl
-    k = len(starts)
-    return (np.array(starts, dtype=np.int64), np.array(caps, dtype=np.int64),
-            np.array(origs, dtype=np.int64), np.array(ts, dtype=np.int64),
-            np.full(k, link, dtype=np.int64), np.ones(k, dtype=bool))
-
-
-def _walk_pcapng(buf: bytes):
+        if off + 16 + incl > n:
+            out.error = f"record at byte {off} is longer than the file"
+            return
+        out.add(off + 16, incl, orig, sec * 1_000_000_000 + frac * to_ns, link)
+        off += 16 + incl
+        out.used = off
+
+
+def _walk_pcapng(buf: bytes, out: _Records) -> None:
     n = len(buf)
     off = 0
     endian = "<"
     links, tsres = [], []          # per interface of the current section
-    starts, caps, origs, ts, lk, has_ts = [], [], [], [], [], []
-    while off + 12 <= n:
+    while off < n:
+        if off + 12 > n:
+            out.error = f"block cut off at byte {off}"
+            return
         btype_le = struct.unpack_from("<I", buf, off)[0]
         if btype_le == PCAPNG_SHB:
             bom = struct.unpack_from("<I", buf, off + 8)[0]
@@ -77,7 +107,8 @@ def _walk_pcapng(buf: bytes):
             links, tsres = [], []
         btype, blen = struct.unpack_from(endian + "II", buf, off)
         if blen < 12 or off + blen > n:
-            break
+            out.error = f"block at byte {off} has length {blen}"
+            return
         body = off + 8
         if btype == 1:                                   # interface description
             link = struct.unpack_from(endian + "H", buf, body)[0]
@@ -95,26 +126,54 @@ def _walk_pcapng(buf: bytes):
             tsres.append(res)
         elif btype == 6:                                 # enhanced packet
             iface, hi, lo, incl, orig = struct.unpack_from(endian + "IIIII", buf, body)
+            if incl > blen - 32:
+                out.error = f"packet in the block at byte {off} is longer than the block"
+                return
             if iface < len(links):
-                starts.append(body + 20)
-                caps.append(incl)
-                origs.append(orig)
-                ts.append(int(((hi << 32) | lo) * tsres[iface]))
-                lk.append(links[iface])
-                has_ts.append(True)
+                out.add(body + 20, incl, orig, int(((hi << 32) | lo) * tsres[iface]), links[iface])
         elif btype == 3:                                 # simple packet (no time)
             orig = struct.unpack_from(endian + "I", buf, body)[0]
             if links:
-                starts.append(body + 4)
-                caps.append(min(orig, blen - 16))
-                origs.append(orig)
-                ts.append(0)
-                lk.append(links[0])
-                has_ts.append(False)
+                out.add(body + 4, min(orig, blen - 16), orig, 0, links[0], False)
         off += blen
-    return (np.array(starts, dtype=np.int64), np.array(caps, dtype=np.int64),
-            np.array(origs, dtype=np.int64), np.array(ts, dtype=np.int64),
-            np.array(lk, dtype=np.int64), np.array(has_ts, dtype=bool))
+        out.used = off
+
+
+def plain_bytes(buf: bytes) -> tuple[bytes, str | None]:
+    """The bytes of a possibly gzip-compressed file, as far as they go, and the fault."""
+    if buf[:2] != b"\x1f\x8b":
+        return buf, None
+    try:
+        return gzip.decompress(buf), None
+    except (OSError, EOFError, zlib.error) as e:
+        parts, rest = [], buf
+        try:
+            while rest:
+                d = zlib.decompressobj(31)
+                parts.append(d.decompress(rest))
+                rest = d.unused_data
+        except zlib.error:
+            pass
+        return b"".join(parts), f"gzip: {e}"
+
+
+def walk_capture(buf: bytes) -> _Records:
+    """Record boundaries of a capture's (uncompressed) bytes. ``error`` starts
+    with ``unknown`` for a file that is no capture."""
+    out = _Records()
+    magic = struct.unpack_from("<I", buf, 0)[0] if len(buf) >= 4 else None
+    try:
+        if magic in PCAP_MAGIC and len(buf) >= 24:
+            _walk_pcap(buf, out)
+        elif magic == PCAPNG_SHB:
+            _walk_pcapng(buf, out)
+        elif len(buf) == 0:
+            out.error = "empty file"
+        else:
+            out.error = f"unknown magic number {buf[:4].hex()}"
+    except struct.error as e:
+        out.error = f"damaged after byte {out.used}: {e}"
+    return out
 
 
 # --- vectorised header decoding -----------------------------------------------
@@ -133,23 +192,24 @@ def _ip_text(a: np.ndarray, idx: np.ndarray) -> pd.Series:
 
 
 def decode_capture(buf: bytes) -> pd.DataFrame:
-    """Packet rows (PACKET schema) of one capture file's bytes; an unknown or
-    damaged file gives no rows (bad packets are skipped, as a dissector would)."""
-    empty = pd.DataFrame({c: pd.Series(dtype="object") for c in PACKET_COLUMNS})
-    if len(buf) < 24:
-        return empty
-    magic = struct.unpack_from("<I", buf, 0)[0]
-    try:
-        if magic in PCAP_MAGIC:
-            starts, caps, origs, ts, link, has_ts = _walk_pcap(buf)
-        elif magic == PCAPNG_SHB:
-            starts, caps, origs, ts, link, has_ts = _walk_pcapng(buf)
-        else:
-            return empty
-    except struct.error:
-        return empty
-    if len(starts) == 0:
-        return empty
+    """Packet rows (PACKET schema) of one capture file's bytes: the packets
+    before a fault; a file that is no capture gives no rows (see
+    :func:`walk_capture` for the reason)."""
+    buf, _ = plain_bytes(buf)
+    records = walk_capture(buf)
+    chunks = list(_decoded(buf, records))
+    return pd.concat(chunks, ignore_index=True) if chunks else \
+        pd.DataFrame({c: pd.Series(dtype="object") for c in PACKET_COLUMNS})
+
+
+def _decoded(buf: bytes, records: _Records) -> Iterator[pd.DataFrame]:
+    for lo in range(0, len(records.starts), CHUNK_PACKETS):
+        out = _decode_packets(buf, *records.arrays(lo, lo + CHUNK_PACKETS))
+        if len(out):
+            yield out
+
+
+def _decode_packets(buf: bytes, starts, caps, origs, ts, link, has_ts) -> pd.DataFrame:
     a = np.frombuffer(buf, dtype=np.uint8)
     l2 = np.full(len(starts), -1, dtype=np.int64)
     # Ethernet (+ up to two VLAN tags)
@@ -203,84 +263,55 @@ def decode_capture(buf: bytes) -> pd.DataFrame:
     })
 
 
-def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for content in pdf["content"]:
-            out = decode_capture(bytes(content))
-            if len(out):
-                yield out
+def _decoder(strict: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            paths = pdf["path"] if "path" in pdf else [None] * len(pdf)
+            for path, content in zip(paths, pdf["content"]):
+                buf, _ = plain_bytes(bytes(content))
+                records = walk_capture(buf)
+                if strict and (records.error or "").startswith("unknown"):
+                    raise ValueError(f"{path or 'capture'}: {records.error}")
+                yield from _decoded(buf, records)
+    return run
 
 
-def decode_binary(files: DataFrame) -> DataFrame:
-    """Binary rows (column ``content``) to packet rows, one task per file batch."""
-    return files.select("content").mapInPandas(_decode_batches, PACKET_SCHEMA)
+def decode_binary(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Binary rows (column ``content``, optionally ``path``) to packet rows, one
+    task per file batch. ``strict`` raises on a file that is no capture."""
+    cols = ["path", "content"] if "path" in files.columns else ["content"]
+    return files.select(*cols).mapInPandas(_decoder(strict), PACKET_SCHEMA)
 
 
-def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
-    """Packet rows of every capture file under ``path``."""
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", True).load(path))
-    return decode_binary(files)
+    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", "length").first()
+    if large:
+        raise ValueError(f"{large['path']} has {large['length']} bytes; roll captures into files under 2 GB")
+    return files
+
 
+def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*", strict: bool = True) -> DataFrame:
+    """Packet rows of every capture file under ``path``; see :func:`decode_binary`."""
+    return decode_binary(_files(spark, path, glob), strict)
 
-def read_capture_flows(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
+
+def capture_status(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
+    """One row per file under ``path``: path, packets, bytes_used, bytes_total
+    (uncompressed), error (NULL for a whole capture)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                buf, fault = plain_bytes(bytes(content))
+                records = walk_capture(buf)
+                rows.append((p, len(records.starts), records.used, len(buf), records.error or fault))
+            yield pd.DataFrame(rows, columns=["path", "packets", "bytes_used", "bytes_total", "error"])
+    return _files(spark, path, glob).select("path", "content").mapInPandas(run, STATUS_SCHEMA)
+
+
+def read_capture_flows(spark: SparkSession, path: str, glob: str = "*.pcap*", strict: bool = True) -> DataFrame:
     """Capture files rolled up into flows by 5-tuple."""
     from flowlens.operators.flows_rollup import agg_flows
-    return agg_flows(read_packets(spark, path, glob))
-
-
-# --- encoder used to build capture fixtures from tables ----------------------
-
-def _put(buf: np.ndarray, off: np.ndarray, value: np.ndarray, width: int, big: bool) -> None:
-    for k in range(width):
-        shift = 8 * (width - 1 - k) if big else 8 * k
-        buf[off + k] = (value >> shift) & 0xFF
-
-
-def encode_pcap(pdf: pd.DataFrame) -> bytes:
-    """Little-endian microsecond pcap of Ethernet/IPv4 frames (TCP or UDP
-    header with the rows' ports, else an 8-byte stub) carrying the rows'
-    addresses, protocol, time (``ts_us``) and wire length (``bytes``).
-    Built with NumPy scatters, no per-row Python."""
-    n = len(pdf)
-    name = pdf["protocol"].to_numpy()
-    proto = np.select([name == "TCP", name == "UDP", name == "ICMP"],
-                      [PROTO_TCP, PROTO_UDP, PROTO_ICMP], 47).astype(np.int64)
-    l4 = np.where((proto == PROTO_TCP) | (proto == PROTO_UDP), 20, 8).astype(np.int64)
-    frame = 14 + 20 + l4
-    rec = 16 + frame
-    off = 24 + np.concatenate([[0], np.cumsum(rec)[:-1]]).astype(np.int64)
-    buf = np.zeros(24 + int(rec.sum()), dtype=np.uint8)
-    buf[:24] = np.frombuffer(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, LINK_ETHERNET),
-                             dtype=np.uint8)
-    ts = pdf["ts_us"].to_numpy().astype(np.int64)
-    _put(buf, off, ts // 1_000_000, 4, False)
-    _put(buf, off + 4, ts % 1_000_000, 4, False)
-    _put(buf, off + 8, frame, 4, False)
-    _put(buf, off + 12, pdf["bytes"].to_numpy().astype(np.int64), 4, False)
-    eth = off + 16
-    _put(buf, eth + 12, np.full(n, ETHERTYPE_IPV4), 2, True)
-    ip = eth + 14
-    buf[ip] = 0x45
-    _put(buf, ip + 2, 20 + l4, 2, True)
-    buf[ip + 8] = 64
-    buf[ip + 9] = proto.astype(np.uint8)
-    for col, at in (("src_ip", 12), ("dst_ip", 16)):
-        octets = pdf[col].str.split(".", expand=True).astype(np.int64).to_numpy()
-        for k in range(4):
-            buf[ip + at + k] = octets[:, k].astype(np.uint8)
-    ports = l4 == 20
-    _put(buf, (ip + 20)[ports], pdf["src_port"].to_numpy().astype(np.int64)[ports], 2, True)
-    _put(buf, (ip + 22)[ports], pdf["dst_port"].to_numpy().astype(np.int64)[ports], 2, True)
-    return buf.tobytes()
-
-
-def packets_to_captures(packets: DataFrame) -> DataFrame:
-    """One pcap file (``content``) per partition of a packet table."""
-    def enc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"content": [encode_pcap(pdf)]})
-    cols = packets.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes",
-                          F.unix_micros("timestamp").alias("ts_us"))
-    return cols.mapInPandas(enc, "content binary")
+    return agg_flows(read_packets(spark, path, glob, strict))
