@@ -36,32 +36,39 @@ def normalize_timestamp(df: DataFrame, col: str = "timestamp", unit: str = "auto
     return df.withColumn(col, parse_timestamp(col, unit=unit, numeric=numeric))
 
 
-def sequential_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Number rows 0..n-1 in their current order without a single-partition sort.
+def _number_or_text(col: str) -> list:
+    """Sort keys of a column that may be text: numeric values first, by value."""
+    c = F.col(f"`{col}`")
+    return [c.try_cast("double").asc_nulls_last(), c.cast("string").asc_nulls_last()]
 
-    Per-partition counts (one row per partition) give each partition its
-    offset; rows keep their in-partition position from
-    ``monotonically_increasing_id``. The offsets table is one row per input
-    partition, a bounded size, so it is broadcast.
+
+def sequential_index(df: DataFrame, name: str = "row_index", order_by: str | None = None) -> DataFrame:
+    """Number rows 0..n-1 in their current order, or by ``order_by`` (numbers by
+    value, also as text), without a single-partition sort.
+
+    The rows are stored once with their partition number and their position
+    in it, so every consumer sees the same numbering. Per-partition counts
+    (one row per partition, a bounded size) give the offsets.
     """
-    tagged = (df.withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    from flowlens.operators.common import materialize
+    ordered = df.orderBy(*_number_or_text(order_by)) if order_by else df
+    tagged = materialize(
+        ordered.withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)),
+        "numbered")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid", "left")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + pos)
-               .drop("_pid", "_mid", "_off"))
+    return out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_pos")).drop("_pid", "_pos", "_off")
 
 
-def synthesize_timestamp(df: DataFrame, col: str = "timestamp") -> DataFrame:
-    """Opt-in: replace ``col`` by 2024-01-01 plus one minute per row, in the
-    order of the input partitions (read with ``read_flows(..., spread=False)``
-    to keep the file order)."""
-    idx = sequential_index(df, "_seq")
+def synthesize_timestamp(df: DataFrame, col: str = "timestamp", order_by: str | None = None) -> DataFrame:
+    """Opt-in: replace ``col`` by 2024-01-01 plus one minute per row, in file
+    order or in that of ``order_by``."""
+    idx = sequential_index(df, "_seq", order_by)
     return (idx.withColumn(col, F.to_timestamp(F.lit(SYNTHETIC_START))
                            + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_seq").cast("int")))
                .drop("_seq"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.sources.parallelism import spread_small_input
+from flowlens.sources.parallelism import spread
 
 EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -55,7 +55,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(read_table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLS))
+    return spread(read_table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLS))
 
 
 def _src_ip(sup: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.schema import FLOW_RAW_SCHEMA
-from flowlens.sources.parallelism import spread_small_input
+from flowlens.sources.parallelism import spread
 
 _BY_EXTENSION = {
     ".parquet": "parquet",
@@ -18,6 +16,7 @@ _BY_EXTENSION = {
     ".pcap": "pcap",
     ".pcapng": "pcap",
 }
+_JSON_SPACE = (0x20, 0x09, 0x0A, 0x0D, 0xEF, 0xBB, 0xBF)   # white space and a byte-order mark
 SUPPORTED = sorted(set(_BY_EXTENSION.values()))
 
 
@@ -68,43 +67,59 @@ def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA,
     inference pass over the data); fields outside it are dropped unless
     ``schema`` lists them, or ``schema=None`` asks Spark to infer one."""
     if multiline is None:
-        multiline = _looks_like_array(path)
+        multiline = _looks_like_array(spark, path)
     reader = spark.read.option("multiLine", multiline)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
 
 
-def _looks_like_array(path: str) -> bool:
-    """Peek at a local file: a JSON array document starts with '['."""
-    try:
-        if os.path.isfile(path):
-            with open(path, "rb") as fh:
-                head = fh.read(64).lstrip()
-                return head.startswith(b"[")
-    except OSError:
-        pass
+def _looks_like_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first data file at ``path`` (a file, folder or glob on any
+    Hadoop file system, possibly compressed) starts with ``[``; reads its first
+    non-blank byte."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    todo = [s for s in (fs.globStatus(root) or [])]
+    while todo:
+        status = todo.pop(0)
+        p = status.getPath()
+        if p.getName().startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            todo = [s for s in fs.listStatus(p)] + todo
+            continue
+        stream = fs.open(p)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+        stream = codec.createInputStream(stream) if codec is not None else stream
+        try:
+            byte = stream.read()
+            while byte in _JSON_SPACE:
+                byte = stream.read()
+        finally:
+            stream.close()
+        if byte >= 0:
+            return byte == ord("[")
     return False
 
 
-def read_flows(spark: SparkSession, path: str, fmt: str | None = None, spread: bool = True,
+def read_flows(spark: SparkSession, path: str, fmt: str | None = None, partitions: int | None = None,
                **options) -> DataFrame:
     """Load a flow table; the reader is chosen by extension unless ``fmt`` is given.
 
     Unknown formats raise ``ValueError``. Capture files (``pcap``) are decoded
     and rolled up into flows by :func:`flowlens.sources.packets.read_capture_flows`.
-    ``spread`` lets a small input use every core (see
-    :mod:`flowlens.sources.parallelism`); pass False to keep the file order
-    (needed by ``synthesize_timestamp``).
+    ``partitions`` spreads an input of too few splits over the cores (see
+    :mod:`flowlens.sources.parallelism`); by default the file order is kept.
     """
     fmt = (fmt or detect_format(path)).lower()
-    keep = (lambda d: spread_small_input(d)) if spread else (lambda d: d)
     if fmt == "parquet":
-        return keep(spark.read.parquet(path))
+        return spread(spark.read.parquet(path), partitions)
     if fmt == "csv":
-        return keep(read_csv_flows(spark, path, **options))
+        return spread(read_csv_flows(spark, path, **options), partitions)
     if fmt == "json":
-        return keep(read_json_flows(spark, path, **options))
+        return spread(read_json_flows(spark, path, **options), partitions)
     if fmt == "pcap":
         from flowlens.sources.packets import read_capture_flows
         return read_capture_flows(spark, path, **options)

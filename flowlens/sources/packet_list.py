@@ -51,8 +51,7 @@ def convert_packet_list(df: DataFrame, order_by: str | None = None,
     if time is None:
         # Rows are numbered 0..n-1 in file order (distributed numbering).
         from flowlens.operators.timestamps import sequential_index
-        df = (df.orderBy(order_by) if order_by else df)
-        df = sequential_index(df, "_row")
+        df = sequential_index(df, "_row", order_by)
         time = F.col("_row").cast("double")
     elif base_time is not None:
         time = time.try_cast("double") + F.lit(float(base_time))

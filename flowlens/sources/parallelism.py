@@ -1,12 +1,9 @@
-"""Spreading small inputs over all cores.
+"""Spreading an input that has fewer splits than the cluster has cores.
 
-A Parquet row group is the unit of a scan split, so a small file written as
-one row group is read by a single task and everything up to the first
-shuffle (expressions, partial aggregation) runs on one core. When the
-optimizer's size estimate of the input is small, a hash repartition on the
-row values costs little and lets the rest of the stage use every core.
-Large inputs have many splits already and are left alone (no extra shuffle
-at scale).
+A Parquet row group is the unit of a scan split, so a file written as one row
+group is read by one task. Nothing is spread by default, whatever the size: a
+caller who knows the input asks for a number of partitions, by argument or by
+the session setting ``spark.flowlens.inputPartitions``.
 """
 
 from __future__ import annotations
@@ -15,28 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+INPUT_PARTITIONS = "spark.flowlens.inputPartitions"
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (file sizes for scans)."""
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v) if isinstance(v, int) else int(v.toString())
-    except Exception:  # not available (e.g. Spark Connect)
-        return None
-
-
-def spread_small_input(df: DataFrame, limit_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    if df.isStreaming:
-        return df
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size > limit_bytes or cores <= 1:
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` hash-partitioned on its row values into ``partitions`` (default:
+    the session setting; unset means unchanged). Hashing is deterministic
+    under task retries without the sort that round-robin needs."""
+    partitions = partitions or int(df.sparkSession.conf.get(INPUT_PARTITIONS, "0"))
+    if not partitions or df.isStreaming:
         return df
-    # Hash partitioning on the row's values: deterministic under task retries
-    # without the sort that round-robin needs for the same guarantee.
     keys = [F.col(f"`{f.name}`") for f in df.schema.fields
             if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+    return df.repartition(partitions, *keys)

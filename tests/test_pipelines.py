@@ -13,7 +13,7 @@ from flowlens.plans.pipelines import detect_pipeline, packet_pipeline, train_pip
 from flowlens.sources.fixtures import flows_from_lineitem, packet_list_from_lineitem, packets_from_lineitem
 from flowlens.sources.flows import detect_format, read_flows
 from flowlens.sources.packet_list import convert_packet_list
-from flowlens.sources.packets import packets_to_captures
+from flowlens.sources.capture_fixtures import packets_to_captures
 
 
 @pytest.fixture(scope="module")
