@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ NO_TIME_WINDOW = 0  # epoch second used as the single window without timestamps
 
 
 _CREATED: list = []   # paths written by materialize() in this process, oldest first
+_RUN: ContextVar[list | None] = ContextVar("flowlens_run_tables", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,14 +30,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     aggregation over the input then runs once instead of once per consumer
     (column pruning makes the consumers' plans differ, so exchange reuse
     cannot merge them), and the lineage is cut, so a lost executor costs a
-    re-read rather than a re-aggregation.
+    re-read rather than a re-aggregation. The table stays until
+    :func:`drop_tables` or the end of the :class:`Scratch` it was written in.
     """
     from flowlens.session import checkpoint_dir
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"flowlens-{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     _CREATED.append(path)
-    return spark.read.parquet(path)
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Deletes the intermediate tables written inside it, and only those, at
+    its end (also on failure): ``with Scratch(spark): ...``. Runs on other
+    threads and nested ones keep their own lists."""
+
+    def __init__(self, spark, keep: bool = False):
+        self.spark, self.keep = spark, keep
+
+    def __enter__(self):
+        self.paths: list = []
+        self.token = _RUN.set(self.paths)
+        return self
+
+    def __exit__(self, *exc):
+        _RUN.reset(self.token)
+        if not self.keep:
+            drop_tables(self.spark, self.paths)
+        elif _RUN.get() is not None:
+            _RUN.get().extend(self.paths)
+        return False
 
 
 def created_tables() -> list:
@@ -88,6 +115,11 @@ def moments(score: str) -> list[Column]:
     return [F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std")]
 
 
+def quantiles(q: float, **columns: str) -> list[Column]:
+    """Exact ``q`` quantile (linear interpolation) of each column, by output name."""
+    return [F.percentile(c, q).alias(name) for name, c in columns.items()]
+
+
 def weighted_sum(weights) -> Column:
     """Sum of column x weight, added left to right in the listed order."""
     expr = None

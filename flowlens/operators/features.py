@@ -115,16 +115,26 @@ def source_fanout(df: DataFrame) -> DataFrame:
               .agg(F.countDistinct("dst_ip").alias("unique_destinations")))
 
 
+def split_key(col: str) -> Column:
+    """A second join key made of the first. A side that was just grouped by
+    ``col`` is then shuffled once more for the join, which is what Spark needs
+    to split a hot key's partition (a join right on an aggregate's own
+    partitioning is never split)."""
+    return F.xxhash64(col)
+
+
 def join_fanout(df: DataFrame) -> DataFrame:
     """Left lookup of :func:`source_fanout` on every row (NULL for NULL sources).
 
     No broadcast hint: the per-source table grows with the number of
     sources; AQE turns the join into a broadcast at run time when the
-    measured side is small and splits skewed partitions otherwise.
+    measured side is small and splits skewed partitions otherwise
+    (:func:`split_key`).
     """
-    fan = source_fanout(df)
+    fan = source_fanout(df).withColumn("_split", split_key("src_ip"))
     cols = df.columns
-    return df.join(fan, "src_ip", "left").select(*cols, "unique_destinations")
+    return df.withColumn("_split", split_key("src_ip")).join(fan, ["src_ip", "_split"], "left") \
+        .select(*cols, "unique_destinations")
 
 
 def extract_features(df: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ def agg_flows(packets: DataFrame) -> DataFrame:
     packet time, byte and packet sums, duration = last - first in fractional
     seconds (0 becomes 1.0). Unidirectional, no idle timeout.
 
-    A plain group-by: partial aggregation runs map-side, so a flow with very
+    Packets with a NULL in the key are left out. A plain group-by: partial aggregation runs map-side, so a flow with very
     many packets costs one row per map task in the shuffle.
     """
-    g = (packets.groupBy(*FIVE_TUPLE)
+    g = (packets.dropna(subset=FIVE_TUPLE).groupBy(*FIVE_TUPLE)
                 .agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"),
                      F.sum("bytes").cast("long").alias("bytes"),
                      F.sum("packets").cast("long").alias("packets")))

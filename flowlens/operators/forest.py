@@ -36,12 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.operators.common import materialize
 from flowlens.schema import (DEFAULT_CONTAMINATION, DEFAULT_MAX_SAMPLES, DEFAULT_SEED,
                              DEFAULT_TREES, RISK_HIGH_BELOW, RISK_MEDIUM_BELOW)
 
 EULER_GAMMA = 0.5772156649015329
 OVERSAMPLE = 1.5
-QUANTILE_ACCURACY = 100_000
+QUANTILE_ACCURACY = 100_000          # rank error of the threshold: 1 / accuracy of the rows
+MAX_BROADCAST_DRAWS = 2_000_000      # (vector, tree) pairs, 24 bytes each
+MAX_FOREST_BYTES = 512 << 20         # arrays broadcast for scoring
 _U53 = float(1 << 53)
 
 NODE_SCHEMA = T.StructType([
@@ -125,8 +128,14 @@ class ForestModel:
 
 # --- scaler -------------------------------------------------------------------
 
+def _value(f: str):
+    """A feature as a number; NULL and NaN are 0."""
+    x = F.col(f).cast("double")
+    return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+
+
 def _filled(features):
-    return [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
+    return [_value(f).alias(f) for f in features]
 
 
 def scale_fit(df: DataFrame, features: list) -> tuple[int, list, list]:
@@ -147,7 +156,7 @@ def scale_fit(df: DataFrame, features: list) -> tuple[int, list, list]:
 def scale_apply(df: DataFrame, features: list, means: list, stds: list) -> DataFrame:
     """Scaled copies of the feature columns (``_z0 .. _zk``), JVM-side."""
     return df.withColumns({
-        f"_z{i}": (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
+        f"_z{i}": (_value(f) - F.lit(m)) / F.lit(s)
         for i, (f, m, s) in enumerate(zip(features, means, stds))
     })
 
@@ -164,18 +173,20 @@ def sample_for_trees(df: DataFrame, features: list, means: list, stds: list, n:
     """(vector, tree) pairs that draw at least one copy: ``tree_id, _key, _m, _z*``.
 
     Sampling is per row, Bernoulli(p) for each tree, but done on distinct
-    feature vectors: ``groupBy(features).count()`` gives each vector its
-    multiplicity ``m`` (partial aggregation absorbs a hot duplicate), and
-    the copies a tree draws from a vector are Binomial(m, p). A vector takes
+    feature vectors. Only their 64-bit keys are counted and shuffled (16 bytes
+    a vector, partial aggregation absorbs a hot duplicate); the drawn keys,
+    about 1.5 psi T whatever the input, are then looked up in the rows before
+    any shuffle of feature values (broadcast up to ``MAX_BROADCAST_DRAWS``
+    pairs, an ordinary join beyond). The copies a tree draws from a vector of
+    multiplicity ``m`` are Binomial(m, p). A vector takes
     part in some tree with probability ``1 - (1-p)^(m T)`` (one hash); the
     first such tree follows the truncated geometric law, later trees their
     own hashes. Copy counts and their ranks are drawn in :func:`_grower`.
     Everything is keyed by the raw values, so the result does not depend on
     the partitioning.
     """
-    raw = df.select(*_filled(features))
-    vec = (raw.groupBy(*features).agg(F.count(F.lit(1)).alias("_m"))
-              .withColumn("_key", F.xxhash64(*[F.col(f) for f in features])))
+    raw = df.select(*_filled(features)).withColumn("_key", F.xxhash64(*[F.col(f) for f in features]))
+    vec = raw.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"))
     p = min(1.0, OVERSAMPLE * psi / n)
     log_miss = F.col("_m").cast("double") * F.lit(math.log1p(-p) if p < 1.0 else float("-inf"))
     hit_any = -F.expm1(log_miss * F.lit(float(n_trees)))          # 1 - z^T, z = (1-p)^m
@@ -189,8 +200,13 @@ def sample_for_trees(df: DataFrame, features: list, means: list, stds: list, n:
     chosen = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                       lambda t: (t == F.col("_first"))
                       | ((t > F.col("_first")) & (tree_u(t) < F.col("_hit"))))
-    pairs = cand.withColumn("tree_id", F.explode(chosen))
-    z = scale_apply(pairs, features, means, stds)
+    drawn = materialize(cand.withColumn("tree_id", F.explode(chosen)).select("_key", "_m", "tree_id"), "train-draws")
+    keys = drawn.select("_key").distinct()
+    if drawn.count() <= MAX_BROADCAST_DRAWS:
+        keys = F.broadcast(keys)
+    # one row per drawn vector (a repeated one is reduced before the shuffle), then its trees
+    vectors = raw.join(keys, "_key", "left_semi").dropDuplicates(["_key"])
+    z = scale_apply(vectors.join(drawn, "_key"), features, means, stds)
     return z.select("tree_id", "_key", "_m", *[f"_z{i}" for i in range(len(features))])
 
 
@@ -295,19 +311,35 @@ def _score_udf(bc):
 def _raw_scores(model: ForestModel, df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     k = len(model.features)
-    bc = spark.sparkContext.broadcast(model.arrays())
+    arrays = model.arrays()
+    size = sum(a.nbytes for a in arrays.values() if isinstance(a, np.ndarray))
+    if size > MAX_FOREST_BYTES:
+        raise ValueError(f"the forest's arrays take {size} bytes, the limit is {MAX_FOREST_BYTES}: fewer or shallower trees")
+    bc = spark.sparkContext.broadcast(arrays)
     z = scale_apply(df, model.features, model.means, model.stds)
     udf = _score_udf(bc)
     zs = F.struct(*[F.col(f"_z{i}") for i in range(k)])
     return z.withColumn("anomaly_score", udf(zs)).drop(*[f"_z{i}" for i in range(k)])
 
 
+def iforest_threshold(scored: DataFrame, contamination: float, exact: bool = False) -> float:
+    """The ``contamination`` quantile of the scores; see :func:`iforest_train`."""
+    q = (F.percentile("anomaly_score", float(contamination)) if exact else
+         F.percentile_approx("anomaly_score", float(contamination), QUANTILE_ACCURACY))
+    return float(scored.agg(q).first()[0])
+
+
 # --- public API -------------------------------------------------------------------
 
 def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DEFAULT_TREES,
                   contamination: float = DEFAULT_CONTAMINATION, seed: int = DEFAULT_SEED,
-                  max_samples: int = DEFAULT_MAX_SAMPLES, materialize_input: bool = True) -> ForestModel:
-    """Fit scaler and forest; ``features=None`` selects numeric columns."""
+                  max_samples: int = DEFAULT_MAX_SAMPLES, materialize_input: bool = True,
+                  exact_threshold: bool = False) -> ForestModel:
+    """Fit scaler and forest; ``features=None`` selects numeric columns.
+
+    The threshold is a mergeable quantile sketch of the training scores with a
+    rank error of 1 / ``QUANTILE_ACCURACY`` of the rows; ``exact_threshold``
+    takes the exact quantile instead (one counter per distinct score)."""
     from flowlens.operators.features import select_numeric
     features = list(features) if features is not None else select_numeric(df)
     if not features:
@@ -316,7 +348,6 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
     # write it once instead of re-deriving the features (fan-out join) thrice.
     df = df.select(*_filled(features))
     if materialize_input and not df.isStreaming:
-        from flowlens.operators.common import materialize
         df = materialize(df, "train-matrix")
     n, means, stds = scale_fit(df, features)
     if n == 0:
@@ -328,8 +359,7 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
                 .toPandas())
     model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
     scored = _raw_scores(model, df)
-    model.threshold = float(scored.agg(
-        F.percentile_approx("anomaly_score", float(contamination), QUANTILE_ACCURACY)).first()[0])
+    model.threshold = iforest_threshold(scored, contamination, exact_threshold)
     return model
 
 

@@ -9,7 +9,7 @@ usage, a per-destination top-k for the external addresses. Whole-input
 scalars are one-row aggregates joined by broadcast. Every list put in a
 findings row is bounded (at most the seven ICS ports, or the first ten
 addresses); the unbounded list of high-diversity sources is its own table,
-:func:`ics_high_diversity_devices`.
+:func:`ics_high_diversity_devices`, which the detect pipeline writes.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from flowlens.functions.arith import BYTES_PER_MB
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.protocol import is_ics_port
-from flowlens.operators.common import SCORE_PLACES, add_time_window, materialize, with_scalars
-from flowlens.operators.features import has_timestamp
+from flowlens.operators.common import SCORE_PLACES, add_time_window, materialize, quantiles, with_scalars
+from flowlens.operators.features import has_timestamp, split_key
 from flowlens.schema import (FINDINGS_COLUMNS, FINDINGS_SCHEMA, ICS_VOLUME_WINDOW_S,
                              SEVERITY_SCORES)
 
@@ -58,8 +58,8 @@ def risk_score(severity: Column) -> Column:
     return expr.cast("int")
 
 
-def _finding(one_row: DataFrame, rule: str, count: Column, **fields: Column) -> DataFrame:
-    """Shape a one-row aggregate into a FINDINGS row, kept only if count > 0."""
+def _finding(rule: str, count: Column, **fields: Column) -> Column:
+    """One FINDINGS row as a struct over a one-row aggregate."""
     no, typ, severity, text = _RULE[rule]
     cols = {
         "rule_no": F.lit(no),
@@ -67,12 +67,16 @@ def _finding(one_row: DataFrame, rule: str, count: Column, **fields: Column) ->
         "severity": F.lit(severity),
         "count": count.cast("long"),
         "description": F.format_string(text, count.cast("long")),
+        "risk_score": risk_score(F.lit(severity)),
     }
     cols.update(fields)
-    sel = [(cols[f.name] if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name)
-           for f in FINDINGS_SCHEMA.fields if f.name != "risk_score"]
-    out = one_row.where(count > 0).select(*sel)
-    return out.withColumn("risk_score", risk_score(F.col("severity")))
+    return F.struct(*[(cols[f.name] if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in FINDINGS_SCHEMA.fields])
+
+
+def _rows(one_row: DataFrame, *found: Column) -> DataFrame:
+    """The findings of a one-row aggregate whose count is positive."""
+    return one_row.select(F.inline(F.filter(F.array(*found), lambda f: f["count"] > 0)))
 
 
 # --- predicates --------------------------------------------------------------
@@ -85,6 +89,14 @@ def flt_external_ics() -> Column:
     return flt_ics() & ~is_private_ip("dst_ip")
 
 
+def flt_night_ics() -> Column:
+    return flt_ics() & (F.col("is_night") == 1)
+
+
+def flt_weekend_ics() -> Column:
+    return flt_ics() & (F.col("is_weekend") == 1)
+
+
 def flt_unauthorized() -> Column:
     """Literal rule: ICS port reached by a flow not flagged as ICS. With
     ``is_ics_protocol`` derived from the port this cannot fire; it does when
@@ -135,8 +147,9 @@ def _per_source(base: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """One row per source: rule counts, distinct ICS destinations / ports,
     ICS bytes, unauthorized ports."""
     if assets is not None:
-        known = assets.select(F.col("ip").alias("src_ip")).distinct().withColumn("_asset", F.lit(True))
-        base = base.join(known, "src_ip", "left")
+        known = assets.select(F.col("ip").alias("src_ip")).distinct() \
+            .withColumn("_split", split_key("src_ip")).withColumn("_asset", F.lit(True))
+        base = base.withColumn("_split", split_key("src_ip")).join(known, ["src_ip", "_split"], "left")
         unauth = is_ics_port("dst_port") & F.col("_asset").isNull()
     else:
         unauth = (F.col("_ics") == 0) & is_ics_port("dst_port")
@@ -230,16 +243,15 @@ def agg_ics_volume(df: DataFrame, width_s: int = ICS_VOLUME_WINDOW_S) -> DataFra
     return _volume(ics_base(df, width_s))
 
 
-def _spikes(base: DataFrame) -> DataFrame:
-    v = with_scalars(_volume(base), F.avg("total_bytes").alias("_m"),
-                     F.stddev_samp("total_bytes").alias("_s"))
+def _spikes(volume: DataFrame) -> DataFrame:
+    v = with_scalars(volume, F.avg("total_bytes").alias("_m"), F.stddev_samp("total_bytes").alias("_s"))
     thr = F.round(F.col("_m") + SPIKE_SIGMA * F.col("_s"), SCORE_PLACES)
     return v.where(F.coalesce(F.col("total_bytes") > thr, F.lit(False))).drop("_m", "_s")
 
 
 def ics_volume_spikes(df: DataFrame) -> DataFrame:
     """Windows whose ICS bytes exceed mean + 3 sigma."""
-    return _spikes(ics_base(df))
+    return _spikes(_volume(ics_base(df)))
 
 
 def _ports(base: DataFrame) -> DataFrame:
@@ -250,63 +262,66 @@ def _ports(base: DataFrame) -> DataFrame:
 
 
 def agg_ics_port(df: DataFrame) -> DataFrame:
-    """Per ICS destination port: distinct sources, bytes, packets (<= 7 rows)."""
+    """Per ICS destination port: distinct sources, bytes, packets. At most seven
+    rows when the ICS flag is derived from the port."""
     return _ports(ics_base(df))
 
 
-def _unusual_ports(base: DataFrame) -> DataFrame:
-    p = with_scalars(_ports(base),
-                     F.percentile("unique_sources", USAGE_QUANTILE).alias("_qs"),
-                     F.percentile("total_bytes", USAGE_QUANTILE).alias("_qb"))
-    cond = (F.col("unique_sources") > F.col("_qs")) | (F.col("total_bytes") > F.col("_qb"))
-    return p.where(F.coalesce(cond, F.lit(False))).drop("_qs", "_qb")
+def port_quantiles(ports: DataFrame) -> DataFrame:
+    """The 0.9 quantiles (linear interpolation) of sources and bytes over ports (one row)."""
+    return ports.agg(*quantiles(USAGE_QUANTILE, q90_sources="unique_sources", q90_bytes="total_bytes"))
+
+
+def _unusual_ports(ports: DataFrame) -> DataFrame:
+    p = ports.crossJoin(F.broadcast(port_quantiles(ports)))
+    cond = (F.col("unique_sources") > F.col("q90_sources")) | (F.col("total_bytes") > F.col("q90_bytes"))
+    return p.where(F.coalesce(cond, F.lit(False))).drop("q90_sources", "q90_bytes")
 
 
 def ics_unusual_ports(df: DataFrame) -> DataFrame:
     """Ports whose distinct sources or bytes exceed the 0.9 quantile
-    (linear interpolation) over ports (exact: at most seven ports)."""
-    return _unusual_ports(ics_base(df))
+    (linear interpolation) over ports, exactly."""
+    return _unusual_ports(_ports(ics_base(df)))
 
 
 # --- the seven rules -------------------------------------------------------
 
 def ics_rules(df: DataFrame, assets: DataFrame | None = None,
               materialize_base: bool = True) -> list[DataFrame]:
-    """The seven rule frames (0 or 1 row each), in rule order, all derived
-    from :func:`ics_base`, which is written once unless ``materialize_base``
-    is False."""
-    base = ics_base(df)
-    if materialize_base and not df.isStreaming:
-        base = materialize(base, "ics-base")
-    # read twice (totals, diversity); cheaper from the compact base than a
-    # second written table
-    per_src = _per_source(base, assets)
-    tot = _source_totals(per_src)
-    unusual = tot.where(F.col("n_ics") > 0)
-    out = []
-    if "is_night" in df.columns:
-        out.append(_finding(unusual, "unusual_time", F.col("n_night"),
-                            affected_devices=F.col("d_night")))
-    if "is_weekend" in df.columns:
-        out.append(_finding(unusual, "weekend_activity", F.col("n_weekend"),
-                            affected_devices=F.col("d_weekend")))
-    hd = _high_diversity(per_src).agg(F.count(F.lit(1)).alias("n"))
-    out.append(_finding(hd, "high_diversity", F.col("n")))
+    """Frames of findings, together the seven rules. Unless ``materialize_base``
+    is False, :func:`ics_base` and the per-source table are written once: the
+    counting rules come from one totals row of the latter, the diversity rule
+    from the same table, the others from small aggregates of the base."""
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        return materialize(table, name) if materialize_base and not df.isStreaming else table
+
+    base = stored(ics_base(df), "ics-base")
+    per_src = stored(_per_source(base, assets), "ics-sources")
     ips = (_external_first_seen(base, EXTERNAL_IPS_SHOWN)
            .agg(F.transform(F.array_sort(F.collect_list(F.struct(
                F.coalesce(F.unix_micros("first_seen"), F.lit(2**62)).alias("t"), F.col("dst_ip").alias("ip")))),
                lambda s: s["ip"]).alias("ips")))
-    out.append(_finding(unusual.crossJoin(ips), "external_communication", F.col("n_external"),
-                        affected_devices=F.col("d_external"), external_ips=F.col("ips")))
+    totals = _source_totals(per_src).where(F.col("n_ics") > 0).crossJoin(F.broadcast(ips))
+    counted = [
+        _finding("external_communication", F.col("n_external"), affected_devices=F.col("d_external"),
+                 external_ips=F.col("ips")),
+        _finding("unauthorized_access", F.col("n_unauth"), affected_devices=F.col("d_unauth"),
+                 accessed_ports=F.col("unauth_ports"))]
+    if "is_night" in df.columns:
+        counted.append(_finding("unusual_time", F.col("n_night"), affected_devices=F.col("d_night")))
+    if "is_weekend" in df.columns:
+        counted.append(_finding("weekend_activity", F.col("n_weekend"), affected_devices=F.col("d_weekend")))
+    out = [_rows(totals, *counted)]
+    devices = _high_diversity(per_src).agg(F.count(F.lit(1)).alias("n"))
+    out.append(_rows(devices, _finding("high_diversity", F.col("n"), affected_devices=F.col("n"))))
     if has_timestamp(df):
-        spikes = _spikes(base).agg(F.count(F.lit(1)).alias("n"), F.max("total_bytes").alias("mx"))
-        out.append(_finding(spikes, "traffic_spike", F.col("n"),
-                            max_volume_mb=F.col("mx") / F.lit(float(BYTES_PER_MB))))
-    out.append(_finding(unusual, "unauthorized_access", F.col("n_unauth"),
-                        affected_devices=F.col("d_unauth"), accessed_ports=F.col("unauth_ports")))
-    ports = _unusual_ports(base).agg(F.count(F.lit(1)).alias("n"),
-                                     F.array_sort(F.collect_list("port")).alias("ports"))
-    out.append(_finding(ports, "unusual_protocol_usage", F.col("n"), protocols=F.col("ports")))
+        volume = stored(_volume(base).select("time_window", "total_bytes"), "ics-volume")
+        spikes = _spikes(volume).agg(F.count(F.lit(1)).alias("n"), F.max("total_bytes").alias("mx"))
+        out.append(_rows(spikes, _finding("traffic_spike", F.col("n"),
+                                          max_volume_mb=F.col("mx") / F.lit(float(BYTES_PER_MB)))))
+    ports = stored(_ports(base), "ics-ports")
+    unusual = _unusual_ports(ports).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("port")).alias("ports"))
+    out.append(_rows(unusual, _finding("unusual_protocol_usage", F.col("n"), protocols=F.col("ports"))))
     return out
 
 
@@ -316,7 +331,8 @@ def union_findings(frames: list[DataFrame]) -> DataFrame:
 
 def detect_ics(df: DataFrame, assets: DataFrame | None = None,
                materialize_base: bool = True) -> DataFrame:
-    """FINDINGS rows (rule order in ``rule_no``). No ``is_ics_protocol``
+    """FINDINGS rows (rule order in ``rule_no``; the affected devices of
+    ``high_diversity`` are listed by :func:`ics_high_diversity_devices`). No ``is_ics_protocol``
     column or no ICS rows gives an empty frame with the FINDINGS schema."""
     spark = df.sparkSession
     if "is_ics_protocol" not in df.columns:

@@ -71,7 +71,7 @@ def detect_lateral(df: DataFrame, materialize_groups: bool = True, exact: bool =
     ``materialize_groups`` they are written once (an eager job) so the input
     is aggregated once. Pass False for a fully lazy plan.
     """
-    groups = agg_lateral(df)
+    groups = agg_lateral(df, exact=exact)
     if materialize_groups and not df.isStreaming:
         groups = materialize(groups, "lateral-groups")
     return score_lateral(groups)

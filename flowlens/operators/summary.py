@@ -40,8 +40,8 @@ RECOMMENDATIONS = [
 
 
 def agg_value_counts(df: DataFrame, col: str = "protocol") -> DataFrame:
-    """Rows per value, most frequent first."""
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    """Rows per non-NULL value, most frequent first."""
+    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
               .orderBy(F.col("count").desc(), F.col(col).asc_nulls_last()))
 
 
@@ -63,10 +63,27 @@ def topk_destinations(flows: DataFrame, exfil: DataFrame, k: int = TOP_DESTINATI
             .orderBy(F.col("transfers").desc(), "dst_ip").limit(k))
 
 
+def bytes_at_risk(flows: DataFrame, exfil: DataFrame) -> DataFrame:
+    """Number and bytes of the flows at risk (1 row)."""
+    return exfil_flows_at_risk(flows, exfil).agg(
+        F.count(F.lit(1)).alias("flows_at_risk"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_at_risk"))
+
+
+def protocol_counts(flows: DataFrame) -> DataFrame:
+    """Flows per protocol as one row: array of (protocol, count), most frequent
+    first. Protocol labels are a fixed vocabulary (IP numbers and names)."""
+    each = F.struct((-F.col("count")).alias("order"), F.col("protocol"), F.col("count"))
+    return agg_value_counts(flows, "protocol").agg(F.transform(
+        F.array_sort(F.collect_list(each)),
+        lambda x: F.struct(x["protocol"].alias("protocol"), x["count"].alias("count"))).alias("protocols"))
+
+
 def _one_row(*frames: DataFrame) -> DataFrame:
+    """Aggregates of one row each, side by side."""
     out = frames[0]
     for f in frames[1:]:
-        out = out.crossJoin(f)
+        out = out.crossJoin(F.broadcast(f))
     return out
 
 
@@ -108,7 +125,8 @@ def score_counts() -> list:
 def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
                    findings: DataFrame, model_counts: dict | None = None) -> DataFrame:
     """The JSON summary as one nested row: totals, anomaly rate and its band,
-    threat counts, risk bands of the score, severity counts, bytes at risk.
+    threat counts, risk bands of the score, severity counts, bytes at risk,
+    flows per protocol.
 
     ``scored`` may be the unscored feature table when ``model_counts`` (the
     values of :func:`score_counts`, e.g. observed while the anomalies were
@@ -119,9 +137,8 @@ def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
         names = ["total_anomalies", "risk_high", "risk_medium", "risk_low"]
         model = scored.sparkSession.createDataFrame(
             [tuple(int(model_counts.get(k) or 0) for k in names)], ", ".join(f"{k} long" for k in names))
-    risk = exfil_flows_at_risk(scored, exfil).agg(
-        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_at_risk"))
-    base = _one_row(threat_counts(scored, lateral, exfil, findings), model, risk)
+    base = _one_row(threat_counts(scored, lateral, exfil, findings), model, bytes_at_risk(scored, exfil),
+                    protocol_counts(scored))
     rate = F.coalesce(F.try_divide(F.col("total_anomalies") * 100.0, F.col("total_flows")), F.lit(0.0))
     return base.select(
         F.current_timestamp().alias("timestamp"),
@@ -135,7 +152,7 @@ def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
         F.struct(F.col("critical_findings").alias("critical"), F.col("high_findings").alias("high"),
                  F.col("medium_findings").alias("medium")).alias("ics_severity"),
         "unique_sources", "unique_destinations", "total_bytes", "ics_flows",
-        "lateral_high_risk", "exfil_high_risk", "bytes_at_risk")
+        "lateral_high_risk", "exfil_high_risk", "bytes_at_risk", "protocols")
 
 
 def recommendations(summary: DataFrame) -> DataFrame:

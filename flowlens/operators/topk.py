@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 TOP_ANOMALIES = 10
 TOP_SOURCES = 5
 TOP_FINDINGS = 10
+# Columns of the two top-source reports.
+LATERAL_REPORT = ["src_ip", "unique_dsts", "unique_ports", "lateral_score", "is_port_scan", "is_host_scan"]
+EXFIL_REPORT = ["src_ip", "mb_transferred", "unique_external_dsts", "exfil_score", "is_large_transfer",
+                "is_unusual_time"]
 ANOMALY_COLUMNS = ["timestamp", "src_ip", "dst_ip", "dst_port", "bytes", "anomaly_score"]
 
 
@@ -27,6 +31,16 @@ def topk_lateral(lateral: DataFrame, k: int = TOP_SOURCES) -> DataFrame:
                    .orderBy(F.col("lateral_score").desc(), "src_ip", "time_window").limit(k))
 
 
+def report_lateral(lateral: DataFrame, k: int = TOP_SOURCES) -> DataFrame:
+    """The report's columns of :func:`topk_lateral`."""
+    return topk_lateral(lateral, k).select(*LATERAL_REPORT)
+
+
+def report_exfil(exfil: DataFrame, k: int = TOP_SOURCES) -> DataFrame:
+    """The report's columns of :func:`topk_exfil`."""
+    return topk_exfil(exfil, k).select(*EXFIL_REPORT)
+
+
 def topk_exfil(exfil: DataFrame, k: int = TOP_SOURCES) -> DataFrame:
     """The k highest exfiltration scores among flagged groups."""
     return (exfil.where(F.col("is_exfiltration") == 1)

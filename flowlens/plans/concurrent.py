@@ -10,6 +10,7 @@ Only job submission is threaded -- no data passes through the driver.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 
 def run_concurrently(*thunks):
@@ -18,7 +19,7 @@ def run_concurrently(*thunks):
     if len(thunks) <= 1:
         return [t() for t in thunks]
     with ThreadPoolExecutor(max_workers=len(thunks), thread_name_prefix="flowlens-job") as pool:
-        futures = [pool.submit(t) for t in thunks]
+        futures = [pool.submit(copy_context().run, t) for t in thunks]
         return [f.result() for f in futures]
 
 

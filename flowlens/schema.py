@@ -99,7 +99,6 @@ FINDINGS_SCHEMA = T.StructType([
     T.StructField("count", T.LongType()),
     T.StructField("description", T.StringType()),
     T.StructField("affected_devices", T.LongType()),
-    T.StructField("affected_device_ids", T.ArrayType(T.StringType())),
     T.StructField("external_ips", T.ArrayType(T.StringType())),
     T.StructField("max_volume_mb", T.DoubleType()),
     T.StructField("accessed_ports", T.ArrayType(T.LongType())),

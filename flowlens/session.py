@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 
@@ -52,9 +53,9 @@ def get_spark(master: str | None = None, app_name: str = "flowlens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset -- local runs and tests -- a fresh scratch folder is created and
-    registered, so executors never write to a machine-local path on a cluster.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). When it is unset,
+    a local session (``local``, ``local[n]``) gets a fresh scratch folder; any
+    other master raises, as a machine-local folder is not shared.
     """
     sc = spark.sparkContext
     with _CKPT_LOCK:
@@ -63,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             return current
         path = sc.getConf().get("spark.checkpoint.dir", None)
         if not path:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path

@@ -6,9 +6,10 @@ features, scoring with a saved model, the three detectors and the summary,
 written under ``out_dir/batch=<id>``. Whole-input statistics (mean + k
 sigma, maxima, the fan-out count) are therefore per micro-batch -- a bounded
 amount of state -- and a (source, window) group that straddles two batches
-is scored in each. The streaming query's own checkpoint lives in the shared
-checkpoint folder, so a restarted job resumes where it stopped and each
-batch directory is overwritten, not duplicated, when a batch is replayed.
+is scored in each. The streaming query's own checkpoint lives in a folder the
+caller names (``out_dir/_checkpoint`` by default), so a job restarted in a new
+session resumes where it stopped and each batch directory is overwritten, not
+duplicated, when a batch is replayed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.operators.features import preprocess
 from flowlens.operators.forest import ForestModel
 from flowlens.schema import FLOW_RAW_SCHEMA
-from flowlens.session import checkpoint_dir
 
 
 def read_flow_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
@@ -40,15 +40,14 @@ def read_flow_stream(spark: SparkSession, path: str, fmt: str = "parquet", schem
 
 def detect_stream(stream: DataFrame, model: ForestModel, out_dir: str, unit: str = "s",
                   detailed: bool = True, query_name: str | None = None,
-                  available_now: bool = False):
+                  available_now: bool = False, checkpoint: str | None = None):
     """Start the streaming detection; returns the ``StreamingQuery``.
 
     ``unit`` names the epoch unit of numeric timestamps (a stream has no
-    global maximum to judge it from).
+    global maximum to judge it from). ``checkpoint`` must be the same in every
+    run of a job and differ between jobs.
     """
     from flowlens.plans.pipelines import analyze
-    spark = stream.sparkSession
-
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
@@ -56,7 +55,7 @@ def detect_stream(stream: DataFrame, model: ForestModel, out_dir: str, unit: str
         analyze(batch.sparkSession, features, model, os.path.join(out_dir, f"batch={batch_id}"), detailed)
 
     name = query_name or "flowlens-detect"
-    ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
+    ckpt = checkpoint or os.path.join(out_dir, "_checkpoint")
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", ckpt).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
