@@ -8,6 +8,8 @@ comma-joined text. :func:`hashable` applies them.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +22,19 @@ from flowlens.functions.timefns import time_bucket
 from flowlens.operators import exfil as ex
 from flowlens.operators import ics
 from flowlens.operators import lateral as lat
-from flowlens.operators.features import (extract_features, fill_missing, join_fanout, preprocess,
+from flowlens.operators.common import moments
+from flowlens.operators.features import (default_protocol, extract_features, fill_missing, join_fanout, preprocess,
                                          select_features, select_numeric)
 from flowlens.operators.flows_rollup import agg_flows
 from flowlens.operators.stats import stats
-from flowlens.operators.summary import (agg_value_counts, exfil_flows_at_risk, threat_counts,
-                                        topk_destinations)
-from flowlens.operators.timestamps import normalize_timestamp
+from flowlens.operators.summary import agg_value_counts, bytes_at_risk, threat_counts, topk_destinations
+from flowlens.operators.timestamps import normalize_timestamp, synthesize_timestamp
 from flowlens.operators.topk import head_findings, topk_exfil, topk_lateral
 from flowlens.plans import oracle_sql as O
-from flowlens.sources.fixtures import (assets_from_supplier, flows_from_lineitem,
-                                       packet_list_from_lineitem, packets_from_lineitem)
+from flowlens.plans import sinks
+from flowlens.sources.fixtures import (assets_from_supplier, flows_from_lineitem, packet_list_from_lineitem,
+                                       packets_from_lineitem, read_table)
+from flowlens.schema import TRAINING_FEATURES
 from flowlens.sources.packet_list import convert_packet_list, converted_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +81,6 @@ def q_preprocess(spark, sf):
 def _round_trip(spark, sf, fmt):
     """The fixture written as text files under the shared checkpoint folder
     (timestamps as epoch-second text) and read back with the flow reader."""
-    import os
-    import uuid
     from flowlens.session import checkpoint_dir
     from flowlens.sources.flows import read_flows
     path = os.path.join(checkpoint_dir(spark), f"flowlens-src-{fmt}-{uuid.uuid4().hex[:12]}.{fmt}")
@@ -96,13 +98,13 @@ def q_src_json(spark, sf):
 
 
 def q_scale_fit(spark, sf):
-    from flowlens.schema import TRAINING_FEATURES
-    f = _features(spark, sf)
-    aggs = []
-    for c in TRAINING_FEATURES:
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"mean_{c}"), F.stddev_pop(x).alias(f"std_{c}")]
-    return hashable(f.agg(*aggs))
+    from flowlens.operators.forest import scale_fit
+    n, means, stds = scale_fit(_features(spark, sf), TRAINING_FEATURES)
+    row, names = [n], ["n long"]
+    for c, m, d in zip(TRAINING_FEATURES, means, stds):
+        row += [m, d]
+        names += [f"mean_{c} double", f"std_{c} double"]
+    return hashable(spark.createDataFrame([tuple(row)], ", ".join(names)))
 
 
 def q_norm_timestamp(spark, sf):
@@ -149,9 +151,17 @@ def q_stats(spark, sf):
                              F.col("time_range.end").alias("time_end")))
 
 
+# Addresses of every range around the private ones, from the part keys.
+_ADDRESSES = ["'172.' || CAST(l_partkey % 40 AS VARCHAR(10)) || '.0.1'",
+              "'192.' || CAST(160 + l_partkey % 12 AS VARCHAR(10)) || '.1.1'",
+              "CAST(l_partkey % 256 AS VARCHAR(10)) || '.168.0.9'", "'127.0.0.' || CAST(l_partkey % 256 AS VARCHAR(10))",
+              "'10.' || CAST(l_partkey % 256 AS VARCHAR(10)) || '.1'", "'host' || CAST(l_partkey % 9 AS VARCHAR(10))"]
+
+
 def q_is_private_ip(spark, sf):
     f = _flows(spark, sf)
-    ips = f.select(F.col("src_ip").alias("ip")).union(f.select(F.col("dst_ip").alias("ip"))).distinct()
+    made = read_table(spark, sf, "lineitem").select(F.explode(F.array(*[F.expr(e) for e in _ADDRESSES])).alias("ip"))
+    ips = f.select(F.col("src_ip").alias("ip")).union(f.select(F.col("dst_ip").alias("ip"))).union(made).distinct()
     return ips.select("ip", is_private_ip("ip").alias("is_private"))
 
 
@@ -177,7 +187,8 @@ def q_agg_flows(spark, sf):
 def q_src_packets(spark, sf):
     """Packets view written as pcap bytes per partition, decoded, rolled up.
     A capture carries the transport only, so application names map to TCP."""
-    from flowlens.sources.packets import decode_binary, packets_to_captures
+    from flowlens.sources.capture_fixtures import packets_to_captures
+    from flowlens.sources.packets import decode_binary
     pk = packets_from_lineitem(spark, sf).withColumn(
         "protocol", F.when(F.col("protocol").isin("UDP", "ICMP"), F.col("protocol")).otherwise(F.lit("TCP")))
     caps = packets_to_captures(pk)
@@ -188,13 +199,37 @@ def q_src_packet_list(spark, sf):
     return hashable(convert_packet_list(packet_list_from_lineitem(spark, sf)))
 
 
+# Info texts with no, one, too large and two numbers, by packet length.
+_INFO = """CASE WHEN bytes % 5 = 1 THEN 'Standard query' WHEN bytes % 5 = 2 THEN 'to port ' || CAST(dst_port AS VARCHAR(10))
+  WHEN bytes % 5 = 3 THEN CAST(65000 + dst_port % 20000 AS VARCHAR(10)) || ' > ' || CAST(dst_port AS VARCHAR(10))
+  ELSE CAST(src_port AS VARCHAR(10)) || ' > ' || CAST(dst_port AS VARCHAR(10)) || ' [ACK] Seq=1' END"""
+
+
 def q_extract_ports(spark, sf):
     from flowlens.functions.ports import extract_ports
-    pl = packet_list_from_lineitem(spark, sf)
+    pl = packets_from_lineitem(spark, sf).select(F.expr(_INFO).alias("Info"))
     p = extract_ports("Info")
     return pl.select("Info", p.getField("src_port").alias("src_port"), p.getField("dst_port").alias("dst_port"))
 
 
+def q_order_packet_list(spark, sf):
+    """A packet list without times, numbered by its text column ``No``."""
+    pl = packet_list_from_lineitem(spark, sf).drop("Time")
+    first = F.split("Info", " ")
+    keyed = pl.withColumn("No", F.concat_ws("", F.col("Length"), F.lpad(first[0], 5, "0"), F.lpad(first[2], 5, "0")))
+    out = convert_packet_list(keyed, order_by="No")
+    return hashable(out.agg(F.count("*").alias("n"), F.countDistinct("timestamp").alias("numbers"),
+                            F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+                    .crossJoin(F.broadcast(out.where("timestamp < 100").agg(F.sum("bytes").alias("first_bytes")))))
+
+
+def q_synthesize_timestamp(spark, sf):
+    f = synthesize_timestamp(_flows(spark, sf).withColumn("_no", F.col("bytes").cast("string")), order_by="_no")
+    return hashable(f.agg(F.count("*").alias("n"), F.countDistinct("timestamp").alias("times"),
+                          F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+                          F.sum(F.when(F.col("timestamp") < "2024-01-01 01:40:00", F.col("bytes"))).alias("first_bytes")))
+
+
 def q_agg_converted_summary(spark, sf):
     return converted_summary(convert_packet_list(packet_list_from_lineitem(spark, sf)))
 
@@ -209,8 +244,14 @@ def q_detect_lateral(spark, sf):
     return hashable(lat.detect_lateral(_flows(spark, sf)))
 
 
+def out_path(spark, name):
+    from flowlens.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"flowlens-out-{name}-{uuid.uuid4().hex[:12]}")
+
+
 def q_sink_lateral(spark, sf):
-    return hashable(lat.detect_lateral(_flows(spark, sf)).where("is_lateral_movement = 1"))
+    return hashable(spark.read.parquet(sinks.sink_lateral(
+        lat.detect_lateral(_flows(spark, sf)), out_path(spark, "lateral"), "parquet")))
 
 
 def q_topk_lateral(spark, sf):
@@ -230,7 +271,46 @@ def q_detect_exfil(spark, sf):
 
 
 def q_sink_exfil(spark, sf):
-    return hashable(ex.detect_exfil(_flows(spark, sf)).where("is_exfiltration = 1"))
+    return hashable(spark.read.parquet(sinks.sink_exfil(
+        ex.detect_exfil(_flows(spark, sf)), out_path(spark, "exfil"), "parquet")))
+
+
+def q_sink_csv(spark, sf):
+    f = _flows(spark, sf)
+    path = sinks.write_table(f, out_path(spark, "csv"), "csv")
+    return hashable(sinks.read_table(spark, path, "csv", f.schema))
+
+
+def q_sink_converted(spark, sf):
+    out = convert_packet_list(packet_list_from_lineitem(spark, sf))
+    path = sinks.sink_converted(out, out_path(spark, "converted"))
+    return hashable(sinks.read_table(spark, path, "csv", out.schema))
+
+
+def q_sink_ics(spark, sf):
+    return hashable(spark.read.parquet(sinks.sink_ics(
+        ics.detect_ics(_features(spark, sf)), out_path(spark, "ics"), "parquet")))
+
+
+def q_out_overwrite(spark, sf):
+    """A table written twice holds the second run's rows only."""
+    f, path = _flows(spark, sf), out_path(spark, "twice")
+    sinks.write_table(f, path, "parquet")
+    return hashable(spark.read.parquet(sinks.write_table(f.where("dst_port = 502"), path, "parquet")))
+
+
+def q_sink_train_metadata(spark, sf):
+    f = _features(spark, sf)
+    n = f.count()
+    path = sinks.sink_train_metadata(spark, out_path(spark, "metadata"), n, select_features(f), 0.05, stats(f))
+    return hashable(spark.read.json(path).select(
+        "training_samples", "features", "contamination", F.col("data_statistics.total_flows").alias("total_flows"),
+        F.col("data_statistics.unique_sources").alias("unique_sources"),
+        F.col("data_statistics.total_bytes").alias("total_bytes")))
+
+
+def q_default_protocol(spark, sf):
+    return hashable(default_protocol(_flows(spark, sf).drop("protocol")).select("src_ip", "dst_port", "protocol"))
 
 
 def q_topk_exfil(spark, sf):
@@ -239,9 +319,7 @@ def q_topk_exfil(spark, sf):
 
 def q_exfil_bytes_at_risk(spark, sf):
     f = _flows(spark, sf)
-    at_risk = exfil_flows_at_risk(f, ex.detect_exfil(f))
-    return at_risk.agg(F.count(F.lit(1)).alias("flows_at_risk"),
-                       F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_at_risk"))
+    return bytes_at_risk(f, ex.detect_exfil(f))
 
 
 def q_topk_destinations(spark, sf):
@@ -260,11 +338,11 @@ def q_flt_external_ics(spark, sf):
 
 
 def q_flt_night_ics(spark, sf):
-    return hashable(_features(spark, sf).where(ics.flt_ics() & (F.col("is_night") == 1)))
+    return hashable(_features(spark, sf).where(ics.flt_night_ics()))
 
 
 def q_flt_weekend_ics(spark, sf):
-    return hashable(_features(spark, sf).where(ics.flt_ics() & (F.col("is_weekend") == 1)))
+    return hashable(_features(spark, sf).where(ics.flt_weekend_ics()))
 
 
 def _rule(rule_type):
@@ -304,9 +382,22 @@ def q_ics_unusual_protocol(spark, sf):
 
 
 def q_agg_quantile(spark, sf):
-    p = ics.agg_ics_port(_features(spark, sf))
-    return hashable(p.agg(F.percentile("unique_sources", 0.9).alias("q90_sources"),
-                          F.percentile("total_bytes", 0.9).alias("q90_bytes")))
+    return hashable(ics.port_quantiles(ics.agg_ics_port(_features(spark, sf))))
+
+
+def _flagged_features(spark, sf):
+    """Features whose ICS flag a caller has cleared on some flows to ICS ports."""
+    return _features(spark, sf).withColumn(
+        "is_ics_protocol", F.when(F.col("src_port") % 7 == 0, F.lit(0)).otherwise(F.col("is_ics_protocol")))
+
+
+def q_ics_unauthorized(spark, sf):
+    found = ics.detect_ics(_flagged_features(spark, sf))
+    return hashable(found.where(F.col("type") == "unauthorized_access"))
+
+
+def q_flt_unauthorized(spark, sf):
+    return hashable(_flagged_features(spark, sf).where(ics.flt_unauthorized()).select("src_ip", "dst_ip", "dst_port"))
 
 
 def q_detect_ics(spark, sf):
@@ -338,9 +429,8 @@ def q_agg_value_counts(spark, sf):
 
 
 def q_agg_moments(spark, sf):
-    g = lat.detect_lateral(_flows(spark, sf))
-    return hashable(g.agg(F.avg("lateral_score").alias("mean_score"),
-                          F.stddev_samp("lateral_score").alias("std_score")))
+    g = lat.detect_lateral(_flows(spark, sf)).agg(*moments("lateral_score"))
+    return hashable(g.select(F.col("_mean").alias("mean_score"), F.col("_std").alias("std_score")))
 
 
 def q_threat_counts(spark, sf):
@@ -368,6 +458,8 @@ QUERIES: dict[str, Query] = {
     "src_packets": q_src_packets,
     "src_packet_list": q_src_packet_list,
     "extract_ports": q_extract_ports,
+    "order_packet_list": q_order_packet_list,
+    "synthesize_timestamp": q_synthesize_timestamp,
     "agg_converted_summary": q_agg_converted_summary,
     "agg_lateral": q_agg_lateral,
     "detect_lateral": q_detect_lateral,
@@ -377,6 +469,12 @@ QUERIES: dict[str, Query] = {
     "agg_exfil": q_agg_exfil,
     "detect_exfil": q_detect_exfil,
     "sink_exfil": q_sink_exfil,
+    "sink_csv": q_sink_csv,
+    "sink_converted": q_sink_converted,
+    "sink_ics": q_sink_ics,
+    "sink_train_metadata": q_sink_train_metadata,
+    "out_overwrite": q_out_overwrite,
+    "default_protocol": q_default_protocol,
     "topk_exfil": q_topk_exfil,
     "exfil_bytes_at_risk": q_exfil_bytes_at_risk,
     "topk_destinations": q_topk_destinations,
@@ -387,7 +485,8 @@ QUERIES: dict[str, Query] = {
     "ics_unusual_time": _rule("unusual_time"),
     "ics_weekend": _rule("weekend_activity"),
     "ics_external": _rule("external_communication"),
-    "ics_unauthorized": _rule("unauthorized_access"),
+    "ics_unauthorized": q_ics_unauthorized,
+    "flt_unauthorized": q_flt_unauthorized,
     "agg_ics_diversity": q_agg_ics_diversity,
     "ics_high_diversity": q_ics_high_diversity,
     "ics_external_ips": q_ics_external_ips,
@@ -412,8 +511,9 @@ ORACLE: dict[str, str] = {
     "preprocess": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
     "src_csv": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
     "src_json": f"WITH {O.FEATURES_CTE} SELECT {O.FEATURE_OUT} FROM features",
-    "scale_fit": f"WITH {O.FEATURES_CTE} SELECT " + ", ".join(
-        f"round(avg(CAST({c} AS DOUBLE)), 6) AS mean_{c}, round(stddev_pop(CAST({c} AS DOUBLE)), 6) AS std_{c}"
+    "scale_fit": f"WITH {O.FEATURES_CTE} SELECT count(*) AS n, " + ", ".join(
+        f"round(avg(CAST({c} AS DOUBLE)), 6) AS mean_{c}, round(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 "
+        f"THEN 1.0 ELSE stddev_pop(CAST({c} AS DOUBLE)) END, 6) AS std_{c}"
         for c in ["bytes", "packets", "duration", "bytes_per_packet", "packets_per_second", "bytes_per_second",
                   "is_ics_protocol", "is_high_port", "is_tcp", "is_udp", "unique_destinations", "hour",
                   "is_night", "is_weekend"]) + " FROM features",
@@ -437,7 +537,8 @@ ORACLE: dict[str, str] = {
         count(DISTINCT dst_ip) AS unique_destinations, CAST(COALESCE(sum(is_ics_protocol), 0) AS BIGINT) AS ics_flows,
         CAST(COALESCE(sum(bytes), 0) AS BIGINT) AS total_bytes, round(COALESCE(avg(bytes), 0.0), 6) AS avg_bytes_per_flow,
         epoch(min(timestamp))::BIGINT AS time_start, epoch(max(timestamp))::BIGINT AS time_end FROM features""",
-    "is_private_ip": f"""WITH {O.FLOWS_CTE}, ips AS (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows)
+    "is_private_ip": f"""WITH {O.FLOWS_CTE}, ips AS (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows
+        UNION SELECT unnest([{", ".join(_ADDRESSES)}]) FROM lineitem)
         SELECT ip, {O.private('ip')} AS is_private FROM ips""",
     "proto_label": f"""WITH {O.PACKETS_CTE}, p AS (SELECT DISTINCT CAST(dst_port % 64 AS BIGINT) AS proto FROM packets)
         SELECT proto, CASE WHEN proto = 6 THEN 'TCP' WHEN proto = 17 THEN 'UDP' WHEN proto = 1 THEN 'ICMP'
@@ -458,7 +559,17 @@ ORACLE: dict[str, str] = {
         FROM wire GROUP BY src_ip, dst_ip, src_port, dst_port, protocol""",
     "src_packet_list": f"""WITH {O.PACKET_LIST_CTE} SELECT round(timestamp, 6) AS timestamp, src_ip, dst_ip,
         protocol, bytes, src_port, dst_port, packets, round(duration, 6) AS duration FROM converted""",
-    "extract_ports": f"""WITH {O.PACKET_LIST_CTE} SELECT "Info", src_port, dst_port FROM converted""",
+    "extract_ports": f"""WITH {O.PACKET_LIST_CTE.replace(O.INFO_EXPR, _INFO)}
+        SELECT "Info", src_port, dst_port FROM converted""",
+    "order_packet_list": f"""WITH {O.PACKETS_CTE}, n AS (SELECT bytes, row_number() OVER (ORDER BY
+        CAST(CAST(bytes AS VARCHAR) || lpad(CAST(src_port AS VARCHAR), 5, '0') || lpad(CAST(dst_port AS VARCHAR), 5, '0')
+        AS DOUBLE)) - 1 AS i FROM packets)
+        SELECT count(*) AS n, count(DISTINCT i) AS numbers, CAST(min(i) AS DOUBLE) AS first,
+        CAST(max(i) AS DOUBLE) AS last, CAST(sum(bytes) FILTER (i < 100) AS BIGINT) AS first_bytes FROM n""",
+    "synthesize_timestamp": f"""WITH {O.FLOWS_CTE}, n AS (SELECT bytes, 1704067200 + 60 *
+        (row_number() OVER (ORDER BY bytes) - 1) AS t FROM flows)
+        SELECT count(*) AS n, count(DISTINCT t) AS times, min(t) AS first, max(t) AS last,
+        CAST(sum(bytes) FILTER (t < 1704067200 + 6000) AS BIGINT) AS first_bytes FROM n""",
     "agg_converted_summary": f"""WITH {O.PACKET_LIST_CTE} SELECT count(DISTINCT src_ip) AS unique_sources,
         count(DISTINCT dst_ip) AS unique_destinations, count(DISTINCT protocol) AS unique_protocols,
         CAST(COALESCE(sum(bytes), 0) AS BIGINT) AS total_bytes FROM converted""",
@@ -466,6 +577,20 @@ ORACLE: dict[str, str] = {
         round(avg_duration, 6) AS avg_duration FROM lat_g""",
     "detect_lateral": f"WITH {O.LATERAL_CTE} SELECT {O.LATERAL_OUT} FROM lat_out",
     "sink_lateral": f"WITH {O.LATERAL_CTE} SELECT {O.LATERAL_OUT} FROM lat_out WHERE is_lateral_movement = 1",
+    "sink_csv": f"""WITH {O.FLOWS_CTE} SELECT epoch(timestamp)::BIGINT AS timestamp, src_ip, dst_ip, src_port,
+        dst_port, protocol, bytes, packets, round(duration, 6) AS duration FROM flows""",
+    "sink_converted": f"""WITH {O.PACKET_LIST_CTE} SELECT round(timestamp, 6) AS timestamp, src_ip, dst_ip,
+        protocol, bytes, src_port, dst_port, packets, round(duration, 6) AS duration FROM converted""",
+    "sink_ics": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings",
+    "sink_train_metadata": f"""WITH {O.FEATURES_CTE} SELECT count(*) AS training_samples,
+        '{",".join(TRAINING_FEATURES)}' AS features, 0.05::DOUBLE AS contamination, count(*) AS total_flows,
+        count(DISTINCT src_ip) AS unique_sources, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM features""",
+    "out_overwrite": f"""WITH {O.FLOWS_CTE} SELECT epoch(timestamp)::BIGINT AS timestamp, src_ip, dst_ip, src_port,
+        dst_port, protocol, bytes, packets, round(duration, 6) AS duration FROM flows WHERE dst_port = 502""",
+    "default_protocol": f"WITH {O.FLOWS_CTE} SELECT src_ip, dst_port, 'TCP' AS protocol FROM flows",
+    "ics_unauthorized": f"""WITH {O.FLAGGED_ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings
+        WHERE type = 'unauthorized_access'""",
+    "flt_unauthorized": f"WITH {O.FLAGGED_ICS_CTE} SELECT src_ip, dst_ip, dst_port FROM ics_unauth",
     "topk_lateral": f"""WITH {O.LATERAL_CTE} SELECT {O.LATERAL_OUT} FROM lat_out WHERE is_lateral_movement = 1
         ORDER BY lateral_score DESC, src_ip, time_window LIMIT 5""",
     "flt_outbound": f"""WITH {O.EXFIL_CTE} SELECT epoch(timestamp)::BIGINT AS timestamp, src_ip, dst_ip, src_port,
@@ -496,7 +621,6 @@ ORACLE: dict[str, str] = {
     "ics_unusual_time": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'unusual_time'",
     "ics_weekend": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'weekend_activity'",
     "ics_external": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'external_communication'",
-    "ics_unauthorized": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE type = 'unauthorized_access'",
     "agg_ics_diversity": f"WITH {O.ICS_CTE} SELECT src_ip, unique_dsts, unique_ports, total_bytes FROM ics_div",
     "ics_high_diversity": f"WITH {O.ICS_CTE} SELECT src_ip, unique_dsts, unique_ports, total_bytes FROM ics_hd",
     "ics_external_ips": f"WITH {O.ICS_CTE} SELECT dst_ip, epoch(first_seen)::BIGINT AS first_seen FROM ics_ext10",
@@ -513,14 +637,14 @@ ORACLE: dict[str, str] = {
     "flt_critical": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings WHERE severity = 'critical'",
     "head_findings": f"WITH {O.ICS_CTE} SELECT {O.FINDINGS_OUT} FROM findings ORDER BY rule_no LIMIT 10",
     "agg_severity_counts": f"WITH {O.ICS_CTE} SELECT severity, count(*) AS n FROM findings GROUP BY severity",
-    "agg_value_counts": f"""WITH {O.FLOWS_CTE} SELECT protocol, count(*) AS count FROM flows GROUP BY protocol""",
+    "agg_value_counts": f"""WITH {O.FLOWS_CTE} SELECT protocol, count(*) AS count FROM flows WHERE protocol IS NOT NULL GROUP BY protocol""",
     "join_assets": f"""WITH {O.ICS_CTE}, assets AS (SELECT DISTINCT ip FROM (SELECT {O.ASSET_IP} AS ip
         FROM supplier WHERE s_acctbal >= 0) a WHERE {O.private('ip')}),
         u AS (SELECT f.* FROM features f LEFT JOIN assets a ON f.src_ip = a.ip
               WHERE f.dst_port IN ({O.ICS_PORT_LIST}) AND a.ip IS NULL)
         SELECT 6 AS rule_no, 'unauthorized_access' AS type, 'critical' AS severity, count(*) AS count,
         count(*) || ' non-ICS devices accessing ICS ports' AS description,
-        count(DISTINCT src_ip) AS affected_devices, NULL::VARCHAR AS affected_device_ids,
+        count(DISTINCT src_ip) AS affected_devices,
         NULL::VARCHAR AS external_ips, NULL::DOUBLE AS max_volume_mb,
         array_to_string(list_sort(list(DISTINCT CAST(dst_port AS BIGINT))), ',') AS accessed_ports,
         NULL::VARCHAR AS protocols, 4 AS risk_score

@@ -161,38 +161,42 @@ n_ics AS (SELECT count(*) AS n FROM ics),
 findings AS (
   SELECT 1 AS rule_no, 'unusual_time' AS type, 'medium' AS severity, count(*) AS count,
     count(*) || ' ICS connections during night hours' AS description,
-    count(DISTINCT src_ip) AS affected_devices, NULL::VARCHAR AS affected_device_ids, NULL::VARCHAR AS external_ips,
+    count(DISTINCT src_ip) AS affected_devices, NULL::VARCHAR AS external_ips,
     NULL::DOUBLE AS max_volume_mb, NULL::VARCHAR AS accessed_ports, NULL::VARCHAR AS protocols, 2 AS risk_score
   FROM ics WHERE is_night = 1 HAVING count(*) > 0
   UNION ALL
   SELECT 2, 'weekend_activity', 'medium', count(*), count(*) || ' ICS connections during weekend',
-    count(DISTINCT src_ip), NULL, NULL, NULL, NULL, NULL, 2
+    count(DISTINCT src_ip), NULL, NULL, NULL, NULL, 2
   FROM ics WHERE is_weekend = 1 HAVING count(*) > 0
   UNION ALL
   SELECT 3, 'high_diversity', 'high', count(*),
-    count(*) || ' ICS devices with unusually high connection diversity', NULL, NULL, NULL, NULL, NULL, NULL, 3
+    count(*) || ' ICS devices with unusually high connection diversity', count(DISTINCT src_ip), NULL, NULL, NULL, NULL, 3
   FROM ics_hd HAVING count(*) > 0
   UNION ALL
   SELECT 4, 'external_communication', 'critical', count(*), count(*) || ' ICS connections to external IPs',
-    count(DISTINCT src_ip), NULL,
+    count(DISTINCT src_ip),
     (SELECT array_to_string(list(dst_ip ORDER BY first_seen ASC NULLS LAST, dst_ip), ',') FROM ics_ext10),
     NULL, NULL, NULL, 4
   FROM ics_ext HAVING count(*) > 0
   UNION ALL
   SELECT 5, 'traffic_spike', 'high', count(*), count(*) || ' time windows with unusual ICS traffic volume',
-    NULL, NULL, NULL, round(max(total_bytes) / 1048576.0::DOUBLE, 6), NULL, NULL, 3
+    NULL, NULL, round(max(total_bytes) / 1048576.0::DOUBLE, 6), NULL, NULL, 3
   FROM ics_spk HAVING count(*) > 0
   UNION ALL
   SELECT 6, 'unauthorized_access', 'critical', count(*), count(*) || ' non-ICS devices accessing ICS ports',
-    count(DISTINCT src_ip), NULL, NULL, NULL,
+    count(DISTINCT src_ip), NULL, NULL,
     array_to_string(list_sort(list(DISTINCT CAST(dst_port AS BIGINT))), ','), NULL, 4
   FROM ics_unauth WHERE (SELECT n FROM n_ics) > 0 HAVING count(*) > 0
   UNION ALL
   SELECT 7, 'unusual_protocol_usage', 'medium', count(*),
-    count(*) || ' ICS protocols showing unusual usage patterns', NULL, NULL, NULL, NULL, NULL,
+    count(*) || ' ICS protocols showing unusual usage patterns', NULL, NULL, NULL, NULL,
     array_to_string(list_sort(list(port)), ','), 2
   FROM ics_unusual HAVING count(*) > 0)"""
 ICS_CTE = f"{FEATURES_CTE},\n{ICS_BODY}"
+# features whose ICS flag was cleared on some flows to ICS ports
+FLAGGED_ICS_CTE = f"""{FEATURES_CTE.replace("features AS (", "derived AS (", 1)},
+features AS (SELECT * REPLACE (CASE WHEN src_port % 7 = 0 THEN 0 ELSE is_ics_protocol END AS is_ics_protocol) FROM derived),
+{ICS_BODY}"""
 ALL_CTE = f"{FEATURES_CTE},\n{LATERAL_BODY},\n{EXFIL_BODY},\n{ICS_BODY}"
 
 ASSET_IP = ("CASE WHEN s_suppkey % 10 = 9 THEN '198.51.100.' || CAST(s_suppkey % 250 AS VARCHAR) "
@@ -200,16 +204,17 @@ ASSET_IP = ("CASE WHEN s_suppkey % 10 = 9 THEN '198.51.100.' || CAST(s_suppkey %
             "|| CAST(s_suppkey % 250 AS VARCHAR) END")
 
 FINDINGS_OUT = """CAST(rule_no AS INTEGER) AS rule_no, type, severity, CAST(count AS BIGINT) AS count, description,
-  CAST(affected_devices AS BIGINT) AS affected_devices, affected_device_ids, external_ips, max_volume_mb,
+  CAST(affected_devices AS BIGINT) AS affected_devices, external_ips, max_volume_mb,
   accessed_ports, protocols, CAST(risk_score AS INTEGER) AS risk_score"""
 
 PACKETS_CTE = f"packets AS ({PACKETS_SQL})"
 
+INFO_EXPR = "CAST(src_port AS VARCHAR) || ' → ' || CAST(dst_port AS VARCHAR) || ' [ACK] Seq=1'"
 PACKET_LIST_CTE = f"""{PACKETS_CTE},
 packet_list AS (
   SELECT CAST(epoch(timestamp) AS DOUBLE) AS "Time", src_ip AS "Source", dst_ip AS "Destination",
     protocol AS "Protocol", bytes AS "Length",
-    CAST(src_port AS VARCHAR) || ' → ' || CAST(dst_port AS VARCHAR) || ' [ACK] Seq=1' AS "Info"
+    {INFO_EXPR} AS "Info"
   FROM packets),
 converted AS (
   SELECT "Time" AS timestamp, "Source" AS src_ip, "Destination" AS dst_ip, "Protocol" AS protocol,

@@ -12,59 +12,51 @@ import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
-from flowlens.operators.common import created_tables, drop_tables
+from flowlens.operators.common import Scratch
+from flowlens.operators.common import materialize as _materialize
 from flowlens.operators.exfil import detect_exfil
 from flowlens.operators.features import preprocess, select_features
 from flowlens.operators.forest import (iforest_score, iforest_train, model_load, model_save,
                                        train_or_load)
-from flowlens.operators.ics import detect_ics, flt_critical
+from flowlens.operators.ics import detect_ics, flt_critical, ics_high_diversity_devices
 from flowlens.operators.lateral import detect_lateral
 from flowlens.operators.stats import stats
-from flowlens.operators.summary import attack_summary, recommendations, score_counts
-from flowlens.operators.topk import topk_anomalies, topk_exfil, topk_lateral
+from flowlens.operators.summary import attack_summary, recommendations, score_counts, topk_destinations
+from flowlens.operators.topk import head_findings, report_exfil, report_lateral, topk_anomalies
 from flowlens.plans import sinks
 from flowlens.plans.concurrent import run_concurrently
 from flowlens.schema import DEFAULT_CONTAMINATION
-from flowlens.sources.flows import read_flows
+from flowlens.sources.flows import detect_format, read_flows
 from flowlens.sources.packets import read_capture_flows
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back."""
-    from flowlens.operators.common import materialize as _materialize
     return _materialize(df, name)
 
 
-class _Scratch:
-    """Deletes the intermediate tables a pipeline run wrote, once its outputs
-    are complete (also on failure)."""
-
-    def __init__(self, spark: SparkSession, keep: bool = False):
-        self.spark, self.keep = spark, keep
-
-    def __enter__(self):
-        self.before = set(created_tables())
-        return self
-
-    def __exit__(self, *exc):
-        if not self.keep:
-            drop_tables(self.spark, [p for p in created_tables() if p not in self.before])
-        return False
+def parsed_flows(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """The flows at ``path``; text (CSV, JSON) is parsed once and stored as
+    Parquet, as several jobs read it. Call inside a :class:`Scratch`."""
+    fmt = (fmt or detect_format(path)).lower()
+    flows = read_flows(spark, path, fmt)
+    return materialize(spark, flows, "parsed-flows") if fmt in ("csv", "json") else flows
 
 
 def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
                    contamination: float = DEFAULT_CONTAMINATION, fmt: str | None = None,
-                   features: list | None = None) -> dict:
+                   features: list | None = None, unit: str = "auto") -> dict:
     """Load, preprocess, statistics, train on the fixed feature list, save
-    model and ``training_metadata`` next to it."""
-    data = preprocess(read_flows(spark, data_path, fmt))
-    feats = features or select_features(data)
-    with _Scratch(spark):
+    model and ``training_metadata`` next to it. ``unit`` names the epoch unit
+    of numeric timestamps (``auto`` looks for the column's maximum first)."""
+    with Scratch(spark):
+        data = preprocess(parsed_flows(spark, data_path, fmt), unit=unit)
+        feats = features or select_features(data)
         model = iforest_train(data, feats, contamination=contamination)
-    model_save(model, spark, model_path)
-    st = stats(data)
-    meta_path = os.path.join(os.path.dirname(model_path.rstrip("/")) or ".", "training_metadata")
-    sinks.sink_train_metadata(spark, meta_path, model.n_train, feats, contamination, st)
+        model_save(model, spark, model_path)
+        st = stats(data)
+        meta_path = os.path.join(os.path.dirname(model_path.rstrip("/")) or ".", "training_metadata")
+        sinks.sink_train_metadata(spark, meta_path, model.n_train, feats, contamination, st)
     return {"model": model_path, "metadata": meta_path, "features": feats}
 
 
@@ -74,7 +66,7 @@ def analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detai
     """Score and detect (see :func:`_analyze`); intermediate tables written
     under the checkpoint folder are deleted afterwards unless
     ``keep_intermediate``."""
-    with _Scratch(spark, keep_intermediate):
+    with Scratch(spark, keep_intermediate):
         return _analyze(spark, features, model, out_dir, detailed, assets, fmt, anomalies_name)
 
 
@@ -117,9 +109,15 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
             "lateral": lambda: sinks.sink_lateral(lateral, os.path.join(out_dir, "lateral_movement"), fmt),
             "exfil": lambda: sinks.sink_exfil(exfil, os.path.join(out_dir, "data_exfiltration"), fmt),
             "ics": lambda: sinks.sink_ics(findings, os.path.join(out_dir, "ics_anomalies"), fmt),
-            "top_lateral": lambda: sinks.write_table(topk_lateral(lateral), os.path.join(out_dir, "top_lateral"),
-                                                     fmt),
-            "top_exfil": lambda: sinks.write_table(topk_exfil(exfil), os.path.join(out_dir, "top_exfil"), fmt),
+            "top_lateral": lambda: sinks.write_table(report_lateral(lateral),
+                                                     os.path.join(out_dir, "top_lateral"), fmt),
+            "top_exfil": lambda: sinks.write_table(report_exfil(exfil), os.path.join(out_dir, "top_exfil"), fmt),
+            "top_destinations": lambda: sinks.write_table(topk_destinations(features, exfil),
+                                                          os.path.join(out_dir, "top_destinations"), fmt),
+            "first_findings": lambda: sinks.write_table(head_findings(findings),
+                                                        os.path.join(out_dir, "first_findings"), fmt),
+            "high_diversity_devices": lambda: sinks.write_table(
+                ics_high_diversity_devices(features), os.path.join(out_dir, "high_diversity_devices"), fmt),
             "critical_findings": lambda: sinks.write_table(flt_critical(findings),
                                                            os.path.join(out_dir, "critical_findings"), fmt),
         }
@@ -133,18 +131,19 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
 
 def detect_pipeline(spark: SparkSession, data_path: str, model_path: str, out_dir: str,
                     detailed: bool = True, fmt: str | None = None,
-                    assets: DataFrame | None = None) -> dict:
+                    assets: DataFrame | None = None, unit: str = "auto") -> dict:
     """Load, preprocess, score with the saved model, detectors, sinks, summary."""
-    features = preprocess(read_flows(spark, data_path, fmt))
-    model = model_load(spark, model_path)
-    return analyze(spark, features, model, out_dir, detailed, assets)
+    with Scratch(spark):
+        features = preprocess(parsed_flows(spark, data_path, fmt), unit=unit)
+        model = model_load(spark, model_path)
+        return analyze(spark, features, model, out_dir, detailed, assets)
 
 
 def packet_pipeline(spark: SparkSession, capture_dir: str, model_path: str, out_dir: str,
                     detailed: bool = True) -> dict:
     """Captures to flows, then as :func:`detect_pipeline`; trains (automatic
     features) and saves a model first when none exists at ``model_path``."""
-    with _Scratch(spark):
+    with Scratch(spark):
         flows = materialize(spark, read_capture_flows(spark, capture_dir), "capture-flows")
         features = preprocess(flows)
         model = train_or_load(spark, model_path, features)
@@ -155,7 +154,8 @@ def convert_pipeline(spark: SparkSession, input_path: str, output_path: str) ->
     """Packet-list CSV export to the flow schema, written as CSV, with the
     converter's summary (distinct sources / destinations / protocols, bytes)."""
     from flowlens.sources.packet_list import convert_packet_list, converted_summary, read_packet_list
-    converted = convert_packet_list(read_packet_list(spark, input_path))
-    sinks.sink_converted(converted, output_path)
+    with Scratch(spark):
+        converted = convert_packet_list(read_packet_list(spark, input_path))
+        sinks.sink_converted(converted, output_path)
     written = spark.read.option("header", True).option("inferSchema", True).csv(output_path)
     return {"output": output_path, "summary": converted_summary(written).first().asDict()}
