@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
         return docs.join(wanted, "doc_id").select("set_id", "text") \
             .mapInArrow(_set_maker(shingle_words), "set_id long, n long, items array<long>")
 
-    labels = similarity_components(nodes.where("doc_id is not null").select("set_id", "n", "bands"),
+    labels = similarity_components(nodes.where("doc_id is not null").select("set_id", "bands"),
                                    sets_of, percent, "minmax")
     comp = nodes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left") \
         .withColumn("label", F.coalesce("label", "set_id"))

@@ -132,7 +132,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, shingle_wor
         return docs.join(wanted, "doc_id").select("text", "wanted") \
             .mapInArrow(_set_maker(min_words, shingle_words), "set_id long, n long, items array<long>")
 
-    labels = similarity_components(nodes.where("place.doc_id is not null").select("set_id", "n", "bands"),
+    labels = similarity_components(nodes.where("place.doc_id is not null").select("set_id", "bands"),
                                    sets_of, percent, "paragraph")
     comp = materialize(
         nodes.select("set_id", "place", "copies").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")

@@ -3,26 +3,34 @@ near-duplicate operators.
 
 Nodes are distinct shingle sets (64-bit ``set_id``); equal texts have been
 merged before, so groups of exact copies never reach a bucket. Buckets are
-resolved without enumerating their pairs: every member is verified against
-the bucket's smallest set, components are formed from the verified links, and
-only buckets that still hold several components go on (with the next smallest
-set as centre). What remains after ``STAR_ROUNDS`` are mixed buckets of
-unrelated sets; their untested pairs across components are verified too, so
-no link between sets that share a bucket is lost.
+resolved without enumerating their pairs. Every member is verified against
+the bucket's centre, a set that shares buckets with many of its kind, and
+components are formed from the verified links. Buckets whose other members
+are in several components then go through the difference join below, which
+finds every remaining link between their members, so no link between sets
+that share a bucket is lost.
+
+Difference join. All sets that met at one centre c have one reference r: c,
+but for the elements in which more than half of them differ from c. Let D(x)
+be the symmetric difference of x and r, and g = (1 - t) / (1 + t) for the
+similarity t; sets are linked if |x diff y| <= g (|x| + |y|). If x is far from
+r, |D(x)| > g (|x| + |r|), a link of x and y needs
+|D(x) & D(y)| > L(y) = (|D(y)| - g (|y| - |r|)) / 2, so D(x) holds one of the
+first |D(y)| - floor(L(y)) elements of D(y), in whatever order. Rarest first,
+these are what distinguishes y, and the join on them is small. Sets near r are
+in one component as a rule; those that aren't are paired with the others near r.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import connected_components
 from flowlens.operators.common import materialize
 
-STAR_ROUNDS = 2
-
 
 def jaccard_at_least(percent: int):
     """100 * |A and B| >= percent * |A or B| on columns ``sa``, ``sb`` (arrays of distinct values)."""
@@ -30,62 +38,121 @@ def jaccard_at_least(percent: int):
     return 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Pairs ``(a, b)`` whose full sets reach the threshold. ``sets``: (set_id, n, items)."""
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` with their full sets ``sa`` and ``sb``. ``sets``: (set_id, items)."""
     a = sets.select(F.col("set_id").alias("a"), F.col("items").alias("sa"))
     b = sets.select(F.col("set_id").alias("b"), F.col("items").alias("sb"))
-    return materialize(
-        pairs.join(a, "a").join(b, "b").where(jaccard_at_least(percent)).select("a", "b"), name)
+    return pairs.join(a, "a").join(b, "b")
+
+
+def difference_candidates(members: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """``members(centre, set_id, label)`` -> pairs ``(a, b)`` of different labels
+    that may be linked: all of them that are, among those with one centre."""
+    more, less = 100 + percent, 100 - percent
+    pairs = members.select(F.col("set_id").alias("a"), F.col("centre").alias("b"), "label")
+    differences = materialize(with_sets(pairs, sets).select(
+        F.col("a").alias("set_id"), F.col("b").alias("centre"), "label", F.size("sa").alias("n"),
+        F.size("sb").alias("n_centre"), F.array_except("sa", "sb").alias("more"),
+        F.array_except("sb", "sa").alias("less")), f"{name}-differences")
+    count = materialize(differences.groupBy("centre").agg(F.count("*").alias("members")), f"{name}-sizes")
+    each = differences.select("centre", F.explode(F.concat(
+        F.transform("more", lambda e: F.struct(e.alias("item"), F.lit(1).alias("adds"))),
+        F.transform("less", lambda e: F.struct(e.alias("item"), F.lit(-1).alias("adds"))))).alias("e"))
+    usual = each.groupBy("centre", "e.item", "e.adds").agg(F.count("*").alias("f")).join(count, "centre") \
+        .where("2 * f > members").groupBy("centre") \
+        .agg(F.collect_list("item").alias("usual"), F.sum("adds").cast("int").alias("adds"))   # at most twice a set's size
+    usual = materialize(usual, f"{name}-usual")
+    items = F.concat("more", "less")
+    referred = differences.join(usual, "centre", "left").select(
+        "centre", "set_id", "label", "n", (F.col("n_centre") + F.coalesce("adds", F.lit(0))).alias("n_ref"),
+        F.when(F.col("usual").isNull(), items)
+        .otherwise(F.concat(F.array_except(items, "usual"), F.array_except("usual", items))).alias("items")) \
+        .withColumn("size", F.size("items")) \
+        .withColumn("far", F.expr(f"{more} * size > {less} * (n + n_ref)"))
+    referred = materialize(referred, f"{name}-referred")
+
+    rows = referred.select("centre", "set_id", "label", "n", "n_ref", "size", "far", F.explode("items").alias("item"))
+    # an element of one difference only is no meeting point; it comes first in its set's order
+    shared = materialize(
+        rows.groupBy("centre", "item").agg(F.count("*").alias("f"), F.max("far").alias("any_far"))
+        .where("f > 1 and any_far").select("centre", "item", "f"), f"{name}-elements")
+    meeting = materialize(rows.join(shared, ["centre", "item"]), f"{name}-meeting")
+    of_set = Window.partitionBy("centre", "set_id")
+    first = meeting.withColumn("of", F.count("*").over(of_set)) \
+        .withColumn("r", F.row_number().over(of_set.orderBy("f", "item"))) \
+        .withColumn("needed", F.expr(f"({more} * size - {less} * (n - n_ref)) div {2 * more}")) \
+        .where("r <= of - needed")
+    x = meeting.where("far").select("centre", "item", F.col("set_id").alias("x"), F.col("label").alias("lx"))
+    y = first.select("centre", "item", F.col("set_id").alias("y"), F.col("label").alias("ly"))
+    by_item = x.join(y, ["centre", "item"]).where("x <> y and lx <> ly").select("x", "y")
+
+    near = referred.where("not far").select("centre", "set_id", "label")
+    main = near.groupBy("centre", "label").agg(F.count("*").alias("f")).groupBy("centre") \
+        .agg(F.max_by("label", F.struct("f", "label")).alias("main"))
+    apart = near.join(materialize(main, f"{name}-main"), "centre").where("label <> main")
+    by_reference = apart.select("centre", F.col("set_id").alias("x"), F.col("label").alias("lx")) \
+        .join(near.select("centre", F.col("set_id").alias("y"), F.col("label").alias("ly")), "centre") \
+        .where("lx <> ly").select("x", "y")
+    return by_item.unionByName(by_reference) \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _best(seen: DataFrame, side: str, name: str) -> DataFrame:
+    """``seen(key, set_id, c)`` with the largest ``c`` of each key or set."""
+    best = materialize(seen.groupBy(side).agg(F.max("c").alias("best")), name)
+    return seen.join(best, side).select("key", "set_id", F.col("best").alias("c"))
 
 
 def similarity_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
                           percent: int, name: str) -> DataFrame:
-    """``nodes(set_id, n, bands array<long>)``, one row per set -> ``(node, label)``
+    """``nodes(set_id, bands array<long>)``, one row per set -> ``(node, label)``
     for every set linked to another one.
 
-    ``sets_of(ids)`` gives ``(set_id, n, items array<long>)`` for a table of ids.
+    ``sets_of(ids)`` gives ``(set_id, items array<long>)`` for a table of ids.
     """
-    keyed = nodes.select("set_id", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("set_id", F.explode("bands").alias("key"))
     shared = materialize(
-        keyed.groupBy("key").agg(F.min("set_id").alias("centre"), F.max("set_id").alias("last"))
-        .where("centre <> last").select("key", "centre"), f"{name}-shared")
-    members = materialize(
-        keyed.join(shared, "key").select("key", "centre", "set_id", "n"), f"{name}-members")
+        keyed.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("size"))
+        .where("lo <> hi").select("key", "size"), f"{name}-shared")
+    members = materialize(keyed.join(shared, "key"), f"{name}-members")
     sets = materialize(sets_of(members.select("set_id").distinct()), f"{name}-sets")
 
-    def size_fits(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    links = None
-    open_members = members.select("key", "centre", "set_id", "n", F.col("set_id").alias("label"))
-    for turn in range(STAR_ROUNDS):
-        # n of the centre comes with the verification, the size filter with it
-        pairs = materialize(
-            open_members.where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
-            .distinct(), f"{name}-pairs")
-        found = verified(pairs, sets, percent, f"{name}-links")
-        links = found if links is None else materialize(links.unionByName(found), f"{name}-links")
-        labels = connected_components(links, f"{name}-cc")
-        labelled = open_members.drop("label") \
-            .join(labels.withColumnRenamed("node", "set_id"), "set_id", "left") \
-            .withColumn("label", F.coalesce("label", "set_id"))
-        labelled = materialize(labelled, f"{name}-labelled")
-        # the centre has met every member; a bucket stays open while the others are in several components
-        rest = labelled.where("set_id <> centre")
-        mixed = materialize(
-            rest.groupBy("key").agg(F.min("set_id").alias("next"), F.min("label").alias("lo"),
-                                    F.max("label").alias("hi"))
-            .where("lo <> hi").select("key", "next"), f"{name}-mixed")
-        open_members = materialize(
-            rest.join(mixed, "key").select("key", F.col("next").alias("centre"), "set_id", "n", "label"),
-            f"{name}-open")
-        if open_members.isEmpty():
-            return labels
-    # Mixed buckets: every untested pair of different components, once.
-    left = open_members.select("key", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = open_members.select("key", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = materialize(
-        left.join(right, "key").where(F.expr("a < b and la <> lb") & size_fits("na", "nb"))
-        .select("a", "b").distinct(), f"{name}-pairs")
-    found = verified(pairs, sets, percent, f"{name}-links")
+    def linked(stars: DataFrame) -> DataFrame:
+        pairs = stars.select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct()
+        return materialize(with_sets(materialize(pairs, f"{name}-pairs"), sets)
+                           .where(jaccard_at_least(percent)).select("a", "b"), f"{name}-links")
+
+    def unsettled(stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """``stars(key, set_id, centre)`` with labels, of buckets that hold several."""
+        rows = materialize(
+            stars.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+            .withColumn("label", F.coalesce("label", "set_id")), f"{name}-labelled")
+        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        return materialize(rows.join(materialize(mixed.select("key"), f"{name}-mixed"), "key", "left_semi"),
+                           f"{name}-unsettled")
+
+    met = members.groupBy("set_id").agg(F.sum("size").alias("met"))
+    own = materialize(
+        members.select("key", "set_id").join(materialize(met, f"{name}-met"), "set_id")
+        .select("key", "set_id", F.struct("met", "set_id").alias("c")), f"{name}-own")
+    centred = materialize(_best(own, "key", f"{name}-best"), f"{name}-centred")
+    stars = centred.select("key", "set_id", F.col("c.set_id").alias("centre"))
+    links = linked(stars.where("set_id <> centre"))
+    labels = connected_components(links, f"{name}-cc")
+    rest = unsettled(stars, labels)
+
+    # A set's reference is the best connected centre of all its buckets; an unsettled bucket's new
+    # centre is its members' best connected reference: near copies of one text meet at that text.
+    references = materialize(_best(centred, "set_id", f"{name}-best"), f"{name}-references")
+    far = _best(references.join(rest.select("key").distinct(), "key", "left_semi"), "key", f"{name}-best")
+    far = materialize(far.select("key", "set_id", F.col("c.set_id").alias("centre")).where("set_id <> centre"),
+                      f"{name}-far")
+    far_links = linked(far)
+    links = materialize(links.unionByName(far_links), f"{name}-links")
+    labels = connected_components(links, f"{name}-cc")
+    rest = unsettled(far, labels).select("centre", "set_id", "label").distinct()
+    candidates = materialize(difference_candidates(rest, sets, percent, name), f"{name}-candidates")
+    found = materialize(with_sets(candidates, sets).where(jaccard_at_least(percent)).select("a", "b"), f"{name}-found")
+    if found.isEmpty():
+        return labels
     return connected_components(links.unionByName(found), f"{name}-cc")
