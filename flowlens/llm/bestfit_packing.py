@@ -37,58 +37,66 @@ _CACHE_WORDS = 400_000       # a task's memory of words already tokenized; it is
 
 # --- tokens -----------------------------------------------------------------
 
-class WordIds:
-    """Token ids (little-endian uint32 bytes) of whole texts, word by word.
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's character for every byte: printable ones stand for
+    themselves, the others for U+0100 onwards, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in own else next(others)) for b in range(256)}
+
+
+class WordIds(dict):
+    """Token ids (little-endian uint32 bytes) of whole texts, chunk by chunk; the
+    dict holds the chunks seen.
 
     For tokenizers that drop white space and never merge across it, a text's
     ids are its white-space separated chunks' ids in order, so each distinct
-    chunk is tokenized once per task. ASCII chunks of letters followed by
-    punctuation split there, which the pre-tokenizer does as well. Texts with
-    x1C-x1F, which Python counts as white space and the tokenizer doesn't, go
-    to the tokenizer whole.
+    chunk is tokenized once per task. A chunk of Latin-1 letters with ASCII
+    marks after them is two pre-tokens: the letters go to the BPE model as
+    they are after normalising and the byte mapping, the marks are looked up.
+    All other chunks, and texts with x1C-x1F, which Python counts as white
+    space and the tokenizer doesn't, go through the tokenizer whole.
     """
 
-    _letters_then_marks = re.compile(r"([A-Za-z]+)([^A-Za-z0-9'\s]+)\Z", re.ASCII)
+    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     _odd_space = re.compile("[\x1c-\x1f]")
+    _wide = re.compile("[^\x00-\xff]")
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        outer = self
-
-        class Pieces(dict):
-            def __missing__(self, s):
-                if len(self) >= _CACHE_WORDS:
-                    self.clear()
-                v = self[s] = outer.plain(s)
-                return v
-
-        class Chunks(dict):
-            def __missing__(self, s):
-                if len(self) >= _CACHE_WORDS:
-                    self.clear()
-                v = self[s] = outer.chunk(s)
-                return v
-
-        self.pieces, self.chunks = Pieces(), Chunks()
+        self.words: dict[str, bytes] = {}
+        self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = str.maketrans(_byte_letters())
 
     def plain(self, s: str) -> bytes:
         ids = self.tokenizer.encode(s, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def chunk(self, s: str) -> bytes:
-        if s.isascii():
-            if s.isalpha():
-                return self.pieces[s.lower()]
-            m = self._letters_then_marks.match(s)
-            if m:
-                return self.pieces[m[1].lower()] + self.pieces[m[2]]
-        return self.pieces[s]
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        word = chunk.rstrip(self._marks)
+        if word.isalpha() and not self._wide.search(word):
+            word = word.lower()
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) >= _CACHE_WORDS:
+                    self.words.clear()
+                mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = self.words[word] = b"".join([self.bytes_of[t.id] for t in self.tokenizer.model.tokenize(mapped)])
+            if len(word) < len(chunk):
+                ids += self[chunk[len(word):]]
+        else:
+            ids = self.plain(chunk)
+        self[chunk] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if self._odd_space.search(text):
             return self.plain(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def tokenizer_file(name: str) -> str:
