@@ -8,20 +8,25 @@ until few rows change. Each round is a join of the edges with the vectors and
 two groupings. A vector that many others point to has its neighbourhood cut
 into parts, so no group is unbounded and nobody is left out.
 
-Queries walk the graph greedily: from a query's own node, or the nearest of a
-bounded sample of entry nodes, the best unexpanded nodes' neighbours are
-joined in, and the best ``EF`` are kept, until nothing better turns up. The
-found vectors are then measured exactly, in double precision.
+Queries walk the graph, in both directions of its edges, greedily: from a
+query's own node, or the nearest of a bounded sample of entry nodes, the best
+``WIDTH`` unexpanded nodes' neighbours are joined in and the best ``EF`` are
+kept, until nothing better turns up. The adjacency table holds the
+neighbours' vectors and is bucketed by node, so each hop shuffles the
+queries' few open nodes only. The nodes found are then measured exactly, in
+double precision.
 
 Equal vectors are one node; of each the ``k + 1`` smallest vec_ids stay, which
-is exact, as ties go to the smaller vec_id. Graph rounds use half-precision
-unit vectors; scores never do. Vectors that are NULL, zero or hold NULL or
+is exact, as ties go to the smaller vec_id. Graph rounds use unit vectors of
+8-bit components; scores never do. Vectors that are NULL, zero or hold NULL or
 non-finite components, and rows without a vec_id, take no part; shorter
 vectors count as filled up with zeros.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -29,33 +34,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.common import materialize
+from flowlens.operators.common import materialize, track_table
+from flowlens.session import checkpoint_dir
 
-K = 14                # neighbours per node
-EF = 32               # nodes kept per query
-WIDTH = 8             # nodes expanded per query and hop
+K = 20                # neighbours per node
+EF = 200              # nodes kept per query
+WIDTH = 32            # nodes expanded per query and hop
 BLOCK = 128           # vectors per block of the start graph
 STARTS = 2            # start graphs
-ROUNDS = 5            # NN-descent rounds at most
-MIN_CHANGE = 0.01     # a round that changes a smaller share of the edges is the last
+ROUNDS = 6            # NN-descent rounds at most
+MIN_CHANGE = 0.02     # a round that changes a smaller share of the edges is the last
 PART = 64             # members of a neighbourhood compared together
-HOPS = 12             # expansions per query at most
+OFFERS = 5            # candidates a member takes from one neighbourhood
+HOPS = 24             # expansions per query at most
 ENTRIES = 512         # entry nodes for queries that are not in the index
 
 
 # --- vectors in Arrow batches ------------------------------------------------
 
-def _unit_half(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to unit length (via their largest component, against overflow), float16."""
+def _codes(x: np.ndarray) -> list[bytes]:
+    """Rows scaled to unit length, as 8-bit components and a float32 factor."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f2")
+    x = x / np.abs(x).max(axis=1, keepdims=True)             # against overflow of the squares
+    small = np.round(x * 127).astype(np.int8)
+    factor = 1 / np.sqrt((small.astype(np.float64) ** 2).sum(axis=1))
+    return [row.tobytes() + f.tobytes() for row, f in zip(small, factor.astype("<f4"))]
 
 
-def _halves(column) -> np.ndarray:
+def _vectors(column) -> np.ndarray:
+    """The float32 unit vectors of a column of codes."""
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<f2").reshape(len(raw), -1).astype(np.float32) if raw \
-        else np.zeros((0, 1), np.float32)
+    if not raw:
+        return np.zeros((0, 1), np.float32)
+    data = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    factor = np.ascontiguousarray(data[:, -4:]).view("<f4")
+    return data[:, :-4].view(np.int8).astype(np.float32) * factor
 
 
 def _packed(dim: int):
@@ -67,9 +80,8 @@ def _packed(dim: int):
             x = np.zeros((len(lists), dim))
             for i, v in enumerate(lists):
                 x[i, :len(v)] = v
-            half = _unit_half(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.tobytes() for h in half], pa.binary())], names=["node", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_codes(x), pa.binary())],
+                                             names=["node", "code"])
     return run
 
 
@@ -87,7 +99,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 def _compare(members, k: int):
     """Pairwise similarities inside each row's list; candidates better than a
-    member's worst neighbour, at most the k best per member and list."""
+    member's worst neighbour, at most the ``k`` best per member and list."""
     def run(batches):
         for batch in batches:
             col = batch.column(members)
@@ -96,12 +108,12 @@ def _compare(members, k: int):
             node = flat.field("node").to_numpy(zero_copy_only=False)
             worst = flat.field("worst").to_numpy(zero_copy_only=False)
             new = flat.field("new").to_numpy(zero_copy_only=False)
-            half = _halves(flat.field("half"))
+            unit = _vectors(flat.field("code"))
             src, dst, sim = [], [], []
             for a, b in zip(offsets[:-1], offsets[1:]):
                 if b - a < 2:
                     continue
-                s = half[a:b] @ half[a:b].T
+                s = unit[a:b] @ unit[a:b].T
                 np.fill_diagonal(s, -2)
                 s[~(new[a:b, None] | new[None, a:b])] = -2
                 s[s <= worst[a:b, None]] = -2
@@ -135,31 +147,30 @@ def _start(vectors: DataFrame, n: int, dim: int, k: int, seed: int) -> DataFrame
     bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
     planes = np.random.default_rng(seed).standard_normal((dim, bits)).astype(np.float32)
 
-    def side(batches):
+    def sides(batches):
         for batch in batches:
-            x = _halves(batch.column(1))
-            code = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits and len(x) \
+            x = _vectors(batch.column(1))
+            side = ((x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits and len(x) \
                 else np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code)],
-                                             names=["node", "half", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(side)],
+                                             names=["node", "code", "block"])
 
-    coded = materialize(vectors.mapInArrow(side, "node long, half binary, block long"), "nn-blocks")
+    coded = materialize(vectors.mapInArrow(sides, "node long, code binary, block long"), "nn-blocks")
     sizes = coded.groupBy("block").agg(F.count("*").alias("n"))
     parts = coded.join(materialize(sizes, "nn-block-sizes"), "block") \
         .withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / (2 * BLOCK))))
     return parts.groupBy("block", "part").agg(F.collect_list(F.struct(
-        "node", "half", F.lit(-1.5).cast("float").alias("worst"), F.lit(True).alias("new"))).alias("members")) \
+        "node", "code", F.lit(-1.5).cast("float").alias("worst"), F.lit(True).alias("new"))).alias("members")) \
         .select("members").mapInArrow(_compare(0, k), _EDGES)
 
 
 def neighbour_graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """``vectors(node, half)`` -> ``(src, dst, sim)``: approximately the k nearest
+    """``vectors(node, code)`` -> ``(src, dst, sim)``: approximately the k nearest
     nodes of each node."""
-    first = vectors.select("half").first()
+    first = vectors.select("code").first()
     if first is None:
         return vectors.sparkSession.createDataFrame([], _EDGES)
-    n, dim = vectors.count(), len(first["half"]) // 2
-    # the last start is blocks of random vectors: links between far parts of the space
+    n, dim = vectors.count(), len(first["code"]) - 4
     starts = [_start(vectors, n, dim, k, seed) for seed in range(STARTS)]
     graph = materialize(_best(reduce(DataFrame.unionByName, starts).withColumn("new", F.lit(True)), k), "nn-graph")
     for _ in range(rounds):
@@ -176,8 +187,8 @@ def neighbour_graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> Dat
         spread = both.join(sizes, "centre").withColumn(
             "part", F.pmod(F.xxhash64("centre", "node"), F.ceil(F.col("n") / PART)))
         lists = spread.select("centre", "part", "node", "new").join(known, "node") \
-            .groupBy("centre", "part").agg(F.collect_list(F.struct("node", "half", "worst", "new")).alias("members"))
-        found = lists.select("members").mapInArrow(_compare(0, k), _EDGES).withColumn("new", F.lit(True))
+            .groupBy("centre", "part").agg(F.collect_list(F.struct("node", "code", "worst", "new")).alias("members"))
+        found = lists.select("members").mapInArrow(_compare(0, OFFERS), _EDGES).withColumn("new", F.lit(True))
         old = graph.select("src", "dst", "sim", F.lit(False).alias("new"))
         graph = materialize(_best(old.unionByName(found), k), "nn-graph")
         changed = graph.agg(F.avg(F.col("new").cast("int"))).first()[0] or 0.0
@@ -189,62 +200,106 @@ def neighbour_graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> Dat
 # --- search ------------------------------------------------------------------
 
 def _score_pairs(batches):
-    """(query_id, node, q half, half) -> (query_id, node, sim)."""
+    """(query_id, node, query's code, node's code) -> (query_id, node, sim)."""
     for batch in batches:
-        a, b = _halves(batch.column(2)), _halves(batch.column(3))
+        a, b = _vectors(batch.column(2)), _vectors(batch.column(3))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b) if len(a) else a[:, 0])],
             names=["query_id", "node", "sim"])
 
 
+def _expand(batches):
+    """(query_id, code, worst, near: list of (node, code)) -> neighbours better than the worst kept."""
+    for batch in batches:
+        near = batch.column(3)
+        flat, offsets = near.flatten(), near.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        nodes, codes = flat.field("node").to_numpy(zero_copy_only=False), flat.field("code")
+        q, worst = _vectors(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+        ids, out = batch.column(0).to_numpy(zero_copy_only=False), ([], [], [])
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            sim = _vectors(codes.slice(a, b - a)) @ q[i]
+            keep = np.flatnonzero(sim > worst[i])
+            for column, values in zip(out, (np.full(len(keep), ids[i]), nodes[a:b][keep], sim[keep])):
+                column.append(values)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
+                                             names=["query_id", "node", "sim"])
+
+
+def adjacency(graph: DataFrame, vectors: DataFrame) -> str:
+    """Name of the table ``(at, near)``: the neighbours of each node along edges of either
+    direction, with their codes, in parts of about ``PART``; a table bucketed by
+    ``at`` under the shared checkpoint folder."""
+    spark = graph.sparkSession
+    edges = graph.select(F.col("src").alias("at"), F.col("dst").alias("node")) \
+        .unionByName(graph.select(F.col("dst").alias("at"), F.col("src").alias("node"))).distinct()
+    edges = materialize(edges, "nn-edges")
+    sizes = materialize(edges.groupBy("at").agg(F.count("*").alias("n")), "nn-degrees")
+    lists = edges.join(sizes, "at").withColumn("part", F.pmod(F.xxhash64("at", "node"), F.ceil(F.col("n") / PART))) \
+        .join(vectors, "node").groupBy("at", "part") \
+        .agg(F.collect_list(F.struct("node", "code")).alias("near")).select("at", "near")
+    name = f"nn_adjacency_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = os.path.join(checkpoint_dir(spark), name)
+    lists.repartition(buckets, "at").write.bucketBy(buckets, "at").sortBy("at") \
+        .option("path", path).format("parquet").saveAsTable(name)
+    track_table(path)
+    return name
+
+
 def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: int = EF, width: int = WIDTH,
                  hops: int = HOPS) -> DataFrame:
-    """``queries(query_id, node, half)`` -> ``(query_id, node, sim)``: the ``ef``
+    """``queries(query_id, node, code)`` -> ``(query_id, node, sim)``: the ``ef``
     nearest nodes found by greedy search. ``node`` is the query's own node in
     the graph, where it has one."""
     spark = graph.sparkSession
-    graph = graph.select(F.col("src").alias("at"), F.col("dst").alias("node"))
+    table = adjacency(graph, vectors)
+    near = spark.table(table)
     pairs = "query_id long, node long, sim float"
-    q = queries.select("query_id", F.col("half").alias("q"))
-
-    def scored(candidates: DataFrame) -> DataFrame:
-        return candidates.join(vectors, "node").join(q, "query_id") \
-            .select("query_id", "node", "q", "half").mapInArrow(_score_pairs, pairs)
+    q = queries.select("query_id", "code")
 
     own = queries.join(vectors.select("node"), "node", "left_semi").select("query_id", "node")
-    strangers = queries.join(vectors.select("node"), "node", "left_anti").select("query_id", "half")
+    strangers = queries.join(vectors.select("node"), "node", "left_anti").select("query_id", "code")
     entries = [tuple(r) for r in vectors.orderBy(F.xxhash64("node", F.lit(1))).limit(ENTRIES).collect()]
     shared = spark.sparkContext.broadcast(entries)        # ENTRIES vectors
 
     def enter(batches):
         ids = np.array([e[0] for e in shared.value], np.int64)
-        x = np.frombuffer(b"".join(bytes(e[1]) for e in shared.value), "<f2").astype(np.float32).reshape(len(ids), -1)
+        x = _vectors(pa.array([bytes(e[1]) for e in shared.value], pa.binary()))
         for batch in batches:
-            s = _halves(batch.column(1))
-            if not len(s):
+            if not batch.num_rows or not len(ids):
                 continue
-            top = np.argsort(-(s @ x.T), axis=1)[:, :width]
+            top = np.argsort(-(_vectors(batch.column(1)) @ x.T), axis=1)[:, :width]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(batch.column(0).to_numpy(), top.shape[1])), pa.array(ids[top].ravel())],
                 names=["query_id", "node"])
 
     start = own.unionByName(strangers.mapInArrow(enter, "query_id long, node long"))
+    start = start.join(vectors, "node").join(q.withColumnRenamed("code", "q"), "query_id") \
+        .select("query_id", "node", "q", "code").mapInArrow(_score_pairs, pairs)
     beam_of = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
     open_of = Window.partitionBy("query_id", "done").orderBy(F.desc("sim"), "node")
-    beam = materialize(scored(start).withColumn("done", F.lit(False)), "nn-beam")
+    of_query = Window.partitionBy("query_id")
+
+    def ranked(beam: DataFrame) -> DataFrame:
+        """The ef best, which of them are expanded next, and the worst kept similarity once ef are there."""
+        return materialize(
+            beam.withColumn("r", F.row_number().over(beam_of)).where(F.col("r") <= ef)
+            .withColumn("turn", ~F.col("done") & (F.row_number().over(open_of) <= width))
+            .withColumn("worst", F.when(F.count("*").over(of_query) >= ef, F.min("sim").over(of_query))
+                        .otherwise(F.lit(-2.0)).cast("float")).drop("r"), "nn-beam")
+
+    beam = ranked(start.withColumn("done", F.lit(False)))
     for _ in range(hops):
-        ranked = beam.withColumn("open", F.row_number().over(open_of)) \
-            .withColumn("turn", ~F.col("done") & (F.col("open") <= width))
-        ranked = materialize(ranked.select("query_id", "node", "sim", "done", "turn"), "nn-turn")
-        front = ranked.where("turn").select("query_id", F.col("node").alias("at"))
-        reached = front.join(graph, "at").select("query_id", "node").distinct() \
-            .join(ranked.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        fresh = scored(reached).withColumn("done", F.lit(False))
-        merged = ranked.select("query_id", "node", "sim", (F.col("done") | F.col("turn")).alias("done")).unionByName(fresh)
-        beam = materialize(
-            merged.withColumn("r", F.row_number().over(beam_of)).where(F.col("r") <= ef).drop("r"), "nn-beam")
-        if beam.where(~F.col("done")).isEmpty():
+        front = beam.where("turn").select("query_id", F.col("node").alias("at"), "worst").join(q, "query_id")
+        if front.isEmpty():
             break
+        found = front.join(near, "at").select("query_id", "code", "worst", "near").mapInArrow(_expand, pairs)
+        kept = beam.select("query_id", "node", "sim", (F.col("done") | F.col("turn")).alias("done"))
+        beam = ranked(kept.unionByName(found.withColumn("done", F.lit(False)))
+                      .groupBy("query_id", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done")))
+    spark.sql(f"drop table {table}")
     return beam.select("query_id", "node", "sim")
 
 
@@ -283,12 +338,12 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = K, ef: i
                           .where(F.col("r") <= k + 1).drop("r"), "nn-members")
     shapes = materialize(rows.join(members, ["node", "vec_id"]).groupBy("node")
                          .agg(F.min_by("embedding", "vec_id").alias("embedding")), "nn-shapes")
-    vectors = materialize(shapes.select("node", "embedding").mapInArrow(_packed(dim), "node long, half binary"),
+    vectors = materialize(shapes.select("node", "embedding").mapInArrow(_packed(dim), "node long, code binary"),
                           "nn-vectors")
     graph = neighbour_graph(vectors, graph_k, rounds)
     asked = materialize(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "node"), "nn-queries")
     # equal query vectors are searched once
-    searched = asked.select("node").distinct().join(vectors, "node").select(F.col("node").alias("query_id"), "node", "half")
+    searched = asked.select("node").distinct().join(vectors, "node").select(F.col("node").alias("query_id"), "node", "code")
     beam = graph_search(graph, vectors, materialize(searched, "nn-searched"), ef)
     pairs = beam.select(F.col("query_id").alias("q_node"), "node")
     exact = pairs.join(shapes.withColumnRenamed("node", "q_node").withColumnRenamed("embedding", "x"), "q_node") \
