@@ -180,9 +180,11 @@ def read_records(selected: DataFrame, folder: str, gap: int = GAP_BYTES, with_pa
     page_id, payload_bytes, payload_digest, record_type, refers_to (and the
     payload, empty for revisits). Every record is checked against its digest."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    # as many tasks as stretches: index rows are small, so they must not be merged by their own size
     return selected.select("file", "offset", "length", "page_id") \
         .withColumn("stretch", F.floor(F.col("offset") / STRETCH_BYTES)) \
-        .repartition("file", "stretch").sortWithinPartitions("file", "offset") \
+        .repartition(1 + total // STRETCH_BYTES, "file", "stretch").sortWithinPartitions("file", "offset") \
         .mapInArrow(_reader(folder, gap, with_payload), schema + ", payload binary" * with_payload)
 
 
