@@ -37,10 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"flowlens-{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    track_table(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def track_table(path: str) -> None:
+    """Count a folder this process wrote among the intermediate tables."""
     _CREATED.append(path)
     if _RUN.get() is not None:
         _RUN.get().append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
