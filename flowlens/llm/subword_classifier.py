@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings (fastText's model).
 
-A text's features are its words, word pairs and character n-grams (bytes of a
-word between its boundaries), hashed into ``buckets`` learned vectors. The
+A text's features are its words, word pairs (a word said twice in a row is one
+feature, whatever the word) and character n-grams (bytes of a word between its
+boundaries), hashed into ``buckets`` learned vectors. The
 vectors are averaged over the whole text, a softmax over two classes follows,
 and both are trained by stochastic gradient descent in numpy. Case and
 punctuation are kept: words are runs of bytes other than x20, x09-x0D.
@@ -28,10 +29,11 @@ from flowlens.operators.common import materialize
 SAMPLE = 6000            # labelled texts the model is fitted on, at most
 BUCKETS = 1 << 18
 DIM = 8
-EPOCHS = 6
+STEPS = 36_000          # texts seen in training, over as many passes as that takes
 RATE = 0.5
 BYTE_NGRAMS = (3, 4)
 THRESHOLD = 0.3
+_SAME_WORD = np.uint64(0x2545F4914F6CDD1D)
 FOLDS = 5                # crc32(doc_id) mod 5 = 0 is held out
 
 
@@ -45,7 +47,7 @@ def _hashed(texts: list):
     yield h, owner[starts]
     if len(h) > 1:
         pair = np.flatnonzero(owner[starts[1:]] == owner[starts[:-1]])
-        yield vt.rolling(h, 2)[pair], owner[starts[pair]]
+        yield np.where(h[pair] == h[pair + 1], _SAME_WORD, vt.rolling(h, 2)[pair]), owner[starts[pair]]
     # n-grams of " word ": a boundary may be the first or last byte, not an inner one
     values = vt._byte_values(np.zeros(256, bool))
     values = np.concatenate([values[0x20:0x21], values[np.where(space, np.uint8(0x20), buf)]])
@@ -84,14 +86,15 @@ def _mean_weights(texts: list, weights: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, dim: int = DIM,
-        epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
+        total_steps: int = STEPS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """SGD over (feature buckets, their shares of the text, label) -> one weight
     per bucket and a bias: softmax([z0, z1])[1] = sigmoid(mean weight + bias)."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    steps, t = max(1, epochs * len(rows)), 0
-    for _ in range(epochs):
+    passes = -(-total_steps // len(rows))
+    steps, t = passes * len(rows), 0
+    for _ in range(passes):
         for j in rng.permutation(len(rows)):
             ids, share, label = rows[j]
             lr = rate * (1 - t / steps)
@@ -115,7 +118,7 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS,
-          dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
+          dim: int = DIM, total_steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float]:
     """Fit on ``labels(doc_id, quality)`` joined with ``docs(doc_id, text)``,
     without the held-out fold. Of several labels of a document the smallest
     counts; labels other than 0 and 1 and NULL ids are ignored. Without both
@@ -145,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
         rows = sorted((d, i, s, q) for batch in batches for d, q, i, s in zip(*(c.to_pylist() for c in batch.columns)))
         data = [(np.frombuffer(i, "<i4"), np.frombuffer(s, "<f4"), q) for _, i, s, q in rows if i]
         if len({q for *_, q in data}) == 2:
-            weights, bias = fit(data, buckets, dim, epochs, rate)
+            weights, bias = fit(data, buckets, dim, total_steps, rate)
         else:
             ones, n = sum(r[3] for r in rows), len(rows)
             weights, bias = np.zeros(buckets, np.float32), float(np.log((ones + 1) / (n - ones + 1)))

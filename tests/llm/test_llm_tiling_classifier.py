@@ -125,7 +125,7 @@ def test_gradient_step_lowers_the_loss_and_folding_is_exact():
         ids = rng.integers(0, 50, 20) + 50 * (i % 2)
         u, n = np.unique(ids, return_counts=True)
         rows.append((u.astype(np.int32), (n / n.sum()).astype(np.float32), i % 2))
-    weights, bias = fit(rows, buckets=128, epochs=4)
+    weights, bias = fit(rows, buckets=128, total_steps=800)
     p = np.array([1 / (1 + np.exp(-(s @ weights[i] + bias))) for i, s, _ in rows])
     assert ((p > 0.5) == np.array([q for *_, q in rows])).all()
 
@@ -134,7 +134,7 @@ def test_classifier_edge_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, None), (None, ""), (3, "x" * 100_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["score"] for r in quality_scores(docs, none).collect()] == [0.5] * 5
-    ones = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (3, 0)], "doc_id long, quality int")
+    ones = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (3, 1)], "doc_id long, quality int")
     scores = {r["score"] for r in quality_scores(docs, ones).collect()}
     assert len(scores) == 1 and 0.5 <= scores.pop() < 1
     assert quality_scores(docs.limit(0), ones).count() == 0
