@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from flowlens.operators.common import materialize, track_table
 from flowlens.session import checkpoint_dir
 
-K = 20                # neighbours per node
-EF = 200              # nodes kept per query
+K = 28                # neighbours per node
+EF = 256              # nodes kept per query
 WIDTH = 32            # nodes expanded per query and hop
 BLOCK = 128           # vectors per block of the start graph
 STARTS = 2            # start graphs
