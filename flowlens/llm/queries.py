@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import host_reputation, license_rules, warc_index
+from flowlens.llm import host_reputation, license_rules, quotation_links, warc_index
 from flowlens.llm.bestfit_packing import pack_documents
 from flowlens.llm.minmax_dedup import near_duplicates
 from flowlens.llm.nn_descent import nearest
@@ -134,6 +134,7 @@ from c join s on s.id = c.id join s f on f.id = c.r
 """
 
 ORACLE = {
+    "op1_quotation_links": quotation_links.ORACLE_SQL,
     "op3_host_reputation": host_reputation.oracle_sql(),
     "op5_minmax_dedup": _OP5_SQL,
     "op6_warc_index": warc_index.ORACLE_SQL,

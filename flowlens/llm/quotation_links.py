@@ -179,3 +179,59 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
         .select("conv_id", "turn", "role", "text",
                 F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
                 "parent_conv", "parent_turn", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
+ORACLE_SQL = r"""
+with recursive m as (
+  select row_number() over () as id, conv_id, turn, role, coalesce(text, '') as text from conversations),
+l as (
+  select id, conv_id, turn, generate_subscripts(ls, 1) as i, unnest(ls) as line
+  from (select *, regexp_split_to_array(text, '\r?\n') as ls from m)),
+p as (
+  select id, conv_id, turn, i, len(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) as level,
+    regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') as line
+  from l),
+own as (
+  select id, coalesce(regexp_replace(string_agg(line, chr(10) order by i) filter (level = 0), '^\s+|\s+$', '', 'g'), '') as own
+  from p group by id),
+g as (select *, i - row_number() over (partition by id, level order by i) as run from p),
+r as (
+  select id, conv_id, turn, level, run, trim(regexp_replace(lower(string_agg(line, ' ' order by i)), '\s+', ' ', 'g')) as u
+  from g where level > 0 group by id, conv_id, turn, level, run),
+q as (
+  select distinct conv_id, turn, level, u from (
+    select conv_id, turn, level, u from r where u <> ''
+    union all
+    select g.conv_id, g.turn, g.level, trim(regexp_replace(lower(g.line), '\s+', ' ', 'g'))
+    from g join r on r.id = g.id and r.level = g.level and r.run = g.run and r.u <> '')
+  where u <> '' and conv_id is not null and turn is not null),
+said as (
+  select distinct conv_id, turn, u from (
+    select conv_id, turn, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as u from p where level = 0
+    union all
+    select conv_id, turn, trim(regexp_replace(lower(own), '\s+', ' ', 'g')) from m join own using (id))
+  where u <> '' and conv_id is not null and turn is not null),
+here as (
+  select q.conv_id, q.turn, q.level, q.u, max(s.turn) as t
+  from q left join said s on s.conv_id = q.conv_id and s.u = q.u and s.turn < q.turn group by all),
+f as (select u, min(row(conv_id, turn)) as f from said group by u),
+link as (
+  select here.conv_id, here.turn, level, u, length(u) as n,
+    case when t is not null then here.conv_id when f[1] <> here.conv_id then f[1] end as sc,
+    case when t is not null then t when f[1] <> here.conv_id then f[2] end as st
+  from here left join f using (u)),
+par as (
+  select conv_id, turn, max(row(-level, n, (sc = conv_id)::int, st, sc)) as best, count(*) as n_links
+  from link where st is not null group by 1, 2),
+pt as (select conv_id, turn, best[5] as pc, best[4] as pt, n_links from par),
+up as (
+  select conv_id, turn, pt as up_turn, 1 as depth from pt where pc = conv_id
+  union all
+  select up.conv_id, up.turn, pt.pt, up.depth + 1 from up join pt on pt.conv_id = up.conv_id and pt.turn = up.up_turn
+    and pt.pc = pt.conv_id),
+th as (select conv_id, turn, arg_max(up_turn, depth) as root, max(depth) as depth from up group by 1, 2)
+select m.conv_id, m.turn, m.role, own.own as text, coalesce(th.root, m.turn) as thread_turn,
+  cast(coalesce(th.depth, 0) as int) as depth, pt.pc as parent_conv, pt.pt as parent_turn, coalesce(pt.n_links, 0) as n_links
+from m join own using (id) left join pt on pt.conv_id = m.conv_id and pt.turn = m.turn
+  left join th on th.conv_id = m.conv_id and th.turn = m.turn
+"""

@@ -161,6 +161,35 @@ def test_derived_replies_give_the_originals_back(spark):
         assert place[0].strip() == text.strip() and place[1:3] == (start[c], t - start[c])
 
 
+def test_linked_conversations_equal_sql(spark):
+    import random
+
+    from flowlens.llm import quotation_links
+    rng = random.Random(8)
+    said = ["Hello there", "yes", "I think  so", "Why NOT?", "the plan is\ngood", "ok"]
+    rows = []
+    for c in range(12):
+        texts = []
+        for t in range(rng.randrange(1, 14)):
+            parts = []
+            if texts and rng.random() < 0.7:
+                quoted = rng.choice(texts if rng.random() < 0.8 else said)
+                parts += [rng.choice([">", "> ", " > ", ">>", "> > "]) + x for x in quoted.split("\n")]
+            if rng.random() < 0.9:
+                parts.insert(rng.choice([0, len(parts)]), rng.choice(said))
+            text = "\n".join(parts)
+            texts.append(text)
+            rows.append((c, t, "user", text))
+    rows += [rows[3], (None, 1, "user", "> yes"), (3, None, "user", "yes"), (40, 0, None, None)]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    want = con.execute(quotation_links.ORACLE_SQL).fetchall()
+    got = linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    assert sum(r["depth"] > 1 for r in got) > 5 and any(r["parent_conv"] not in (None, r["conv_id"]) for r in got)
+
+
 def test_quotation_edge_rows(spark):
     rows = [(None, 0, "> a\nb"), (1, None, "a"), (1, 0, None), (1, 0, ""), (1, 1, ">\n> \n"), (1, 1, ">\n> \n"), (2, 0, "> a")]
     got, out = threads(spark, rows)
