@@ -30,8 +30,8 @@ def _rows(cols, rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "supplier"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    for t in sorted(os.listdir(SF_SMALL)):
+        c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}')")
     return c
 
 
