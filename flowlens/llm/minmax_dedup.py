@@ -130,8 +130,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
         "minmax-nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.select("set_id", "doc_id").join(ids, "set_id")
-        return docs.join(wanted, "doc_id").select("set_id", "text") \
+        wanted = materialize(nodes.select("set_id", "doc_id").join(ids, "set_id"), "minmax-wanted")
+        # a repeated row gives its set once
+        rows = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        return rows.join(wanted, "doc_id").select("set_id", "text") \
             .mapInArrow(_set_maker(shingle_words), "set_id long, n long, items array<long>")
 
     labels = similarity_components(nodes.where("doc_id is not null").select("set_id", "bands"),

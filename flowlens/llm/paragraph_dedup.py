@@ -129,7 +129,10 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, shingle_wor
         wanted = nodes.join(ids, "set_id").select(F.col("place.doc_id").alias("doc_id"), "set_id") \
             .where("doc_id is not null") \
             .groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))   # at most a text's own paragraphs
-        return docs.join(wanted, "doc_id").select("text", "wanted") \
+        wanted = materialize(wanted, "paragraph-wanted")
+        # a repeated row gives its sets once
+        rows = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        return rows.join(wanted, "doc_id").select("text", "wanted") \
             .mapInArrow(_set_maker(min_words, shingle_words), "set_id long, n long, items array<long>")
 
     labels = similarity_components(nodes.where("place.doc_id is not null").select("set_id", "bands"),

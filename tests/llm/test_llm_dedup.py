@@ -87,6 +87,20 @@ def test_near_duplicates_edge_rows(spark):
     assert near_duplicates(empty, 2).count() == 0
 
 
+def test_a_row_repeated_in_a_third_of_the_table(spark, monkeypatch):
+    import flowlens.llm.simjoin as simjoin
+    made = {}
+    keep = simjoin.materialize
+    monkeypatch.setattr(simjoin, "materialize", lambda df, name: made.setdefault(name, []).append(keep(df, name)) or made[name][-1])
+    base = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(base))] * 300 + [(i, " ".join(base[:i] + ["x"] + base[i + 1:])) for i in range(2, 12)]
+    rows += [(100 + i, f"other text number {i}") for i in range(50)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert out.where("component_id = 1").count() == 310 and out.where("kept").count() == 350
+    sets = made["minmax-sets"][0]
+    assert sets.count() == sets.select("set_id").distinct().count() >= 11
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
