@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
             .mapInArrow(_set_maker(shingle_words), "set_id long, n long, items array<long>")
 
     labels = similarity_components(nodes.where("doc_id is not null").select("set_id", "bands"),
-                                   sets_of, percent, "minmax")
+                                   sets_of, percent, "minmax", frames=1)
     comp = nodes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left") \
         .withColumn("label", F.coalesce("label", "set_id"))
     comp = materialize(comp, "minmax-labels")
