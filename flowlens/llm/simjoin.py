@@ -38,7 +38,7 @@ from flowlens.llm.components import connected_components
 from flowlens.operators.common import materialize
 
 
-FRAMES = 2
+FRAMES = 4
 NEAR = 0.3          # distance to a frame's reference from which sets go on to the next frame
 _SLACK = 1e-9       # of distances in double precision
 
