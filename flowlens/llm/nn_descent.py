@@ -17,8 +17,9 @@ queries' few open nodes only. The nodes found are then measured exactly, in
 double precision.
 
 Equal vectors are one node; of each the ``k + 1`` smallest vec_ids stay, which
-is exact, as ties go to the smaller vec_id. Graph rounds use unit vectors of
-8-bit components; scores never do. Vectors that are NULL, zero or hold NULL or
+is exact, as ties go to the smaller vec_id. Graph rounds and the search rank by
+cosines in double precision of float32 components, so that the members of a
+large group of near copies are told apart. Vectors that are NULL, zero or hold NULL or
 non-finite components, and rows without a vec_id, take no part; shorter
 vectors count as filled up with zeros.
 """
@@ -53,22 +54,20 @@ ENTRIES = 512         # entry nodes for queries that are not in the index
 # --- vectors in Arrow batches ------------------------------------------------
 
 def _codes(x: np.ndarray) -> list[bytes]:
-    """Rows scaled to unit length, as 8-bit components and a float32 factor."""
+    """Rows as float32 components, scaled by a power of two: float32 values stay what they are."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)             # against overflow of the squares
-    small = np.round(x * 127).astype(np.int8)
-    factor = 1 / np.sqrt((small.astype(np.float64) ** 2).sum(axis=1))
-    return [row.tobytes() + f.tobytes() for row, f in zip(small, factor.astype("<f4"))]
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))    # against overflow of the squares
+    return [row.tobytes() for row in np.ldexp(x, -exponent).astype("<f4")]
 
 
 def _vectors(column) -> np.ndarray:
-    """The float32 unit vectors of a column of codes."""
+    """The unit vectors of a column of codes, in double precision: near copies differ
+    by less in cosine than single precision tells apart."""
     raw = column.to_pylist()
     if not raw:
-        return np.zeros((0, 1), np.float32)
-    data = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-    factor = np.ascontiguousarray(data[:, -4:]).view("<f4")
-    return data[:, :-4].view(np.int8).astype(np.float32) * factor
+        return np.zeros((0, 1))
+    x = np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1).astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _packed(dim: int):
@@ -131,7 +130,7 @@ def _compare(members, k: int):
     return run
 
 
-_EDGES = "src long, dst long, sim float"
+_EDGES = "src long, dst long, sim double"
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -160,7 +159,7 @@ def _start(vectors: DataFrame, n: int, dim: int, k: int, seed: int) -> DataFrame
     parts = coded.join(materialize(sizes, "nn-block-sizes"), "block") \
         .withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / (2 * BLOCK))))
     return parts.groupBy("block", "part").agg(F.collect_list(F.struct(
-        "node", "code", F.lit(-1.5).cast("float").alias("worst"), F.lit(True).alias("new"))).alias("members")) \
+        "node", "code", F.lit(-1.5).alias("worst"), F.lit(True).alias("new"))).alias("members")) \
         .select("members").mapInArrow(_compare(0, k), _EDGES)
 
 
@@ -170,13 +169,13 @@ def neighbour_graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> Dat
     first = vectors.select("code").first()
     if first is None:
         return vectors.sparkSession.createDataFrame([], _EDGES)
-    n, dim = vectors.count(), len(first["code"]) - 4
+    n, dim = vectors.count(), len(first["code"]) // 4
     starts = [_start(vectors, n, dim, k, seed) for seed in range(STARTS)]
     graph = materialize(_best(reduce(DataFrame.unionByName, starts).withColumn("new", F.lit(True)), k), "nn-graph")
     for _ in range(rounds):
         worst = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("have")) \
             .select(F.col("src").alias("node"),
-                    F.when(F.col("have") >= k, F.col("worst")).otherwise(F.lit(-1.5)).cast("float").alias("worst"))
+                    F.when(F.col("have") >= k, F.col("worst")).otherwise(F.lit(-1.5)).alias("worst"))
         known = materialize(vectors.join(worst, "node"), "nn-known")
         both = graph.select(F.col("src").alias("centre"), F.col("dst").alias("node"), "new") \
             .unionByName(graph.select(F.col("dst").alias("centre"), F.col("src").alias("node"), "new")) \
@@ -256,7 +255,7 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: i
     spark = graph.sparkSession
     table = adjacency(graph, vectors)
     near = spark.table(table)
-    pairs = "query_id long, node long, sim float"
+    pairs = "query_id long, node long, sim double"
     q = queries.select("query_id", "code")
 
     own = queries.join(vectors.select("node"), "node", "left_semi").select("query_id", "node")
@@ -288,7 +287,7 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: i
             beam.withColumn("r", F.row_number().over(beam_of)).where(F.col("r") <= ef)
             .withColumn("turn", ~F.col("done") & (F.row_number().over(open_of) <= width))
             .withColumn("worst", F.when(F.count("*").over(of_query) >= ef, F.min("sim").over(of_query))
-                        .otherwise(F.lit(-2.0)).cast("float")).drop("r"), "nn-beam")
+                        .otherwise(F.lit(-2.0))).drop("r"), "nn-beam")
 
     beam = ranked(start.withColumn("done", F.lit(False)))
     for _ in range(hops):

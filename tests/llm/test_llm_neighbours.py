@@ -76,3 +76,18 @@ def test_queries_that_are_not_in_the_index_enter_by_the_sample(spark):
     graph = neighbour_graph(vectors)
     best = graph_search(graph, vectors, queries).groupBy("query_id").agg(F.max_by("node", "sim").alias("node")).collect()
     assert {(r["query_id"], r["node"]) for r in best} == {(1000 + i, i) for i in range(10)}
+
+
+def test_recall_in_a_large_group_of_near_copies(spark, record_property):
+    rng = np.random.default_rng(4)
+    one = rng.standard_normal(64)
+    jitter = rng.standard_normal((1500, 64))
+    x = np.vstack([one / np.linalg.norm(one) + 0.003 * jitter / np.linalg.norm(jitter, axis=1, keepdims=True),
+                   rng.standard_normal((300, 64))]).astype(np.float32)
+    rows = [(i, x[i].tolist(), "n") for i in range(len(x))]
+    got = found(nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 15 == 0))
+    want = brute([r[:2] for r in rows], 5, 15)
+    near = [q for q in want if q < 1500]
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in near)
+    record_property("recall", hits / 5 / len(near))
+    assert hits >= 0.95 * 5 * len(near)
