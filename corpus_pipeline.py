@@ -1,8 +1,9 @@
 """Corpus preparation: five training-data operators chained over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept. All but the last return the columns of ``documents``. ``doc_id``
-identifies a document; rows with a NULL doc_id share one fate.
+kept. All but the last return the columns of ``documents``. Rows are decided
+by a key of doc_id and text, so texts that share a doc_id, or have none, are
+decided apart; rows with the same doc_id and text share one fate.
 """
 
 from __future__ import annotations
@@ -18,12 +19,35 @@ from flowlens.llm.minmax_dedup import near_duplicates
 from flowlens.llm.paragraph_dedup import repeated_paragraphs, without_paragraphs
 from flowlens.llm.string_tiling import contaminated_pairs
 from flowlens.llm.subword_classifier import THRESHOLD, score_column, train
+from flowlens.operators.common import materialize
 from flowlens.session import checkpoint_dir
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+KEY = "_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key that the rows of a stage are decided, joined and cut by."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def _as_ids(keyed: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` for the operators, the key being the doc_id."""
+    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    return keyed.join(keys.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti")
+
+
+def _firsts(found: DataFrame, keyed: DataFrame, group: list[str], place: list[str]) -> DataFrame:
+    """``found`` (doc_id is a key) but for the first of each group: the one with the smallest
+    doc_id in ``keyed``, NULL coming last, then the smallest key and ``place``."""
+    ids = keyed.select(F.col(KEY).alias("doc_id"), F.col("doc_id").alias("_id")).distinct()
+    order = F.struct(F.col("_id").isNull().alias("last"), "_id", "doc_id", *place)
+    placed = materialize(found.distinct().join(ids, "doc_id").withColumn("_place", order), "corpus-places")
+    first = materialize(placed.groupBy(*group).agg(F.min("_place").alias("_first")), "corpus-firsts")
+    return placed.join(first, group).where("not (_place <=> _first)").select("doc_id", *place)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +58,20 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays (five-word shingles, 0.8)."""
-    rows = near_duplicates(docs.select("doc_id", "text"))
-    return _without(docs, rows.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
+    keyed = _keyed(docs)
+    found = near_duplicates(_as_ids(keyed)).select("doc_id", "component_id")
+    return _without(keyed, _firsts(found, keyed, ["component_id"], [])).select(*docs.columns)
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal paragraphs of 50 words the first one stays; the others are
     cut from their texts (n_chars follows)."""
-    repeats = repeated_paragraphs(docs.select("doc_id", "text"))
-    out = without_paragraphs(docs, repeats.where("not kept").select("doc_id", "paragraph"))
+    keyed = _keyed(docs)
+    group = ["first_doc_id", "first_paragraph"]
+    repeats = repeated_paragraphs(_as_ids(keyed)).select("doc_id", "paragraph", *group)
+    cut = without_paragraphs(keyed.withColumnRenamed("doc_id", "_id").withColumnRenamed(KEY, "doc_id"),
+                             _firsts(repeats, keyed, group, ["paragraph"]))
+    out = cut.drop("doc_id").withColumnRenamed("_id", "doc_id").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else out
 
@@ -50,7 +79,8 @@ def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item's words in tiles go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contaminated_pairs(docs.select("doc_id", "text"), benchmark))
+    keyed = _keyed(docs)
+    return _without(keyed, contaminated_pairs(_as_ids(keyed), benchmark)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,22 @@ def test_run_on_documents_with_odd_rows(spark, tmp_out):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_out}/{t}.parquet").write.parquet(f"{tmp_out}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_out}/none").count() == 0
+
+
+def test_texts_without_or_with_a_shared_doc_id_are_decided_apart(spark, tmp_out):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+    near = text("a").rsplit(" ", 1)[0] + " x"
+    rows = [(1, text("a")), (2, near), (2, text("b")), (None, near + " y"), (None, text("c")), (None, text("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, tmp_out)
+    assert Counter(map(tuple, out.collect())) == Counter([(1, text("a")), (2, text("b")), (None, text("c")), (None, text("d"))])
+
+    lines = [(1, text("a")), (3, "head\n" + text("a")), (3, "other\n" + text("e")), (None, text("a")), (None, text("f"))]
+    out = corpus_pipeline.drop_repeated_paragraphs(spark, spark.createDataFrame(lines, docs.schema), tmp_out)
+    assert Counter(map(tuple, out.collect())) == Counter(
+        [(1, text("a")), (3, "head"), (3, "other\n" + text("e")), (None, ""), (None, text("f"))])
+
+    spark.createDataFrame([(7, text("c"))], "item_id long, text string").write.parquet(f"{tmp_out}/benchmark.parquet")
+    out = corpus_pipeline.decontaminate(spark, docs, tmp_out)
+    assert Counter(map(tuple, out.collect())) == Counter(r for r in rows if r[1] != text("c"))
