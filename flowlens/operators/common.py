@@ -70,6 +70,18 @@ class Scratch:
         return False
 
 
+def settled(spark, name: str, build) -> DataFrame:
+    """Store the frame that ``build()`` returns and delete the intermediate
+    tables written on the way to it (also on failure): only the result stays,
+    until :func:`drop_tables` or the end of the caller's :class:`Scratch`."""
+    with Scratch(spark) as run:
+        out = materialize(build(), name)
+        path = run.paths.pop()
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
+    return out
+
+
 def created_tables() -> list:
     """Intermediate tables written so far (for :func:`drop_tables`)."""
     return list(_CREATED)
