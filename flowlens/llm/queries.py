@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import byte_bpe, host_reputation, license_rules, quotation_links, source_divergence, warc_index
+from flowlens.llm import (byte_bpe, conversation_repair, host_reputation, license_rules, quotation_links,
+                          source_divergence, warc_index)
 from flowlens.llm.bestfit_packing import pack_documents
 from flowlens.llm.minmax_dedup import near_duplicates
 from flowlens.llm.nn_descent import nearest
@@ -76,6 +77,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged as stated, and their cheapest repairs."""
+    convs = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(convs, conversation_repair.damage(convs))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all sources of a language and the terms that set each apart."""
     return source_divergence.divergence_audit(table(spark, sf_dir, "documents"))
@@ -84,7 +91,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quotation_links, op2_bestfit_packing, op3_host_reputation, op4_nn_descent, op5_minmax_dedup,
     op6_warc_index, op7_paragraph_dedup, op8_license_rules, op9_string_tiling, op10_subword_classifier,
-    op11_byte_bpe, op13_source_divergence)}
+    op11_byte_bpe, op12_conversation_repair, op13_source_divergence)}
 
 # Words of a text, its distinct 2-word shingles (or the whole short sequence),
 # links of all pairs that share a shingle, and components by reachability.
