@@ -60,7 +60,9 @@ def agg_exfil(df: DataFrame, width_s: int = EXFIL_WINDOW_S, exact: bool = True)
                     F.count_if(flt_suspicious_protocol()).cast("long").alias("suspicious_protocol_count")))
 
 
-def score_exfil(groups: DataFrame) -> DataFrame:
+def score_exfil(groups: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+    """Scores and flags over the output of :func:`agg_exfil`. Mean and deviation
+    are those of all groups given, or the one row of ``scalars(_mean, _std)``."""
     g = groups.withColumns({
         "mb_transferred": F.col("bytes_out") / F.lit(float(BYTES_PER_MB)),
         "transfer_rate": rate("bytes_out", "total_duration"),
@@ -74,7 +76,7 @@ def score_exfil(groups: DataFrame) -> DataFrame:
         "is_suspicious_protocol": flag(F.col("suspicious_protocol_count") > 0),
     })
     g = g.withColumn("exfil_score", weighted_sum(SCORE_WEIGHTS))
-    g = with_scalars(g, *moments("exfil_score"))
+    g = g.crossJoin(F.broadcast(scalars)) if scalars else with_scalars(g, *moments("exfil_score"))
     is_ex = above_sigma("exfil_score", SIGMA)
     g = g.withColumns({
         "is_exfiltration": is_ex.cast("int"),

@@ -41,10 +41,12 @@ def agg_lateral(df: DataFrame, width_s: int = LATERAL_WINDOW_S, exact: bool = Tr
                   F.avg("duration").alias("avg_duration")))
 
 
-def score_lateral(groups: DataFrame) -> DataFrame:
-    """Scores and flags over the output of :func:`agg_lateral` (all groups)."""
-    g = with_scalars(groups, F.max("unique_dsts").alias("_max_ud"),
-                     F.max("unique_ports").alias("_max_up"))
+def score_lateral(groups: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
+    """Scores and flags over the output of :func:`agg_lateral`. The maxima,
+    mean and deviation are those of all groups given, or the one row of
+    ``scalars(_max_ud, _max_up, _mean, _std)``."""
+    g = groups.crossJoin(F.broadcast(scalars)) if scalars else \
+        with_scalars(groups, F.max("unique_dsts").alias("_max_ud"), F.max("unique_ports").alias("_max_up"))
     g = g.withColumns({
         "dst_diversity_score": F.try_divide(F.col("unique_dsts"), F.col("_max_ud")),
         "port_scan_score": F.try_divide(F.col("unique_ports"), F.col("_max_up")),
@@ -55,7 +57,8 @@ def score_lateral(groups: DataFrame) -> DataFrame:
                              & (F.col("packets") > HOST_SCAN_MIN_PACKETS)),
     })
     g = g.withColumn("lateral_score", weighted_sum(SCORE_WEIGHTS))
-    g = with_scalars(g.drop("_max_ud", "_max_up"), *moments("lateral_score"))
+    if not scalars:
+        g = with_scalars(g.drop("_max_ud", "_max_up"), *moments("lateral_score"))
     is_lat = above_sigma("lateral_score", SIGMA)
     g = g.withColumns({
         "is_lateral_movement": is_lat.cast("int"),

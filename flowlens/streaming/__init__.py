@@ -1,3 +1,6 @@
-"""Structured Streaming entry points (micro-batch detection)."""
+"""Structured Streaming entry points: micro-batch detection, closed windows, running thresholds."""
 
 from flowlens.streaming.micro_batch import detect_stream, read_flow_stream  # noqa: F401
+from flowlens.streaming.thresholds import flagged_groups, latest_thresholds, start_thresholds  # noqa: F401
+from flowlens.streaming.windows import (late_flows, progress_rows, start_groups, stream_exfil_groups,  # noqa: F401
+                                        stream_lateral_groups)
