@@ -1,14 +1,14 @@
 """Capture files (pcap / pcapng) to packet rows, as a Spark job.
 
-``spark.read.format("binaryFile")`` lists the capture files; one file is one
-row and is decoded inside ``mapInPandas``, so the work spreads over tasks by
-file (roll large captures into many files: a single file is not splittable
-and a binary row is limited to 2 GB; a larger file raises). Only record
-boundaries are walked in Python; all header fields are then read with NumPy
-gathers, ``CHUNK_PACKETS`` packets at a time.
+:func:`read_packets` reads files in byte ranges
+(:mod:`flowlens.sources.capture_splits`), of any size; :func:`decode_binary`
+decodes captures that are binary rows of a table. Only record boundaries are
+walked in Python; all header fields are then read with NumPy gathers,
+``CHUNK_PACKETS`` packets at a time.
 
 Files may be gzip-compressed. A file that is no capture raises by default; a
-file that ends or breaks in the middle gives the packets before the fault.
+file that ends or breaks in the middle gives the packets before the fault (and
+those of later ranges of the file, whose headers chain again).
 :func:`capture_status` reports every file: packets, bytes used, error.
 
 Kept: IPv4 packets (Ethernet with up to two VLAN tags, raw IP, Linux cooked
@@ -43,8 +43,6 @@ ETHERTYPE_IPV4, ETHERTYPE_VLAN, ETHERTYPE_QINQ = 0x0800, 0x8100, 0x88A8
 PROTO_ICMP, PROTO_TCP, PROTO_UDP = 1, 6, 17
 
 CHUNK_PACKETS = 100_000
-MAX_FILE_BYTES = (1 << 31) - 1      # of a binary row
-STATUS_SCHEMA = "path string, packets long, bytes_used long, bytes_total long, error string"
 
 PACKET_COLUMNS = [f.name for f in PACKET_SCHEMA.fields]
 
@@ -71,49 +69,66 @@ class _Records:
         return *ints, np.array(self.has_ts[lo:hi], dtype=bool)
 
 
-def _walk_pcap(buf: bytes, out: _Records) -> None:
-    magic = struct.unpack_from("<I", buf, 0)[0]
-    endian, to_ns = PCAP_MAGIC[magic]
-    link = struct.unpack_from(endian + "I", buf, 20)[0] & 0x0FFFFFFF
-    hdr = struct.Struct(endian + "IIII")
-    off, n = 24, len(buf)
-    out.used = off
-    while off < n:
-        if off + 16 > n:
-            out.error = f"record header cut off at byte {off}"
-            return
-        sec, frac, incl, orig = hdr.unpack_from(buf, off)
-        if off + 16 + incl > n:
-            out.error = f"record at byte {off} is longer than the file"
-            return
-        out.add(off + 16, incl, orig, sec * 1_000_000_000 + frac * to_ns, link)
-        off += 16 + incl
-        out.used = off
-
-
-def _walk_pcapng(buf: bytes, out: _Records) -> None:
-    n = len(buf)
-    off = 0
-    endian = "<"
-    links, tsres = [], []          # per interface of the current section
-    while off < n:
-        if off + 12 > n:
-            out.error = f"block cut off at byte {off}"
-            return
-        btype_le = struct.unpack_from("<I", buf, off)[0]
-        if btype_le == PCAPNG_SHB:
-            bom = struct.unpack_from("<I", buf, off + 8)[0]
-            endian = "<" if bom == 0x1A2B3C4D else ">"
-            links, tsres = [], []
-        btype, blen = struct.unpack_from(endian + "II", buf, off)
-        if blen < 12 or off + blen > n:
-            out.error = f"block at byte {off} has length {blen}"
-            return
-        body = off + 8
+class PcapWalk:
+    """Walks the records of a pcap file, buffer by buffer; ``header`` is its first 24 bytes."""
+
+    def __init__(self, header: bytes):
+        self.endian, self.to_ns = PCAP_MAGIC[struct.unpack_from("<I", header, 0)[0]]
+        self.link = struct.unpack_from(self.endian + "I", header, 20)[0] & 0x0FFFFFFF
+        self.record = struct.Struct(self.endian + "IIII")
+
+    def walk(self, buf: bytes, at: int, end: int, out: _Records, last: bool) -> int:
+        """Add the records that start in ``buf[at:end]`` and return where the next
+        one starts. One that ``buf`` cuts off is left, and a fault if ``last``."""
+        n = len(buf)
+        while at < end:
+            if at + 16 > n:
+                out.error = f"record header cut off at byte {at}" if last else None
+                break
+            sec, frac, incl, orig = self.record.unpack_from(buf, at)
+            if at + 16 + incl > n:
+                out.error = f"record at byte {at} is longer than the file" if last else None
+                break
+            out.add(at + 16, incl, orig, sec * 1_000_000_000 + frac * self.to_ns, self.link)
+            at += 16 + incl
+            out.used = at
+        return at
+
+
+class PcapngWalk:
+    """Walks the blocks of a pcapng file, buffer by buffer, keeping the
+    interfaces of the current section. ``unknown`` counts the packets of
+    interfaces that no block describes; they are not read."""
+
+    def __init__(self):
+        self.endian, self.links, self.tsres, self.unknown = "<", [], [], 0
+
+    def walk(self, buf: bytes, at: int, end: int, out: _Records, last: bool) -> int:
+        """As :meth:`PcapWalk.walk`, block by block."""
+        n = len(buf)
+        while at < end:
+            if at + 12 > n:
+                out.error = f"block cut off at byte {at}" if last else None
+                break
+            if struct.unpack_from("<I", buf, at)[0] == PCAPNG_SHB:
+                bom = struct.unpack_from("<I", buf, at + 8)[0]
+                self.endian = "<" if bom == 0x1A2B3C4D else ">"
+                self.links, self.tsres = [], []
+            btype, blen = struct.unpack_from(self.endian + "II", buf, at)
+            if blen < 12 or at + blen > n:
+                out.error = f"block at byte {at} has length {blen}" if last or blen < 12 else None
+                break
+            if not self._block(buf, at, btype, blen, out):
+                break
+            at += blen
+            out.used = at
+        return at
+
+    def _block(self, buf: bytes, at: int, btype: int, blen: int, out: _Records) -> bool:
+        body, endian = at + 8, self.endian
         if btype == 1:                                   # interface description
-            link = struct.unpack_from(endian + "H", buf, body)[0]
             res = 1_000                                  # default 1e-6 s -> ns factor
-            o, end = body + 8, off + blen - 4
+            o, end = body + 8, at + blen - 4
             while o + 4 <= end:
                 code, ln = struct.unpack_from(endian + "HH", buf, o)
                 if code == 0:
@@ -122,21 +137,28 @@ def _walk_pcapng(buf: bytes, out: _Records) -> None:
                     v = buf[o + 4]
                     res = (1e9 / (2 ** (v & 0x7F))) if v & 0x80 else (1e9 / (10 ** v))
                 o += 4 + ((ln + 3) & ~3)
-            links.append(link)
-            tsres.append(res)
+            self.links.append(struct.unpack_from(endian + "H", buf, body)[0])
+            self.tsres.append(res)
         elif btype == 6:                                 # enhanced packet
             iface, hi, lo, incl, orig = struct.unpack_from(endian + "IIIII", buf, body)
             if incl > blen - 32:
-                out.error = f"packet in the block at byte {off} is longer than the block"
-                return
-            if iface < len(links):
-                out.add(body + 20, incl, orig, int(((hi << 32) | lo) * tsres[iface]), links[iface])
+                out.error = f"packet in the block at byte {at} is longer than the block"
+                return False
+            if iface < len(self.links):
+                out.add(body + 20, incl, orig, int(((hi << 32) | lo) * self.tsres[iface]), self.links[iface])
+            else:
+                self.unknown += 1
         elif btype == 3:                                 # simple packet (no time)
             orig = struct.unpack_from(endian + "I", buf, body)[0]
-            if links:
-                out.add(body + 4, min(orig, blen - 16), orig, 0, links[0], False)
-        off += blen
-        out.used = off
+            if self.links:
+                out.add(body + 4, min(orig, blen - 16), orig, 0, self.links[0], False)
+            else:
+                self.unknown += 1
+        return True
+
+
+def unknown_interfaces(n: int) -> str | None:
+    return f"{n} packets of undescribed interfaces" if n else None
 
 
 def plain_bytes(buf: bytes) -> tuple[bytes, str | None]:
@@ -164,9 +186,12 @@ def walk_capture(buf: bytes) -> _Records:
     magic = struct.unpack_from("<I", buf, 0)[0] if len(buf) >= 4 else None
     try:
         if magic in PCAP_MAGIC and len(buf) >= 24:
-            _walk_pcap(buf, out)
+            out.used = 24
+            PcapWalk(buf).walk(buf, 24, len(buf), out, True)
         elif magic == PCAPNG_SHB:
-            _walk_pcapng(buf, out)
+            walk = PcapngWalk()
+            walk.walk(buf, 0, len(buf), out, True)
+            out.error = out.error or unknown_interfaces(walk.unknown)
         elif len(buf) == 0:
             out.error = "empty file"
         else:
@@ -283,32 +308,25 @@ def decode_binary(files: DataFrame, strict: bool = True) -> DataFrame:
     return files.select(*cols).mapInPandas(_decoder(strict), PACKET_SCHEMA)
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(path))
-    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", "length").first()
-    if large:
-        raise ValueError(f"{large['path']} has {large['length']} bytes; roll captures into files under 2 GB")
-    return files
-
+def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*", strict: bool = True,
+                 split_bytes: int | None = None) -> DataFrame:
+    """Packet rows of every capture file under ``path`` (a file or folder on any
+    file system that pyarrow opens by URI), a plain pcap file in ranges of about
+    ``split_bytes``; see :mod:`flowlens.sources.capture_splits`. ``strict``
+    raises on a file that is no capture."""
+    from flowlens.sources.capture_splits import load
+    return load(spark, path, glob, strict, split_bytes)
 
-def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap*", strict: bool = True) -> DataFrame:
-    """Packet rows of every capture file under ``path``; see :func:`decode_binary`."""
-    return decode_binary(_files(spark, path, glob), strict)
 
-
-def capture_status(spark: SparkSession, path: str, glob: str = "*.pcap*") -> DataFrame:
+def capture_status(spark: SparkSession, path: str, glob: str = "*.pcap*",
+                   split_bytes: int | None = None) -> DataFrame:
     """One row per file under ``path``: path, packets, bytes_used, bytes_total
-    (uncompressed), error (NULL for a whole capture)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                buf, fault = plain_bytes(bytes(content))
-                records = walk_capture(buf)
-                rows.append((p, len(records.starts), records.used, len(buf), records.error or fault))
-            yield pd.DataFrame(rows, columns=["path", "packets", "bytes_used", "bytes_total", "error"])
-    return _files(spark, path, glob).select("path", "content").mapInPandas(run, STATUS_SCHEMA)
+    (uncompressed), error (NULL for a whole capture; the first one found)."""
+    from flowlens.sources.capture_splits import load
+    parts = load(spark, path, glob, False, split_bytes, status=True)
+    return parts.groupBy("path").agg(
+        F.sum("packets").alias("packets"), F.sum("bytes_used").alias("bytes_used"),
+        F.max("bytes_total").alias("bytes_total"), F.min_by("error", "start").alias("error"))
 
 
 def read_capture_flows(spark: SparkSession, path: str, glob: str = "*.pcap*", strict: bool = True) -> DataFrame:
