@@ -11,7 +11,8 @@ looked up in the same hash.
 The hash is built once on the driver and broadcast: its size is the
 vocabulary's (50,256 tokens, about 2 MB), whatever the corpus. Documents are
 encoded where they lie; nothing is shuffled. A task remembers up to
-``MEMO_PIECES`` pre-tokens it has resolved and starts anew when they are full.
+``MEMO_PIECES`` pre-tokens and ``MEMO_PAIRS`` pairs of tokens that it has looked
+up, and starts anew when they are full.
 
 Defined results: NULL text is the empty text, which has no ids; very long texts
 and pre-tokens are encoded whole; repeated rows and ids give one row each; an
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 RANKS = "byte_bpe_multi_50k.tiktoken"
 BUCKET_KEYS = 4                  # tokens per bucket of the perfect hash, on average
 MEMO_PIECES = 400_000
+MEMO_PAIRS = 400_000
 BATCH_IDS = 1 << 20              # ids in an output batch, unless one text has more
 UNKNOWN = "\ufffd".encode()
 
@@ -43,7 +45,7 @@ _MASK = (1 << 32) - 1
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct byte strings: ``keys[slot(key)] == key``,
+    """Minimal perfect hash of distinct byte strings: ``self.keys[slot(key)] == key``,
     the slots being 0 .. n - 1 without a gap."""
 
     def __init__(self, keys: list[bytes], seed: int = 0):
@@ -53,10 +55,11 @@ class PerfectHash:
 
     def _place(self, keys: list[bytes]) -> bool:
         n = len(keys)
+        self.size = max(1, n)
         self.buckets = max(1, n // BUCKET_KEYS)
         self.displace = [0] * self.buckets
-        self.keys: list = [None] * n
-        self.order: list = [0] * n
+        self.keys: list = [None] * self.size
+        self.order: list = [0] * n               # slot -> place of its key in the list given
         members: list[list] = [[] for _ in range(self.buckets)]
         for i, k in enumerate(keys):
             h = xxhash.xxh3_64_intdigest(k, self.seed)
@@ -81,28 +84,35 @@ class PerfectHash:
                 self.keys[s], self.order[s] = keys[i], i
         return True
 
-    def find(self, key: bytes) -> int:
-        """The place of ``key`` in the list given, or -1."""
-        n = len(self.keys)
-        if not n:
-            return -1
+    def slot(self, key: bytes) -> int:
+        """The slot of ``key``, or -1 if it is none of the keys."""
         h = xxhash.xxh3_64_intdigest(key, self.seed)
-        s = ((h & _MASK) + self.displace[(h >> 32) % self.buckets]) % n
-        return self.order[s] if self.keys[s] == key else -1
+        s = ((h & _MASK) + self.displace[(h >> 32) % self.buckets]) % self.size
+        return s if self.keys[s] == key else -1
 
 
 class Vocabulary:
     """Tokens by rank, found through a perfect hash."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.tokens = list(ranks)
-        self.ids = [ranks[t] for t in self.tokens]
-        self.table = PerfectHash(self.tokens)
-        self.bytes_of = dict(zip(self.ids, self.tokens))
+        tokens, ids = list(ranks), list(ranks.values())
+        self.table = PerfectHash(tokens)
+        self.slot_ids = [ids[i] for i in self.table.order]
+        self.bytes_of = dict(zip(ids, tokens))
+        self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # ranks of all pairs of bytes, the pairs that every merge begins with
+        self.pair_ids = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.joined: dict[int, int] = {}       # (id, id) -> what the hash gave for their bytes, or -1
 
     def rank(self, token: bytes) -> int:
-        i = self.table.find(token)
-        return self.ids[i] if i >= 0 else -1
+        slot = self.table.slot(token)
+        return self.slot_ids[slot] if slot >= 0 else -1
+
+    def look_up(self, key: int, token: bytes) -> int:
+        if len(self.joined) >= MEMO_PAIRS:
+            self.joined.clear()
+        found = self.joined[key] = self.rank(token)
+        return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the token it is, or its merged bytes."""
@@ -110,38 +120,56 @@ class Vocabulary:
         return [whole] if whole >= 0 else self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Repeatedly merge the adjacent pair of least rank, the leftmost of equal ones."""
+        """Repeatedly merge the adjacent pair of least rank, the leftmost of equal ones.
+
+        A part is known by the byte it starts at; the heap holds (rank, start of
+        the left part) as one number. An entry whose parts have changed since is
+        passed over: its rank is no longer that of the pair."""
         n = len(piece)
-        end = list(range(1, n + 1))            # end of the part that starts here; 0: no part starts here
-        before = list(range(-1, n - 1))        # start of the part before
-        rank_of = self.rank
-        pair = [-1] * n                        # rank of the part and the next one together
-        heap = []
-        for i in range(n - 1):
-            r = pair[i] = rank_of(piece[i:i + 2])
-            if r >= 0:
-                heap.append((r, i))
+        byte_ids, pair_ids, joined = self.byte_ids, self.pair_ids, self.joined
+        ids = [byte_ids[b] for b in piece]                     # of the part that starts here
+        if -1 in ids:
+            raise ValueError(f"byte {piece[ids.index(-1)]} is not in the vocabulary")
+        pair = [pair_ids[a << 8 | b] for a, b in zip(piece, piece[1:])]     # rank of the part and the next together
+        pair.append(-1)
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        heap = [r << shift | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
+        end = list(range(1, n + 1))                            # of the part that starts here
+        before = list(range(-1, n - 1))                        # start of the part before
         while heap:
-            r, i = heapq.heappop(heap)
-            if not end[i] or pair[i] != r:
-                continue                       # one of its parts was merged since
+            top = pop(heap)
+            i, r = top & mask, top >> shift
+            if pair[i] != r:
+                continue
             j = end[i]
             k = end[i] = end[j]
-            end[j] = 0
+            ids[i], pair[j] = r, -1
             if k < n:
                 before[k] = i
-            for left, to in ((i, end[k] if k < n else 0), (before[i], k)):
-                if left >= 0:
-                    new = pair[left] = rank_of(piece[left:to]) if to else -1
-                    if new >= 0:
-                        heapq.heappush(heap, (new, left))
+                key = r << 32 | ids[k]
+                new = joined.get(key)
+                if new is None:
+                    new = self.look_up(key, piece[i:end[k]])
+                pair[i] = new
+                if new >= 0:
+                    push(heap, new << shift | i)
+            else:
+                pair[i] = -1
+            left = before[i]
+            if left >= 0:
+                key = ids[left] << 32 | r
+                new = joined.get(key)
+                if new is None:
+                    new = self.look_up(key, piece[left:k])
+                pair[left] = new
+                if new >= 0:
+                    push(heap, new << shift | left)
         out, i = [], 0
         while i < n:
-            token = self.rank(piece[i:end[i]])
-            if token < 0:
-                raise ValueError(f"byte {piece[i]} is not in the vocabulary")
-            out.append(token)
+            out.append(ids[i])
             i = end[i]
         return out
 
