@@ -30,12 +30,12 @@ def detect_format(path: str) -> str:
                      "or pass fmt=")
 
 
-def cast_flow_columns(df: DataFrame) -> DataFrame:
+def cast_flow_columns(df: DataFrame, schema: T.StructType = FLOW_RAW_SCHEMA) -> DataFrame:
     """Cast the known flow columns of a text table by name (extra columns pass
     through as text; the timestamp stays text for ``normalize_timestamp``).
     Integers parse exactly, or from decimal text such as ``"12.0"``;
     unparseable values become NULL."""
-    types = {f.name: f.dataType for f in FLOW_RAW_SCHEMA.fields}
+    types = {f.name: f.dataType for f in schema.fields}
     cols = []
     for c in df.columns:
         t = types.get(c)
@@ -49,29 +49,58 @@ def cast_flow_columns(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_csv_flows(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_csv_flows(spark: SparkSession, path: str, schema=None, rejected: str | None = None) -> DataFrame:
     """Header CSV. Columns are matched by header name, in any order, and
     extra columns are kept (:func:`cast_flow_columns`); pass ``schema`` to
-    read positionally with a declared schema instead."""
+    read positionally with a declared schema instead.
+
+    ``rejected`` names a column for the text of lines that have more or fewer
+    fields than the header (NULL for good lines, see
+    :func:`flowlens.sources.rejects.load_checked`)."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
         return reader.schema(schema).csv(path)
-    return cast_flow_columns(reader.csv(path))
+    if rejected is None:
+        return cast_flow_columns(reader.csv(path))
+    names = reader.csv(path).schema
+    checked = reader.option("columnNameOfCorruptRecord", rejected) \
+        .schema(T.StructType(names.fields).add(rejected, T.StringType())).csv(path)
+    return cast_flow_columns(checked)
+
 
+MAX_JSON_FIELDS = 2000
 
-def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA,
-                    multiline: bool | None = None) -> DataFrame:
-    """JSON records: one object per line, or (``multiline``) one array document.
 
-    Fields are matched by name against the declared flow schema (no
-    inference pass over the data); fields outside it are dropped unless
-    ``schema`` lists them, or ``schema=None`` asks Spark to infer one."""
+def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA, multiline: bool | None = None,
+                    extra: bool = True, split_bytes: int | None = None, rejected: str | None = None) -> DataFrame:
+    """JSON records: one object per line, or (``multiline``) one array per
+    file, which is read in byte ranges (:mod:`flowlens.sources.json_arrays`).
+
+    Fields are matched by name; those of ``schema`` get its types, a value that
+    does not fit being NULL; with ``extra`` the others are kept as text, as
+    extra columns of CSV are (one pass over the records for their names).
+    ``schema=None`` asks Spark to infer types. ``rejected`` names a column for
+    the text of records that are no JSON object (NULL for good ones)."""
     if multiline is None:
         multiline = _looks_like_array(spark, path)
-    reader = spark.read.option("multiLine", multiline)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path)
+    if schema is None:
+        return spark.read.option("multiLine", multiline).json(path)
+    if multiline:
+        from flowlens.sources.json_arrays import array_records
+        records = array_records(spark, path, split_bytes)
+    else:
+        records = spark.read.text(path).where("trim(value) <> ''")
+    names = [f.name for f in schema.fields]
+    if extra:
+        found = records.select(F.explode(F.json_object_keys("value")).alias("k")).distinct() \
+            .limit(MAX_JSON_FIELDS + 1).collect()
+        if len(found) > MAX_JSON_FIELDS:
+            raise ValueError(f"{path} has more than {MAX_JSON_FIELDS} fields; name them in schema= with extra=False")
+        names += sorted({r["k"] for r in found} - set(names))
+    bad = rejected or "_corrupt_record"
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in names]).add(bad, T.StringType())
+    rows = records.select(F.from_json("value", fields, {"columnNameOfCorruptRecord": bad}).alias("r")).select("r.*")
+    return cast_flow_columns(rows if rejected else rows.drop(bad), schema)
 
 
 def _looks_like_array(spark: SparkSession, path: str) -> bool:
