@@ -15,7 +15,8 @@ are dealt into blocks and its sources into tiles; a task evaluates one block
 for one pair of tiles, once per distinct column of counts, and terms that
 neither tile holds are one cell with their number as multiplicity.
 
-Counts are pre-aggregated before every shuffle, so a hot source, language or
+Counts are pre-aggregated before every shuffle, inside the tasks that read the
+texts at first (at most ``HELD_TERMS`` and one text's terms at a time), so a hot source, language or
 term is one row per map task and term. A block holds about ``BLOCK_TERMS``
 terms of at most two tiles of about ``TILE_SOURCES`` sources.
 
@@ -28,21 +29,26 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import string
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.common import materialize, settled
 
-# Fixed values of the measure.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed values of the measure. Bytes from x80 are those of characters beyond ASCII.
+_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+_BETWEEN = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP = 10
 
+HELD_TERMS = 500_000
+TEXT_SLICE = 1 << 22
 BLOCK_TERMS = 4096
 TILE_SOURCES = 64
 
@@ -59,22 +65,65 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def _pieces(text: bytes):
+    """Slices of a long text, cut where no term goes on."""
+    start = 0
+    while start < len(text):
+        cut = _BETWEEN.search(text, start + TEXT_SLICE)
+        end = cut.start() if cut else len(text)
+        yield start, end
+        start = end
+
+
+def _count(batches):
+    """Counts of (lang, source, term) over a task's documents, handed on whenever
+    ``HELD_TERMS`` of them are held. A text's bytes are lower-cased as ASCII."""
+    n: dict = {}
+    docs: dict = {}
+    size = 0
+
+    def held():
+        cols = [[], [], [], [], []]
+        for (lang, source), terms in n.items():
+            found = docs[lang, source]
+            for c, v in zip(cols, ([lang] * len(terms), [source] * len(terms), list(terms), list(terms.values()),
+                                   [found[t] for t in terms])):
+                c += v
+        n.clear(), docs.clear()
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.binary()).cast(pa.string()) for c in cols[:3]), *(pa.array(c, pa.int64()) for c in cols[3:])],
+            names=["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        for text, lang, source in zip(*(batch.column(i) for i in range(3))):
+            key = lang.as_py(), source.as_py()
+            text = text.as_py().lower()
+            terms, seen = n.setdefault(key, Counter()), set()
+            size -= len(terms)
+            for start, end in _pieces(text):
+                words = _TERM.findall(text, start, end)
+                terms.update(words)
+                seen.update(words)
+            # a group without terms is a row of the NULL term
+            docs.setdefault(key, Counter()).update(seen or (None,))
+            if not seen:
+                terms[None] += 0
+            size += len(terms)
+            if size >= HELD_TERMS:
+                yield held()
+                size = 0
+    yield held()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, docs)``: occurrences of a term in a group and
     the number of its documents; a group's texts without terms are a row of
-    NULL term. One pass over the texts: a document's terms are sorted, so that
-    the first of equal ones counts the document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.sort_array(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("_terms"))
-    marked = F.transform("_terms", lambda t, i: F.struct(
-        t.alias("term"), (~F.get("_terms", i - 1).eqNullSafe(t)).alias("first")))
-    return rows.select("lang", "source", F.explode_outer(marked).alias("t")) \
-        .groupBy("lang", "source", F.col("t.term").alias("term")) \
-        .agg(F.count("t").alias("n"), F.count_if("t.first").alias("docs"))
+    NULL term. One pass over the texts, counted inside the tasks first."""
+    def raw(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
+    return docs.select(raw("text"), raw("lang"), raw("source")) \
+        .mapInArrow(_count, "lang string, source string, term string, n long, docs long") \
+        .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 class _Counts:

@@ -85,5 +85,29 @@ def test_many_terms_of_one_cell_are_ranked_by_their_bytes(spark):
     assert len([r for r in got if r[1:3] == ("a", "term")]) == 10
 
 
+def test_small_slices_and_holdings_change_nothing():
+    from types import SimpleNamespace
+    import pyarrow as pa
+    from flowlens.llm import source_divergence as d
+    texts = ["Aa bB aa É1é " * 40, "", "zz" * 50, "one"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts]), pa.array([b"en"] * 12),
+                                        pa.array([b"s%d" % (i % 2) for i in range(12)])], names=["t", "l", "s"])
+
+    def total():
+        n = Counter()
+        for out in d._count([batch]):
+            for r in out.to_pylist():
+                n[r["lang"], r["source"], r["term"], "n"] += r["n"]
+                n[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        return n
+    want, was = total(), SimpleNamespace(held=d.HELD_TERMS, piece=d.TEXT_SLICE)
+    try:
+        d.HELD_TERMS, d.TEXT_SLICE = 2, 5
+        assert total() == want
+    finally:
+        d.HELD_TERMS, d.TEXT_SLICE = was.held, was.piece
+    assert want["en", "s0", "aa", "n"] == 240 and want["en", "s0", "aa", "docs"] == 3
+
+
 def test_empty_table(spark):
     assert divergence_audit(frame(spark, [])).collect() == []
