@@ -389,13 +389,20 @@ def score_summary(scored: DataFrame) -> DataFrame:
 
 
 def model_save(model: ForestModel, spark: SparkSession, path: str) -> None:
-    """Node table as Parquet, parameters as one JSON row; overwrites."""
-    spark.createDataFrame(model.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    spark.createDataFrame([(json.dumps(model.params()),)], "params string") \
-        .coalesce(1).write.mode("overwrite").text(f"{path}/params")
+    """Node table as Parquet, parameters as one JSON row; a model at ``path`` is
+    replaced as a whole (:mod:`flowlens.plans.staged`)."""
+    from flowlens.plans.staged import swap_in
+
+    def write(folder: str) -> None:
+        spark.createDataFrame(model.nodes, NODE_SCHEMA).coalesce(1).write.parquet(f"{folder}/nodes")
+        spark.createDataFrame([(json.dumps(model.params()),)], "params string") \
+            .coalesce(1).write.text(f"{folder}/params")
+    swap_in(spark, path, write)
 
 
 def model_load(spark: SparkSession, path: str) -> ForestModel:
+    from flowlens.plans.staged import recover
+    recover(spark, path)
     params = json.loads(spark.read.text(f"{path}/params").first()[0])
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").toPandas()
     return ForestModel(nodes=nodes, **params)
@@ -411,6 +418,8 @@ def train_or_load(spark: SparkSession, path: str, df: DataFrame, **train_kw) ->
     """Use the saved model at ``path`` if there is one, else train on ``df``
     with automatic features and save it. A model that exists but cannot be
     read raises instead of being silently replaced."""
+    from flowlens.plans.staged import recover
+    recover(spark, path)
     if _exists(spark, f"{path}/params"):
         return model_load(spark, path)
     model = iforest_train(df, **train_kw)

@@ -17,6 +17,7 @@ LOW_RATE_PCT = 5
 HIGH_RATE_PCT = 20
 SMALL_INPUT_FLOWS = 100
 TOP_DESTINATIONS = 3
+TOP_PROTOCOLS = 10
 
 # ---------------------------------------------------------------------------
 # Recommendation lines of the reference report, in order, with
@@ -71,10 +72,17 @@ def bytes_at_risk(flows: DataFrame, exfil: DataFrame) -> DataFrame:
 
 
 def protocol_counts(flows: DataFrame) -> DataFrame:
-    """Flows per protocol as one row: array of (protocol, count), most frequent
-    first. Protocol labels are a fixed vocabulary (IP numbers and names)."""
+    """Flows per protocol, a table: captures have a fixed vocabulary of them,
+    text inputs any."""
+    return agg_value_counts(flows, "protocol")
+
+
+def top_protocols(flows: DataFrame, k: int = TOP_PROTOCOLS) -> DataFrame:
+    """The ``k`` most frequent protocols as one row: array of (protocol, count),
+    most frequent first, ties by name; all are in :func:`protocol_counts`."""
+    first = protocol_counts(flows).orderBy(F.desc("count"), "protocol").limit(k)
     each = F.struct((-F.col("count")).alias("order"), F.col("protocol"), F.col("count"))
-    return agg_value_counts(flows, "protocol").agg(F.transform(
+    return first.agg(F.transform(
         F.array_sort(F.collect_list(each)),
         lambda x: F.struct(x["protocol"].alias("protocol"), x["count"].alias("count"))).alias("protocols"))
 
@@ -126,7 +134,7 @@ def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
                    findings: DataFrame, model_counts: dict | None = None) -> DataFrame:
     """The JSON summary as one nested row: totals, anomaly rate and its band,
     threat counts, risk bands of the score, severity counts, bytes at risk,
-    flows per protocol.
+    flows of the ten most frequent protocols.
 
     ``scored`` may be the unscored feature table when ``model_counts`` (the
     values of :func:`score_counts`, e.g. observed while the anomalies were
@@ -138,7 +146,7 @@ def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
         model = scored.sparkSession.createDataFrame(
             [tuple(int(model_counts.get(k) or 0) for k in names)], ", ".join(f"{k} long" for k in names))
     base = _one_row(threat_counts(scored, lateral, exfil, findings), model, bytes_at_risk(scored, exfil),
-                    protocol_counts(scored))
+                    top_protocols(scored))
     rate = F.coalesce(F.try_divide(F.col("total_anomalies") * 100.0, F.col("total_flows")), F.lit(0.0))
     return base.select(
         F.current_timestamp().alias("timestamp"),

@@ -69,6 +69,5 @@ def synthesize_timestamp(df: DataFrame, col: str = "timestamp", order_by: str |
     """Opt-in: replace ``col`` by 2024-01-01 plus one minute per row, in file
     order or in that of ``order_by``."""
     idx = sequential_index(df, "_seq", order_by)
-    return (idx.withColumn(col, F.to_timestamp(F.lit(SYNTHETIC_START))
-                           + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_seq").cast("int")))
-               .drop("_seq"))
+    start = F.unix_micros(F.to_timestamp(F.lit(SYNTHETIC_START)))
+    return idx.withColumn(col, F.timestamp_micros(start + F.col("_seq") * 60_000_000)).drop("_seq")

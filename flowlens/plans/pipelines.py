@@ -21,13 +21,13 @@ from flowlens.operators.forest import (iforest_score, iforest_train, model_load,
 from flowlens.operators.ics import detect_ics, flt_critical, ics_high_diversity_devices
 from flowlens.operators.lateral import detect_lateral
 from flowlens.operators.stats import stats
-from flowlens.operators.summary import attack_summary, recommendations, score_counts, topk_destinations
+from flowlens.operators.summary import attack_summary, protocol_counts, recommendations, score_counts, topk_destinations
 from flowlens.operators.topk import head_findings, report_exfil, report_lateral, topk_anomalies
 from flowlens.plans import sinks
 from flowlens.plans.concurrent import run_concurrently
 from flowlens.schema import DEFAULT_CONTAMINATION
-from flowlens.sources.flows import detect_format, read_flows
 from flowlens.sources.packets import read_capture_flows
+from flowlens.sources.rejects import load_checked
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -35,14 +35,6 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return _materialize(df, name)
 
 
-def parsed_flows(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """The flows at ``path``; text (CSV, JSON) is parsed once and stored as
-    Parquet, as several jobs read it. Call inside a :class:`Scratch`."""
-    fmt = (fmt or detect_format(path)).lower()
-    flows = read_flows(spark, path, fmt)
-    return materialize(spark, flows, "parsed-flows") if fmt in ("csv", "json") else flows
-
-
 def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
                    contamination: float = DEFAULT_CONTAMINATION, fmt: str | None = None,
                    features: list | None = None, unit: str = "auto") -> dict:
@@ -50,28 +42,33 @@ def train_pipeline(spark: SparkSession, data_path: str, model_path: str,
     model and ``training_metadata`` next to it. ``unit`` names the epoch unit
     of numeric timestamps (``auto`` looks for the column's maximum first)."""
     with Scratch(spark):
-        data = preprocess(parsed_flows(spark, data_path, fmt), unit=unit)
+        flows, rejects, report = load_checked(spark, data_path, fmt)
+        data = preprocess(flows, unit=unit)
         feats = features or select_features(data)
         model = iforest_train(data, feats, contamination=contamination)
         model_save(model, spark, model_path)
         st = stats(data)
-        meta_path = os.path.join(os.path.dirname(model_path.rstrip("/")) or ".", "training_metadata")
-        sinks.sink_train_metadata(spark, meta_path, model.n_train, feats, contamination, st)
-    return {"model": model_path, "metadata": meta_path, "features": feats}
+        beside = os.path.dirname(model_path.rstrip("/")) or "."
+        meta_path = os.path.join(beside, "training_metadata")
+        sinks.sink_train_metadata(spark, meta_path, model.n_train, feats, contamination, st, report)
+        out = {"model": model_path, "metadata": meta_path, "features": feats}
+        if rejects is not None:
+            out["rejects"] = sinks.sink_rejects(rejects, os.path.join(beside, "rejected_rows"))
+    return out
 
 
 def analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool = True,
             assets: DataFrame | None = None, fmt: str = "csv", keep_intermediate: bool = False,
-            anomalies_name: str = "anomalies_detected") -> dict:
+            anomalies_name: str = "anomalies_detected", report: dict | None = None) -> dict:
     """Score and detect (see :func:`_analyze`); intermediate tables written
     under the checkpoint folder are deleted afterwards unless
     ``keep_intermediate``."""
     with Scratch(spark, keep_intermediate):
-        return _analyze(spark, features, model, out_dir, detailed, assets, fmt, anomalies_name)
+        return _analyze(spark, features, model, out_dir, detailed, assets, fmt, anomalies_name, report)
 
 
 def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, detailed: bool,
-             assets: DataFrame | None, fmt: str, anomalies_name: str) -> dict:
+             assets: DataFrame | None, fmt: str, anomalies_name: str, report: dict | None) -> dict:
     """Score, write anomalies; with ``detailed`` run the three detectors and
     write their tables, the summary JSON and the recommendations.
 
@@ -80,7 +77,8 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
     (``DataFrame.observe``), so the full scored table is never stored. The
     detectors do not need scores and read the input with their own column
     pruning; their (small) outputs are written once and shared by the sinks
-    and the summary.
+    and the summary. ``report``: the counts of rejected rows and unread
+    values for the summary's ``input``.
     """
     obs = Observation("flowlens-score-counts")
     scored = iforest_score(model, features).observe(obs, *score_counts())
@@ -112,6 +110,7 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
             "top_lateral": lambda: sinks.write_table(report_lateral(lateral),
                                                      os.path.join(out_dir, "top_lateral"), fmt),
             "top_exfil": lambda: sinks.write_table(report_exfil(exfil), os.path.join(out_dir, "top_exfil"), fmt),
+            "protocols": lambda: sinks.write_table(protocol_counts(features), os.path.join(out_dir, "protocols"), fmt),
             "top_destinations": lambda: sinks.write_table(topk_destinations(features, exfil),
                                                           os.path.join(out_dir, "top_destinations"), fmt),
             "first_findings": lambda: sinks.write_table(head_findings(findings),
@@ -122,7 +121,10 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
                                                            os.path.join(out_dir, "critical_findings"), fmt),
         }
         out.update(zip(tables, run_concurrently(*tables.values())))
-        summary = materialize(spark, attack_summary(features, lateral, exfil, findings, counts), "summary")
+        summary = attack_summary(features, lateral, exfil, findings, counts)
+        if report:
+            summary = summary.withColumn("input", sinks.load_counts(report))
+        summary = materialize(spark, summary, "summary")
         out["summary"] = sinks.sink_json_summary(summary, os.path.join(out_dir, "attack_summary"))
         out["recommendations"] = sinks.write_table(recommendations(summary),
                                                    os.path.join(out_dir, "recommendations"), fmt)
@@ -134,9 +136,12 @@ def detect_pipeline(spark: SparkSession, data_path: str, model_path: str, out_di
                     assets: DataFrame | None = None, unit: str = "auto") -> dict:
     """Load, preprocess, score with the saved model, detectors, sinks, summary."""
     with Scratch(spark):
-        features = preprocess(parsed_flows(spark, data_path, fmt), unit=unit)
+        flows, rejects, report = load_checked(spark, data_path, fmt)
         model = model_load(spark, model_path)
-        return analyze(spark, features, model, out_dir, detailed, assets)
+        out = analyze(spark, preprocess(flows, unit=unit), model, out_dir, detailed, assets, report=report)
+        if rejects is not None:
+            out["rejects"] = sinks.sink_rejects(rejects, os.path.join(out_dir, "rejected_rows"))
+        return out
 
 
 def packet_pipeline(spark: SparkSession, capture_dir: str, model_path: str, out_dir: str,

@@ -30,11 +30,8 @@ def detect_format(path: str) -> str:
                      "or pass fmt=")
 
 
-def cast_flow_columns(df: DataFrame, schema: T.StructType = FLOW_RAW_SCHEMA) -> DataFrame:
-    """Cast the known flow columns of a text table by name (extra columns pass
-    through as text; the timestamp stays text for ``normalize_timestamp``).
-    Integers parse exactly, or from decimal text such as ``"12.0"``;
-    unparseable values become NULL."""
+def flow_casts(df: DataFrame, schema: T.StructType = FLOW_RAW_SCHEMA) -> list:
+    """The columns of :func:`cast_flow_columns`."""
     types = {f.name: f.dataType for f in schema.fields}
     cols = []
     for c in df.columns:
@@ -46,33 +43,43 @@ def cast_flow_columns(df: DataFrame, schema: T.StructType = FLOW_RAW_SCHEMA) ->
             cols.append(F.coalesce(col.try_cast("long"), col.try_cast("double").try_cast("long")).alias(c))
         else:
             cols.append(col.try_cast(t).alias(c))
-    return df.select(*cols)
+    return cols
+
+
+def cast_flow_columns(df: DataFrame, schema: T.StructType = FLOW_RAW_SCHEMA) -> DataFrame:
+    """Cast the known flow columns of a text table by name (extra columns pass
+    through as text; the timestamp stays text for ``normalize_timestamp``).
+    Integers parse exactly, or from decimal text such as ``"12.0"``;
+    unparseable values become NULL."""
+    return df.select(*flow_casts(df, schema))
 
 
-def read_csv_flows(spark: SparkSession, path: str, schema=None, rejected: str | None = None) -> DataFrame:
+def read_csv_flows(spark: SparkSession, path: str, schema=None, rejected: str | None = None,
+                   cast: bool = True) -> DataFrame:
     """Header CSV. Columns are matched by header name, in any order, and
     extra columns are kept (:func:`cast_flow_columns`); pass ``schema`` to
     read positionally with a declared schema instead.
 
     ``rejected`` names a column for the text of lines that have more or fewer
     fields than the header (NULL for good lines, see
-    :func:`flowlens.sources.rejects.load_checked`)."""
+    :func:`flowlens.sources.rejects.load_checked`); ``cast=False`` leaves all
+    columns as text."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
         return reader.schema(schema).csv(path)
-    if rejected is None:
-        return cast_flow_columns(reader.csv(path))
-    names = reader.csv(path).schema
-    checked = reader.option("columnNameOfCorruptRecord", rejected) \
-        .schema(T.StructType(names.fields).add(rejected, T.StringType())).csv(path)
-    return cast_flow_columns(checked)
+    rows = reader.csv(path)
+    if rejected:
+        fields = T.StructType([*rows.schema.fields, T.StructField(rejected, T.StringType())])
+        rows = reader.option("columnNameOfCorruptRecord", rejected).schema(fields).csv(path)
+    return cast_flow_columns(rows) if cast else rows
 
 
 MAX_JSON_FIELDS = 2000
 
 
 def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA, multiline: bool | None = None,
-                    extra: bool = True, split_bytes: int | None = None, rejected: str | None = None) -> DataFrame:
+                    extra: bool = True, split_bytes: int | None = None, rejected: str | None = None,
+                    cast: bool = True) -> DataFrame:
     """JSON records: one object per line, or (``multiline``) one array per
     file, which is read in byte ranges (:mod:`flowlens.sources.json_arrays`).
 
@@ -80,7 +87,8 @@ def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA, mult
     does not fit being NULL; with ``extra`` the others are kept as text, as
     extra columns of CSV are (one pass over the records for their names).
     ``schema=None`` asks Spark to infer types. ``rejected`` names a column for
-    the text of records that are no JSON object (NULL for good ones)."""
+    the text of records that are no JSON object (NULL for good ones);
+    ``cast=False`` leaves all fields as text."""
     if multiline is None:
         multiline = _looks_like_array(spark, path)
     if schema is None:
@@ -100,7 +108,8 @@ def read_json_flows(spark: SparkSession, path: str, schema=FLOW_RAW_SCHEMA, mult
     bad = rejected or "_corrupt_record"
     fields = T.StructType([T.StructField(n, T.StringType()) for n in names]).add(bad, T.StringType())
     rows = records.select(F.from_json("value", fields, {"columnNameOfCorruptRecord": bad}).alias("r")).select("r.*")
-    return cast_flow_columns(rows if rejected else rows.drop(bad), schema)
+    rows = rows if rejected else rows.drop(bad)
+    return cast_flow_columns(rows, schema) if cast else rows
 
 
 def _looks_like_array(spark: SparkSession, path: str) -> bool:
