@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from contextvars import ContextVar
@@ -77,11 +78,20 @@ def settled(spark, name: str, build) -> DataFrame:
     with Scratch(spark) as run:
         out = materialize(build(), name)
         path = run.paths.pop()
+    release_shuffles(spark)
     if _RUN.get() is not None:
         _RUN.get().append(path)
     return out
 
 
+def release_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when
+    their plans are collected as garbage, here and in the driver's JVM, which a
+    driver with a large heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def created_tables() -> list:
     """Intermediate tables written so far (for :func:`drop_tables`)."""
     return list(_CREATED)
