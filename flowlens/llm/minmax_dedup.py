@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import vectext as vt
 from flowlens.llm.simjoin import similarity_components
-from flowlens.operators.common import materialize
+from flowlens.operators.common import materialize, settled
 
 BANDS = 40
 ROWS = 5
@@ -85,10 +85,10 @@ def _sketcher(shingle_words: int, bands: int, rows: int):
                             if full else ())
                 none = np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                    [ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([vt.set_id(s) if len(s) else None for s in sets], pa.int64()),
                      list_array([next(keys) if len(s) else none for s in sets])],
-                    names=["doc_id", "n", "set_id", "bands"])
+                    names=["doc_id", "tid", "n", "set_id", "bands"])
     return run
 
 
@@ -120,28 +120,36 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
     kept is true only without a component. Columns other than doc_id and text
     are ignored. Empty input gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .withColumn("tid", F.xxhash64("text"))
+    return settled(docs.sparkSession, "minmax", lambda: _near_duplicates(docs, shingle_words, percent, bands, rows))
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, bands: int, rows: int) -> DataFrame:
     sketches = materialize(
         docs.mapInArrow(_sketcher(shingle_words, bands, rows),
-                        "doc_id long, n long, set_id long, bands array<long>"), "minmax-sketches")
+                        "doc_id long, tid long, n long, set_id long, bands array<long>"), "minmax-sketches")
+    # where a set is found again: the row of its smallest doc_id (NULL last)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid")
     nodes = materialize(
         sketches.where("set_id is not null").groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")),
-        "minmax-nodes")
+        .agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .select("set_id", "place.doc_id", "place.tid", "n", "bands"), "minmax-nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = materialize(nodes.select("set_id", "doc_id").join(ids, "set_id"), "minmax-wanted")
+        wanted = nodes.select("set_id", F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).join(ids, "set_id")
+        wanted = materialize(wanted, "minmax-wanted")
         # a repeated row gives its set once
-        rows = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        return rows.join(wanted, "doc_id").select("set_id", "text") \
+        return docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
+            .dropDuplicates(["set_id"]).select("set_id", "text") \
             .mapInArrow(_set_maker(shingle_words), "set_id long, n long, items array<long>")
 
-    labels = similarity_components(nodes.where("doc_id is not null").select("set_id", "bands"),
-                                   sets_of, percent, "minmax", frames=1)
+    labels = similarity_components(nodes.select("set_id", "bands"), sets_of, percent, "minmax", frames=1)
     comp = nodes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left") \
         .withColumn("label", F.coalesce("label", "set_id"))
     comp = materialize(comp, "minmax-labels")
-    smallest = comp.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that Spark may split a large component's rows in the join
+    smallest = materialize(comp.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minmax-smallest")
     decided = materialize(comp.join(smallest, "label").select("set_id", "component_id"), "minmax-components")
     return sketches.select("doc_id", "n", "set_id").join(decided, "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -1,6 +1,11 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of a text that have at least ``min_words`` words.
+Two kinds of paragraphs cover all words of a text: its lines of at least
+``min_words`` words, compared by Jaccard (:func:`repeated_paragraphs`, below), and
+every window of ``min_words`` words of its running text, compared for equality
+(:mod:`repeated_runs`), which finds passages across short lines and inside longer
+ones. :func:`repeated_passages` gives both, as ranges of words.
+
 Equal paragraphs (equal sets of five-word shingles) are one node; distinct
 ones are banded with few rows per band, tuned for recall (a pair at the
 threshold is missed with probability (1 - 0.8**rows)**bands, 6e-7 with the
@@ -20,8 +25,9 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import vectext as vt
 from flowlens.llm.minmax_dedup import band_keys, list_array, permutations
+from flowlens.llm.repeated_runs import repeated_runs
 from flowlens.llm.simjoin import similarity_components
-from flowlens.operators.common import materialize
+from flowlens.operators.common import materialize, settled
 
 MIN_WORDS = 50
 SHINGLE_WORDS = 5
@@ -42,18 +48,17 @@ def minima(s: np.ndarray, mult: np.ndarray, add: np.ndarray, block: int = 2048)
 
 
 def paragraphs(texts: list, min_words: int):
-    """(text index, paragraph index among all lines, words, shingles' hashes
-    source) of each line with ``min_words`` words: yields (text, line, n, h)."""
-    lines, owner = [], []
-    for i, t in enumerate(texts):
-        for j, line in enumerate((t or "").split("\n")):
-            if len(line) >= 2 * min_words - 1:      # a shorter line can't have so many words
-                lines.append(line)
-                owner.append((i, j))
-    h, first = vt.hashed_words(lines)
-    for (i, j), a, b in zip(owner, first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= min_words:
-            yield i, j, h[a:b]
+    """(text, line of the text, first word in the text, hashes of its words) of
+    each line with ``min_words`` words."""
+    buf, at = vt.pack(texts)
+    starts, _ = vt.word_spans(buf, vt.ASCII_SPACE)
+    h = vt.word_hashes(buf, starts, vt.ASCII_SPACE)
+    lines = np.sort(np.concatenate([at[:-1], np.flatnonzero(buf == 0x0A) + 1]))
+    word = np.append(np.searchsorted(starts, lines), len(starts))
+    for k in np.flatnonzero(np.diff(word) >= min_words).tolist():
+        text = int(np.searchsorted(at, lines[k], "right")) - 1
+        first_line = int(np.searchsorted(lines, at[text]))
+        yield text, k - first_line, int(word[k] - word[first_line]), h[word[k]:word[k + 1]]
 
 
 def _line_sets(texts: list, min_words: int, shingle_words: int):
@@ -68,7 +73,7 @@ def _sketcher(min_words: int, shingle_words: int, bands: int, rows: int):
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            ids, texts, tids = (batch.column(i).to_pylist() for i in range(3))
             for a, b in vt.slices([len(t or "") for t in texts]):
                 found, sets = _line_sets(texts[a:b], min_words, shingle_words)
                 if not found:
@@ -76,11 +81,12 @@ def _sketcher(min_words: int, shingle_words: int, bands: int, rows: int):
                 keys = band_keys(np.stack([minima(s, mult, add) for s in sets]), bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[a + i] for i, *_ in found], pa.int64()),
-                     pa.array([j for _, j, _ in found], pa.int64()),
-                     pa.array([len(h) for *_, h in found], pa.int64()),
+                     pa.array([tids[a + i] for i, *_ in found], pa.int64()),
+                     pa.array([j for _, j, *_ in found], pa.int64()),
+                     pa.array([w for *_, w, _ in found], pa.int64()), pa.array([len(h) for *_, h in found], pa.int64()),
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([vt.set_id(s) for s in sets], pa.int64()), list_array(list(keys))],
-                    names=["doc_id", "paragraph", "n_words", "n", "set_id", "bands"])
+                    names=["doc_id", "tid", "paragraph", "start_word", "n_words", "n", "set_id", "bands"])
     return run
 
 
@@ -106,59 +112,70 @@ def _set_maker(min_words: int, shingle_words: int):
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, shingle_words: int = SHINGLE_WORDS,
                         percent: int = SIMILARITY_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per paragraph that has a near-equal one
-    anywhere: doc_id, paragraph (line number from 0), n_words, first_doc_id
-    and first_paragraph (its component's first), kept (it is that one).
+    anywhere: doc_id, paragraph (line number from 0), start_word (its first in
+    the text, from 0), n_words, first_doc_id and first_paragraph (its
+    component's first), kept (it is that one).
 
     Paragraphs of one document count as well. NULL and empty texts and shorter
     lines give no rows. A NULL doc_id comes after all others in the order.
     Repeated rows give repeated rows with one decision. Other columns are
     ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .withColumn("tid", F.xxhash64("text"))
+    return settled(docs.sparkSession, "paragraphs",
+                   lambda: _repeated_paragraphs(docs, min_words, shingle_words, percent, bands, rows))
+
+
+def _repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, percent: int, bands: int,
+                         rows: int) -> DataFrame:
     sketches = materialize(
         docs.mapInArrow(_sketcher(min_words, shingle_words, bands, rows),
-                        "doc_id long, paragraph long, n_words long, n long, set_id long, bands array<long>"),
+                        "doc_id long, tid long, paragraph long, start_word long, n_words long, n long, set_id long, "
+                        "bands array<long>"),
         "paragraph-sketches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
     nodes = materialize(
-        sketches.groupBy("set_id").agg(F.min(place).alias("place"), F.count("*").alias("copies"),
+        sketches.groupBy("set_id").agg(F.min(place).alias("place"), F.min_by("tid", place).alias("tid"),
+                                       F.count("*").alias("copies"),
                                        F.first("n").alias("n"), F.first("bands").alias("bands")),
         "paragraph-nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids, "set_id").select(F.col("place.doc_id").alias("doc_id"), "set_id") \
-            .where("doc_id is not null") \
-            .groupBy("doc_id").agg(F.collect_set("set_id").alias("wanted"))   # at most a text's own paragraphs
+        wanted = nodes.join(ids, "set_id").select(F.col("place.doc_id").alias("_doc"), F.col("tid").alias("_tid"), "set_id") \
+            .groupBy("_doc", "_tid").agg(F.collect_set("set_id").alias("wanted"))   # at most a text's own paragraphs
         wanted = materialize(wanted, "paragraph-wanted")
         # a repeated row gives its sets once
-        rows = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        return rows.join(wanted, "doc_id").select("text", "wanted") \
+        return docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
+            .dropDuplicates(["_doc", "_tid"]).select("text", "wanted") \
             .mapInArrow(_set_maker(min_words, shingle_words), "set_id long, n long, items array<long>")
 
-    labels = similarity_components(nodes.where("place.doc_id is not null").select("set_id", "bands"),
-                                   sets_of, percent, "paragraph")
+    labels = similarity_components(nodes.select("set_id", "bands"), sets_of, percent, "paragraph")
     comp = materialize(
         nodes.select("set_id", "place", "copies").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
         .withColumn("label", F.coalesce("label", "set_id")), "paragraph-labels")
-    groups = comp.groupBy("label").agg(F.min("place").alias("first"), F.sum("copies").alias("copies")) \
-        .where("copies > 1")
+    # stored, so that Spark may split a large component's rows in the join
+    groups = materialize(comp.groupBy("label").agg(F.min("place").alias("first"), F.sum("copies").alias("copies"))
+                         .where("copies > 1"), "paragraph-groups")
     decided = materialize(comp.select("set_id", "label").join(groups, "label").select("set_id", "first"),
                           "paragraph-components")
-    out = sketches.select("doc_id", "paragraph", "n_words", "set_id").join(decided, "set_id")
+    out = sketches.select("doc_id", "paragraph", "start_word", "n_words", "set_id").join(decided, "set_id")
     return out.select(
-        "doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("first_doc_id"),
+        "doc_id", "paragraph", "start_word", "n_words", F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.paragraph").alias("first_paragraph"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph")))
         .alias("kept"))
 
 
-def without_paragraphs(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the lines named by ``removed(doc_id, paragraph)`` taken out
-    of ``text`` (native); all columns and rows stay, in their schema. Rows with
-    a NULL doc_id are matched to NULL."""
-    lines = removed.groupBy(F.col("doc_id").alias("_rm_doc")) \
-        .agg(F.collect_set("paragraph").alias("_rm_lines"))                   # at most a text's own lines
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_rm_lines, bigint(i))), '\\n')")
-    return docs.join(lines, docs["doc_id"].eqNullSafe(F.col("_rm_doc")), "left") \
-        .withColumn("text", F.when(F.col("_rm_lines").isNull(), F.col("text")).otherwise(kept)) \
-        .select(*docs.columns)
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All words of ``docs(doc_id, text)`` in paragraphs of ``min_words`` words that
+    repeat: ``unit`` ('line': near-equal lines; 'run': runs of repeated windows),
+    doc_id, start_word, n_words, first_doc_id (where the line's component, or the
+    run's first window, comes first) and kept (a line that is its component's
+    first). What is not kept is a repetition of earlier words. Edge rows as in
+    :func:`repeated_paragraphs` and :func:`repeated_runs.repeated_runs`."""
+    lines = repeated_paragraphs(docs, min_words)
+    runs = settled(docs.sparkSession, "runs", lambda: repeated_runs(docs, min_words))
+    columns = ["doc_id", "start_word", "n_words", "first_doc_id"]
+    return lines.select(F.lit("line").alias("unit"), *columns, "kept") \
+        .unionByName(runs.select(F.lit("run").alias("unit"), *columns, F.lit(False).alias("kept")))

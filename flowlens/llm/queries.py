@@ -10,7 +10,7 @@ from flowlens.llm import (byte_bpe, conversation_repair, host_reputation, licens
 from flowlens.llm.bestfit_packing import pack_documents
 from flowlens.llm.minmax_dedup import near_duplicates
 from flowlens.llm.nn_descent import nearest
-from flowlens.llm.paragraph_dedup import repeated_paragraphs
+from flowlens.llm.paragraph_dedup import repeated_passages
 from flowlens.llm.quotation_links import linked_conversations
 from flowlens.llm.string_tiling import contaminated_pairs
 from flowlens.llm.subword_classifier import quality_scores
@@ -53,8 +53,8 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All paragraphs of 50 words that repeat in the documents, and which stay."""
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """All lines and runs of 50 words that repeat in the documents, and which stay."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,8 @@ select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(c.r, n.doc_id)) as
 from n left join c on c.doc_id = n.doc_id
 """
 
-# The same over lines of 50 words and their 5-word shingles.
+# The same over lines of 50 words and their 5-word shingles; and every window of
+# 50 words of the running text that an earlier document has, or an earlier place.
 _OP7_SQL = r"""
 with recursive l as (
   select doc_id, unnest(string_split(text, chr(10))) as line,
@@ -132,10 +133,13 @@ with recursive l as (
 w as (
   select doc_id, paragraph, regexp_extract_all(translate(line,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from l),
+p as (
+  select doc_id, paragraph, ws,
+    sum(len(ws)) over (partition by doc_id order by paragraph) - len(ws) as start_word from w),
 s as (
-  select row_number() over (order by doc_id, paragraph) as id, doc_id, paragraph, len(ws) as n_words,
+  select row_number() over (order by doc_id, paragraph) as id, doc_id, start_word, len(ws) as n_words,
     list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as sh
-  from w where len(ws) >= 50),
+  from p where len(ws) >= 50),
 n as (select id, len(sh) as n from s),
 e as (select id, unnest(sh) as x from s),
 common as (
@@ -145,10 +149,27 @@ link as (
 sym as (select a, b from link union all select b, a from link),
 reach as (
   select a as id, b as r from sym union select reach.id, sym.b from reach join sym on reach.r = sym.a),
-c as (select id, least(id, min(r)) as r from reach group by id)
-select s.doc_id, cast(s.paragraph as bigint) as paragraph, s.n_words, f.doc_id as first_doc_id,
-  cast(f.paragraph as bigint) as first_paragraph, s.id = f.id as kept
-from c join s on s.id = c.id join s f on f.id = c.r
+c as (select id, least(id, min(r)) as r from reach group by id),
+t as (
+  select doc_id, text, min(doc_id) over (partition by text) as rep, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents where text is not null),
+win as (
+  select doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) as k
+  from (select doc_id, ws, unnest(range(0, len(ws) - 49)) as i from t where doc_id = rep and len(ws) >= 50)),
+f as (select k, min((doc_id, i)) as first from win group by k having count(*) > 1),
+cut as (
+  select doc_id, i, first[1] as first_doc_id from win join f using (k) where (doc_id, i) <> first),
+mark as (
+  select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from cut),
+isle as (select *, sum(fresh) over (partition by doc_id order by i) as g from mark)
+select 'line' as unit, s.doc_id, cast(s.start_word as bigint) as start_word, s.n_words, o.doc_id as first_doc_id,
+  s.id = o.id as kept
+from c join s on s.id = c.id join s o on o.id = c.r
+union all
+select 'run', doc_id, min(i), max(i) + 50 - min(i), arg_min(first_doc_id, i), false from isle group by doc_id, g
+union all
+select 'run', doc_id, 0, len(ws), rep, false from t where doc_id <> rep and len(ws) >= 50
 """
 
 ORACLE = {

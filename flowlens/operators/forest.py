@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.operators.common import materialize
+from flowlens.operators.common import Scratch, materialize
+from flowlens.operators.quantiles import exact_quantile
 from flowlens.schema import (DEFAULT_CONTAMINATION, DEFAULT_MAX_SAMPLES, DEFAULT_SEED,
                              DEFAULT_TREES, RISK_HIGH_BELOW, RISK_MEDIUM_BELOW)
 
@@ -323,9 +324,14 @@ def _raw_scores(model: ForestModel, df: DataFrame) -> DataFrame:
 
 
 def iforest_threshold(scored: DataFrame, contamination: float, exact: bool = False) -> float:
-    """The ``contamination`` quantile of the scores; see :func:`iforest_train`."""
-    q = (F.percentile("anomaly_score", float(contamination)) if exact else
-         F.percentile_approx("anomaly_score", float(contamination), QUANTILE_ACCURACY))
+    """The ``contamination`` quantile of the scores; see :func:`iforest_train`.
+    ``exact`` stores the scores and narrows a bracket around the quantile
+    (:mod:`flowlens.operators.quantiles`)."""
+    if exact:
+        with Scratch(scored.sparkSession):
+            stored = materialize(scored.select("anomaly_score"), "train-scores")
+            return float(exact_quantile(stored, "anomaly_score", float(contamination)))
+    q = F.percentile_approx("anomaly_score", float(contamination), QUANTILE_ACCURACY)
     return float(scored.agg(q).first()[0])
 
 
@@ -339,7 +345,7 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
 
     The threshold is a mergeable quantile sketch of the training scores with a
     rank error of 1 / ``QUANTILE_ACCURACY`` of the rows; ``exact_threshold``
-    takes the exact quantile instead (one counter per distinct score)."""
+    takes the exact quantile instead (a few more passes over the stored scores)."""
     from flowlens.operators.features import select_numeric
     features = list(features) if features is not None else select_numeric(df)
     if not features:

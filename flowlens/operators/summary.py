@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.common import add_time_window
 from flowlens.operators.exfil import flt_outbound
+from flowlens.operators.heavy import top_values
 from flowlens.schema import EXFIL_WINDOW_S, RISK_HIGH_BELOW, RISK_MEDIUM_BELOW
 
 LOW_RATE_PCT = 5
@@ -58,10 +59,10 @@ def exfil_flows_at_risk(flows: DataFrame, exfil: DataFrame) -> DataFrame:
 
 
 def topk_destinations(flows: DataFrame, exfil: DataFrame, k: int = TOP_DESTINATIONS) -> DataFrame:
-    """Most frequent external destinations among flows at risk (ties by address)."""
-    return (exfil_flows_at_risk(flows, exfil).where(F.col("dst_ip").isNotNull())
-            .groupBy("dst_ip").agg(F.count(F.lit(1)).alias("transfers"))
-            .orderBy(F.col("transfers").desc(), "dst_ip").limit(k))
+    """Most frequent external destinations among flows at risk (ties by address):
+    exact, and only the destinations of full hash buckets are counted one by one
+    (:mod:`flowlens.operators.heavy`)."""
+    return top_values(exfil_flows_at_risk(flows, exfil), "dst_ip", k, "transfers")
 
 
 def bytes_at_risk(flows: DataFrame, exfil: DataFrame) -> DataFrame:

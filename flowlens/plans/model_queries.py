@@ -90,8 +90,9 @@ def _summary(spark, sf):
                           materialize(findings, "findings"))
 
 
-def q_attack_summary(spark, sf):
-    flat = _summary(spark, sf).drop("timestamp")
+def flat_summary(summary: DataFrame) -> DataFrame:
+    """The summary's nested columns as plain ones."""
+    flat = summary.drop("timestamp")
     nested = {"threats": "threat", "risk_levels": "risk", "ics_severity": "severity"}
     cols = []
     for f in flat.schema.fields:
@@ -104,6 +105,10 @@ def q_attack_summary(spark, sf):
     return hashable(flat.select(*cols))
 
 
+def q_attack_summary(spark, sf):
+    return flat_summary(_summary(spark, sf))
+
+
 def q_recommendations(spark, sf):
     return recommendations(_summary(spark, sf))
 
