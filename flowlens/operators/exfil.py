@@ -11,6 +11,7 @@ from flowlens.functions.timefns import dt_hour, dt_weekday
 from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, materialize, moments,
                                       weighted_sum, with_scalars)
 from flowlens.operators.features import has_timestamp, night_flag, weekend_flag
+from flowlens.operators.score_moments import gathered, mean_and_std, observed, weights
 from flowlens.schema import EXFIL_COLUMNS, EXFIL_WINDOW_S, SUSPICIOUS_PROTOCOLS
 
 # ---------------------------------------------------------------------------
@@ -23,6 +24,7 @@ SCORE_WEIGHTS = [("mb_transferred", 3.0), ("unique_external_dsts", 2.0), ("is_la
                  ("is_multiple_destinations", 3.0), ("is_high_bandwidth", 2.0), ("is_unusual_time", 2.0),
                  ("is_suspicious_protocol", 1.5)]
 SIGMA = 2.0
+SCORE = weights(SCORE_WEIGHTS, units={"mb_transferred": ("bytes_out", BYTES_PER_MB)})
 # ---------------------------------------------------------------------------
 
 
@@ -60,30 +62,45 @@ def agg_exfil(df: DataFrame, width_s: int = EXFIL_WINDOW_S, exact: bool = True)
                     F.count_if(flt_suspicious_protocol()).cast("long").alias("suspicious_protocol_count")))
 
 
-def score_exfil(groups: DataFrame, scalars: DataFrame | None = None) -> DataFrame:
-    """Scores and flags over the output of :func:`agg_exfil`. Mean and deviation
-    are those of all groups given, or the one row of ``scalars(_mean, _std)``."""
+def with_flags(groups: DataFrame) -> DataFrame:
+    """Groups with volume, rates and flags."""
     g = groups.withColumns({
         "mb_transferred": F.col("bytes_out") / F.lit(float(BYTES_PER_MB)),
         "transfer_rate": rate("bytes_out", "total_duration"),
         "packet_rate": rate("packets_out", "total_duration"),
     })
-    g = g.withColumns({
+    return g.withColumns({
         "is_large_transfer": flag(F.col("mb_transferred") > LARGE_TRANSFER_MB),
         "is_multiple_destinations": flag(F.col("unique_external_dsts") > MULTI_DESTINATIONS),
         "is_high_bandwidth": flag(F.col("transfer_rate") > HIGH_BANDWIDTH_BPS),
         "is_unusual_time": flag((F.col("is_night") == 1) | (F.col("is_weekend") == 1)),
         "is_suspicious_protocol": flag(F.col("suspicious_protocol_count") > 0),
     })
-    g = g.withColumn("exfil_score", weighted_sum(SCORE_WEIGHTS))
-    g = g.crossJoin(F.broadcast(scalars)) if scalars else with_scalars(g, *moments("exfil_score"))
+
+
+def _with_score(groups: DataFrame) -> DataFrame:
+    return with_flags(groups).withColumn("exfil_score", weighted_sum(SCORE_WEIGHTS))
+
+
+def _flagged(g: DataFrame) -> DataFrame:
     is_ex = above_sigma("exfil_score", SIGMA)
-    g = g.withColumns({
+    return g.withColumns({
         "is_exfiltration": is_ex.cast("int"),
         "is_high_risk": (is_ex & ((F.col("is_large_transfer") == 1)
                                   | (F.col("is_unusual_time") == 1))).cast("int"),
-    })
-    return g.select(*EXFIL_COLUMNS)
+    }).select(*EXFIL_COLUMNS)
+
+
+def scored(groups: DataFrame, max_first, max_second, mean, std) -> DataFrame:
+    """Scores and flags under given mean and deviation (None: none yet); the
+    maxima, which other detectors need, don't matter here."""
+    one = groups.sparkSession.createDataFrame([(mean, std)], "_mean double, _std double")
+    return _flagged(_with_score(groups.crossJoin(F.broadcast(one))))
+
+
+def score_exfil(groups: DataFrame) -> DataFrame:
+    """Scores and flags over the output of :func:`agg_exfil` (all groups)."""
+    return _flagged(with_scalars(_with_score(groups), *moments("exfil_score")))
 
 
 def detect_exfil(df: DataFrame, materialize_groups: bool = True, exact: bool = True) -> DataFrame:
@@ -91,6 +108,8 @@ def detect_exfil(df: DataFrame, materialize_groups: bool = True, exact: bool = T
     No outbound traffic gives an empty frame with the same schema.
     ``materialize_groups``: as in :func:`flowlens.operators.lateral.detect_lateral`."""
     groups = agg_exfil(df, exact=exact)
-    if materialize_groups and not df.isStreaming:
-        groups = materialize(groups, "exfil-groups")
-    return score_exfil(groups)
+    if not materialize_groups or df.isStreaming:
+        return score_exfil(groups)
+    watched, obs = observed(with_flags(groups), SCORE)
+    stored = materialize(watched, "exfil-groups")
+    return scored(stored, None, None, *mean_and_std(SCORE, gathered(obs, SCORE)))

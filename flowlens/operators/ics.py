@@ -24,6 +24,7 @@ from flowlens.functions.ip import is_private_ip
 from flowlens.functions.protocol import is_ics_port
 from flowlens.operators.common import SCORE_PLACES, add_time_window, materialize, quantiles, with_scalars
 from flowlens.operators.features import has_timestamp, split_key
+from flowlens.plans.concurrent import run_concurrently
 from flowlens.schema import (FINDINGS_COLUMNS, FINDINGS_SCHEMA, ICS_VOLUME_WINDOW_S,
                              SEVERITY_SCORES)
 
@@ -287,8 +288,8 @@ def ics_unusual_ports(df: DataFrame) -> DataFrame:
 # --- the seven rules -------------------------------------------------------
 
 def ics_rules(df: DataFrame, assets: DataFrame | None = None,
-              materialize_base: bool = True) -> list[DataFrame]:
-    """Frames of findings, together the seven rules. Unless ``materialize_base``
+              materialize_base: bool = True) -> tuple[list[DataFrame], DataFrame]:
+    """Frames of findings, together the seven rules, and the high-diversity devices. Unless ``materialize_base``
     is False, :func:`ics_base` and the per-source table are written once: the
     counting rules come from one totals row of the latter, the diversity rule
     from the same table, the others from small aggregates of the base."""
@@ -296,7 +297,11 @@ def ics_rules(df: DataFrame, assets: DataFrame | None = None,
         return materialize(table, name) if materialize_base and not df.isStreaming else table
 
     base = stored(ics_base(df), "ics-base")
-    per_src = stored(_per_source(base, assets), "ics-sources")
+    # three tables of the base, written as concurrent jobs
+    timed = has_timestamp(df)
+    per_src, ports, *volume = run_concurrently(
+        lambda: stored(_per_source(base, assets), "ics-sources"), lambda: stored(_ports(base), "ics-ports"),
+        *([lambda: stored(_volume(base).select("time_window", "total_bytes"), "ics-volume")] if timed else []))
     ips = (_external_first_seen(base, EXTERNAL_IPS_SHOWN)
            .agg(F.transform(F.array_sort(F.collect_list(F.struct(
                F.coalesce(F.unix_micros("first_seen"), F.lit(2**62)).alias("t"), F.col("dst_ip").alias("ip")))),
@@ -314,30 +319,36 @@ def ics_rules(df: DataFrame, assets: DataFrame | None = None,
     out = [_rows(totals, *counted)]
     devices = _high_diversity(per_src).agg(F.count(F.lit(1)).alias("n"))
     out.append(_rows(devices, _finding("high_diversity", F.col("n"), affected_devices=F.col("n"))))
-    if has_timestamp(df):
-        volume = stored(_volume(base).select("time_window", "total_bytes"), "ics-volume")
-        spikes = _spikes(volume).agg(F.count(F.lit(1)).alias("n"), F.max("total_bytes").alias("mx"))
+    if timed:
+        spikes = _spikes(volume[0]).agg(F.count(F.lit(1)).alias("n"), F.max("total_bytes").alias("mx"))
         out.append(_rows(spikes, _finding("traffic_spike", F.col("n"),
                                           max_volume_mb=F.col("mx") / F.lit(float(BYTES_PER_MB)))))
-    ports = stored(_ports(base), "ics-ports")
     unusual = _unusual_ports(ports).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("port")).alias("ports"))
     out.append(_rows(unusual, _finding("unusual_protocol_usage", F.col("n"), protocols=F.col("ports"))))
-    return out
+    return out, _high_diversity(per_src)
 
 
 def union_findings(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def detect_ics_with_devices(df: DataFrame, assets: DataFrame | None = None,
+                            materialize_base: bool = True) -> tuple[DataFrame, DataFrame]:
+    """:func:`detect_ics` and :func:`ics_high_diversity_devices`, of one base."""
+    if "is_ics_protocol" not in df.columns:
+        return empty_findings(df.sparkSession), ics_high_diversity_devices(df)
+    frames, devices = ics_rules(df, assets, materialize_base)
+    return union_findings(frames).select(*FINDINGS_COLUMNS), devices
+
+
 def detect_ics(df: DataFrame, assets: DataFrame | None = None,
                materialize_base: bool = True) -> DataFrame:
     """FINDINGS rows (rule order in ``rule_no``; the affected devices of
     ``high_diversity`` are listed by :func:`ics_high_diversity_devices`). No ``is_ics_protocol``
     column or no ICS rows gives an empty frame with the FINDINGS schema."""
-    spark = df.sparkSession
     if "is_ics_protocol" not in df.columns:
-        return empty_findings(spark)
-    return union_findings(ics_rules(df, assets, materialize_base)).select(*FINDINGS_COLUMNS)
+        return empty_findings(df.sparkSession)
+    return detect_ics_with_devices(df, assets, materialize_base)[0]
 
 
 def agg_severity_counts(findings: DataFrame) -> DataFrame:

@@ -102,9 +102,12 @@ def _flag_sum(df: DataFrame, col: str, alias: str):
     return F.lit(0).cast("long").alias(alias)
 
 
-def threat_counts(flows: DataFrame, lateral: DataFrame, exfil: DataFrame, findings: DataFrame) -> DataFrame:
-    """Traffic totals and threat counts (one row, no model columns)."""
+def threat_counts(flows: DataFrame, lateral: DataFrame, exfil: DataFrame, findings: DataFrame,
+                  more: list | tuple = ()) -> DataFrame:
+    """Traffic totals and threat counts (one row, no model columns); ``more``
+    aggregates of the flows are taken in the same pass."""
     traffic = flows.agg(
+        *more,
         F.count(F.lit(1)).alias("total_flows"),
         F.countDistinct("src_ip").alias("unique_sources"),
         F.countDistinct("dst_ip").alias("unique_destinations"),
@@ -141,12 +144,11 @@ def attack_summary(scored: DataFrame, lateral: DataFrame, exfil: DataFrame,
     values of :func:`score_counts`, e.g. observed while the anomalies were
     written) is given; then the forest is not run again."""
     if model_counts is None:
-        model = scored.agg(*score_counts())
+        model = score_counts()
     else:
         names = ["total_anomalies", "risk_high", "risk_medium", "risk_low"]
-        model = scored.sparkSession.createDataFrame(
-            [tuple(int(model_counts.get(k) or 0) for k in names)], ", ".join(f"{k} long" for k in names))
-    base = _one_row(threat_counts(scored, lateral, exfil, findings), model, bytes_at_risk(scored, exfil),
+        model = [F.lit(int(model_counts.get(k) or 0)).cast("long").alias(k) for k in names]
+    base = _one_row(threat_counts(scored, lateral, exfil, findings, model), bytes_at_risk(scored, exfil),
                     top_protocols(scored))
     rate = F.coalesce(F.try_divide(F.col("total_anomalies") * 100.0, F.col("total_flows")), F.lit(0.0))
     return base.select(

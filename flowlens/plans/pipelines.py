@@ -18,7 +18,7 @@ from flowlens.operators.exfil import detect_exfil
 from flowlens.operators.features import preprocess, select_features
 from flowlens.operators.forest import (iforest_score, iforest_train, model_load, model_save,
                                        train_or_load)
-from flowlens.operators.ics import detect_ics, flt_critical, ics_high_diversity_devices
+from flowlens.operators.ics import detect_ics_with_devices, flt_critical
 from flowlens.operators.lateral import detect_lateral
 from flowlens.operators.stats import stats
 from flowlens.operators.summary import attack_summary, protocol_counts, recommendations, score_counts, topk_destinations
@@ -87,13 +87,17 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
     def write_anomalies():
         return sinks.sink_anomalies(scored, anomalies_path, fmt)
 
+    def ics_tables():
+        findings, devices = detect_ics_with_devices(features, assets)
+        return materialize(spark, findings, "findings"), devices
+
     if detailed:
         # scoring write and the three detectors are independent jobs
-        written, lateral, exfil, findings = run_concurrently(
+        written, lateral, exfil, (findings, devices) = run_concurrently(
             write_anomalies,
             lambda: materialize(spark, detect_lateral(features), "lateral"),
             lambda: materialize(spark, detect_exfil(features), "exfil"),
-            lambda: materialize(spark, detect_ics(features, assets), "findings"))
+            ics_tables)
     else:
         written = write_anomalies()
     out = {"anomalies": written}
@@ -116,7 +120,7 @@ def _analyze(spark: SparkSession, features: DataFrame, model, out_dir: str, deta
             "first_findings": lambda: sinks.write_table(head_findings(findings),
                                                         os.path.join(out_dir, "first_findings"), fmt),
             "high_diversity_devices": lambda: sinks.write_table(
-                ics_high_diversity_devices(features), os.path.join(out_dir, "high_diversity_devices"), fmt),
+                devices, os.path.join(out_dir, "high_diversity_devices"), fmt),
             "critical_findings": lambda: sinks.write_table(flt_critical(findings),
                                                            os.path.join(out_dir, "critical_findings"), fmt),
         }

@@ -3,11 +3,10 @@
 A group's score weighs a few whole numbers of the group (distinct hosts and
 ports, bytes, flags). For lateral movement two of the weights are divided by
 maxima over all groups, so a new maximum changes every earlier score. The state
-therefore holds what no maximum changes: the number of groups, the sums of
-these numbers and of their products, and the maxima, all exact integers, and
-mergeable. Mean and deviation of the scores under the maxima so far follow
-from them, and after the last window they are those of a batch run over all
-groups, whatever the triggers were.
+therefore holds what no maximum changes, the exact integer moments of
+:mod:`flowlens.operators.score_moments`. Mean and deviation of the scores under
+the maxima so far follow from them, and after the last window they are those of
+a batch run over all groups, whatever the triggers were.
 
 The state is a few dozen numbers per detector (``transformWithState``); each
 task of a trigger reduces its groups to one such row first.
@@ -16,10 +15,8 @@ task of a trigger reduces its groups to one such row first.
 from __future__ import annotations
 
 import json
-import math
 import os
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -28,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowlens.functions.arith import BYTES_PER_MB
 from flowlens.operators import exfil, lateral
+from flowlens.operators.score_moments import Weights, mean_and_std, merged
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -37,40 +34,7 @@ _MOMENTS = "kind string, moments string"
 THRESHOLDS = "kind string, groups long, max_first long, max_second long, mean double, std double"
 
 
-class Score:
-    """A detector's score as weights over whole numbers of a group; the first
-    ``divided`` weights are divided by their number's maximum."""
-
-    def __init__(self, score, scalars: str, numbers: list, weights: list, divided: int):
-        self.score, self.scalars, self.numbers, self.weights, self.divided = score, scalars, numbers, weights, divided
-
-    def scored(self, groups: DataFrame, values: list) -> DataFrame:
-        return self.score(groups, groups.sparkSession.createDataFrame([tuple(values)], self.scalars))
-
-
-def _weights(pairs, unit=None):
-    return [Fraction(w) / (unit or {}).get(c, 1) for c, w in pairs]
-
-
-SCORES = {
-    "lateral": Score(lateral.score_lateral, "_max_ud long, _max_up long, _mean double, _std double",
-                     ["unique_dsts", "unique_ports", "is_port_scan", "is_host_scan"],
-                     _weights(lateral.SCORE_WEIGHTS), 2),
-    "exfil": Score(exfil.score_exfil, "_mean double, _std double",
-                   ["bytes_out", *(c for c, _ in exfil.SCORE_WEIGHTS[1:])],
-                   _weights(exfil.SCORE_WEIGHTS, {"mb_transferred": BYTES_PER_MB}), 0),
-}
-
-
-def merged(a: dict | None, b: dict) -> dict:
-    """Moments of two disjoint sets of groups together."""
-    if not a or not a["n"]:
-        return b
-    if not b["n"]:
-        return a
-    return {"n": a["n"] + b["n"], "sums": [x + y for x, y in zip(a["sums"], b["sums"])],
-            "products": [[x + y for x, y in zip(p, q)] for p, q in zip(a["products"], b["products"])],
-            "maxima": [max(x, y) for x, y in zip(a["maxima"], b["maxima"])]}
+SCORES = {"lateral": lateral, "exfil": exfil}        # modules: SCORE, SCALARS, scored()
 
 
 def moments_of(rows: np.ndarray) -> dict:
@@ -82,19 +46,6 @@ def moments_of(rows: np.ndarray) -> dict:
             "products": [[int(v) for v in r] for r in x.T.dot(x)], "maxima": [int(v) for v in x.max(axis=0)]}
 
 
-def mean_and_std(kind: str, m: dict) -> tuple:
-    """Mean and sample deviation of the scores under the maxima in ``m``; None as in SQL."""
-    score = SCORES[kind]
-    if not m["n"] or 0 in m["maxima"][:score.divided]:
-        return None, None
-    w = [v / m["maxima"][i] if i < score.divided else v for i, v in enumerate(score.weights)]
-    total = sum(a * b for a, b in zip(w, m["sums"]))
-    if m["n"] == 1:
-        return float(total), None
-    squares = sum(w[i] * w[j] * p for i, row in enumerate(m["products"]) for j, p in enumerate(row))
-    return float(total / m["n"]), math.sqrt((squares - total * total / m["n"]) / (m["n"] - 1))
-
-
 def _reduced(kind: str, width: int):
     def run(batches):
         total = moments_of(np.zeros((0, width), object))
@@ -111,6 +62,9 @@ def _reduced(kind: str, width: int):
 class _Moments(StatefulProcessor):
     """Merges a trigger's moments into the state; emits the thresholds so far."""
 
+    def __init__(self, score: Weights):
+        self.score = score
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("moments", "moments string")
 
@@ -120,7 +74,7 @@ class _Moments(StatefulProcessor):
             for text in frame["moments"]:
                 total = merged(total, json.loads(text))
         self.state.update((json.dumps(total),))
-        mean, std = mean_and_std(key[0], total)
+        mean, std = mean_and_std(self.score, total)
         first, second = (total["maxima"] + [None, None])[:2]
         yield pd.DataFrame({"kind": [key[0]], "groups": [total["n"]], "max_first": [first], "max_second": [second],
                             "mean": [mean], "std": [std]}).astype({"mean": "float64", "std": "float64"})
@@ -135,13 +89,12 @@ def start_thresholds(spark: SparkSession, kind: str, out_dir: str, available_now
     writes to ``out_dir/groups`` and append the thresholds after each trigger to
     ``out_dir/thresholds``. Returns the ``StreamingQuery``; a restart with the
     same checkpoint (``out_dir/_thresholds_checkpoint`` by default) goes on."""
-    score = SCORES[kind]
+    numbers = SCORES[kind].SCORE.numbers
     path = os.path.join(out_dir, "groups")
     groups = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    blank = [1 if "long" in c else 0.0 for c in score.scalars.split(", ")]
-    numbers = score.scored(groups, blank).select(*(F.col(c).cast("long") for c in score.numbers))
-    out = numbers.mapInArrow(_reduced(kind, len(score.numbers)), _MOMENTS).groupBy("kind") \
-        .transformWithStateInPandas(_Moments(), THRESHOLDS, "Append", "None")
+    rows = SCORES[kind].with_flags(groups).select(*(F.col(c).cast("long") for c in numbers))
+    out = rows.mapInArrow(_reduced(kind, len(numbers)), _MOMENTS).groupBy("kind") \
+        .transformWithStateInPandas(_Moments(SCORES[kind].SCORE), THRESHOLDS, "Append", "None")
     writer = out.writeStream.format("parquet").outputMode("append") \
         .option("path", os.path.join(out_dir, "thresholds")) \
         .option("checkpointLocation", checkpoint or os.path.join(out_dir, "_thresholds_checkpoint"))
@@ -164,6 +117,6 @@ def flagged_groups(spark: SparkSession, kind: str, out_dir: str) -> DataFrame:
     """All closed groups, scored and flagged with the latest thresholds: what the
     batch detector gives for the same flows."""
     score, t = SCORES[kind], latest_thresholds(spark, out_dir)
-    values = [None] * len(score.scalars.split(", ")) if t is None else \
-        [t["max_first"], t["max_second"]][:score.divided] + [t["mean"], t["std"]]
-    return score.scored(spark.read.parquet(os.path.join(out_dir, "groups")).drop("flows"), values)
+    values = [None] * 4 if t is None else [t["max_first"], t["max_second"], t["mean"], t["std"]]
+    groups = spark.read.parquet(os.path.join(out_dir, "groups")).drop("flows")
+    return score.scored(groups, *values)

@@ -15,8 +15,10 @@ from flowlens.operators.lateral import agg_lateral, detect_lateral
 from flowlens.sources.fixtures import flows_from_lineitem
 from flowlens.streaming import (flagged_groups, late_flows, latest_thresholds, progress_rows, start_groups,
                                 start_thresholds)
-from flowlens.streaming.thresholds import SCORES, mean_and_std, merged, moments_of
+from flowlens.operators.score_moments import gathered, mean_and_std, merged, observed
+from flowlens.streaming.thresholds import SCORES, moments_of
 
+LATERAL, EXFIL = SCORES["lateral"].SCORE, SCORES["exfil"].SCORE
 AGG = {"lateral": agg_lateral, "exfil": agg_exfil}
 DETECT = {"lateral": detect_lateral, "exfil": detect_exfil}
 
@@ -112,13 +114,25 @@ def test_moments_merge_in_any_order_and_are_exact():
     scores = [Fraction(4 * r[0], tops[0]) + Fraction(3 * r[1], tops[1]) + 2 * r[2] + 2 * r[3] for r in x]
     mean = sum(scores) / 60
     var = sum((s - mean) ** 2 for s in scores) / 59
-    assert mean_and_std("lateral", whole) == pytest.approx((float(mean), float(var) ** 0.5), rel=1e-15)
+    assert mean_and_std(LATERAL, whole) == pytest.approx((float(mean), float(var) ** 0.5), rel=1e-15)
 
 
 def test_moments_past_64_bits_one_group_and_no_spread():
     big = moments_of(np.array([[10**17, 1, 1, 0, 1, 1, 0], [10**17 + 1, 1, 1, 0, 1, 1, 0]], dtype=object))
     assert big["products"][0][0] == 10**34 + (10**17 + 1) ** 2
-    assert mean_and_std("exfil", big)[1] == pytest.approx(3 / 2**20 / 2**0.5)
-    assert mean_and_std("exfil", moments_of(np.array([[2**20, 1, 0, 0, 0, 0, 0]], dtype=object))) == (5.0, None)
-    assert mean_and_std("lateral", moments_of(np.array([[0, 0, 0, 0]], dtype=object))) == (None, None)
-    assert [len(s.numbers) for s in SCORES.values()] == [len(s.weights) for s in SCORES.values()]
+    assert mean_and_std(EXFIL, big)[1] == pytest.approx(3 / 2**20 / 2**0.5)
+    assert mean_and_std(EXFIL, moments_of(np.array([[2**20, 1, 0, 0, 0, 0, 0]], dtype=object))) == (5.0, None)
+    assert mean_and_std(LATERAL, moments_of(np.array([[0, 0, 0, 0]], dtype=object))) == (None, None)
+    assert all(len(s.SCORE.numbers) == len(s.SCORE.weights) for s in SCORES.values())
+
+
+def test_observed_moments_are_those_of_the_rows(spark):
+    rng = random.Random(9)
+    x = [[rng.randrange(10**15), *(rng.randrange(9) for _ in range(6))] for _ in range(200)]
+    rows = spark.createDataFrame([*map(tuple, x), (None, 1, 1, 1, 1, 1, 1)], ", ".join(f"{c} long" for c in EXFIL.numbers))
+    watched, obs = observed(rows.repartition(7), EXFIL)
+    watched.write.format("noop").mode("overwrite").save()
+    assert gathered(obs, EXFIL) == moments_of(np.array(x, dtype=object))
+    watched, obs = observed(rows.limit(0), EXFIL)
+    watched.write.format("noop").mode("overwrite").save()
+    assert mean_and_std(EXFIL, gathered(obs, EXFIL)) == (None, None)
