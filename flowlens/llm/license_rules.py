@@ -9,12 +9,16 @@ shares with others. Known sentences left over are reported as
 
 Sentences end at ``. ! ? : ;`` before white space and at line ends; a line
 that starts with a lower-case letter continues the line before it, and leading
-comment marks of a line are dropped. Normalised: A-Z lower-cased, every run of
-other characters than a-z, 0-9 one space, trimmed.
+comment and list marks of a line (``1.``, ``(a)``) are dropped. Normalised: A-Z
+lower-cased, every run of other characters than a-z, 0-9 one space, trimmed, and
+lead-ins ("this project is released under the terms of") cut to "licensed
+under". Sentences without a letter don't count.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,22 +89,57 @@ RULES = (
     ("all-rights-reserved", ("reserved",)),
 )
 
-# Every known sentence holds one of these, so a text without any has no licence sentence.
-ANCHORS = ("licens", "permission", "copyright", "warrant", "redistribut", "free software", "rights reserved")
+# SPDX names that a licence tag may give.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+        "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only",
+        "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+TAG = "spdx license identifier"
+TAGGED = r"(SPDX-License-Identifier):[ \t]*([A-Za-z0-9.+-]+)"      # a sentence of its own
+
+LINE_START = r"[ \t\r]*\n[ \t#*/;>-]*(?:\(?(?:[0-9]{1,2}|[a-zA-Z])[.)][ \t]+)?"
+LEAD_IN = (r"^(?:this (?:project|software|work|program|file|code|library|package|repository) is )?(?:dual )?"
+           r"(?:licensed|released|distributed|available) under (?:the terms of )?")
+
+
+def _normalised(sentence: str) -> str:
+    """As :func:`sentences` normalises."""
+    plain = re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip()
+    return re.sub(LEAD_IN, "licensed under ", plain)
+
+
+SENTENCES = SENTENCES | {_normalised(f"{TAG} {name}"): f"spdx-{_normalised(name).replace(' ', '-')}" for name in SPDX}
+RULES = RULES + tuple((name, (SENTENCES[_normalised(f"{TAG} {name}")],)) for name in SPDX)
+
+
+def anchors(known=SENTENCES) -> list[str]:
+    """A few words of which every known sentence holds one: a text without any of
+    them has no known sentence."""
+    left, out = [set(_normalised(s).split()) for s in known], []
+    while left:
+        words = sorted({w for s in left for w in s})
+        out.append(max(words, key=lambda w: (sum(w in s for s in left) * min(len(w), 6), len(w), w)))
+        left = [s for s in left if out[-1] not in s]
+    return out
 
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order (array<string>)."""
-    t = F.regexp_replace(text, r"[ \t\r]*\n[ \t#*/;>-]*", "\n")
+    t = F.regexp_replace(text, TAGGED, "$1 $2.\n")
+    t = F.regexp_replace(t, LINE_START, "\n")
     t = F.regexp_replace(t, r"([.!?:;])[ \t]+", "$1\n")
     t = F.regexp_replace(t, r"([^.!?:;\n])\n([a-z])", "$1 $2")
-    return F.transform(F.split(t, r"\n+"),
-                       lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
+    plain = F.transform(F.split(t, r"\n+"), lambda s: F.regexp_replace(
+        F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")), LEAD_IN, "licensed under "))
+    return F.filter(plain, lambda s: s.rlike("[a-z]"))
+
+
+def _identified(known) -> dict:
+    return {_normalised(s): i for s, i in known.items()}
 
 
 def identifiers(text: Column, known=SENTENCES) -> Column:
     """The text's sentence identifiers as ``<id><?><id>...``."""
-    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    ids = F.create_map(*[F.lit(x) for pair in _identified(known).items() for x in pair])
     return F.concat_ws("", F.transform(
         sentences(text), lambda s: F.concat(F.lit("<"), F.coalesce(F.element_at(ids, s), F.lit("?")), F.lit(">"))))
 
@@ -124,10 +163,8 @@ def licenses(docs: DataFrame, rules=RULES, known=SENTENCES) -> DataFrame:
     table = _rule_table(rules, known)
     raw = F.lower(F.col("text"))
     anchored = F.lit(False)
-    for a in ANCHORS:
-        # words of an anchor may be parted by a line end and comment marks in the raw text
-        anchored = anchored | (F.contains(raw, F.lit(a)) if " " not in a
-                               else F.contains(raw, F.lit(a.split()[0])) & F.contains(raw, F.lit(a.split()[1])))
+    for a in anchors(known):
+        anchored = anchored | F.contains(raw, F.lit(a))
     found = F.aggregate(
         F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(name).alias("license"), F.lit(p).alias("p"))
                   for i, (name, p) in enumerate(table)]),
@@ -150,7 +187,7 @@ def licenses(docs: DataFrame, rules=RULES, known=SENTENCES) -> DataFrame:
 
 def oracle_sql(rules=RULES, known=SENTENCES) -> str:
     table = _rule_table(rules, known)
-    keys = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in known.items()) + "}"
+    keys = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in _identified(known).items()) + "}"
     steps, prev = [], "d"
     for i, (_, p) in enumerate(table):
         counts = ", ".join(f"n{j}" for j in range(i))
@@ -163,13 +200,18 @@ def oracle_sql(rules=RULES, known=SENTENCES) -> str:
     chain = ",\n".join(steps)
     return rf"""
 with t as (
-  select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r]*\n[ \t#*/;>-]*', chr(10), 'g'),
+  select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{TAGGED}', '\1 \2.' || chr(10), 'g'),
+    '{LINE_START}', chr(10), 'g'),
     '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), '([^.!?:;\n])\n([a-z])', '\1 \2', 'g') as t
   from documents where text is not null),
-d as (
-  select doc_id, array_to_string(list_transform(regexp_split_to_array(t, '\n+'), lambda s:
-    '<' || coalesce({keys}[trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))], '?') || '>'), '') as seq
+n as (
+  select doc_id, list_transform(regexp_split_to_array(t, '\n+'), lambda s: regexp_replace(
+    trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), '{LEAD_IN}', 'licensed under ')) as ss
   from t),
+d as (
+  select doc_id, array_to_string(list_transform(list_filter(ss, lambda s: regexp_matches(s, '[a-z]')), lambda s:
+    '<' || coalesce({keys}[s], '?') || '>'), '') as seq
+  from n),
 {chain}
 {rows}
 """
