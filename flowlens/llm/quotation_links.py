@@ -70,10 +70,12 @@ def runs(lines: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``messages(conv_id, turn, role, text)`` with ``lines`` parsed and ``own`` text."""
-    return messages.select("conv_id", "turn", "role",
+    """``messages(conv_id, turn, role, text)`` with ``lines`` parsed and ``own`` text:
+    a message without quotes as it is, others without the quoted lines."""
+    return messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("_text"),
                            lines_with_level(F.coalesce("text", F.lit(""))).alias("lines")) \
-        .withColumn("own", own_text(F.col("lines")))
+        .withColumn("own", F.when(F.exists("lines", lambda x: x["level"] > 0), own_text(F.col("lines")))
+                    .otherwise(F.col("_text"))).drop("_text")
 
 
 def quoted_units(messages: DataFrame) -> DataFrame:
@@ -120,13 +122,19 @@ def quote_links(messages: DataFrame) -> DataFrame:
     wanted = quotes.select("unit").distinct()
     said = materialize(said_units(known).join(wanted, "unit", "left_semi").distinct(), "quotes-said")
     here = materialize(_latest_before(quotes, said), "quotes-here").where("said_turn is not null")
-    first = said.groupBy("unit").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    return quotes.join(here, ["conv_id", "unit", "turn"], "left").join(materialize(first, "quotes-first"), "unit", "left") \
-        .withColumn("elsewhere", F.col("said_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id"))) \
+    # the first saying, and the first in another conversation than that: one of them is elsewhere
+    sayer = F.struct("conv_id", "turn")
+    first = materialize(said.groupBy("unit").agg(F.min(sayer).alias("first")), "quotes-first")
+    second = said.join(first, "unit").where(F.col("conv_id") != F.col("first.conv_id")) \
+        .groupBy("unit").agg(F.min(sayer).alias("second"))
+    sayings = materialize(first.join(second, "unit", "left"), "quotes-sayings")
+    elsewhere = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    return quotes.join(here, ["conv_id", "unit", "turn"], "left").join(sayings, "unit", "left") \
+        .withColumn("elsewhere", F.when(F.col("said_turn").isNull(), elsewhere)) \
         .select("conv_id", "turn", "level", "unit", "n",
                 F.when(F.col("said_turn").isNotNull(), F.col("conv_id"))
-                .when(F.col("elsewhere"), F.col("first.conv_id")).alias("said_conv"),
-                F.coalesce("said_turn", F.when(F.col("elsewhere"), F.col("first.turn"))).alias("said_turn"))
+                .otherwise(F.col("elsewhere.conv_id")).alias("said_conv"),
+                F.coalesce("said_turn", "elsewhere.turn").alias("said_turn"))
 
 
 def reply_parents(links: DataFrame) -> DataFrame:
@@ -192,8 +200,9 @@ p as (
     regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') as line
   from l),
 own as (
-  select id, coalesce(regexp_replace(string_agg(line, chr(10) order by i) filter (level = 0), '^\s+|\s+$', '', 'g'), '') as own
-  from p group by id),
+  select id, case when max(level) = 0 then any_value(text) else
+    coalesce(regexp_replace(string_agg(line, chr(10) order by i) filter (level = 0), '^\s+|\s+$', '', 'g'), '') end as own
+  from p join m using (id) group by id),
 g as (select *, i - row_number() over (partition by id, level order by i) as run from p),
 r as (
   select id, conv_id, turn, level, run, trim(regexp_replace(lower(string_agg(line, ' ' order by i)), '\s+', ' ', 'g')) as u
@@ -214,12 +223,11 @@ said as (
 here as (
   select q.conv_id, q.turn, q.level, q.u, max(s.turn) as t
   from q left join said s on s.conv_id = q.conv_id and s.u = q.u and s.turn < q.turn group by all),
-f as (select u, min(row(conv_id, turn)) as f from said group by u),
 link as (
-  select here.conv_id, here.turn, level, u, length(u) as n,
-    case when t is not null then here.conv_id when f[1] <> here.conv_id then f[1] end as sc,
-    case when t is not null then t when f[1] <> here.conv_id then f[2] end as st
-  from here left join f using (u)),
+  select here.conv_id, here.turn, level, here.u, length(here.u) as n, t,
+    min(row(s.conv_id, s.turn)) filter (s.conv_id is not null) as f,
+    case when t is not null then here.conv_id else f[1] end as sc, case when t is not null then t else f[2] end as st
+  from here left join said s on s.u = here.u and s.conv_id <> here.conv_id group by here.conv_id, here.turn, level, here.u, t),
 par as (
   select conv_id, turn, max(row(-level, n, (sc = conv_id)::int, st, sc)) as best, count(*) as n_links
   from link where st is not null group by 1, 2),

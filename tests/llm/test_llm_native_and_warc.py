@@ -158,6 +158,13 @@ def test_nested_quotes_are_linked_and_removed(spark):
         (1, 4): ("new", 4, 0, None, None), (2, 0): ("forwarded", 0, 0, 1, 2), (2, 1): ("ok", 0, 1, 2, 0)}
 
 
+def test_the_first_saying_elsewhere_and_unquoted_messages(spark):
+    got, _ = threads(spark, [(0, 4, "> a line that others say\nwell"), (0, 5, "a line that others say"),
+                             (9, 1, "a line that others say"), (3, 2, "  indented\r\n\tcode \n"), (3, 3, " \n")])
+    assert got[(0, 4)] == ("well", 4, 0, 9, 1)
+    assert got[(3, 2)][0] == "  indented\r\n\tcode \n" and got[(3, 3)][0] == " \n"
+
+
 def test_latest_earlier_saying_wins_and_long_chains_settle(spark):
     rows = [(1, 0, "same"), (1, 1, "same"), (1, 2, "> same\nr"), (1, 5000, "same"), (1, 9000, "> same\nlate")]
     rows += [(7, i, (f"> m{i - 1}\n" if i else "") + f"m{i}") for i in range(70)]
