@@ -39,7 +39,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"flowlens-{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     track_table(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop_stored(table: DataFrame) -> None:
+    """Delete the folder of a frame that :func:`materialize` returned, which nothing reads any more."""
+    drop_tables(table.sparkSession, [table.stored_path])
 
 
 def track_table(path: str) -> None:
