@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.common import materialize, track_table
+from flowlens.operators.common import drop_stored, drop_tables, materialize, settled, track_table
 from flowlens.session import checkpoint_dir
 
 K = 28                # neighbours per node
@@ -170,9 +170,13 @@ def neighbour_graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> Dat
     if first is None:
         return vectors.sparkSession.createDataFrame([], _EDGES)
     n, dim = vectors.count(), len(first["code"]) // 4
-    starts = [_start(vectors, n, dim, k, seed) for seed in range(STARTS)]
-    graph = materialize(_best(reduce(DataFrame.unionByName, starts).withColumn("new", F.lit(True)), k), "nn-graph")
-    for _ in range(rounds):
+    spark = vectors.sparkSession
+
+    def begin() -> DataFrame:
+        starts = [_start(vectors, n, dim, k, seed) for seed in range(STARTS)]
+        return _best(reduce(DataFrame.unionByName, starts).withColumn("new", F.lit(True)), k)
+
+    def refined() -> DataFrame:
         worst = graph.groupBy("src").agg(F.min("sim").alias("worst"), F.count("*").alias("have")) \
             .select(F.col("src").alias("node"),
                     F.when(F.col("have") >= k, F.col("worst")).otherwise(F.lit(-1.5)).alias("worst"))
@@ -189,7 +193,12 @@ def neighbour_graph(vectors: DataFrame, k: int = K, rounds: int = ROUNDS) -> Dat
             .groupBy("centre", "part").agg(F.collect_list(F.struct("node", "code", "worst", "new")).alias("members"))
         found = lists.select("members").mapInArrow(_compare(0, OFFERS), _EDGES).withColumn("new", F.lit(True))
         old = graph.select("src", "dst", "sim", F.lit(False).alias("new"))
-        graph = materialize(_best(old.unionByName(found), k), "nn-graph")
+        return _best(old.unionByName(found), k)
+
+    graph = settled(spark, "nn-graph", begin)
+    for _ in range(rounds):
+        before, graph = graph, settled(spark, "nn-graph", refined)
+        drop_stored(before)
         changed = graph.agg(F.avg(F.col("new").cast("int"))).first()[0] or 0.0
         if changed < MIN_CHANGE:
             break
@@ -226,8 +235,8 @@ def _expand(batches):
                                              names=["query_id", "node", "sim"])
 
 
-def adjacency(graph: DataFrame, vectors: DataFrame) -> str:
-    """Name of the table ``(at, near)``: the neighbours of each node along edges of either
+def adjacency(graph: DataFrame, vectors: DataFrame) -> tuple[str, str]:
+    """Name and folder of the table ``(at, near)``: the neighbours of each node along edges of either
     direction, with their codes, in parts of about ``PART``; a table bucketed by
     ``at`` under the shared checkpoint folder."""
     spark = graph.sparkSession
@@ -244,7 +253,7 @@ def adjacency(graph: DataFrame, vectors: DataFrame) -> str:
     lists.repartition(buckets, "at").write.bucketBy(buckets, "at").sortBy("at") \
         .option("path", path).format("parquet").saveAsTable(name)
     track_table(path)
-    return name
+    return name, path
 
 
 def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: int = EF, width: int = WIDTH,
@@ -253,7 +262,7 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: i
     nearest nodes found by greedy search. ``node`` is the query's own node in
     the graph, where it has one."""
     spark = graph.sparkSession
-    table = adjacency(graph, vectors)
+    table, path = adjacency(graph, vectors)
     near = spark.table(table)
     pairs = "query_id long, node long, sim double"
     q = queries.select("query_id", "code")
@@ -283,11 +292,11 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: i
 
     def ranked(beam: DataFrame) -> DataFrame:
         """The ef best, which of them are expanded next, and the worst kept similarity once ef are there."""
-        return materialize(
+        return settled(spark, "nn-beam", lambda: (
             beam.withColumn("r", F.row_number().over(beam_of)).where(F.col("r") <= ef)
             .withColumn("turn", ~F.col("done") & (F.row_number().over(open_of) <= width))
             .withColumn("worst", F.when(F.count("*").over(of_query) >= ef, F.min("sim").over(of_query))
-                        .otherwise(F.lit(-2.0))).drop("r"), "nn-beam")
+                        .otherwise(F.lit(-2.0))).drop("r")))
 
     beam = ranked(start.withColumn("done", F.lit(False)))
     for _ in range(hops):
@@ -296,9 +305,11 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, ef: i
             break
         found = front.join(near, "at").select("query_id", "code", "worst", "near").mapInArrow(_expand, pairs)
         kept = beam.select("query_id", "node", "sim", (F.col("done") | F.col("turn")).alias("done"))
-        beam = ranked(kept.unionByName(found.withColumn("done", F.lit(False)))
-                      .groupBy("query_id", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done")))
+        before, beam = beam, ranked(kept.unionByName(found.withColumn("done", F.lit(False)))
+                                    .groupBy("query_id", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done")))
+        drop_stored(before)
     spark.sql(f"drop table {table}")
+    drop_tables(spark, [path])
     return beam.select("query_id", "node", "sim")
 
 
@@ -329,6 +340,10 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = K, ef: i
     query; with different vectors each is a candidate, and a query is never
     its own answer. Cases without part are named above; other columns are
     ignored; an empty table gives no rows."""
+    return settled(embeddings.sparkSession, "nn-found", lambda: _nearest(embeddings, is_query, k, graph_k, ef, rounds))
+
+
+def _nearest(embeddings: DataFrame, is_query, k: int, graph_k: int, ef: int, rounds: int) -> DataFrame:
     rows = materialize(usable(embeddings).distinct(), "nn-rows")
     dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     # the k + 1 smallest ids of each distinct vector

@@ -78,7 +78,7 @@ def test_queries_that_are_not_in_the_index_enter_by_the_sample(spark):
     assert {(r["query_id"], r["node"]) for r in best} == {(1000 + i, i) for i in range(10)}
 
 
-def test_recall_in_a_large_group_of_near_copies(spark, record_property):
+def test_recall_in_a_large_group_of_near_copies(spark):
     rng = np.random.default_rng(4)
     one = rng.standard_normal(64)
     jitter = rng.standard_normal((1500, 64))
@@ -89,5 +89,4 @@ def test_recall_in_a_large_group_of_near_copies(spark, record_property):
     want = brute([r[:2] for r in rows], 5, 15)
     near = [q for q in want if q < 1500]
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in near)
-    record_property("recall", hits / 5 / len(near))
     assert hits >= 0.95 * 5 * len(near)
