@@ -10,6 +10,7 @@ they depend on the bytes alone and are equal on every executor.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -127,3 +128,11 @@ def slices(sizes: list[int], limit: int = BATCH_BYTES):
         total += n
     if len(sizes) > a:
         yield a, len(sizes)
+
+
+def portions(batch, column: int):
+    """Slices of a record batch whose texts in ``column`` have about ``BATCH_BYTES``
+    (or one row), so that few texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for a, b in slices(sizes):
+        yield batch.slice(a, b - a)

@@ -58,7 +58,7 @@ def brute_pairs(docs, items, least, coverage):
     return sorted(out)
 
 
-def test_pairs_equal_brute_force_in_one_and_in_many_shards(spark):
+def test_pairs_equal_brute_force(spark):
     rng = random.Random(2)
     vocab = ["w%d" % i for i in range(60)] + ["Été", "x-y"]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -73,12 +73,32 @@ def test_pairs_equal_brute_force_in_one_and_in_many_shards(spark):
     b = spark.createDataFrame([(*r, 5) for r in items], "item_id long, text string, doc_id int")
     want = brute_pairs(docs, items, 5, 0.5)
     assert len(want) > 25
-    for shard_bytes in (1 << 20, 400):
-        got = contaminated_pairs(d, b, shard_bytes=shard_bytes).collect()
-        assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == want
+    got = contaminated_pairs(d, b).collect()
+    assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == want
     assert contaminated_pairs(d.limit(0), b).count() == contaminated_pairs(d, b.limit(0)).count() == 0
 
 
+def test_a_phrase_of_all_items_and_a_third_of_the_documents_makes_no_pairs(spark, monkeypatch):
+    import flowlens.llm.string_tiling as st
+    sizes, keep = {}, st.materialize
+
+    def watched(df, name):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(st, "materialize", watched)
+    phrase = "which of the following is the best answer to this question"
+    items = [(i, phrase + " " + " ".join(f"i{i}w{j}" for j in range(30))) for i in range(40)]
+    docs = [(d, phrase + " " + " ".join(f"d{d}w{j}" for j in range(30))) for d in range(300)]
+    docs += [(1000 + i, "x " + items[i][1]) for i in range(5)] + [(2000 + d, f"other words {d}") for d in range(600)]
+    docs += [(5000, "long " * 30_000 + items[7][1])]
+    got = contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"),
+                             spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["tiled_words"]) for r in got) == \
+        [(1000 + i, i, 41) for i in range(5)] + [(5000, 7, 41)]
+    assert sizes["tiling-pairs"] == 6 and sizes["tiling-seeds"] > 300
+
+
 def test_reordered_halves_are_caught(spark):
     w = [f"t{i}" for i in range(40)]
     docs = spark.createDataFrame([(1, " ".join(w[20:] + ["and"] + w[:20])), (2, " ".join(w[::-1])), (3, " ".join(w[:19]))],
