@@ -129,8 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "classifier-labels")
+    # one text per chosen id, whatever the rows with it: that of the least hash
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .join(chosen, "doc_id").select("doc_id", "text", "quality")
+        .join(chosen, "doc_id").groupBy("doc_id").agg(
+            F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
 
     def bags(batches):
         for batch in batches:
