@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 from contextvars import ContextVar
 
@@ -21,6 +22,9 @@ NO_TIME_WINDOW = 0  # epoch second used as the single window without timestamps
 
 _CREATED: list = []   # paths written by materialize() in this process, oldest first
 _RUN: ContextVar[list | None] = ContextVar("flowlens_run_tables", default=None)
+_TIDY: ContextVar[bool] = ContextVar("flowlens_tidy", default=False)     # inside settled()
+_TIDY_EVERY_S = 3.0
+_LAST_RELEASE = [0.0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     track_table(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    if _TIDY.get() and time.monotonic() - _LAST_RELEASE[0] > _TIDY_EVERY_S:
+        release_shuffles(spark)
     return out
 
 
@@ -66,28 +72,41 @@ class Scratch:
 
     def __enter__(self):
         self.paths: list = []
+        self.kept: list = []
         self.token = _RUN.set(self.paths)
         return self
 
+    def keep_table(self, table: DataFrame) -> None:
+        """Hand a stored frame to whoever is outside; a frame that was not
+        stored inside is theirs already."""
+        path = getattr(table, "stored_path", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            self.kept.append(path)
+
     def __exit__(self, *exc):
         _RUN.reset(self.token)
-        if not self.keep:
-            drop_tables(self.spark, self.paths)
-        elif _RUN.get() is not None:
-            _RUN.get().extend(self.paths)
+        if self.keep:
+            self.kept, self.paths = self.kept + self.paths, []
+        drop_tables(self.spark, self.paths)
+        if _RUN.get() is not None:
+            _RUN.get().extend(self.kept)
         return False
 
 
 def settled(spark, name: str, build) -> DataFrame:
     """Store the frame that ``build()`` returns and delete the intermediate
     tables written on the way to it (also on failure): only the result stays,
-    until :func:`drop_tables` or the end of the caller's :class:`Scratch`."""
-    with Scratch(spark) as run:
-        out = materialize(build(), name)
-        path = run.paths.pop()
+    until :func:`drop_tables` or the end of the caller's :class:`Scratch`. Shuffle
+    files of its finished jobs are freed as it goes on."""
+    tidy = _TIDY.set(True)
+    try:
+        with Scratch(spark) as run:
+            out = materialize(build(), name)
+            run.keep_table(out)
+    finally:
+        _TIDY.reset(tidy)
     release_shuffles(spark)
-    if _RUN.get() is not None:
-        _RUN.get().append(path)
     return out
 
 
@@ -97,6 +116,7 @@ def release_shuffles(spark) -> None:
     driver with a large heap may put off for long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _LAST_RELEASE[0] = time.monotonic()
 
 
 def created_tables() -> list:
