@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.common import materialize
+from flowlens.operators.common import drop_stored, materialize
 
 MAX_ROUNDS = 60
 
@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     labels = materialize(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         .select("node", F.least("node", "m").alias("label")), f"{name}-labels")
+    stored = labels
     for _ in range(MAX_ROUNDS):
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b") \
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -39,7 +40,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         new = materialize(
             lower.join(jump, "label", "left")
             .select("node", "was", F.least("label", "root").alias("label")), f"{name}-labels")
-        labels = new.select("node", "label")
+        drop_stored(lower)
+        drop_stored(stored)
+        stored, labels = new, new.select("node", "label")
         if new.where("label <> was").isEmpty():
+            drop_stored(both)
             return labels
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

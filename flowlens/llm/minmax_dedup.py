@@ -75,35 +75,29 @@ def _sketcher(shingle_words: int, bands: int, rows: int):
     mult, add = permutations(-(-bands * rows // 2))
 
     def run(batches):
-        for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in vt.slices([len(t or "") for t in texts]):
-                h, first = vt.hashed_words(texts[a:b])
-                sets = vt.shingle_sets(h, first, shingle_words)
-                full = [s for s in sets if len(s)]
-                keys = iter(band_keys(np.stack([minmax_signature(s, mult, add) for s in full]), bands, rows)
-                            if full else ())
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([vt.set_id(s) if len(s) else None for s in sets], pa.int64()),
-                     list_array([next(keys) if len(s) else none for s in sets])],
-                    names=["doc_id", "tid", "n", "set_id", "bands"])
+        for part in (p for batch in batches for p in vt.portions(batch, 1)):
+            sets = vt.shingle_sets(*vt.hashed_words(part.column(1).to_pylist()), shingle_words)
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(np.stack([minmax_signature(s, mult, add) for s in full]), bands, rows)
+                        if full else ())
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([vt.set_id(s) if len(s) else None for s in sets], pa.int64()),
+                 list_array([next(keys) if len(s) else none for s in sets])],
+                names=["doc_id", "tid", "n", "set_id", "bands"])
     return run
 
 
 def _set_maker(shingle_words: int):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in vt.slices([len(t or "") for t in texts]):
-                sets = vt.shingle_sets(*vt.hashed_words(texts[a:b]), shingle_words)
-                same = [(s, w) for s, w in zip(sets, batch.column(0).slice(a, b - a).to_pylist())
-                        if len(s) and vt.set_id(s) == w]
-                if same:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([w for _, w in same], pa.int64()), pa.array([len(s) for s, _ in same], pa.int64()),
-                         list_array([s for s, _ in same])], names=["set_id", "n", "items"])
+        for part in (p for batch in batches for p in vt.portions(batch, 1)):
+            sets = vt.shingle_sets(*vt.hashed_words(part.column(1).to_pylist()), shingle_words)
+            same = [(s, w) for s, w in zip(sets, part.column(0).to_pylist()) if len(s) and vt.set_id(s) == w]
+            if same:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w for _, w in same], pa.int64()), pa.array([len(s) for s, _ in same], pa.int64()),
+                     list_array([s for s, _ in same])], names=["set_id", "n", "items"])
     return run
 
 
@@ -139,9 +133,12 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, bands: i
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.select("set_id", F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).join(ids, "set_id")
         wanted = materialize(wanted, "minmax-wanted")
+        found = docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
+            .select("set_id", "text")
         # a repeated row gives its set once
-        return docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
-            .dropDuplicates(["set_id"]).select("set_id", "text") \
+        if not sketches.groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+            found = found.dropDuplicates(["set_id"])
+        return found \
             .mapInArrow(_set_maker(shingle_words), "set_id long, n long, items array<long>")
 
     labels = similarity_components(nodes.select("set_id", "bands"), sets_of, percent, "minmax", frames=1)

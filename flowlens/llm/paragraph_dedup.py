@@ -72,40 +72,36 @@ def _sketcher(min_words: int, shingle_words: int, bands: int, rows: int):
     mult, add = permutations(bands * rows)
 
     def run(batches):
-        for batch in batches:
-            ids, texts, tids = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in vt.slices([len(t or "") for t in texts]):
-                found, sets = _line_sets(texts[a:b], min_words, shingle_words)
-                if not found:
-                    continue
-                keys = band_keys(np.stack([minima(s, mult, add) for s in sets]), bands, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[a + i] for i, *_ in found], pa.int64()),
-                     pa.array([tids[a + i] for i, *_ in found], pa.int64()),
-                     pa.array([j for _, j, *_ in found], pa.int64()),
-                     pa.array([w for *_, w, _ in found], pa.int64()), pa.array([len(h) for *_, h in found], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([vt.set_id(s) for s in sets], pa.int64()), list_array(list(keys))],
-                    names=["doc_id", "tid", "paragraph", "start_word", "n_words", "n", "set_id", "bands"])
+        for part in (p for batch in batches for p in vt.portions(batch, 1)):
+            ids, tids = part.column(0).to_pylist(), part.column(2).to_pylist()
+            found, sets = _line_sets(part.column(1).to_pylist(), min_words, shingle_words)
+            if not found:
+                continue
+            keys = band_keys(np.stack([minima(s, mult, add) for s in sets]), bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i, *_ in found], pa.int64()), pa.array([tids[i] for i, *_ in found], pa.int64()),
+                 pa.array([j for _, j, *_ in found], pa.int64()), pa.array([w for *_, w, _ in found], pa.int64()),
+                 pa.array([len(h) for *_, h in found], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([vt.set_id(s) for s in sets], pa.int64()), list_array(list(keys))],
+                names=["doc_id", "tid", "paragraph", "start_word", "n_words", "n", "set_id", "bands"])
     return run
 
 
 def _set_maker(min_words: int, shingle_words: int):
     """Texts with the set ids wanted of them -> the sets of those paragraphs."""
     def run(batches):
-        for batch in batches:
-            texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in vt.slices([len(t or "") for t in texts]):
-                found, sets = _line_sets(texts[a:b], min_words, shingle_words)
-                rows = {}
-                for (i, *_), s in zip(found, sets):
-                    w = vt.set_id(s)
-                    if w in wanted[a + i]:
-                        rows[w] = s
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(rows), pa.int64()), pa.array([len(s) for s in rows.values()], pa.int64()),
-                         list_array(list(rows.values()))], names=["set_id", "n", "items"])
+        for part in (p for batch in batches for p in vt.portions(batch, 0)):
+            wanted = part.column(1).to_pylist()
+            found, sets = _line_sets(part.column(0).to_pylist(), min_words, shingle_words)
+            rows = {}
+            for (i, *_), s in zip(found, sets):
+                w = vt.set_id(s)
+                if w in wanted[i]:
+                    rows[w] = s
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(rows), pa.int64()), pa.array([len(s) for s in rows.values()], pa.int64()),
+                     list_array(list(rows.values()))], names=["set_id", "n", "items"])
     return run
 
 
@@ -145,9 +141,12 @@ def _repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, pe
         wanted = nodes.join(ids, "set_id").select(F.col("place.doc_id").alias("_doc"), F.col("tid").alias("_tid"), "set_id") \
             .groupBy("_doc", "_tid").agg(F.collect_set("set_id").alias("wanted"))   # at most a text's own paragraphs
         wanted = materialize(wanted, "paragraph-wanted")
+        found = docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
+            .select("text", "wanted", "_doc", "_tid")
         # a repeated row gives its sets once
-        return docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
-            .dropDuplicates(["_doc", "_tid"]).select("text", "wanted") \
+        if not sketches.groupBy("doc_id", "tid", "paragraph").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+            found = found.dropDuplicates(["_doc", "_tid"])
+        return found.select("text", "wanted") \
             .mapInArrow(_set_maker(min_words, shingle_words), "set_id long, n long, items array<long>")
 
     labels = similarity_components(nodes.select("set_id", "bands"), sets_of, percent, "paragraph")

@@ -51,26 +51,19 @@ def anchors(h: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.nd
 
 
 def _each_text(texts: list):
-    for a, b in vt.slices([len(t or "") for t in texts]):
-        h, first = vt.hashed_words(texts[a:b])
-        for i, lo, hi in zip(range(a, b), first[:-1].tolist(), first[1:].tolist()):
-            yield i, h[lo:hi]
+    h, first = vt.hashed_words(texts)
+    for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        yield i, h[lo:hi]
 
 
 def _anchor_maker(window: int, shingle: int):
     def run(batches):
-        for batch in batches:
-            tids = batch.column(0).to_pylist()
-            keys, at, tid = [], [], []
-            for i, h in _each_text(batch.column(1).to_pylist()):
-                places, hashes = anchors(h, window, shingle)
-                keys.append(hashes)
-                at.append(places)
-                tid.append(np.full(len(places), tids[i], np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(tid)),
-                     pa.array(np.concatenate(at))], names=["key", "tid", "at"])
+        for batch in (p for b in batches for p in vt.portions(b, 1)):
+            found = [(len(h), *anchors(h, window, shingle)) for _, h in _each_text(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([n for n, *_ in found], pa.int64()),
+                 list_array([k for *_, k in found]), list_array([at for _, at, _ in found])],
+                names=["doc_id", "tid", "n_words", "keys", "at"])
     return run
 
 
@@ -79,7 +72,7 @@ def _window_maker(window: int, shingle: int):
     width = window - shingle + 1
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in vt.portions(b, 2)):
             doc_ids, tids = batch.column(0), batch.column(1)
             wanted = batch.column(3).to_pylist()
             for i, h in _each_text(batch.column(2).to_pylist()):
@@ -90,9 +83,10 @@ def _window_maker(window: int, shingle: int):
                 np.add.at(may, np.maximum(at - width + 1, 0), 1)
                 np.add.at(may, at + 1, -1)
                 places = np.flatnonzero(np.cumsum(may)[:len(h) - window + 1] > 0)
+                rolled = vt.rolling(h, window)
                 for a in range(0, len(places), 1 << 16):
                     part = places[a:a + (1 << 16)]
-                    hashes = vt.rolling(h, window)[part]
+                    hashes = rolled[part]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(hashes.view(np.int64)), pa.array([doc_ids[i].as_py()] * len(part), pa.int64()),
                          pa.array(np.full(len(part), tids[i].as_py(), np.int64)), pa.array(part)],
@@ -113,20 +107,23 @@ def repeated_runs(docs: DataFrame, window: int = 50, shingle: int = SHINGLE) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .where("text is not null").withColumn("tid", F.xxhash64("text"))
-    found = materialize(docs.select("tid", "text").mapInArrow(
-        _anchor_maker(window, shingle), "key long, tid long, at long"), "runs-anchors")
+    rows = materialize(docs.select("doc_id", "text", "tid").mapInArrow(
+        _anchor_maker(window, shingle),
+        "doc_id long, tid long, n_words long, keys array<long>, at array<long>"), "runs-anchors")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    texts = rows.groupBy("tid").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("times")) \
+        .select("tid", F.col("lo.doc_id").alias("rep"), (F.col("lo") != F.col("hi")).alias("copied"), "times")
+    texts = materialize(texts, "runs-texts")
+    found = rows.select("tid", F.explode(F.arrays_zip("keys", "at")).alias("a")).select("tid", "a.*") \
+        .withColumnRenamed("keys", "key")
     place = F.struct("tid", "at")
     twice = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
     twice = materialize(twice, "runs-keys")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    texts = materialize(docs.groupBy("tid").agg(F.min(order)["doc_id"].alias("rep"), F.max(order).alias("_hi"),
-                                                F.min(order).alias("_lo"))
-                        .select("tid", "rep", (F.col("_lo") != F.col("_hi")).alias("copied")), "runs-texts")
     wanted = found.join(twice, "key").groupBy("tid").agg(F.collect_set("at").alias("wanted"))    # of one text
-    wanted = materialize(wanted.join(texts, "tid").select("tid", "rep", "wanted"), "runs-wanted")
+    wanted = materialize(wanted.join(texts, "tid").select(F.col("tid").alias("_tid"), "rep", "wanted"), "runs-wanted")
     # one row of each text: that of its smallest doc_id (repeated rows give equal windows)
-    whole = docs.join(wanted, (docs["tid"] == wanted["tid"]) & docs["doc_id"].eqNullSafe(wanted["rep"])) \
-        .select("doc_id", docs["tid"], "text", "wanted")
+    whole = docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))) \
+        .select("doc_id", "tid", "text", "wanted")
     windows = materialize(whole.mapInArrow(_window_maker(window, shingle), "key long, doc_id long, tid long, at long"),
                           "runs-windows")
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "at")
@@ -141,65 +138,54 @@ def repeated_runs(docs: DataFrame, window: int = 50, shingle: int = SHINGLE) ->
     runs = island.groupBy("tid", "_island").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"),
         (F.max("at") + window - F.min("at")).alias("n_words"), F.min_by("first_doc_id", "at").alias("first_doc_id"))
-    copies = docs.join(texts.where("copied"), "tid").where(~F.col("doc_id").eqNullSafe(F.col("rep"))) \
-        .select("doc_id", "tid", F.lit(0).cast("long").alias("start_word"), "text", F.col("rep").alias("first_doc_id"))
-    counted = copies.mapInArrow(_count_words(window), "doc_id long, tid long, start_word long, n_words long, "
-                                                      "first_doc_id long")
+    copied = materialize(texts.where("times > 1"), "runs-copied")
+    copies = rows.select("doc_id", "tid", "n_words").join(copied, "tid")
+    own = F.col("doc_id").eqNullSafe(F.col("rep"))
+    later = copies.where(~own & (F.col("n_words") >= window)).select(
+        "doc_id", "tid", F.lit(0).cast("long").alias("start_word"), "n_words", F.col("rep").alias("first_doc_id"))
     # rows repeated with the doc_id that comes first share its runs
-    again = docs.groupBy("doc_id", "tid").agg(F.count("*").alias("times")).where("times > 1")
-    again = materialize(again, "runs-again")
-    times = F.coalesce("times", F.lit(1)).cast("int")
-    runs = runs.join(again.withColumnRenamed("doc_id", "_doc"),
-                     (runs["tid"] == again["tid"]) & runs["doc_id"].eqNullSafe(F.col("_doc")), "left") \
-        .select(runs["doc_id"], runs["tid"], "start_word", "n_words", "first_doc_id",
-                F.explode(F.array_repeat(F.lit(0), times)).alias("_i")).drop("_i")
-    return runs.unionByName(counted)
-
-
-def _count_words(window: int):
+    again = materialize(copies.where(own).groupBy("tid").agg(F.count("*").cast("int").alias("rows")).where("rows > 1"),
+                        "runs-again")
+    runs = runs.join(again, "tid", "left").select(
+        "doc_id", "tid", "start_word", "n_words", "first_doc_id",
+        F.explode(F.array_repeat(F.lit(0), F.coalesce("rows", F.lit(1)))).alias("_i")).drop("_i")
+    return runs.unionByName(later)
+
+
+def _cut(text: str, cuts: list) -> str:
+    raw = text.encode("utf-8", "surrogatepass")
+    starts, _ = vt.word_spans(vt.pack([text], lower_ascii=False)[0], vt.ASCII_SPACE)
+    n, starts = len(starts), np.append(starts, len(raw))
+    gone = np.zeros(n + 1, np.int64)
+    for c in cuts:
+        gone[min(c["start_word"], n)] += 1
+        gone[min(c["start_word"] + c["n_words"], n)] -= 1
+    gone = np.cumsum(gone)[:n] > 0
+    left = raw[:starts[0]] + b"".join([raw[starts[i]:starts[i + 1]] for i in np.flatnonzero(~gone)])
+    if n and gone[-1]:
+        left = left.rstrip(b" \t\n\x0b\x0c\r")
+    return left.decode("utf-8", "surrogatepass")
+
+
+def _cutter(text: int):
     def run(batches):
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            for i, h in _each_text(batch.column(3).to_pylist()):
-                n[i] = len(h)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(n), batch.column(4)],
-                names=["doc_id", "tid", "start_word", "n_words", "first_doc_id"])
-            yield out.filter(pa.array(n >= window))
+        for batch in (p for b in batches for p in vt.portions(b, text)):
+            rows = batch.select(batch.schema.names[:-1])
+            ranges = batch.column(batch.num_columns - 1)
+            if ranges.null_count < len(ranges):
+                new = [t.as_py() if not r.is_valid or not t.is_valid else _cut(t.as_py(), r.as_py())
+                       for t, r in zip(batch.column(text), ranges)]
+                rows = rows.set_column(text, rows.schema.field(text), pa.array(new, rows.schema.field(text).type))
+            yield rows
     return run
 
 
-def _cutter(batches):
-    for batch in batches:
-        keys, texts, ranges = (batch.column(i).to_pylist() for i in range(3))
-        out = []
-        for text, cuts in zip(texts, ranges):
-            raw = text.encode("utf-8", "surrogatepass")
-            buf, _ = vt.pack([text], lower_ascii=False)
-            starts, _ = vt.word_spans(buf, vt.ASCII_SPACE)
-            starts = np.append(starts, len(raw))
-            gone = np.zeros(len(starts) + 1, np.int64)
-            for c in cuts:
-                gone[min(c["start_word"], len(starts) - 1)] += 1
-                gone[min(c["start_word"] + c["n_words"], len(starts) - 1)] -= 1
-            gone = np.cumsum(gone)[:len(starts) - 1] > 0
-            left = raw[:starts[0]] + b"".join([raw[starts[i]:starts[i + 1]] for i in np.flatnonzero(~gone)])
-            if len(gone) and gone[-1]:
-                left = left.rstrip(b" \t\n\x0b\x0c\r")
-            out.append(left.decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["_cut", "_new"])
-
-
 def without_words(docs: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     """``docs`` with the words of ``cuts(key, start_word, n_words)`` taken out of
     ``text``, each with the space behind it, the last word with that before it.
-    ``key`` is a long column of both that tells texts apart. All columns and rows stay."""
+    ``key`` is a column of both that tells texts apart. All columns and rows stay."""
     ranges = cuts.groupBy(F.col(key).alias("_cut")) \
         .agg(F.collect_set(F.struct("start_word", "n_words")).alias("_ranges"))           # at most a text's own words
     ranges = materialize(ranges, "cut-ranges")
-    hit = docs.select(F.col(key).alias("_cut"), "text").join(ranges, "_cut").dropDuplicates(["_cut"]) \
-        .select("_cut", "text", "_ranges").mapInArrow(_cutter, "_cut long, _new string")
-    hit = materialize(hit, "cut-texts")
-    return docs.join(hit, F.col(key) == F.col("_cut"), "left") \
-        .withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.col("_new"))) \
-        .select(*docs.columns)
+    joined = docs.join(ranges, F.col(key) == F.col("_cut"), "left").select(*docs.columns, "_ranges")
+    return joined.mapInArrow(_cutter(docs.columns.index("text")), docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import connected_components
-from flowlens.operators.common import materialize
+from flowlens.operators.common import Scratch, materialize
 
 
 FRAMES = 4
@@ -185,16 +185,20 @@ def similarity_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataF
     for frame in range(frames):
         if rest.isEmpty():
             break
-        stars = _best(choice.join(rest, ["key", "set_id"], "left_semi"), "key", f"{name}-best")
-        stars = materialize(stars.select("key", "set_id", F.col("c.set_id").alias("centre")), f"{name}-frame")
-        choice = own
-        pairs = stars.where("set_id <> centre").select("centre", "set_id").distinct()
-        referred = differences(labelled(pairs, labels), sets, percent, name)
-        scope = referred if frame == frames - 1 else referred.where(F.col("d") <= NEAR + 1 - percent / 100 + _SLACK)
-        found = verified(difference_candidates(scope, percent, name)).unionByName(
-            referred.where("linked").select(F.col("set_id").alias("a"), F.col("centre").alias("b")))
-        labels = merged(labels, found, name)
-        if frame < frames - 1:
-            beyond = referred.where(F.col("d") > NEAR).select("centre", "set_id")
-            rest = unsettled(stars.join(beyond, ["centre", "set_id"], "left_semi").select("key", "set_id"), labels)
+        with Scratch(nodes.sparkSession) as run:
+            stars = _best(choice.join(rest, ["key", "set_id"], "left_semi"), "key", f"{name}-best")
+            stars = materialize(stars.select("key", "set_id", F.col("c.set_id").alias("centre")), f"{name}-frame")
+            choice = own
+            pairs = stars.where("set_id <> centre").select("centre", "set_id").distinct()
+            referred = differences(labelled(pairs, labels), sets, percent, name)
+            scope = referred if frame == frames - 1 else referred.where(F.col("d") <= NEAR + 1 - percent / 100 + _SLACK)
+            found = verified(difference_candidates(scope, percent, name)).unionByName(
+                referred.where("linked").select(F.col("set_id").alias("a"), F.col("centre").alias("b")))
+            # the frame's own tables go, its labels and what it leaves unsettled stay
+            labels = materialize(merged(labels, found, name), f"{name}-labels")
+            run.keep_table(labels)
+            if frame < frames - 1:
+                beyond = referred.where(F.col("d") > NEAR).select("centre", "set_id")
+                rest = unsettled(stars.join(beyond, ["centre", "set_id"], "left_semi").select("key", "set_id"), labels)
+                run.keep_table(rest)
     return labels

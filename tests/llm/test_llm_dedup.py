@@ -9,7 +9,8 @@ import pytest
 from flowlens.llm import vectext as vt
 from flowlens.llm.components import connected_components
 from flowlens.llm.minmax_dedup import near_duplicates
-from flowlens.llm.paragraph_dedup import repeated_paragraphs, without_paragraphs
+from flowlens.llm.paragraph_dedup import repeated_paragraphs, repeated_passages
+from flowlens.llm.repeated_runs import anchors, repeated_runs, sliding, without_words
 
 DOCS = "doc_id long, text string, n long, set_id string, bands int, label string"
 
@@ -89,16 +90,20 @@ def test_near_duplicates_edge_rows(spark):
 
 def test_a_row_repeated_in_a_third_of_the_table(spark, monkeypatch):
     import flowlens.llm.simjoin as simjoin
-    made = {}
-    keep = simjoin.materialize
-    monkeypatch.setattr(simjoin, "materialize", lambda df, name: made.setdefault(name, []).append(keep(df, name)) or made[name][-1])
+    sizes, keep = [], simjoin.materialize
+
+    def watched(df, name):
+        out = keep(df, name)
+        if name == "minmax-sets":
+            sizes.append((out.count(), out.select("set_id").distinct().count()))
+        return out
+    monkeypatch.setattr(simjoin, "materialize", watched)
     base = [f"w{i}" for i in range(80)]
     rows = [(1, " ".join(base))] * 300 + [(i, " ".join(base[:i] + ["x"] + base[i + 1:])) for i in range(2, 12)]
     rows += [(100 + i, f"other text number {i}") for i in range(50)]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
     assert out.where("component_id = 1").count() == 310 and out.where("kept").count() == 350
-    sets = made["minmax-sets"][0]
-    assert sets.count() == sets.select("set_id").distinct().count() >= 11
+    assert sizes[0][0] == sizes[0][1] >= 11
 
 
 def test_components_of_a_chain_and_a_hub(spark):
@@ -120,13 +125,40 @@ def test_word_and_shingle_hashes_follow_the_words():
 
 
 def brute_paragraphs(rows, min_words, k=5):
-    paras = [(d, j, words(line)) for d, t in rows for j, line in enumerate((t or "").split("\n"))]
-    paras = sorted((p for p in paras if len(p[2]) >= min_words), key=lambda p: (p[0], p[1]))
+    paras = []
+    for d, t in rows:
+        at = 0
+        for j, line in enumerate((t or "").split("\n")):
+            w = words(line)
+            paras.append((d, j, at, w))
+            at += len(w)
+    paras = sorted((p for p in paras if len(p[3]) >= min_words), key=lambda p: (p[0], p[1]))
     comp = brute_components([shingles(w, k) for *_, w in paras])
-    return sorted((d, j, len(w), *paras[c][:2], i == c) for i, ((d, j, w), c) in enumerate(zip(paras, comp))
+    return sorted((d, j, at, len(w), *paras[c][:2], i == c) for i, ((d, j, at, w), c) in enumerate(zip(paras, comp))
                   if comp.count(c) > 1)
 
 
+def brute_runs(rows, window):
+    """Per row the places of the words in windows that an earlier (doc_id, text) holds."""
+    seen, out = {}, {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        w = words(t)
+        out[d, t] = set()
+        for i in range(len(w) - window + 1):
+            if seen.setdefault(tuple(w[i:i + window]), (d, t, i)) != (d, t, i):
+                out[d, t].update(range(i, i + window))
+    return out
+
+
+def cut_words(text, places):
+    """The text without these words and the space behind each (before, at the end)."""
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    ends = [a for a, _ in spans[1:]] + [len(text)]
+    out = (text[:spans[0][0]] if spans else text) + "".join(
+        text[a:e] for i, ((a, _), e) in enumerate(zip(spans, ends)) if i not in places)
+    return out.rstrip(" \t\n\x0b\x0c\r") if spans and len(spans) - 1 in places else out
+
+
 def test_repeated_paragraphs_equal_brute_force(spark):
     rng = random.Random(5)
     vocab = ["v%d" % i for i in range(500)]
@@ -137,21 +169,78 @@ def test_repeated_paragraphs_equal_brute_force(spark):
         lines += rng.sample(shared, rng.randrange(3))
         rng.shuffle(lines)
         rows.append((d, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, shared[0] + "\n" + shared[0].upper())]
+    rows += [(100, None), (101, ""), (102, shared[0] + "\n" + shared[0].upper()), (103, " \n\n" + shared[1] + "\n")]
     got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), min_words=15).collect()
     assert sorted(map(tuple, got)) == brute_paragraphs(rows, 15)
 
 
-def test_removed_paragraphs_leave_the_rest_as_it_was(spark):
+def test_runs_equal_brute_force_over_lines_and_inside_them(spark):
+    rng = random.Random(8)
+    vocab = ["v%d" % i for i in range(3000)] + ["É", "the"]
+    shared = [[rng.choice(vocab) for _ in range(rng.randrange(8, 40))] for _ in range(7)] + [["the"] * 30]
+    rows = []
+    for d in range(90):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(40))]
+        for p in rng.sample(shared, rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p
+        rows.append((d if rng.random() < 0.9 else None, "".join(x.title() + rng.choice([" ", "\n", "  ", "\t"]) for x in w)))
+    rows += [(200, rows[3][1]), (200, rows[3][1]), (3, rows[3][1]), (201, None), (202, ""), (203, " ".join(shared[0][:9]))]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, tid int, at string")
+    tids = {r["text"]: r["tid"] for r in frame.selectExpr("text", "xxhash64(text) as tid").collect()}
+    found = repeated_runs(frame, window=10, shingle=4).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r["doc_id"], r["tid"]), []).append((r["start_word"], r["n_words"]))
+    want = brute_runs(sorted(rows, key=lambda r: tids.get(r[1], 0)), 10)
+    for (d, t), places in want.items():
+        runs = set(got.pop((d, tids[t]), []))
+        assert {i for a, n in runs for i in range(a, a + n)} == places, (d, t)
+        assert all(not (b <= a <= b + m) for a, n in runs for b, m in runs if (a, n) != (b, m))
+    assert not got
+    docs = frame.withColumn("k", frame["doc_id"] * 0 + 1)
+    assert repeated_runs(docs.limit(0), 10, 4).collect() == []
+
+
+def test_a_passage_in_a_third_of_the_rows_and_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(i, f"own{i} w{i} {passage.replace(' ', chr(10)) if i % 2 else passage} end{i}") for i in range(1, 301)]
+    rows += [(1000 + i, " ".join(f"q{i}x{j}" for j in range(60))) for i in range(600)]
+    rows.append((5000, " ".join(f"l{j}" for j in range(150_000)) + " " + passage))
+    got = repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), window=50)
+    got = sorted(map(tuple, got.drop("tid").collect()))
+    assert got == [(i, 2, 55, 1) for i in range(2, 301)] + [(5000, 150_000, 55, 1)]
+
+
+def test_anchors_are_the_least_shingles_of_all_windows():
+    rng = np.random.default_rng(3)
+    for n in (0, 9, 10, 11, 40, 200):
+        h = rng.integers(0, 5 if n == 200 else 2**63, n).astype(np.uint64)
+        at, keys = anchors(h, 10, 4)
+        s = vt.rolling(h, 4)
+        want = {j for i in range(len(h) - 9) for j in range(i, i + 7) if s[j] == s[i:i + 7].min()}
+        assert set(at.tolist()) == want and (keys == s[at]).all()
+    for width in (1, 2, 3, 7, 8, 31):
+        v = rng.integers(0, 99, 50).astype(np.uint64)
+        assert sliding(v, width, True).tolist() == [v[i:i + width].min() for i in range(51 - width)]
+
+
+def test_both_kinds_of_passages_and_cutting_them(spark):
     p = " ".join(f"p{i}" for i in range(60))
-    rows = [(1, f"head\n{p}\ntail", "en"), (2, f"{p}\n\nother", "en"), (3, "short\nshort", None), (4, None, "fr"),
-            (None, f"x\n{p}", "de"), (5, p, "es")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, paragraph string")
-    repeats = repeated_paragraphs(docs)
-    assert sorted((str(r["doc_id"]), r["paragraph"], r["first_doc_id"], r["kept"]) for r in repeats.collect()) == sorted([
-        ("1", 1, 1, True), ("2", 0, 1, False), ("5", 0, 1, False), ("None", 1, 1, False)])
-    out = without_paragraphs(docs, repeats.where("not kept").select("doc_id", "paragraph"))
+    near = p.replace("p30 ", "other ")
+    rows = [(1, f"head\n{p}\ntail", "en"), (2, f"{near}\n\nother", "en"), (3, "short\nshort", None), (4, None, "fr"),
+            (None, f"x {p} y\nz", "de"), (5, p, "es"), (6, f" {p}\n", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, unit string")
+    got = repeated_passages(docs)
+    assert sorted((str(r["doc_id"]), r["unit"], r["start_word"], r["n_words"], r["first_doc_id"], r["kept"])
+                  for r in got.collect()) == sorted([
+        ("1", "line", 1, 60, 1, True), ("2", "line", 0, 60, 1, False), ("5", "line", 0, 60, 1, False),
+        ("6", "line", 0, 60, 1, False), ("None", "line", 0, 62, 1, False), ("None", "run", 1, 60, 1, False),
+        ("5", "run", 0, 60, 1, False), ("6", "run", 0, 60, 1, False)])
+    keyed = docs.selectExpr("*", "coalesce(doc_id, -1) as k")
+    cuts = got.where("not kept").selectExpr("coalesce(doc_id, -1) as k", "start_word", "n_words")
+    out = without_words(keyed, cuts, "k").drop("k")
     assert out.columns == docs.columns
     assert {r[0]: r[1] for r in out.collect()} == {
-        1: f"head\n{p}\ntail", 2: "\nother", 3: "short\nshort", 4: None, None: "x", 5: ""}
-    assert repeated_paragraphs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+        1: f"head\n{p}\ntail", 2: "other", 3: "short\nshort", 4: None, None: "z", 5: "", 6: ""}
+    assert repeated_passages(docs.limit(0)).count() == 0

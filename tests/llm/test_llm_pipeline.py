@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from flowlens.llm.subword_classifier import quality_scores
-from test_llm_dedup import brute_components, brute_paragraphs, shingles, words
+from test_llm_dedup import brute_components, brute_paragraphs, brute_runs, cut_words, shingles, words
 from test_llm_packing import plan_packing
 from test_llm_tiling_classifier import brute_pairs
 
@@ -28,12 +28,15 @@ def test_stages_take_effect_and_equal_brute_force(spark, tmp_out):
     comp = brute_components([shingles(words(rows[1][d]["text"]), 5) for d in ids])
     assert set(rows[2]) == {d for i, d in enumerate(ids) if comp[i] == i} and len(rows[2]) < len(rows[1])
 
-    repeats = brute_paragraphs([(d, r["text"]) for d, r in rows[2].items()], 50)
-    gone = {(d, j) for d, j, *_, kept in repeats if not kept}
+    texts = [(d, r["text"]) for d, r in rows[2].items()]
+    places = {d: set(p) for (d, _), p in brute_runs(texts, 50).items()}
+    for d, j, at, n, *_, kept in brute_paragraphs(texts, 50):
+        places[d] |= set() if kept else set(range(at, at + n))
     assert set(rows[3]) == set(rows[2])
     for d, r in rows[2].items():
-        text = "\n".join(x for j, x in enumerate(r["text"].split("\n")) if (d, j) not in gone)
+        text = cut_words(r["text"], places[d])
         assert rows[3][d]["text"] == text and rows[3][d]["n_chars"] == len(text)
+    assert any(places.values())
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     seeds = {i: shingles(words(t), 5) for i, t in items}
@@ -59,7 +62,7 @@ def test_run_on_documents_with_odd_rows(spark, tmp_out):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_out}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_out}/benchmark.parquet")
     out = corpus_pipeline.run(spark, tmp_out).collect()
-    assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter({1: 2, None: 1, 2: 1, 3: 1})
+    assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter({1: 1, None: 1, 2: 1, 3: 1})
     docs.limit(0).write.parquet(f"{tmp_out}/none/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_out}/{t}.parquet").write.parquet(f"{tmp_out}/none/{t}.parquet")
