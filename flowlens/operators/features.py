@@ -123,22 +123,31 @@ def split_key(col: str) -> Column:
     return F.xxhash64(col)
 
 
-def join_fanout(df: DataFrame) -> DataFrame:
+def join_fanout(df: DataFrame, stored: bool = False) -> DataFrame:
     """Left lookup of :func:`source_fanout` on every row (NULL for NULL sources).
 
     No broadcast hint: the per-source table grows with the number of
     sources; AQE turns the join into a broadcast at run time when the
     measured side is small and splits skewed partitions otherwise
-    (:func:`split_key`).
+    (:func:`split_key`). AQE has shuffled every row by then, as both sides
+    start together; with ``stored`` the per-source table is written first (an
+    eager job), so its size is known when the join is planned and a small one
+    leaves the rows where they are.
     """
-    fan = source_fanout(df).withColumn("_split", split_key("src_ip"))
+    fan = source_fanout(df)
+    if stored:
+        from flowlens.operators.common import materialize
+        # grouped again: Spark then knows the sources as unique, and still drops an unread lookup
+        fan = materialize(fan, "source-fanout").groupBy("src_ip") \
+            .agg(F.max("unique_destinations").alias("unique_destinations"))
+    fan = fan.withColumn("_split", split_key("src_ip"))
     cols = df.columns
     return df.withColumn("_split", split_key("src_ip")).join(fan, ["src_ip", "_split"], "left") \
         .select(*cols, "unique_destinations")
 
 
-def extract_features(df: DataFrame) -> DataFrame:
-    """All 14 derived columns, in the reference's order."""
+def extract_features(df: DataFrame, stored_fanout: bool = False) -> DataFrame:
+    """All 14 derived columns, in the reference's order; ``stored_fanout`` as in :func:`join_fanout`."""
     df = default_protocol(df)
     t = has_timestamp(df)
     out = df.withColumns({
@@ -156,13 +165,13 @@ def extract_features(df: DataFrame) -> DataFrame:
         "is_tcp": feat_is_tcp(),
         "is_udp": feat_is_udp(),
     })
-    return join_fanout(out)
+    return join_fanout(out, stored_fanout)
 
 
-def preprocess(df: DataFrame, unit: str = "auto") -> DataFrame:
+def preprocess(df: DataFrame, unit: str = "auto", stored_fanout: bool = False) -> DataFrame:
     """Timestamp normalisation, numeric fill, features. No sort: row order
     carries no meaning in a distributed table (order only at output)."""
-    return extract_features(fill_missing(normalize_timestamp(df, unit=unit)))
+    return extract_features(fill_missing(normalize_timestamp(df, unit=unit)), stored_fanout)
 
 
 def select_numeric(df: DataFrame) -> list[str]:
