@@ -84,6 +84,8 @@ class ForestModel:
     threshold: float | None = None
     n_train: int = 0
     nodes: pd.DataFrame = field(default_factory=pd.DataFrame)
+    # the training input and, stored, its scores (``iforest_train(keep_scores=True)``); not saved
+    kept: tuple | None = field(default=None, repr=False, compare=False)
 
     # -- complete-tree arrays for scoring ------------------------------------
     def arrays(self):
@@ -340,19 +342,22 @@ def iforest_threshold(scored: DataFrame, contamination: float, exact: bool = Fal
 def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DEFAULT_TREES,
                   contamination: float = DEFAULT_CONTAMINATION, seed: int = DEFAULT_SEED,
                   max_samples: int = DEFAULT_MAX_SAMPLES, materialize_input: bool = True,
-                  exact_threshold: bool = False) -> ForestModel:
+                  exact_threshold: bool = False, keep_scores: bool = False) -> ForestModel:
     """Fit scaler and forest; ``features=None`` selects numeric columns.
 
     The threshold is a mergeable quantile sketch of the training scores with a
     rank error of 1 / ``QUANTILE_ACCURACY`` of the rows; ``exact_threshold``
-    takes the exact quantile instead (a few more passes over the stored scores)."""
+    takes the exact quantile instead (a few more passes over the stored scores).
+    The threshold needs the score of every training row: with ``keep_scores`` that
+    pass stores the scored input, and :func:`iforest_score` of the same frame reads
+    it instead of running the forest a second time."""
     from flowlens.operators.features import select_numeric
     features = list(features) if features is not None else select_numeric(df)
     if not features:
         raise ValueError("No numeric feature columns to train on")
     # Three passes read the training matrix (scaler, sampling, threshold):
     # write it once instead of re-deriving the features (fan-out join) thrice.
-    df = df.select(*_filled(features))
+    rows, df = df, df.select(*_filled(features))
     if materialize_input and not df.isStreaming:
         df = materialize(df, "train-matrix")
     n, means, stds = scale_fit(df, features)
@@ -364,17 +369,30 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
     node_pdf = (sample.groupBy("tree_id").applyInPandas(_grower(k, psi, n, seed), NODE_SCHEMA)
                 .toPandas())
     model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
-    scored = _raw_scores(model, df)
+    if keep_scores:
+        scored = materialize(_raw_scores(model, rows), "train-scored")
+        model.kept = (rows, scored)
+    else:
+        scored = _raw_scores(model, df)
     model.threshold = iforest_threshold(scored, contamination, exact_threshold)
     return model
 
 
+def kept_input(model: ForestModel, spark: SparkSession) -> DataFrame | None:
+    """The frame whose scores the model keeps, while they can be read in this session."""
+    if not model.kept or model.kept[0].sparkSession is not spark:
+        return None
+    tables = [t.stored_path for t in model.kept if hasattr(t, "stored_path")]
+    return model.kept[0] if all(_exists(spark, p) for p in tables) else None
+
+
 def iforest_score(model: ForestModel, df: DataFrame) -> DataFrame:
     """Adds ``anomaly_score`` in [-1, 0) (lower = more anomalous) and
     ``is_anomaly`` (score below the training threshold)."""
     if model is None or model.threshold is None:
         raise ValueError("Model not trained")
-    out = _raw_scores(model, df)
+    kept = kept_input(model, df.sparkSession)
+    out = model.kept[1] if kept is not None and kept is df else _raw_scores(model, df)
     return out.withColumn("is_anomaly", (F.col("anomaly_score") < F.lit(model.threshold)).cast("int"))
 
 

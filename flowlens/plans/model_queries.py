@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowlens.operators.common import materialize
 from flowlens.operators.features import extract_features, select_features
 from flowlens.operators.forest import (EULER_GAMMA, NODE_SCHEMA, ForestModel, iforest_score, iforest_train,
-                                       risk_band, score_summary)
+                                       kept_input, risk_band, score_summary)
 from flowlens.operators.summary import RECOMMENDATIONS, attack_summary, recommendations
 from flowlens.operators.topk import topk_anomalies
 from flowlens.plans import oracle_sql as O
@@ -27,20 +27,30 @@ from flowlens.sources.fixtures import flows_from_lineitem
 _MODELS: dict[str, ForestModel] = {}
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return extract_features(flows_from_lineitem(spark, sf))
+def _features(spark: SparkSession, sf: str, stored_fanout: bool = False) -> DataFrame:
+    return extract_features(flows_from_lineitem(spark, sf), stored_fanout)
 
 
-def _model(spark: SparkSession, sf: str) -> ForestModel:
-    """Train once per input directory and process (training is deterministic)."""
+def _model(spark: SparkSession, sf: str, keep_scores: bool = False) -> ForestModel:
+    """Train once per input directory and process (training is deterministic).
+    ``keep_scores``: on stored features, with their scores kept for :func:`_scored`."""
     if sf not in _MODELS:
-        f = _features(spark, sf)
-        _MODELS[sf] = iforest_train(f, select_features(f))
+        f = _features(spark, sf, stored_fanout=True)
+        if keep_scores:
+            f = materialize(f, "features")
+        _MODELS[sf] = iforest_train(f, select_features(f), materialize_input=not keep_scores, keep_scores=keep_scores)
     return _MODELS[sf]
 
 
+def _trained_on(spark: SparkSession, sf: str) -> DataFrame:
+    """The features the model keeps the scores of, or else the features anew."""
+    kept = kept_input(_model(spark, sf, keep_scores=True), spark)
+    return _features(spark, sf, stored_fanout=True) if kept is None else kept
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return iforest_score(_model(spark, sf), _features(spark, sf))
+    f = _trained_on(spark, sf)
+    return iforest_score(_model(spark, sf), f)
 
 
 def q_iforest_train(spark, sf):

@@ -136,27 +136,24 @@ def q_stream_exfil(spark, sf):
     return _streamed(spark, sf, "exfil")
 
 
-def _trained(spark, sf) -> DataFrame:
-    return materialize(M._scored(spark, sf), "trained-scores")
-
-
 def q_trained_score_summary(spark, sf):
     """Train and score, then the anomaly rate."""
-    return hashable(score_summary(_trained(spark, sf)))
+    return hashable(score_summary(M._scored(spark, sf)))
 
 
 def q_trained_risk_band(spark, sf):
-    return _trained(spark, sf).groupBy(risk_band().alias("risk_band")).agg(F.count(F.lit(1)).alias("flows"))
+    return M._scored(spark, sf).groupBy(risk_band().alias("risk_band")).agg(F.count(F.lit(1)).alias("flows"))
 
 
 def q_trained_topk_anomalies(spark, sf):
-    return hashable(topk_anomalies(_trained(spark, sf), 10))
+    return hashable(topk_anomalies(M._scored(spark, sf), 10))
 
 
 def _trained_summary(spark, sf) -> DataFrame:
     from flowlens.plans.concurrent import run_detectors
-    lat, ex, found = (materialize(d, "trained-part") for d in run_detectors(M._features(spark, sf)))
-    return materialize(attack_summary(_trained(spark, sf), lat, ex, found), "trained-summary")
+    scored = M._scored(spark, sf)
+    lat, ex, found = run_detectors(M._trained_on(spark, sf))
+    return materialize(attack_summary(scored, lat, ex, found), "trained-summary")
 
 
 def q_trained_attack_summary(spark, sf):
