@@ -94,10 +94,9 @@ def q_score_summary(spark, sf):
 def _summary(spark, sf):
     from flowlens.plans.concurrent import run_detectors
     s = _reported(spark, sf)
-    # one pass of the detectors' outputs each: they are written before the summary reads them
+    # lateral and exfil are scans of their stored groups; the findings are aggregates of several tables
     lateral, exfil, findings = run_detectors(_features(spark, sf))
-    return attack_summary(s, materialize(lateral, "lateral"), materialize(exfil, "exfil"),
-                          materialize(findings, "findings"))
+    return attack_summary(s, lateral, exfil, materialize(findings, "findings"))
 
 
 def flat_summary(summary: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Input is parsed, and rows are shuffled or scored, once."""
 
 import os
+import re
 
 from conftest import SF_SMALL
 from flowlens.operators.common import created_tables, drop_stored, materialize
@@ -53,3 +54,11 @@ def test_trained_reports_run_the_forest_once(spark):
     store_queries.q_trained_topk_anomalies(spark, SF_SMALL).collect()
     made = [os.path.basename(p) for p in created_tables()[before:]]
     assert sum("score" in p for p in made) == 1, made
+
+
+def test_summary_reads_the_groups_as_they_are_stored(spark):
+    before = len(created_tables())
+    model_queries.q_attack_summary(spark, SF_SMALL).collect()
+    store_queries.q_trained_attack_summary(spark, SF_SMALL).collect()
+    made = [os.path.basename(p) for p in created_tables()[before:]]
+    assert not [p for p in made if re.match(r"flowlens-(lateral|exfil|trained-part)-[0-9a-f]+$", p)], made
