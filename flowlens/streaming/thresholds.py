@@ -27,9 +27,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.operators import exfil, lateral
 from flowlens.operators.score_moments import Weights, mean_and_std, merged
+from flowlens.streaming.state import state_on_disk
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _MOMENTS = "kind string, moments string"
 THRESHOLDS = "kind string, groups long, max_first long, max_second long, mean double, std double"
 
@@ -99,12 +98,8 @@ def start_thresholds(spark: SparkSession, kind: str, out_dir: str, available_now
         .option("path", os.path.join(out_dir, "thresholds")) \
         .option("checkpointLocation", checkpoint or os.path.join(out_dir, "_thresholds_checkpoint"))
     writer = writer.trigger(availableNow=True) if available_now else writer
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)          # read when the query starts
-    try:
+    with state_on_disk(spark, partitions=1):   # one key
         return writer.start()
-    finally:
-        spark.conf.set(PROVIDER, before)
 
 
 def latest_thresholds(spark: SparkSession, out_dir: str):

@@ -26,6 +26,7 @@ from flowlens.functions.timefns import dt_hour, dt_weekday
 from flowlens.operators.exfil import flt_outbound, flt_suspicious_protocol
 from flowlens.operators.features import night_flag, weekend_flag
 from flowlens.schema import EXFIL_WINDOW_S, LATERAL_WINDOW_S
+from flowlens.streaming.state import state_on_disk
 
 DEFAULT_DELAY = "10 minutes"
 FLOWS_READ = "flows_read"
@@ -105,7 +106,8 @@ def start_groups(flows: DataFrame, kind: str, out_dir: str, delay: str = DEFAULT
     writer = GROUP_STREAMS[kind](read, delay).writeStream.format("parquet").outputMode("append") \
         .option("path", os.path.join(out_dir, "groups")) \
         .option("checkpointLocation", checkpoint or os.path.join(out_dir, "_groups_checkpoint"))
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    with state_on_disk(flows.sparkSession):
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def progress_rows(query) -> list:
