@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.llm import vectext as vt
 from flowlens.operators.common import materialize
 
 CAPACITY = 2048
@@ -32,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 BLOCKS = 256                 # rank blocks per length, so no length is ranked in one task
 MAX_BROADCAST_SEGMENTS = 1_000_000
-_CACHE_WORDS = 400_000       # a task's memory of words already tokenized; it is started anew when full
+_CACHE_WORDS = 150_000       # a task's memory of words already tokenized; it is started anew when full
 
 
 # --- tokens -----------------------------------------------------------------
@@ -112,17 +113,23 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     """``docs(doc_id, text)`` -> one row per piece: doc_id, piece, start, length,
     ids_crc32 and, with ``with_ids``, the ids (array<int>). A document's ids are
     its text's, then ``end_id``; only longer ones are cut."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")) \
+        .mapInArrow(_piece_maker(tokenizer, capacity, end_id, with_ids), schema)
+
+
+def _piece_maker(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     end = struct.pack("<I", end_id)
 
     def run(batches):
         ids_of = WordIds(tokenizer_file(tokenizer))
-        for batch in batches:
+        for batch in (p for b in batches for p in vt.portions(b, 1)):
             cols = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = ids_of(text or "") + end
                 for p, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at:at + 4 * capacity]
-                    for c, v in zip(cols, (doc_id, p, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                    for c, v in zip(cols, (doc_id, p, at // 4, len(part) // 4, zlib.crc32(part), part)[:5 + with_ids]):
                         c.append(v)
             out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                    *(pa.array(c, pa.int64()) for c in cols[2:5])]
@@ -130,9 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
                 out.append(pa.array([np.frombuffer(x, "<i4") for x in cols[5]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(
                 out, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(out)])
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return run
 
 
 # --- the plan over the histogram of lengths ---------------------------------
