@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import vectext as vt
 from flowlens.llm.minmax_dedup import band_keys, list_array, permutations
 from flowlens.llm.repeated_runs import repeated_runs
-from flowlens.llm.simjoin import similarity_components
+from flowlens.llm.simjoin import named_rows, similarity_components
 from flowlens.operators.common import materialize, settled
 
 MIN_WORDS = 50
@@ -36,15 +36,14 @@ BANDS = 20
 ROWS = 3
 
 
-def minima(s: np.ndarray, mult: np.ndarray, add: np.ndarray, block: int = 2048) -> np.ndarray:
-    """Plain MinHash signature of a non-empty set of 64-bit hashes."""
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    lo = np.full(len(mult), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), block):
-        v = x[i:i + block, None] * mult[None, :]
-        v += add
-        np.minimum(lo, v.min(axis=0), out=lo)
-    return lo
+def minima(sets: list[np.ndarray], mult: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """Plain MinHash signatures of non-empty sets of 64-bit hashes."""
+    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    first = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    out = np.empty((len(sets), len(mult)), np.uint32)
+    for j in range(len(mult)):
+        out[:, j] = np.minimum.reduceat(x * mult[j] + add[j], first)
+    return out
 
 
 def paragraphs(texts: list, min_words: int):
@@ -77,7 +76,7 @@ def _sketcher(min_words: int, shingle_words: int, bands: int, rows: int):
             found, sets = _line_sets(part.column(1).to_pylist(), min_words, shingle_words)
             if not found:
                 continue
-            keys = band_keys(np.stack([minima(s, mult, add) for s in sets]), bands, rows)
+            keys = band_keys(minima(sets, mult, add), bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[i] for i, *_ in found], pa.int64()), pa.array([tids[i] for i, *_ in found], pa.int64()),
                  pa.array([j for _, j, *_ in found], pa.int64()), pa.array([w for *_, w, _ in found], pa.int64()),
@@ -141,8 +140,7 @@ def _repeated_paragraphs(docs: DataFrame, min_words: int, shingle_words: int, pe
         wanted = nodes.join(ids, "set_id").select(F.col("place.doc_id").alias("_doc"), F.col("tid").alias("_tid"), "set_id") \
             .groupBy("_doc", "_tid").agg(F.collect_set("set_id").alias("wanted"))   # at most a text's own paragraphs
         wanted = materialize(wanted, "paragraph-wanted")
-        found = docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
-            .select("text", "wanted", "_doc", "_tid")
+        found = named_rows(docs, wanted, "paragraph-texts").select("text", "wanted", "_doc", "_tid")
         # a repeated row gives its sets once
         if not sketches.groupBy("doc_id", "tid", "paragraph").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
             found = found.dropDuplicates(["_doc", "_tid"])

@@ -10,7 +10,8 @@ MinHash of its ``SHINGLE``-word shingles (one permutation: the least shingle
 hash); neighbouring windows mostly share it, so a text has one *anchor* in about
 15 words. Equal windows have equal minima at the same place in them, so only
 the windows whose anchor occurs twice can be repeated; those are hashed whole
-and grouped. All groups are pre-aggregated; rows with equal texts are one text
+and grouped. Texts are numbered in their order, so a window's spot is one long
+(number and place), which groups are aggregated by in place. All groups are pre-aggregated; rows with equal texts are one text
 until the end. Hashes have 64 bits, a wrong decision needs a collision.
 """
 
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import vectext as vt
 from flowlens.llm.minmax_dedup import list_array
+from flowlens.llm.simjoin import likely, named_rows
 from flowlens.operators.common import materialize
 
 SHINGLE = 20
+PLACE_BITS = 32      # of a spot: a text's bytes fit 31 bits, so its words do
 
 
 def sliding(v: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -68,14 +71,14 @@ def _anchor_maker(window: int, shingle: int):
 
 
 def _window_maker(window: int, shingle: int):
-    """Texts with the places of their repeated anchors -> all windows over these anchors."""
+    """Numbered texts with the places of their repeated anchors -> all windows over
+    these anchors: hash, and spot (the text's number, then the place)."""
     width = window - shingle + 1
 
     def run(batches):
-        for batch in (p for b in batches for p in vt.portions(b, 2)):
-            doc_ids, tids = batch.column(0), batch.column(1)
-            wanted = batch.column(3).to_pylist()
-            for i, h in _each_text(batch.column(2).to_pylist()):
+        for batch in (p for b in batches for p in vt.portions(b, 1)):
+            numbers, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, h in _each_text(batch.column(1).to_pylist()):
                 if len(h) < window:
                     continue
                 may = np.zeros(len(h) + 1, np.int64)      # windows that start here hold a repeated anchor
@@ -86,14 +89,24 @@ def _window_maker(window: int, shingle: int):
                 rolled = vt.rolling(h, window)
                 for a in range(0, len(places), 1 << 16):
                     part = places[a:a + (1 << 16)]
-                    hashes = rolled[part]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes.view(np.int64)), pa.array([doc_ids[i].as_py()] * len(part), pa.int64()),
-                         pa.array(np.full(len(part), tids[i].as_py(), np.int64)), pa.array(part)],
-                        names=["key", "doc_id", "tid", "at"])
+                        [pa.array(rolled[part].view(np.int64)), pa.array((numbers[i] << PLACE_BITS) + part)],
+                        names=["key", "spot"])
     return run
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """``texts(tid, rep, ...)`` with ``no``: their order by rep (NULL last) and tid, from 0."""
+    rows = materialize(texts.orderBy(F.col("rep").isNull(), "rep", "tid")
+                       .withColumn("_m", F.monotonically_increasing_id()), "runs-order")
+    part, low = F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)     # a row per partition
+    bases = rows.groupBy(part).agg(F.count("*").alias("n")) \
+        .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    return rows.select("*", part, low.alias("_low")).join(F.broadcast(bases), "_part") \
+        .withColumn("no", F.col("_base") + F.col("_low")).select(*texts.columns, "no")
+
+
 def repeated_runs(docs: DataFrame, window: int = 50, shingle: int = SHINGLE) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per run of words that occurs earlier:
     doc_id, tid (the text's hash), start_word and n_words (words as in
@@ -113,31 +126,37 @@ def repeated_runs(docs: DataFrame, window: int = 50, shingle: int = SHINGLE) ->
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     texts = rows.groupBy("tid").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("times")) \
         .select("tid", F.col("lo.doc_id").alias("rep"), (F.col("lo") != F.col("hi")).alias("copied"), "times")
-    texts = materialize(texts, "runs-texts")
+    texts = materialize(numbered(texts), "runs-texts")
     found = rows.select("tid", F.explode(F.arrays_zip("keys", "at")).alias("a")).select("tid", "a.*") \
         .withColumnRenamed("keys", "key")
-    place = F.struct("tid", "at")
+    place = F.xxhash64("tid", "at")
     twice = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
     twice = materialize(twice, "runs-keys")
-    wanted = found.join(twice, "key").groupBy("tid").agg(F.collect_set("at").alias("wanted"))    # of one text
-    wanted = materialize(wanted.join(texts, "tid").select(F.col("tid").alias("_tid"), "rep", "wanted"), "runs-wanted")
-    # one row of each text: that of its smallest doc_id (repeated rows give equal windows)
-    whole = docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))) \
-        .select("doc_id", "tid", "text", "wanted")
-    windows = materialize(whole.mapInArrow(_window_maker(window, shingle), "key long, doc_id long, tid long, at long"),
-                          "runs-windows")
-    spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tid", "at")
-    firsts = windows.groupBy("key").agg(F.min(spot).alias("first"), F.max(spot).alias("hi")).where("first <> hi") \
+    wanted = likely(found, "key", twice, "runs-keys").join(twice, "key") \
+        .groupBy("tid").agg(F.collect_set("at").alias("wanted"))                                 # of one text
+    wanted = materialize(wanted.join(texts, "tid").select(F.col("tid").alias("_tid"), F.col("rep").alias("_doc"),
+                                                          "no", "wanted"), "runs-wanted")
+    # one row of each text: that of its smallest doc_id
+    whole = named_rows(docs, wanted, "runs-whole").select("no", "text", "wanted")
+    # a repeated row gives its windows once
+    if not rows.groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        whole = whole.dropDuplicates(["no"])
+    windows = materialize(whole.mapInArrow(_window_maker(window, shingle), "key long, spot long"), "runs-windows")
+    firsts = windows.groupBy("key").agg(F.min("spot").alias("first"), F.max("spot").alias("hi")).where("first <> hi") \
         .select("key", "first")
     firsts = materialize(firsts, "runs-firsts")
-    cut = windows.join(firsts, "key").where(spot != F.col("first")) \
-        .select("doc_id", "tid", "at", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    of_text = Window.partitionBy("tid").orderBy("at")
+    cut = windows.join(firsts, "key").where("spot <> first").select(
+        F.shiftright("spot", PLACE_BITS).alias("no"), F.col("spot").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"),
+        F.shiftright("first", PLACE_BITS).alias("first_no"))
+    of_text = Window.partitionBy("no").orderBy("at")
     island = cut.withColumn("_new", (F.col("at") > F.coalesce(F.lag("at").over(of_text), F.lit(-window - 1)) + window)
                             .cast("int")).withColumn("_island", F.sum("_new").over(of_text))
-    runs = island.groupBy("tid", "_island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"),
-        (F.max("at") + window - F.min("at")).alias("n_words"), F.min_by("first_doc_id", "at").alias("first_doc_id"))
+    runs = island.groupBy("no", "_island").agg(
+        F.min("at").alias("start_word"), (F.max("at") + window - F.min("at")).alias("n_words"),
+        F.min_by("first_no", "at").alias("first_no"))
+    runs = materialize(runs, "runs-found") \
+        .join(texts.select("no", "tid", F.col("rep").alias("doc_id")), "no") \
+        .join(texts.select(F.col("no").alias("first_no"), F.col("rep").alias("first_doc_id")), "first_no")
     copied = materialize(texts.where("times > 1"), "runs-copied")
     copies = rows.select("doc_id", "tid", "n_words").join(copied, "tid")
     own = F.col("doc_id").eqNullSafe(F.col("rep"))

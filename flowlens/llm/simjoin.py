@@ -43,6 +43,29 @@ NEAR = 0.3          # distance to a frame's reference from which sets go on to t
 _SLACK = 1e-9       # of distances in double precision
 
 
+BIT_WORDS = 1 << 19     # longs of a table of bits, at most: what a filter sends to every executor
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` (a 64-bit hash) is in ``wanted(key)``, and a
+    few others, by a broadcast table of bits: a join of large rows with ``wanted``
+    then needn't shuffle the rest. The table is bounded; with very many keys
+    more rows pass."""
+    at, bit = "pmod({0}, %d)" % BIT_WORDS, "shiftleft(1L, cast(shiftrightunsigned({0}, 32) & 63 as int))"
+    bits = materialize(wanted.select(F.expr(at.format(key)).alias("_word"), F.expr(bit.format(key)).alias("_bit"))
+                       .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), f"{name}-bits")
+    return rows.join(F.broadcast(bits), F.expr(at.format(key)) == F.col("_word")) \
+        .where(F.expr("_bits & " + bit.format(key) + " <> 0")).select(*rows.columns)
+
+
+def named_rows(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """``docs(doc_id, text, tid)`` joined with the table ``wanted(_doc, _tid, ...)`` that
+    names some of its rows; few of the other texts are shuffled."""
+    row = docs.withColumn("_row", F.xxhash64("tid", "doc_id"))
+    near = likely(row, "_row", wanted.select(F.xxhash64("_tid", "_doc").alias("_row")), name).drop("_row")
+    return near.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+
 def jaccard_at_least(percent: int):
     """100 * |A and B| >= percent * |A or B| on columns ``sa``, ``sb`` (arrays of distinct values)."""
     both = F.size(F.array_intersect("sa", "sb"))
@@ -153,7 +176,7 @@ def similarity_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataF
     shared = materialize(
         keyed.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("size"))
         .where("lo <> hi").select("key", "size"), f"{name}-shared")
-    members = materialize(keyed.join(shared, "key"), f"{name}-members")
+    members = materialize(likely(keyed, "key", shared.select("key"), name).join(shared, "key"), f"{name}-members")
     sets = materialize(sets_of(members.select("set_id").distinct()), f"{name}-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:

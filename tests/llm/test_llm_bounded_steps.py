@@ -30,3 +30,56 @@ def test_pieces_hold_a_portion_of_a_batch_at_a_time():
     first = [(r["doc_id"], r["length"]) for b in out for r in b]
     assert lengths[:len(first)] == first and lengths[-1][0] == 399
     assert sum(n for _, n in lengths) == 100 * sum(n for _, n in first)
+
+
+def test_few_texts_pass_to_the_join_that_looks_them_up(spark):
+    from flowlens.llm.simjoin import likely, named_rows
+    rows = [(None if i % 50 == 0 else i // 2, f"text {i}") for i in range(4000)] + [(7, "twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.xxhash64("text"))
+    wanted = docs.where("doc_id is null or doc_id % 100 = 7").distinct() \
+        .select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).localCheckpoint()
+    expected = sorted((r for r in rows if r[0] is None or r[0] % 100 == 7), key=str)
+    assert sorted(((r.doc_id, r.text) for r in named_rows(docs, wanted, "t").collect()), key=str) == expected
+    keyed = docs.withColumn("key", F.xxhash64("tid", "doc_id"))
+    passed = likely(keyed, "key", wanted.select(F.xxhash64("_tid", "_doc").alias("key")), "t")
+    assert passed.columns == keyed.columns and len(expected) <= passed.count() < len(expected) + 10
+
+
+def test_the_lookups_of_sets_and_windows_take_the_filtered_texts(spark, monkeypatch):
+    from flowlens.llm import minmax_dedup, paragraph_dedup, repeated_runs
+    seen, real = [], minmax_dedup.named_rows
+
+    def counted(docs, wanted, name):
+        seen.append(name)
+        return real(docs, wanted, name)
+    for module in (minmax_dedup, paragraph_dedup, repeated_runs):
+        monkeypatch.setattr(module, "named_rows", counted)
+    long = " ".join("w%d" % i for i in range(120))
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (None, long + " more"), (3, "other words"), (4, None)],
+                                 "doc_id long, text string")
+    near = {(r.doc_id, r.component_id) for r in minmax_dedup.near_duplicates(docs, 2).collect()}
+    assert near == {(1, 1), (2, 1), (None, 1), (3, 3), (4, 4)}
+    found = {(r.unit, r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.kept)
+             for r in paragraph_dedup.repeated_passages(docs).collect()}
+    assert found == {("line", 1, 0, 120, 1, True), ("line", 2, 0, 121, 1, False), ("line", None, 0, 121, 1, False),
+                     ("run", 2, 0, 120, 1, False), ("run", None, 0, 121, 2, False)}
+    assert {"minmax-texts", "paragraph-texts", "runs-whole"} <= set(seen)
+
+
+def test_texts_are_numbered_in_order_without_gaps(spark):
+    from flowlens.llm.repeated_runs import numbered
+    rows = [(i * 7919 % 1009 - 500, None if i % 9 == 0 else i * 31 % 97) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "tid long, rep long").repartition(5)).orderBy("no").collect()
+    assert [r.no for r in got] == list(range(1000))
+    assert [(r.tid, r.rep) for r in got] == sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+
+
+def test_signatures_of_many_sets_at_once():
+    from flowlens.llm.minmax_dedup import minmax_signatures, permutations
+    from flowlens.llm.paragraph_dedup import minima
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1, 5, 3000, 2)]
+    mult, add = permutations(12)
+    for s, low, both in zip(sets, minima(sets, mult, add), minmax_signatures(sets, mult, add)):
+        v = (s >> np.uint64(32)).astype(np.uint32)[:, None] * mult[None, :] + add
+        assert (low == v.min(axis=0)).all() and (both[0::2] == low).all() and (both[1::2] == v.max(axis=0)).all()
