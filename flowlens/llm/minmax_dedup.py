@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import vectext as vt
-from flowlens.llm.simjoin import similarity_components
+from flowlens.llm.simjoin import named_rows, similarity_components
 from flowlens.operators.common import materialize, settled
 
 BANDS = 40
@@ -40,17 +40,14 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return values[:n] | np.uint32(1), values[n:]
 
 
-def minmax_signature(s: np.ndarray, mult: np.ndarray, add: np.ndarray, block: int = 2048) -> np.ndarray:
-    """min and max of the set under each permutation: [min0, max0, min1, max1, ...]."""
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    lo, hi = np.full(len(mult), 0xFFFFFFFF, np.uint32), np.zeros(len(mult), np.uint32)
-    for i in range(0, len(x), block):
-        v = x[i:i + block, None] * mult[None, :]
-        v += add
-        np.minimum(lo, v.min(axis=0), out=lo)
-        np.maximum(hi, v.max(axis=0), out=hi)
-    out = np.empty(2 * len(mult), np.uint32)
-    out[0::2], out[1::2] = lo, hi
+def minmax_signatures(sets: list[np.ndarray], mult: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """min and max of each non-empty set under each permutation: [min0, max0, min1, max1, ...]."""
+    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    first = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    out = np.empty((len(sets), 2 * len(mult)), np.uint32)
+    for j in range(len(mult)):
+        v = x * mult[j] + add[j]
+        out[:, 2 * j], out[:, 2 * j + 1] = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
     return out
 
 
@@ -78,8 +75,7 @@ def _sketcher(shingle_words: int, bands: int, rows: int):
         for part in (p for batch in batches for p in vt.portions(batch, 1)):
             sets = vt.shingle_sets(*vt.hashed_words(part.column(1).to_pylist()), shingle_words)
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(np.stack([minmax_signature(s, mult, add) for s in full]), bands, rows)
-                        if full else ())
+            keys = iter(band_keys(minmax_signatures(full, mult, add), bands, rows) if full else ())
             none = np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
@@ -133,8 +129,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int, bands: i
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.select("set_id", F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).join(ids, "set_id")
         wanted = materialize(wanted, "minmax-wanted")
-        found = docs.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))) \
-            .select("set_id", "text")
+        found = named_rows(docs, wanted, "minmax-texts").select("set_id", "text")
         # a repeated row gives its set once
         if not sketches.groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
             found = found.dropDuplicates(["set_id"])
