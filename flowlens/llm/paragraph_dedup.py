@@ -36,35 +36,38 @@ BANDS = 20
 ROWS = 3
 
 
-def minima(sets: list[np.ndarray], mult: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Plain MinHash signatures of non-empty sets of 64-bit hashes."""
-    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    first = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), len(mult)), np.uint32)
+def _minima(values: np.ndarray, first: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(first) - 1, len(mult)), np.uint32)
     for j in range(len(mult)):
-        out[:, j] = np.minimum.reduceat(x * mult[j] + add[j], first)
+        out[:, j] = np.minimum.reduceat(x * mult[j] + add[j], first[:-1])
     return out
 
 
+def minima(sets: list[np.ndarray], mult: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """Plain MinHash signatures of non-empty sets of 64-bit hashes."""
+    return _minima(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]), mult, add)
+
+
 def paragraphs(texts: list, min_words: int):
-    """(text, line of the text, first word in the text, hashes of its words) of
-    each line with ``min_words`` words."""
+    """Text, line of the text, first word in the text and number of words of each
+    line with ``min_words`` words; the place of its first word in the hashes of
+    all words, and these."""
     buf, at = vt.pack(texts)
     starts, _ = vt.word_spans(buf, vt.ASCII_SPACE)
     h = vt.word_hashes(buf, starts, vt.ASCII_SPACE)
     lines = np.sort(np.concatenate([at[:-1], np.flatnonzero(buf == 0x0A) + 1]))
     word = np.append(np.searchsorted(starts, lines), len(starts))
-    for k in np.flatnonzero(np.diff(word) >= min_words).tolist():
-        text = int(np.searchsorted(at, lines[k], "right")) - 1
-        first_line = int(np.searchsorted(lines, at[text]))
-        yield text, k - first_line, int(word[k] - word[first_line]), h[word[k]:word[k + 1]]
+    k = np.flatnonzero(np.diff(word) >= max(min_words, 1))
+    text = np.searchsorted(at, lines[k], "right") - 1
+    first_line = np.searchsorted(lines, at[text])
+    return text, k - first_line, word[k] - word[first_line], word[k + 1] - word[k], word[k], h
 
 
 def _line_sets(texts: list, min_words: int, shingle_words: int):
-    found = list(paragraphs(texts, min_words))
-    h = np.concatenate([x for *_, x in found]) if found else np.zeros(0, np.uint64)
-    first = np.cumsum([0] + [len(x) for *_, x in found])
-    return found, vt.shingle_sets(h, first, shingle_words)
+    """Text, line, first word and number of words of each paragraph; their sets, one after the other."""
+    *found, n_words, begin, h = paragraphs(texts, min_words)
+    return (*found, n_words), *vt.distinct_shingles(h, begin, n_words, shingle_words)
 
 
 def _sketcher(min_words: int, shingle_words: int, bands: int, rows: int):
@@ -72,16 +75,16 @@ def _sketcher(min_words: int, shingle_words: int, bands: int, rows: int):
 
     def run(batches):
         for part in (p for batch in batches for p in vt.portions(batch, 1)):
-            ids, tids = part.column(0).to_pylist(), part.column(2).to_pylist()
-            found, sets = _line_sets(part.column(1).to_pylist(), min_words, shingle_words)
-            if not found:
+            (text, line, start, n_words), values, first = _line_sets(part.column(1).to_pylist(), min_words, shingle_words)
+            if not len(text):
                 continue
-            keys = band_keys(minima(sets, mult, add), bands, rows)
+            keys = band_keys(_minima(values, first, mult, add), bands, rows)
+            of = pa.array(text)
+            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i, *_ in found], pa.int64()), pa.array([tids[i] for i, *_ in found], pa.int64()),
-                 pa.array([j for _, j, *_ in found], pa.int64()), pa.array([w for *_, w, _ in found], pa.int64()),
-                 pa.array([len(h) for *_, h in found], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([vt.set_id(s) for s in sets], pa.int64()), list_array(list(keys))],
+                [part.column(0).take(of), part.column(2).take(of), pa.array(line), pa.array(start), pa.array(n_words),
+                 pa.array(np.diff(first)), pa.array(vt.set_ids(values, first)),
+                 pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
                 names=["doc_id", "tid", "paragraph", "start_word", "n_words", "n", "set_id", "bands"])
     return run
 
@@ -90,13 +93,12 @@ def _set_maker(min_words: int, shingle_words: int):
     """Texts with the set ids wanted of them -> the sets of those paragraphs."""
     def run(batches):
         for part in (p for batch in batches for p in vt.portions(batch, 0)):
-            wanted = part.column(1).to_pylist()
-            found, sets = _line_sets(part.column(0).to_pylist(), min_words, shingle_words)
+            wanted = [set(w) for w in part.column(1).to_pylist()]
+            (text, *_), values, first = _line_sets(part.column(0).to_pylist(), min_words, shingle_words)
             rows = {}
-            for (i, *_), s in zip(found, sets):
-                w = vt.set_id(s)
+            for j, (i, w) in enumerate(zip(text.tolist(), vt.set_ids(values, first).tolist())):
                 if w in wanted[i]:
-                    rows[w] = s
+                    rows[w] = values[first[j]:first[j + 1]]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(rows), pa.int64()), pa.array([len(s) for s in rows.values()], pa.int64()),

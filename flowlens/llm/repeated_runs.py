@@ -9,8 +9,8 @@ Windows are not enumerated to find candidates. Each is represented by the
 MinHash of its ``SHINGLE``-word shingles (one permutation: the least shingle
 hash); neighbouring windows mostly share it, so a text has one *anchor* in about
 15 words. Equal windows have equal minima at the same place in them, so only
-the windows whose anchor occurs twice can be repeated; those are hashed whole
-and grouped. Texts are numbered in their order, so a window's spot is one long
+the windows whose own anchor occurs twice can be repeated; those are hashed whole
+and grouped, and a text's repeated ones pass in order by a task that joins them to runs. Texts are numbered in their order, so a window's spot is one long
 (number and place), which groups are aggregated by in place. All groups are pre-aggregated; rows with equal texts are one text
 until the end. Hashes have 64 bits, a wrong decision needs a collision.
 """
@@ -71,8 +71,8 @@ def _anchor_maker(window: int, shingle: int):
 
 
 def _window_maker(window: int, shingle: int):
-    """Numbered texts with the places of their repeated anchors -> all windows over
-    these anchors: hash, and spot (the text's number, then the place)."""
+    """Numbered texts with the places of their repeated anchors -> the windows that
+    these are the least shingles of: hash, and spot (the text's number, then the place)."""
     width = window - shingle + 1
 
     def run(batches):
@@ -81,11 +81,11 @@ def _window_maker(window: int, shingle: int):
             for i, h in _each_text(batch.column(1).to_pylist()):
                 if len(h) < window:
                     continue
-                may = np.zeros(len(h) + 1, np.int64)      # windows that start here hold a repeated anchor
-                at = np.array(wanted[i], np.int64)
-                np.add.at(may, np.maximum(at - width + 1, 0), 1)
-                np.add.at(may, at + 1, -1)
-                places = np.flatnonzero(np.cumsum(may)[:len(h) - window + 1] > 0)
+                s = vt.rolling(h, shingle)
+                repeated = np.zeros(len(s), bool)
+                repeated[np.array(wanted[i], np.int64)] = True
+                among = np.where(repeated, s, np.uint64(0xFFFFFFFFFFFFFFFF))
+                places = np.flatnonzero(sliding(among, width, True) == sliding(s, width, True))
                 rolled = vt.rolling(h, window)
                 for a in range(0, len(places), 1 << 16):
                     part = places[a:a + (1 << 16)]
@@ -95,6 +95,30 @@ def _window_maker(window: int, shingle: int):
     return run
 
 
+def _islands(window: int):
+    """(spot, first spot) of repeated windows in the order of spots -> the runs they
+    make up. Texts' spots lie further apart than a text is long."""
+    def run(batches):
+        start = end = first = np.zeros(0, np.int64)           # of the run that may go on
+        for batch in batches:
+            spot, of = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(spot):
+                continue
+            before = np.concatenate([end if len(end) else spot[:1] - window - 1, spot])
+            fresh = np.flatnonzero(np.diff(before) > window)
+            start, first = np.concatenate([start, spot[fresh]]), np.concatenate([first, of[fresh]])
+            ends = before[fresh] if len(end) else before[fresh[1:]]
+            yield _runs(start[:-1], ends, first[:-1])
+            start, end, first = start[-1:], spot[-1:], first[-1:]
+        yield _runs(start, end, first)
+
+    def _runs(start, end, first):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(start >> PLACE_BITS), pa.array(start & ((1 << PLACE_BITS) - 1)), pa.array(end - start + window),
+             pa.array(first >> PLACE_BITS)], names=["no", "start_word", "n_words", "first_no"])
+    return run
+
+
 def numbered(texts: DataFrame) -> DataFrame:
     """``texts(tid, rep, ...)`` with ``no``: their order by rep (NULL last) and tid, from 0."""
     rows = materialize(texts.orderBy(F.col("rep").isNull(), "rep", "tid")
@@ -145,15 +169,9 @@ def repeated_runs(docs: DataFrame, window: int = 50, shingle: int = SHINGLE) ->
     firsts = windows.groupBy("key").agg(F.min("spot").alias("first"), F.max("spot").alias("hi")).where("first <> hi") \
         .select("key", "first")
     firsts = materialize(firsts, "runs-firsts")
-    cut = windows.join(firsts, "key").where("spot <> first").select(
-        F.shiftright("spot", PLACE_BITS).alias("no"), F.col("spot").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"),
-        F.shiftright("first", PLACE_BITS).alias("first_no"))
-    of_text = Window.partitionBy("no").orderBy("at")
-    island = cut.withColumn("_new", (F.col("at") > F.coalesce(F.lag("at").over(of_text), F.lit(-window - 1)) + window)
-                            .cast("int")).withColumn("_island", F.sum("_new").over(of_text))
-    runs = island.groupBy("no", "_island").agg(
-        F.min("at").alias("start_word"), (F.max("at") + window - F.min("at")).alias("n_words"),
-        F.min_by("first_no", "at").alias("first_no"))
+    cut = windows.join(firsts, "key").where("spot <> first").select("spot", "first")
+    runs = cut.repartition(F.shiftright("spot", PLACE_BITS)).sortWithinPartitions("spot") \
+        .mapInArrow(_islands(window), "no long, start_word long, n_words long, first_no long")
     runs = materialize(runs, "runs-found") \
         .join(texts.select("no", "tid", F.col("rep").alias("doc_id")), "no") \
         .join(texts.select(F.col("no").alias("first_no"), F.col("rep").alias("first_doc_id")), "first_no")

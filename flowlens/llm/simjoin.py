@@ -174,8 +174,7 @@ def similarity_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataF
     """
     keyed = nodes.select("set_id", F.explode("bands").alias("key"))
     shared = materialize(
-        keyed.groupBy("key").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("size"))
-        .where("lo <> hi").select("key", "size"), f"{name}-shared")
+        keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-shared")   # a row per set and key
     members = materialize(likely(keyed, "key", shared.select("key"), name).join(shared, "key"), f"{name}-members")
     sets = materialize(sets_of(members.select("set_id").distinct()), f"{name}-sets")
 

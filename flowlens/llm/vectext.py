@@ -9,12 +9,15 @@ they depend on the bytes alone and are equal on every executor.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SHINGLE_BASE = np.uint64(0xD6E8FEB86659FD93)
+_SHINGLE_INVERSE = pow(int(_SHINGLE_BASE), -1, 1 << 64)
 _SHORT_SALT = np.uint64(0xA0761D6478BD642F)
 BATCH_BYTES = 1 << 20
 
@@ -44,12 +47,25 @@ def _byte_values(separators: np.ndarray) -> np.ndarray:
     return values
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _new_powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)
     p[:1] = 1
     return np.multiply.accumulate(p)
 
 
+@lru_cache(maxsize=4)
+def _kept_powers(base: int) -> np.ndarray:
+    p = _new_powers(base, BATCH_BYTES + (1 << 16))
+    p.flags.writeable = False
+    return p
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1; those for batches of the usual size are kept."""
+    kept = _kept_powers(base)
+    return kept[:n] if n <= len(kept) else _new_powers(base, n)
+
+
 def pack(texts: list, lower_ascii: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one space after each, and each text's start.
     None counts as empty."""
@@ -71,7 +87,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, separators: np.ndarray) ->
     """64-bit hash of each word; ``starts`` as given by :func:`word_spans`."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    terms = _byte_values(separators)[buf] * _powers(_BASE, len(buf))
+    terms = _byte_values(separators)[buf]
+    terms *= _powers(_BASE, len(buf))
     return mix64(np.add.reduceat(terms, starts) * _powers(_INVERSE, len(buf))[starts])
 
 
@@ -84,10 +101,10 @@ def hashed_words(texts: list, separators: np.ndarray = ASCII_SPACE, lower_ascii:
 
 
 def _fold(h: np.ndarray, k: int) -> np.ndarray:
-    acc = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        acc = acc * _SHINGLE_BASE + h[j:len(h) - k + 1 + j]
-    return mix64(acc)
+    """Polynomials of every k values, as differences of sums from the first value on (modulo 2**64, so exact)."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(_SHINGLE_INVERSE, len(h)), out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * _powers(int(_SHINGLE_BASE), len(h))[k - 1:])
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -118,6 +135,34 @@ def set_id(s: np.ndarray) -> int:
     return int(folded.view(np.int64)[0])
 
 
+def distinct_shingles(h: np.ndarray, begin: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of :func:`shingle_sets` (in any order inside) of the sequences
+    ``h[begin[i]:begin[i] + n[i]]`` of at least one word, all at once: values, and
+    ``first``: set i is ``values[first[i]:first[i + 1]]``."""
+    counts = np.maximum(n - k + 1, 1)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    owner = np.repeat(np.arange(len(n)), counts)
+    rolled = rolling(h, k) if len(h) >= k else np.zeros(1, np.uint64)
+    values = rolled[np.minimum(np.arange(first[-1]) + (begin - first[:-1])[owner], len(rolled) - 1)]
+    for i in np.flatnonzero(n < k).tolist():
+        values[first[i]] = mix64(_fold(h[begin[i]:begin[i] + n[i]], int(n[i])) ^ (_SHORT_SALT * n[i:i + 1].astype(np.uint64)))[0]
+    salted = values + mix64(np.arange(1, len(n) + 1, dtype=np.uint64))[owner]
+    order = np.argsort(salted)
+    same = (np.diff(salted[order]) == 0) & (np.diff(owner[order]) == 0)
+    if not same.any():
+        return values, first
+    keep = np.ones(len(values), bool)
+    keep[order[1:][same]] = False
+    return values[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep, first[:-1], dtype=np.int64))])
+
+
+def set_ids(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """:func:`set_id` of each of the non-empty sets ``values[first[i]:first[i + 1]]``."""
+    if len(first) < 2:
+        return np.zeros(0, np.int64)
+    return mix64(np.add.reduceat(mix64(values), first[:-1]) + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
 def slices(sizes: list[int], limit: int = BATCH_BYTES):
     """Consecutive index ranges whose sizes add up to ``limit`` at most (or one item)."""
     a = total = 0

@@ -83,3 +83,53 @@ def test_signatures_of_many_sets_at_once():
     for s, low, both in zip(sets, minima(sets, mult, add), minmax_signatures(sets, mult, add)):
         v = (s >> np.uint64(32)).astype(np.uint32)[:, None] * mult[None, :] + add
         assert (low == v.min(axis=0)).all() and (both[0::2] == low).all() and (both[1::2] == v.max(axis=0)).all()
+
+
+def test_sets_of_many_sequences_at_once():
+    from flowlens.llm import vectext as vt
+    rng = np.random.default_rng(6)
+    n = np.array([7, 1, 40, 3, 200, 5, 2])
+    h = rng.integers(0, 4, n.sum()).astype(np.uint64)                       # most shingles repeat
+    begin = np.cumsum(n) - n
+    values, first = vt.distinct_shingles(h, begin, n, 3)
+    want = vt.shingle_sets(h, np.append(begin, len(h)), 3)
+    assert [np.sort(values[a:b]).tolist() for a, b in zip(first, first[1:])] == [s.tolist() for s in want]
+    assert vt.set_ids(values, first).tolist() == [vt.set_id(s) for s in want]
+    values, first = vt.distinct_shingles(h, begin[:0], n[:0], 3)
+    assert len(values) == 0 and vt.set_ids(values, first).tolist() == []
+    for k in (1, 2, 20, 50, 258):                                           # by the polynomial's definition
+        slow = [sum(int(x) * 0xD6E8FEB86659FD93 ** (k - 1 - j) for j, x in enumerate(h[i:i + k].tolist())) % 2**64
+                for i in range(len(h) - k + 1)]
+        assert (vt.rolling(h, k) == vt.mix64(np.array(slow, np.uint64))).all()
+
+
+def test_only_windows_whose_own_anchor_repeats_are_hashed():
+    from flowlens.llm import vectext as vt
+    from flowlens.llm.repeated_runs import PLACE_BITS, _window_maker, anchors
+    text = " ".join(f"w{i}" for i in range(400))
+    h, _ = vt.hashed_words([text])
+    at, _ = anchors(h, 50, 20)
+    s, wanted = vt.rolling(h, 20), at[3:5].tolist()
+    batch = pa.RecordBatch.from_pydict({"no": [3], "text": [text], "wanted": [wanted]})
+    got = [r for b in _window_maker(50, 20)(iter([batch])) for r in b.to_pylist()]
+    own = [i for i in range(351) if i + int(s[i:i + 31].argmin()) in wanted]
+    assert [r["spot"] for r in got] == [(3 << PLACE_BITS) + i for i in own]
+    assert [r["key"] for r in got] == vt.rolling(h, 50).view(np.int64)[own].tolist()
+
+
+def test_runs_are_joined_across_batches():
+    from flowlens.llm.repeated_runs import PLACE_BITS, _islands
+    rng, rows, want = random.Random(9), [], []
+    for no in range(1, 30):
+        for i in sorted(rng.sample(range(400), rng.randrange(30))):
+            if rows and rows[-1][0] == no and i <= rows[-1][1] + 10:
+                want[-1]["n_words"] = i + 10 - want[-1]["start_word"]
+            else:
+                want.append({"no": no, "start_word": i, "n_words": 10, "first_no": len(rows) % 7})
+            rows.append((no, i, len(rows) % 7))
+    for size in (1, 2, 37, 5000):
+        spots = pa.RecordBatch.from_pydict({"spot": [(n << PLACE_BITS) + i for n, i, _ in rows],
+                                            "first": [(f << PLACE_BITS) + 5 for *_, f in rows]})
+        parts = [spots.slice(0, 0)] + [spots.slice(a, size) for a in range(0, len(rows), size)]
+        assert [r for b in _islands(10)(iter(parts)) for r in b.to_pylist()] == want
+    assert [r for b in _islands(10)(iter([])) for r in b.to_pylist()] == []
