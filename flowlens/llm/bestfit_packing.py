@@ -14,6 +14,7 @@ executors, and each piece looks its place up.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -33,7 +34,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 BLOCKS = 256                 # rank blocks per length, so no length is ranked in one task
 MAX_BROADCAST_SEGMENTS = 1_000_000
-_CACHE_WORDS = 150_000       # a task's memory of words already tokenized; it is started anew when full
+_CACHE_WORDS = 150_000
 
 
 # --- tokens -----------------------------------------------------------------
@@ -46,20 +47,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else next(others)) for b in range(256)}
 
 
+# The tokenizer's pre-token pattern, and what it is for lower-case text of U+0000 to U+00FF.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "a-zªµºß-öø-ÿ"
+_NUMBERS = "0-9²³¹¼½¾"
+_NARROW_SPLIT = re.compile(
+    f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\x09-\x0d\x20\x85\xa0]+")
+
+
 class WordIds(dict):
-    """Token ids (little-endian uint32 bytes) of whole texts, chunk by chunk; the
-    dict holds the chunks seen.
-
-    For tokenizers that drop white space and never merge across it, a text's
-    ids are its white-space separated chunks' ids in order, so each distinct
-    chunk is tokenized once per task. A chunk of Latin-1 letters with ASCII
-    marks after them is two pre-tokens: the letters go to the BPE model as
-    they are after normalising and the byte mapping, the marks are looked up.
-    All other chunks, and texts with x1C-x1F, which Python counts as white
-    space and the tokenizer doesn't, go through the tokenizer whole.
+    """Token ids (little-endian uint32 bytes) of whole texts, pre-token by pre-token;
+    the dict holds the pre-tokens seen lately. When it is full it becomes ``old``,
+    from which those still in use come back, and a new one is begun.
+
+    Texts of U+0000 to U+00FF stay as they are under NFC and in that range in
+    lower case: they are lowered, cut by the tokenizer's own pattern, and each
+    distinct pre-token goes to the BPE model once, after the byte mapping. For
+    tokenizers that drop white space and never merge across it, other texts'
+    ids are their white-space separated chunks' ids in order; chunks go through
+    the tokenizer whole. So do texts with x1C-x1F, which Python counts as white
+    space and the tokenizer doesn't, or with the tokenizer's own added tokens.
     """
 
-    _marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     _odd_space = re.compile("[\x1c-\x1f]")
     _wide = re.compile("[^\x00-\xff]")
 
@@ -67,37 +76,48 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.letters = str.maketrans(_byte_letters())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        steps = json.loads(self.tokenizer.to_str())
+        self.splits = _SPLIT in json.dumps(steps["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
 
     def plain(self, s: str) -> bytes:
         ids = self.tokenizer.encode(s, add_special_tokens=False).ids
         return b"".join([self.bytes_of[i] for i in ids])
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            mapped = piece if piece.isascii() and piece.isprintable() \
+                else piece.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.bytes_of[t.id] for t in self.tokenize(mapped)])
         if len(self) >= _CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        word = chunk.rstrip(self._marks)
-        if word.isalpha() and not self._wide.search(word):
-            word = word.lower()
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= _CACHE_WORDS:
-                    self.words.clear()
-                mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = self.words[word] = b"".join([self.bytes_of[t.id] for t in self.tokenizer.model.tokenize(mapped)])
-            if len(word) < len(chunk):
-                ids += self[chunk[len(word):]]
-        else:
-            ids = self.plain(chunk)
-        self[chunk] = ids
+        self[piece] = ids
         return ids
 
+    def chunk(self, s: str) -> bytes:
+        ids = self.chunks.get(s)
+        if ids is None:
+            if len(self.chunks) >= _CACHE_WORDS // 2:
+                self.chunks.clear()
+            ids = self.chunks[s] = self.narrow(s) if self.splits and not self._wide.search(s) else self.plain(s)
+        return ids
+
+    def narrow(self, s: str) -> bytes:
+        return b"".join(map(self.__getitem__, _NARROW_SPLIT.findall(s.lower())))
+
     def __call__(self, text: str) -> bytes:
-        if self._odd_space.search(text):
+        if self._odd_space.search(text) or any(a in text for a in self.added):
             return self.plain(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.splits and (text.isascii() or not self._wide.search(text)):
+            return self.narrow(text)
+        return b"".join(map(self.chunk, text.split()))
 
 
 def tokenizer_file(name: str) -> str:

@@ -116,3 +116,21 @@ def test_plan_joined_as_a_table_gives_the_same_fill(spark):
     a, _ = place_pieces(pieces, 64)
     b, _ = place_pieces(pieces, 64, max_broadcast=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_pre_tokens_in_use_outlive_a_full_memory(monkeypatch):
+    """Narrow, wide and odd texts have the tokenizer's ids, and a word that keeps coming is tokenized once."""
+    from flowlens.llm import bestfit_packing
+    monkeypatch.setattr(bestfit_packing, "_CACHE_WORDS", 50)
+    ids_of = WordIds(public_tokenizers.path(TOKENIZER))
+    made, model = [], ids_of.tokenizer.model
+    monkeypatch.setattr(ids_of, "tokenize", lambda s: made.append(s) or model.tokenize(s), raising=False)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    text = " ".join(f"{w} Often," for w in words)
+    assert ids_of(text) == ids_of.plain(text)
+    assert made.count("often") == 1 and len(ids_of) + len(ids_of.old) <= 100
+    rng = random.Random(4)
+    letters = [*map(chr, range(256)), *"'''sstmdreve.,  \n" * 6, "—", "漢", "é", "<|endoftext|>", " "]
+    for _ in range(1500):
+        s = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
+        assert ids_of(s) == ids_of.plain(s)
