@@ -26,6 +26,8 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+from array import array
+from operator import getitem
 
 import numpy as np
 import pandas as pd
@@ -101,7 +103,8 @@ class Vocabulary:
         self.bytes_of = dict(zip(ids, tokens))
         self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
         # ranks of all pairs of bytes, the pairs that every merge begins with
-        self.pair_ids = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.pair_ids = [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        self.id_of_byte, self.pairs_of_byte = self.byte_ids.__getitem__, self.pair_ids.__getitem__
         self.joined: dict[int, int] = {}       # (id, id) -> what the hash gave for their bytes, or -1
 
     def rank(self, token: bytes) -> int:
@@ -126,23 +129,24 @@ class Vocabulary:
         the left part) as one number. An entry whose parts have changed since is
         passed over: its rank is no longer that of the pair."""
         n = len(piece)
-        byte_ids, pair_ids, joined = self.byte_ids, self.pair_ids, self.joined
-        ids = [byte_ids[b] for b in piece]                     # of the part that starts here
+        joined = self.joined
+        ids = list(map(self.id_of_byte, piece))                # of the part that starts here
         if -1 in ids:
             raise ValueError(f"byte {piece[ids.index(-1)]} is not in the vocabulary")
-        pair = [pair_ids[a << 8 | b] for a, b in zip(piece, piece[1:])]     # rank of the part and the next together
+        pair = list(map(getitem, map(self.pairs_of_byte, piece), piece[1:]))    # rank of the part and the next together
         pair.append(-1)
         shift = n.bit_length()
         mask = (1 << shift) - 1
         heap = [r << shift | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
-        push, pop = heapq.heappush, heapq.heappop
+        push, pop, replace = heapq.heappush, heapq.heappop, heapq.heapreplace
         end = list(range(1, n + 1))                            # of the part that starts here
         before = list(range(-1, n - 1))                        # start of the part before
         while heap:
-            top = pop(heap)
+            top = heap[0]                                      # goes when a new entry takes its place, or at the end
             i, r = top & mask, top >> shift
             if pair[i] != r:
+                pop(heap)
                 continue
             j = end[i]
             k = end[i] = end[j]
@@ -155,7 +159,8 @@ class Vocabulary:
                     new = self.look_up(key, piece[i:end[k]])
                 pair[i] = new
                 if new >= 0:
-                    push(heap, new << shift | i)
+                    replace(heap, new << shift | i)
+                    top = -1
             else:
                 pair[i] = -1
             left = before[i]
@@ -166,7 +171,13 @@ class Vocabulary:
                     new = self.look_up(key, piece[left:k])
                 pair[left] = new
                 if new >= 0:
-                    push(heap, new << shift | left)
+                    if top >= 0:
+                        replace(heap, new << shift | left)
+                        top = -1
+                    else:
+                        push(heap, new << shift | left)
+            if top >= 0:
+                pop(heap)
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -181,15 +192,25 @@ class _Memo(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> list[int]:
+    def resolve(self, piece: str) -> list[int]:
+        return self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
+
+    def __missing__(self, piece: str):
         if len(self) >= MEMO_PIECES:
             self.clear()
-        ids = self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        ids = self.resolve(piece)
         if len(piece) <= 1024:                 # bounds the memory; longer ones hardly repeat
             self[piece] = ids
         return ids
 
 
+class _PackedMemo(_Memo):
+    """The same with the ids as native 32-bit integers in bytes, which are joined without a Python step per id."""
+
+    def resolve(self, piece: str) -> bytes:
+        return array("i", super().resolve(piece)).tobytes()
+
+
 def ranks_file(name: str) -> str:
     """A path as it is; a bare file name from the public tokenizers."""
     if os.sep in name:
@@ -221,16 +242,13 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None) -> D
         import regex
         matcher = regex.compile(pattern)
         pieces_of = (lambda t: [m[0] for m in matcher.finditer(t)]) if matcher.groups else matcher.findall
-        memo = _Memo(shared.value)
+        memo = _PackedMemo(shared.value)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             held, size, at = [], 0, 0
             for i, text in enumerate(texts):
-                out: list[int] = []
-                for ids in map(memo.__getitem__, pieces_of(text.as_py() or "")):
-                    out += ids
-                held.append(np.array(out, np.int32))
-                size += len(out)
+                held.append(np.frombuffer(b"".join(map(memo.__getitem__, pieces_of(text.as_py() or ""))), np.intc))
+                size += len(held[-1])
                 if size >= BATCH_IDS:
                     yield _batch(doc_ids.slice(at, len(held)), held)
                     held, size, at = [], 0, i + 1
@@ -247,8 +265,13 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     @F.pandas_udf("binary")
     def bytes_of(ids: pd.Series) -> pd.Series:
         known = shared.value.bytes_of
-        return pd.Series([b"".join([known.get(i, UNKNOWN) for i in (row.tolist() if row is not None else [])])
-                          for row in ids], dtype=object)
+
+        def joined(row: list) -> bytes:
+            try:
+                return b"".join(map(known.__getitem__, row))
+            except KeyError:
+                return b"".join([known.get(i, UNKNOWN) for i in row])
+        return pd.Series([joined(row.tolist() if row is not None else []) for row in ids], dtype=object)
 
     return encoded.withColumn("decoded", bytes_of("ids"))
 
