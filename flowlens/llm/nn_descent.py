@@ -14,7 +14,8 @@ query's own node, or the nearest of a bounded sample of entry nodes, the best
 kept, until nothing better turns up. The adjacency table holds the
 neighbours' vectors and is bucketed by node, so each hop shuffles the
 queries' few open nodes only. The nodes found are then measured exactly, in
-double precision.
+double precision. Rows with a neighbourhood's vectors are read and handed to
+Python in small batches, as 4096 or 10,000 of them would be 70 to 170 MB a task.
 
 Equal vectors are one node; of each the ``k + 1`` smallest vec_ids stay, which
 is exact, as ties go to the smaller vec_id. Graph rounds and the search rank by
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.common import drop_stored, drop_tables, materialize, settled, track_table
-from flowlens.session import checkpoint_dir
+from flowlens.session import checkpoint_dir, small_batches
 
 K = 28                # neighbours per node
 EF = 256              # nodes kept per query
@@ -340,7 +341,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = K, ef: i
     query; with different vectors each is a candidate, and a query is never
     its own answer. Cases without part are named above; other columns are
     ignored; an empty table gives no rows."""
-    return settled(embeddings.sparkSession, "nn-found", lambda: _nearest(embeddings, is_query, k, graph_k, ef, rounds))
+    spark = embeddings.sparkSession
+    with small_batches(spark):
+        return settled(spark, "nn-found", lambda: _nearest(embeddings, is_query, k, graph_k, ef, rounds))
 
 
 def _nearest(embeddings: DataFrame, is_query, k: int, graph_k: int, ef: int, rounds: int) -> DataFrame:
