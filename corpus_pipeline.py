@@ -12,6 +12,7 @@ empty table gives an empty one; very long texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 
@@ -25,7 +26,7 @@ from flowlens.llm.repeated_runs import repeated_runs, without_words
 from flowlens.llm.string_tiling import contaminated_pairs
 from flowlens.llm.subword_classifier import THRESHOLD, score_column, train
 from flowlens.operators.common import Scratch, drop_tables, materialize, release_shuffles, settled, track_table
-from flowlens.session import checkpoint_dir
+from flowlens.session import BATCH_CONF, checkpoint_dir
 
 
 KEY = "_key"
@@ -62,6 +63,17 @@ def _once(keyed: DataFrame) -> DataFrame:
     return keyed.join(again, KEY, "left_anti").unionByName(keyed.join(again, KEY, "left_semi").dropDuplicates([KEY]))
 
 
+def _bounded(stage):
+    """``stage`` with batches bounded in bytes. The settings stay, as the caller writes the frame that it returns."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for k, v in BATCH_CONF.items():
+            spark.conf.set(k, v)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+@_bounded
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below its threshold go. NULL
     texts are scored as empty ones."""
@@ -69,6 +81,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.where(score_column(spark, model, F.col("text")) >= THRESHOLD)
 
 
+@_bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays (five-word shingles,
     0.8): the one with the smallest doc_id, NULL last. Of rows with the same
@@ -82,6 +95,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _once(_without(keyed, settled(spark, "corpus-copies", gone))).select(*docs.columns)
 
 
+@_bounded
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines of 50 words the first one stays, and of every window of
     50 words that repeats the first one; the words of the others are cut from
@@ -101,6 +115,7 @@ def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str)
         if "n_chars" in docs.columns else out
 
 
+@_bounded
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item's words in tiles go. NULL and
     empty texts hold none."""
@@ -109,6 +124,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(keyed, contaminated_pairs(_as_ids(keyed), benchmark)).select(*docs.columns)
 
 
+@_bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and their places in sequences of 2048 tokens.
     A NULL or empty text is one piece of the end token."""

@@ -133,3 +133,35 @@ def test_runs_are_joined_across_batches():
         parts = [spots.slice(0, 0)] + [spots.slice(a, size) for a in range(0, len(rows), size)]
         assert [r for b in _islands(10)(iter(parts)) for r in b.to_pylist()] == want
     assert [r for b in _islands(10)(iter([])) for r in b.to_pylist()] == []
+
+
+def test_neighbourhoods_and_stages_run_in_small_batches(spark, monkeypatch):
+    """Batches that cross to Python are bounded in bytes in op4 and in each of the pipeline's stages."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from flowlens.llm import nn_descent
+    from flowlens.session import BATCH_CONF
+
+    def largest() -> int:
+        def sizes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches], pa.int64())], names=["n"])
+        wide = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("x"), 16384).alias("s"))
+        return wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    before, seen = {k: spark.conf.get(k) for k in BATCH_CONF}, []
+    e = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nn_descent, "_nearest", lambda *a: seen.append(largest()) or e)
+    nn_descent.nearest(e, F.col("vec_id") == 1)
+    assert {k: spark.conf.get(k) for k in BATCH_CONF} == before
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda d: d)
+    try:
+        corpus_pipeline.pack(spark, docs, "")
+        seen.append(largest())
+        assert all(hasattr(f, "__wrapped__") for _, f in corpus_pipeline.STAGES)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert largest() > 20e6 and all(n < 6e6 for n in seen) and len(seen) == 2
