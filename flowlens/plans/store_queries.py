@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import distinct_sketches as sketches
 from flowlens.operators import exfil, lateral
-from flowlens.operators.common import materialize
+from flowlens.operators.common import drop_tables, materialize, release_shuffles, track_table
 from flowlens.operators.forest import iforest_score, model_load, model_save, risk_band, score_summary
 from flowlens.operators.quantiles import exact_quantile
 from flowlens.operators.summary import attack_summary, protocol_counts, recommendations
@@ -29,6 +29,7 @@ from flowlens.streaming import flagged_groups, start_groups, start_thresholds
 
 DAY_S = 86_400
 FIRST_DAY = 1_704_067_200        # 2024-01-01, the first day of the flow fixture
+TRIGGER_BYTES = 1 << 30          # of flow files, whose rows a trigger of a stream shuffles at once
 
 
 def _micro_flows(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,8 +123,13 @@ def _streamed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
                                          "dst_ip": F.lit("203.0.113.9")})
     for part in (flows, future):
         part.write.mode("append").parquet(landing)
-        start_groups(spark.readStream.schema(flows.schema).parquet(landing), kind, out, delay="30 days",
-                     available_now=True).awaitTermination()
+        arrived = spark.readStream.schema(flows.schema).options(cleanSource="delete", maxBytesPerTrigger=TRIGGER_BYTES) \
+            .parquet(landing)
+        start_groups(arrived, kind, out, delay="30 days", available_now=True).awaitTermination()
+        release_shuffles(spark)
+    for consumed in (landing, os.path.join(out, "_groups_checkpoint")):
+        track_table(consumed)
+        drop_tables(spark, [consumed])
     start_thresholds(spark, kind, out, available_now=True).awaitTermination()
     return hashable(flagged_groups(spark, kind, out))
 

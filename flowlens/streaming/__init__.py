@@ -2,5 +2,5 @@
 
 from flowlens.streaming.micro_batch import detect_stream, read_flow_stream  # noqa: F401
 from flowlens.streaming.thresholds import flagged_groups, latest_thresholds, start_thresholds  # noqa: F401
-from flowlens.streaming.windows import (late_flows, progress_rows, start_groups, stream_exfil_groups,  # noqa: F401
-                                        stream_lateral_groups)
+from flowlens.streaming.windows import (exfil_groups, late_flows, lateral_groups, progress_rows, start_groups,  # noqa: F401
+                                        stream_exfil_pairs, stream_lateral_pairs)
