@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from flowlens.functions.arith import BYTES_PER_MB, flag, rate
 from flowlens.functions.ip import is_private_ip
 from flowlens.functions.timefns import dt_hour, dt_weekday
-from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, materialize, moments,
-                                      weighted_sum, with_scalars)
+from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, group_portions, materialize_parts,
+                                      moments, weighted_sum, with_scalars)
 from flowlens.operators.features import has_timestamp, night_flag, weekend_flag
-from flowlens.operators.score_moments import gathered, mean_and_std, observed, weights
+from flowlens.operators.score_moments import Gathered, mean_and_std, weights
 from flowlens.schema import EXFIL_COLUMNS, EXFIL_WINDOW_S, SUSPICIOUS_PROTOCOLS
 
 # ---------------------------------------------------------------------------
@@ -107,9 +107,9 @@ def detect_exfil(df: DataFrame, materialize_groups: bool = True, exact: bool = T
     """All outbound (source, window) groups with scores; flag ``is_exfiltration``.
     No outbound traffic gives an empty frame with the same schema.
     ``materialize_groups``: as in :func:`flowlens.operators.lateral.detect_lateral`."""
-    groups = agg_exfil(df, exact=exact)
     if not materialize_groups or df.isStreaming:
-        return score_exfil(groups)
-    watched, obs = observed(with_flags(groups), SCORE)
-    stored = materialize(watched, "exfil-groups")
-    return scored(stored, None, None, *mean_and_std(SCORE, gathered(obs, SCORE)))
+        return score_exfil(agg_exfil(df, exact=exact))
+    found = Gathered(SCORE)
+    parts = group_portions(df.where(flt_outbound()), EXFIL_WINDOW_S)
+    stored = materialize_parts(found.watched(with_flags(agg_exfil(p, exact=exact)) for p in parts), "exfil-groups")
+    return scored(stored, None, None, *mean_and_std(SCORE, found.moments))

@@ -146,11 +146,10 @@ def join_fanout(df: DataFrame, stored: bool = False) -> DataFrame:
         .select(*cols, "unique_destinations")
 
 
-def extract_features(df: DataFrame, stored_fanout: bool = False) -> DataFrame:
-    """All 14 derived columns, in the reference's order; ``stored_fanout`` as in :func:`join_fanout`."""
-    df = default_protocol(df)
+def row_features(df: DataFrame) -> DataFrame:
+    """The 13 derived columns that follow from a flow alone."""
     t = has_timestamp(df)
-    out = df.withColumns({
+    return df.withColumns({
         "is_ics_protocol": feat_is_ics(),
         "ics_protocol": feat_ics_protocol(),
         "bytes_per_packet": feat_bytes_per_packet(),
@@ -165,7 +164,11 @@ def extract_features(df: DataFrame, stored_fanout: bool = False) -> DataFrame:
         "is_tcp": feat_is_tcp(),
         "is_udp": feat_is_udp(),
     })
-    return join_fanout(out, stored_fanout)
+
+
+def extract_features(df: DataFrame, stored_fanout: bool = False) -> DataFrame:
+    """All 14 derived columns, in the reference's order; ``stored_fanout`` as in :func:`join_fanout`."""
+    return join_fanout(row_features(default_protocol(df)), stored_fanout)
 
 
 def preprocess(df: DataFrame, unit: str = "auto", stored_fanout: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -342,7 +342,7 @@ def iforest_threshold(scored: DataFrame, contamination: float, exact: bool = Fal
 def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DEFAULT_TREES,
                   contamination: float = DEFAULT_CONTAMINATION, seed: int = DEFAULT_SEED,
                   max_samples: int = DEFAULT_MAX_SAMPLES, materialize_input: bool = True,
-                  exact_threshold: bool = False, keep_scores: bool = False) -> ForestModel:
+                  exact_threshold: bool = False, keep_scores: bool | Callable = False) -> ForestModel:
     """Fit scaler and forest; ``features=None`` selects numeric columns.
 
     The threshold is a mergeable quantile sketch of the training scores with a
@@ -350,7 +350,8 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
     takes the exact quantile instead (a few more passes over the stored scores).
     The threshold needs the score of every training row: with ``keep_scores`` that
     pass stores the scored input, and :func:`iforest_score` of the same frame reads
-    it instead of running the forest a second time."""
+    it instead of running the forest a second time (a function stores the scored
+    frame it is given its own way, and returns the frame that reads it)."""
     from flowlens.operators.features import select_numeric
     features = list(features) if features is not None else select_numeric(df)
     if not features:
@@ -370,7 +371,8 @@ def iforest_train(df: DataFrame, features: list | None = None, n_trees: int = DE
                 .toPandas())
     model = ForestModel(features, means, stds, psi, n_trees, seed, contamination, None, n, node_pdf)
     if keep_scores:
-        scored = materialize(_raw_scores(model, rows), "train-scored")
+        keep = keep_scores if callable(keep_scores) else lambda table: materialize(table, "train-scored")
+        scored = keep(_raw_scores(model, rows))
         model.kept = (rows, scored)
     else:
         scored = _raw_scores(model, df)

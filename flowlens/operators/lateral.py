@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.arith import flag
-from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, materialize, moments,
-                                      weighted_sum, with_scalars)
-from flowlens.operators.score_moments import gathered, mean_and_std, observed, weights
+from flowlens.operators.common import (above_sigma, add_time_window, distinct_count, group_portions, materialize_parts,
+                                      moments, weighted_sum, with_scalars)
+from flowlens.operators.score_moments import Gathered, mean_and_std, weights
 from flowlens.schema import LATERAL_COLUMNS, LATERAL_WINDOW_S
 
 # ---------------------------------------------------------------------------
@@ -87,16 +87,17 @@ def score_lateral(groups: DataFrame) -> DataFrame:
 def detect_lateral(df: DataFrame, materialize_groups: bool = True, exact: bool = True) -> DataFrame:
     """All (source, window) groups with scores; flag ``is_lateral_movement``.
 
-    With ``materialize_groups`` the groups are written once (an eager job), so
-    the input is aggregated once; maxima, mean and deviation are observed by
-    that job, and the frame returned is one scan of the groups. Pass False for a
-    fully lazy plan, which reads the input for each of them.
+    With ``materialize_groups`` the groups are written once (an eager job for
+    each portion of them), so a flow is aggregated once; maxima, mean and
+    deviation are observed by these jobs, and the frame returned is one scan of
+    the groups. Pass False for a fully lazy plan, which reads the input for each
+    of them.
     """
-    groups = agg_lateral(df, exact=exact)
     if not materialize_groups or df.isStreaming:
-        return score_lateral(groups)
-    watched, obs = observed(with_flags(groups), SCORE)
-    stored = materialize(watched, "lateral-groups")
-    m = gathered(obs, SCORE)
+        return score_lateral(agg_lateral(df, exact=exact))
+    found = Gathered(SCORE)
+    parts = group_portions(df, LATERAL_WINDOW_S)
+    stored = materialize_parts(found.watched(with_flags(agg_lateral(p, exact=exact)) for p in parts), "lateral-groups")
+    m = found.moments
     maxima = m["maxima"][:2] if m["n"] else (None, None)
     return scored(stored, *maxima, *mean_and_std(SCORE, m))

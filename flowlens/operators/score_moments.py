@@ -10,6 +10,7 @@ any order, and give mean and deviation under any maxima, without another pass.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -80,3 +81,18 @@ def gathered(obs: Observation, w: Weights) -> dict:
         return {"n": 0, "sums": [], "products": [], "maxima": []}
     return {"n": got["n"], "sums": [int(got[f"s{i}"]) for i in range(k)], "maxima": [int(got[f"m{i}"]) for i in range(k)],
             "products": [[int(got[f"p{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]}
+
+
+class Gathered:
+    """Moments of groups that are written in parts."""
+
+    def __init__(self, w: Weights):
+        self.weights = w
+        self.moments = {"n": 0, "sums": [], "products": [], "maxima": []}
+
+    def watched(self, parts: Iterable[DataFrame]) -> Iterator[DataFrame]:
+        """The parts, each of which is written before the next is asked for."""
+        for part in parts:
+            groups, obs = observed(part, self.weights)
+            yield groups
+            self.moments = merged(self.moments, gathered(obs, self.weights))

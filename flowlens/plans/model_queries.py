@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators.common import materialize
-from flowlens.operators.features import extract_features, select_features
+from flowlens.operators.common import drop_stored, materialize, release_shuffles
+from flowlens.operators.features import default_protocol, extract_features, join_fanout, row_features, select_features
 from flowlens.operators.forest import (EULER_GAMMA, NODE_SCHEMA, ForestModel, iforest_score, iforest_train,
                                        kept_input, risk_band, score_summary)
 from flowlens.operators.summary import RECOMMENDATIONS, attack_summary, recommendations
@@ -31,14 +31,41 @@ def _features(spark: SparkSession, sf: str, stored_fanout: bool = False) -> Data
     return extract_features(flows_from_lineitem(spark, sf), stored_fanout)
 
 
+def _scored_model(spark: SparkSession, sf: str) -> ForestModel:
+    """Trained on stored flows, with their scores kept. Of the features the
+    fan-out alone is stored, the others follow from a flow's own columns; the
+    flows stored with their scores take the place of those without."""
+    flows = materialize(join_fanout(default_protocol(flows_from_lineitem(spark, sf)), stored=True), "features")
+
+    def with_features(stored: DataFrame) -> DataFrame:
+        out = row_features(stored)
+        last = [c for c in ("unique_destinations", "anomaly_score") if c in stored.columns]
+        return out.select(*(c for c in out.columns if c not in last), *last)
+
+    def keep(scored: DataFrame) -> DataFrame:
+        release_shuffles(spark)
+        stored = materialize(scored.select(*flows.columns, "anomaly_score"), "train-scored")
+        out = with_features(stored)
+        out.stored_path = stored.stored_path
+        return out
+
+    f = with_features(flows)
+    model = iforest_train(f, select_features(f), materialize_input=False, keep_scores=keep)
+    scored = model.kept[1]
+    model.kept = (scored.drop("anomaly_score"), scored)
+    drop_stored(flows)
+    return model
+
+
 def _model(spark: SparkSession, sf: str, keep_scores: bool = False) -> ForestModel:
     """Train once per input directory and process (training is deterministic).
-    ``keep_scores``: on stored features, with their scores kept for :func:`_scored`."""
+    ``keep_scores``: with the scores kept for :func:`_scored`."""
     if sf not in _MODELS:
-        f = _features(spark, sf, stored_fanout=True)
         if keep_scores:
-            f = materialize(f, "features")
-        _MODELS[sf] = iforest_train(f, select_features(f), materialize_input=not keep_scores, keep_scores=keep_scores)
+            _MODELS[sf] = _scored_model(spark, sf)
+        else:
+            f = _features(spark, sf, stored_fanout=True)
+            _MODELS[sf] = iforest_train(f, select_features(f))
     return _MODELS[sf]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import distinct_sketches as sketches
 from flowlens.operators import exfil, lateral
-from flowlens.operators.common import drop_tables, materialize, release_shuffles, track_table
+from flowlens.operators.common import drop_tables, materialize, release_shuffles, settled, track_table
 from flowlens.operators.forest import iforest_score, model_load, model_save, risk_band, score_summary
 from flowlens.operators.quantiles import exact_quantile
 from flowlens.operators.summary import attack_summary, protocol_counts, recommendations
@@ -157,9 +157,13 @@ def q_trained_topk_anomalies(spark, sf):
 
 def _trained_summary(spark, sf) -> DataFrame:
     from flowlens.plans.concurrent import run_detectors
-    scored = M._scored(spark, sf)
-    lat, ex, found = run_detectors(M._trained_on(spark, sf))
-    return materialize(attack_summary(scored, lat, ex, found), "trained-summary")
+    scored, features = M._scored(spark, sf), M._trained_on(spark, sf)
+
+    def build() -> DataFrame:
+        detected = run_detectors(features)
+        release_shuffles(spark)
+        return attack_summary(scored, *detected)
+    return settled(spark, "trained-summary", build)
 
 
 def q_trained_attack_summary(spark, sf):
