@@ -24,12 +24,14 @@ from flowlens.plans import model_queries as M
 from flowlens.plans import oracle_sql as O
 from flowlens.plans import sinks, time_store
 from flowlens.plans.catalog import hashable, out_path
+from flowlens.plans.staged import _fs
 from flowlens.sources.fixtures import flows_from_lineitem
 from flowlens.streaming import flagged_groups, start_groups, start_thresholds
 
 DAY_S = 86_400
 FIRST_DAY = 1_704_067_200        # 2024-01-01, the first day of the flow fixture
 TRIGGER_BYTES = 1 << 30          # of flow files, whose rows a trigger of a stream shuffles at once
+TRIGGERS = 8                     # at most about so many, as each reads the state
 
 
 def _micro_flows(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +125,9 @@ def _streamed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
                                          "dst_ip": F.lit("203.0.113.9")})
     for part in (flows, future):
         part.write.mode("append").parquet(landing)
-        arrived = spark.readStream.schema(flows.schema).options(cleanSource="delete", maxBytesPerTrigger=TRIGGER_BYTES) \
+        fs, hadoop = _fs(spark, landing)
+        at_once = max(TRIGGER_BYTES, fs.getContentSummary(hadoop(landing)).getLength() // TRIGGERS)
+        arrived = spark.readStream.schema(flows.schema).options(cleanSource="delete", maxBytesPerTrigger=at_once) \
             .parquet(landing)
         start_groups(arrived, kind, out, delay="30 days", available_now=True).awaitTermination()
         release_shuffles(spark)

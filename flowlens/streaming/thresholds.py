@@ -98,7 +98,7 @@ def start_thresholds(spark: SparkSession, kind: str, out_dir: str, available_now
         .option("path", os.path.join(out_dir, "thresholds")) \
         .option("checkpointLocation", checkpoint or os.path.join(out_dir, "_thresholds_checkpoint"))
     writer = writer.trigger(availableNow=True) if available_now else writer
-    with state_on_disk(spark, partitions=1):   # one key
+    with state_on_disk(spark, partitions=1, unload=available_now):   # one key
         return writer.start()
 
 

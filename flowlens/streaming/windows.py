@@ -152,7 +152,7 @@ def start_groups(flows: DataFrame, kind: str, out_dir: str, delay: str = DEFAULT
     writer = pairs(read, delay).writeStream.outputMode("append") \
         .foreachBatch(lambda closed, batch: _put(groups(closed), batch, out_dir)) \
         .option("checkpointLocation", checkpoint or os.path.join(out_dir, "_groups_checkpoint"))
-    with state_on_disk(flows.sparkSession):
+    with state_on_disk(flows.sparkSession, unload=available_now):
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

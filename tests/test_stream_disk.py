@@ -40,7 +40,7 @@ def test_a_repeated_trigger_adds_its_groups_once(spark, tmp_out):
 
 def test_the_query_keeps_its_groups_only(spark, monkeypatch):
     one = store_queries.q_stream_exfil(spark, SF_SMALL)
-    monkeypatch.setattr(store_queries, "TRIGGER_BYTES", 1)      # a file each trigger
+    monkeypatch.setattr(store_queries, "TRIGGER_BYTES", 1)      # as many triggers as may be
     many = store_queries.q_stream_exfil(spark, SF_SMALL)
     out = os.path.dirname(os.path.dirname(many.inputFiles()[0].removeprefix("file:").replace("///", "/")))
     assert not os.path.exists(os.path.join(out, "_groups_checkpoint"))
