@@ -29,7 +29,7 @@ def test_portions_give_the_groups_of_one_pass(spark, monkeypatch, detect, timed)
     f = extract_features(flows if timed else flows.drop("timestamp"))
     whole = rows(detect(f))
     monkeypatch.setattr(common, "PORTION_ROWS", 250)
-    assert len(portions(f, "src_ip")) > 20
+    assert len(portions(f, "src_ip")) == common.MAX_PORTIONS
     assert rows(detect(f)) == whole and whole
 
 
